@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import hash_position, order_hash
 from foldwise.functions.scores import binary_label
-from foldwise.operators.skew import MIN_HOT_ROWS, PARTS, hot_keys, with_piece
+
+# Pieces per class. At 10^11 rows a piece is some ten million rows.
+PIECES = 4096
 
 
 def stratified_folds(
@@ -16,34 +18,27 @@ def stratified_folds(
     label: str,
     k: int = 5,
     seed: int = 96,
-    parts: int = PARTS,
-    min_rows: int = MIN_HOT_ROWS,
+    pieces: int = PIECES,
 ) -> DataFrame:
     """Add ``fold``: rows ordered by (label, seeded hash of the id, id) are dealt out to ``k`` folds.
 
     Each class is spread over the folds to within one row. Equal to numbering the whole table in
-    that order, but a large class is cut into pieces by hash: count the pieces, add up the counts,
-    and number rows inside a piece. Ids must be unique (see ``duplicate_ids``).
+    that order, but each class is cut into pieces of equal hash ranges: count the pieces, add up
+    the counts, and number the rows inside a piece. Ids must be unique (see ``duplicate_ids``).
     """
     digest = order_hash(F.col(f"`{id_col}`"), seed)
-    classed = df.withColumn("_class", binary_label(F.col(f"`{label}`")))
-    hot = hot_keys(classed, "_class", parts, min_rows)
-
-    def cut(rows: DataFrame) -> DataFrame:
-        pieces = with_piece(rows, "_class", hash_position(digest), hot)
-        return pieces.withColumn("_piece", F.coalesce("_piece", F.lit(0)))
+    piece = F.floor(hash_position(digest) * F.lit(pieces)).cast("int")
+    cut = df.withColumns({"_class": binary_label(F.col(f"`{label}`")), "_piece": piece})
 
-    sizes = cut(classed.select(id_col, "_class")).groupBy("_class", "_piece").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    # Two classes and at most 2 * parts pieces: small enough for one task and for broadcast.
+    sizes = cut.groupBy("_class", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    # Two classes, so at most 2 * pieces rows: small enough for one task and for broadcast.
     before = Window.orderBy("_class", "_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         "_class", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
     )
 
     # The digest is computed again after the exchange, so the shuffle does not carry it.
-    placed = cut(classed).repartition("_class", "_piece")
+    placed = cut.repartition("_class", "_piece")
     in_piece = Window.partitionBy("_class", "_piece").orderBy(digest, F.col(f"`{id_col}`"))
     numbered = placed.withColumn("_rank", F.row_number().over(in_piece) - 1)
     dealt = ((F.col("_start") + F.col("_rank")) % k).cast("int")

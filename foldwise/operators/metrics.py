@@ -19,18 +19,21 @@ def roc_auc(
     label: str = "label",
     by: Sequence[str] = (),
     ranges: int = SCORE_RANGES,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Exact area under the ROC curve per group in ``by``; ties count one half.
 
     Equal scores collapse before the shuffle. The distinct scores are then cut into ranges that
     hold about equally many rows, so the running count of negatives never needs a whole group in
     one task: it runs inside each range, and again over the at most ``ranges`` range totals.
-    The cuts only decide where work happens and do not enter the result.
+    The cuts only decide where work happens and do not enter the result; pass ``score_cuts`` of a
+    cheaper source of the same scores to keep them from evaluating ``df`` a second time.
 
     A group of one class gives NULL. A NULL or NaN score, or a label other than 0 and 1, is an error.
     """
     by = list(by)
-    cuts = _score_cuts(df, score, ranges) if ranges > 1 else []
+    if cuts is None:
+        cuts = score_cuts(df, score, ranges)
     scored = df.select(
         *by,
         _known(F.col(score)).alias("_s"),
@@ -55,6 +58,16 @@ def roc_auc(
     return summed.groupBy(*by).agg(F.try_divide(won, possible).alias("auc"))
 
 
+def score_cuts(df: DataFrame, score: str = "score", ranges: int = SCORE_RANGES) -> list[float]:
+    """At most ``ranges - 1`` increasing cuts, from a map-side sketch of the score column."""
+    if ranges < 2:
+        return []
+    shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
+    sketch = f"percentile_approx(CAST(`{score}` AS DOUBLE), array({shares}), {ranges * 4})"
+    found = df.agg(F.expr(sketch).alias("cuts")).first().cuts or []
+    return sorted({c + 0.0 for c in found if c == c and abs(c) != float("inf")})
+
+
 def fold_summary(scores: DataFrame, by: Sequence[str] = (), auc: str = "auc") -> DataFrame:
     """Mean and population standard deviation of fold scores."""
     return scores.groupBy(*by).agg(
@@ -79,15 +92,7 @@ def _known(value: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("score is NULL or NaN"))).otherwise(number + F.lit(0.0))
 
 
-def _score_cuts(df: DataFrame, score: str, ranges: int) -> list[float]:
-    """At most ``ranges - 1`` increasing cuts, from a map-side sketch of the score column."""
-    shares = [i / ranges for i in range(1, ranges)]
-    sketch = F.percentile_approx(F.col(score).cast("double"), shares, ranges * 10)
-    found = df.agg(sketch.alias("cuts")).first().cuts or []
-    return sorted({c + 0.0 for c in found if c == c and abs(c) != float("inf")})
-
-
-def _range_of(scored: DataFrame, cuts: list[float]) -> DataFrame:
+def _range_of(scored: DataFrame, cuts: Sequence[float]) -> DataFrame:
     if not cuts:
         return scored.withColumn("_range", F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]

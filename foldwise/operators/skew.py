@@ -33,9 +33,10 @@ def with_piece(df: DataFrame, key: str, position: Column, hot: DataFrame) -> Dat
 
     ``position`` is a number in [0, 1) per row; pieces are equal intervals of it.
     """
+    piece = F.floor(position * F.col("pieces")).cast("int")
     return (
         df.join(F.broadcast(hot), F.col(f"`{key}`").eqNullSafe(F.col("hot_key")), "left")
-        .withColumn("_piece", F.floor(position * F.col("pieces")).cast("int"))
+        .withColumn("_piece", F.when(F.col("pieces").isNotNull(), piece))
         .drop("hot_key", "pieces")
     )
 

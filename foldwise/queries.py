@@ -233,7 +233,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 def _fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _labelled(spark, sf_dir).select("id", "label", _score_a().alias("score"))
-    return metrics.roc_auc(_folded(labelled), by=["fold"])
+    return metrics.roc_auc(_folded(labelled), by=["fold"], cuts=metrics.score_cuts(labelled))
 
 
 @query
