@@ -40,13 +40,12 @@ class NullFill:
         """The fill as a pipeline stage, so that it is saved along with the model."""
         parts = []
         for column, value in self.values.items():
-            finite = f"nullif(nullif(nanvl(CAST(`{column}` AS DOUBLE), CAST('Infinity' AS DOUBLE)), " \
-                     "CAST('Infinity' AS DOUBLE)), CAST('-Infinity' AS DOUBLE))"
+            number = f"CAST(`{column}` AS DOUBLE)"
+            finite = f"CASE WHEN NOT (isnan({number}) OR abs({number}) = DOUBLE('Infinity')) "
+            finite += f"THEN {number} END"
             parts.append(f"coalesce({finite}, {value!r}D) AS `{filled_name(column)}`")
             if self.flag_missing:
-                parts.append(
-                    f"CAST({finite} IS NULL AS DOUBLE) AS `{missing_name(column)}`"
-                )
+                parts.append(f"CAST({finite} IS NULL AS DOUBLE) AS `{missing_name(column)}`")
         return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
 
@@ -58,15 +57,14 @@ def missing_name(column: str) -> str:
     return f"{column}__missing"
 
 
-def fit_null_fill(train: DataFrame, columns: Sequence[str], for_trees: bool) -> NullFill:
-    """One aggregate over the training rows gives every column's fill value."""
+def fill_aggregates(columns: Sequence[str], for_trees: bool) -> list[Column]:
+    """The aggregates over training rows that fill values come from, in column order."""
     aggregate = F.min if for_trees else F.avg
-    row = train.agg(
-        *[aggregate(finite_or_null(F.col(f"`{c}`"))).alias(f"v{i}") for i, c in enumerate(columns)]
-    ).first()
-    values = {}
-    for i, column in enumerate(columns):
-        known = row[f"v{i}"]
-        base = 0.0 if known is None else float(known)
-        values[column] = base - 1.0 if for_trees else base
+    return [aggregate(finite_or_null(F.col(f"`{c}`"))) for c in columns]
+
+
+def null_fill(columns: Sequence[str], known: Sequence[float | None], for_trees: bool) -> NullFill:
+    """Fill values from the results of ``fill_aggregates``."""
+    step = 1.0 if for_trees else 0.0
+    values = {c: (0.0 if v is None else v) - step for c, v in zip(columns, known, strict=True)}
     return NullFill(values, flag_missing=not for_trees)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.operators.skew import MIN_HOT_ROWS, PARTS, hot_keys, lookup
@@ -59,22 +59,30 @@ def index_categories(
     return found.withColumn("category_idx", F.coalesce("category_idx", size))
 
 
-def vocabulary(train: DataFrame, columns: Sequence[str], limit: int) -> dict[str, list[str] | None]:
+def size_sketches(columns: Sequence[str]) -> list[Column]:
+    """Approximate distinct counts, computed map-side: what rules out the large columns."""
+    return [F.approx_count_distinct(f"`{c}`", 0.02) for c in columns]
+
+
+def vocabulary(
+    train: DataFrame, columns: Sequence[str], limit: int, sketched: Sequence[int] | None = None
+) -> dict[str, list[str] | None]:
     """Sorted categories of each column, or None for a column with more than ``limit`` of them.
 
-    A map-side distinct-count sketch rules out the large columns first, so only columns of about
-    ``limit`` values or fewer are collected, and of those at most ``limit + 1`` values.
+    Only columns that the sketch puts at about ``limit`` values or fewer are collected, and of
+    those at most ``limit + 1`` values. ``sketched`` are the results of ``size_sketches``, where
+    the caller has them already.
     """
-    if not columns:
-        return {}
-    names = [f"`{c}`" for c in columns]
-    sketch = train.agg(*[F.approx_count_distinct(c, 0.02) for c in names]).first()
-    small = [i for i, about in enumerate(sketch) if about <= 1.2 * limit + 10]
     values: dict[str, list[str] | None] = dict.fromkeys(columns)
+    if not columns:
+        return values
+    if sketched is None:
+        sketched = train.agg(*size_sketches(columns)).first()
+    small = [i for i, about in enumerate(sketched) if about <= 1.2 * limit + 10]
     if not small:
         return values
     found = [
-        train.select(F.lit(i).alias("i"), F.col(names[i]).cast("string").alias("category"))
+        train.select(F.lit(i).alias("i"), F.col(f"`{columns[i]}`").cast("string").alias("category"))
         .where(F.col("category").isNotNull())
         .distinct()
         .limit(limit + 1)

@@ -8,12 +8,12 @@ from dataclasses import dataclass, field, replace
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.functions.nulls import fit_null_fill
+from foldwise.functions.nulls import NullFill, fill_aggregates, null_fill
 from foldwise.functions.scores import binary_label, positive_class
-from foldwise.operators.categories import indexer, one_hot_stages, vocabulary
+from foldwise.operators.categories import indexer, one_hot_stages, size_sketches, vocabulary
 from foldwise.operators.target_stats import (
     apply_target_stat,
     ordered_target_stat,
@@ -87,7 +87,7 @@ class FittedArm:
             (self.arm.run, name, float(weight) * 100.0)
             for name, weight in zip(self.inputs, weights, strict=True)
         ]
-        spark = _session()
+        spark = SparkSession.active()
         table = spark.createDataFrame(rows, "run string, feature string, importance double")
         return table.orderBy(F.desc("importance"), "feature")
 
@@ -104,28 +104,46 @@ def fit_arm(train: DataFrame, arm: Arm, id_col: str, label: str) -> FittedArm:
     raise ValueError(f"unknown learner {arm.learner!r}")
 
 
+@dataclass(frozen=True)
+class _TrainingSummary:
+    """What the stages need to know about the training rows, from one pass over them."""
+
+    n_rows: int
+    fill: NullFill
+    category_sizes: tuple[int, ...]
+
+
+def _summarize(
+    rows: DataFrame, numeric: list[str], categorical: tuple[str, ...], for_trees: bool
+) -> _TrainingSummary:
+    summary = rows.agg(
+        F.count(F.lit(1)), *fill_aggregates(numeric, for_trees), *size_sketches(categorical)
+    ).first()
+    n_rows, known, sizes = summary[0], summary[1 : 1 + len(numeric)], summary[1 + len(numeric) :]
+    return _TrainingSummary(n_rows, null_fill(numeric, known, for_trees), tuple(sizes))
+
+
 def _fit_logistic(rows: DataFrame, arm: Arm, numeric: list[str]) -> FittedArm:
     """L2 logistic regression on raw numbers and one-hot categories."""
-    categories = vocabulary(rows, arm.categorical, MAX_ONE_HOT)
+    seen = _summarize(rows, numeric, arm.categorical, for_trees=False)
+    categories = vocabulary(rows, arm.categorical, MAX_ONE_HOT, seen.category_sizes)
     too_large = [c for c, values in categories.items() if values is None]
     if too_large:
         raise ValueError(f"more than {MAX_ONE_HOT} categories to one-hot encode in {too_large}")
     stages, inputs, names = [], [], []
     if numeric:
-        fill = fit_null_fill(rows, numeric, for_trees=False)
-        stages.append(fill.stage())
-        inputs += fill.outputs
+        stages.append(seen.fill.stage())
+        inputs += seen.fill.outputs
         names += [*numeric, *(f"{c} missing" for c in numeric)]
     if categories:
         stages += one_hot_stages(categories)
         inputs += [f"{c}__hot" for c in categories]
         names += [f"{c}_{v}" for c, values in categories.items() for v in values]
-    params = dict(arm.params)
+    params = {"C": 1.0, "maxIter": 100, "elasticNetParam": 0.0, "standardization": False}
+    params.update(arm.params)
     # A penalty of C on the summed loss is 1 / (C n) on the mean loss that MLlib minimises.
-    penalty = params.pop("C", 1.0)
-    if "regParam" not in params:
-        params["regParam"] = 1.0 / (penalty * max(rows.count(), 1))
-    params = {"maxIter": 100, "elasticNetParam": 0.0, "standardization": False, **params}
+    penalty = 1.0 / (params.pop("C") * max(seen.n_rows, 1))
+    params.setdefault("regParam", penalty)
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     stages.append(LogisticRegression(featuresCol="features", labelCol="label", **params))
     return FittedArm(arm, {}, Pipeline(stages=stages).fit(rows), tuple(names))
@@ -133,19 +151,19 @@ def _fit_logistic(rows: DataFrame, arm: Arm, numeric: list[str]) -> FittedArm:
 
 def _fit_gbt(rows: DataFrame, arm: Arm, numeric: list[str], id_col: str) -> FittedArm:
     """Boosted trees. Categories that fit in the bins are nominal, larger ones get a statistic."""
-    spark = rows.sparkSession
-    shared_dir(spark)  # names the checkpoint folder that long boosting runs cut lineage in
+    shared_dir(rows.sparkSession)  # names the folder in which boosting cuts its own lineage
     params = {"maxBins": 32, "seed": SEED, "checkpointInterval": 10, **arm.params}
+    seen = _summarize(rows, numeric, arm.categorical, for_trees=True)
     # One bin is kept for unseen and NULL categories.
-    categories = vocabulary(rows, arm.categorical, int(params["maxBins"]) - 1)
+    limit = int(params["maxBins"]) - 1
+    categories = vocabulary(rows, arm.categorical, limit, seen.category_sizes)
     nominal = {c: values for c, values in categories.items() if values is not None}
     large = [c for c, values in categories.items() if values is None]
     stats = {}
     if large:
         for category in large:
-            stats[category] = materialize(
-                target_stat_table(rows, category, "label"), "target-stats"
-            )
+            table = target_stat_table(rows, category, "label")
+            stats[category] = materialize(table, "target-stats")
             rows = ordered_target_stat(
                 rows, id_col, category, "label", out=stat_name(category), seed=SEED
             )
@@ -155,21 +173,14 @@ def _fit_gbt(rows: DataFrame, arm: Arm, numeric: list[str], id_col: str) -> Fitt
         stages.append(indexer(nominal))
         inputs += [f"{c}__idx" for c in nominal]
     inputs += [stat_name(c) for c in large]
-    names = [*nominal, *large, *numeric]
     if numeric:
-        fill = fit_null_fill(rows, numeric, for_trees=True)
-        stages.append(fill.stage())
-        inputs += fill.outputs
+        stages.append(seen.fill.stage())
+        inputs += seen.fill.outputs
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     stages.append(GBTClassifier(featuresCol="features", labelCol="label", **params))
-    return FittedArm(arm, stats, Pipeline(stages=stages).fit(rows), tuple(names))
+    names = (*nominal, *large, *numeric)
+    return FittedArm(arm, stats, Pipeline(stages=stages).fit(rows), names)
 
 
 def stat_name(category: str) -> str:
     return f"{category}__stat"
-
-
-def _session():
-    from pyspark.sql import SparkSession
-
-    return SparkSession.active()

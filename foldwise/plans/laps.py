@@ -40,6 +40,11 @@ def constant_feature():
     return ratio(F.col("LapNumber"), F.col("LapNumber"))
 
 
+def arms(max_bins: int = 32) -> list[Arm]:
+    """Every recorded setting, by run name."""
+    return [logistic_arm(), leafwise_arm(), *(tree_arm(s, max_bins) for s in TREE_SETTINGS)]
+
+
 def tree_arm(setting: str, max_bins: int = 32) -> Arm:
     """Boosted trees on all columns but the id."""
     return Arm(

@@ -23,7 +23,7 @@ from foldwise.sources.sinks import write_predictions
 from foldwise.sources.tables import Bundle, read_predictions, read_table
 from foldwise.workspace import materialize, scratch_path
 
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
