@@ -96,14 +96,18 @@ def vocabulary(
     return values
 
 
-def indexer(categories: dict[str, list[str]], suffix: str = "__idx") -> StringIndexerModel:
-    """Indexer over known categories; unseen and NULL go to one index after the last."""
-    return StringIndexerModel.from_arrays_of_labels(
-        list(categories.values()),
-        inputCols=list(categories),
-        outputCols=[c + suffix for c in categories],
-        handleInvalid="keep",
-    )
+def index_stages(categories: dict[str, list[str]]) -> list[StringIndexerModel]:
+    """Nominal indices ``<column>__idx`` over known categories.
+
+    Unseen and NULL values go to one index after the last. A model per column, because a
+    many-column model made from label lists pads the shorter lists with NULL labels.
+    """
+    return [
+        StringIndexerModel.from_labels(
+            values, inputCol=column, outputCol=f"{column}__idx", handleInvalid="keep"
+        )
+        for column, values in categories.items()
+    ]
 
 
 def one_hot_stages(categories: dict[str, list[str]]) -> list:
@@ -112,14 +116,13 @@ def one_hot_stages(categories: dict[str, list[str]]) -> list:
     The indexer adds an index for unseen and NULL values and the encoder drops that last one, so
     such rows get the all-zero vector and every training category keeps its slot.
     """
-    index = indexer(categories)
     encode = OneHotEncoder(
-        inputCols=[c + "__idx" for c in categories],
-        outputCols=[c + "__hot" for c in categories],
+        inputCols=[f"{c}__idx" for c in categories],
+        outputCols=[f"{c}__hot" for c in categories],
         handleInvalid="error",
         dropLast=True,
     )
-    return [index, encode]
+    return [*index_stages(categories), encode]
 
 
 def one_hot_columns(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.nulls import NullFill, fill_aggregates, null_fill
 from foldwise.functions.scores import binary_label, positive_class
-from foldwise.operators.categories import indexer, one_hot_stages, size_sketches, vocabulary
+from foldwise.operators.categories import index_stages, one_hot_stages, size_sketches, vocabulary
 from foldwise.operators.target_stats import (
     apply_target_stat,
     ordered_target_stat,
@@ -169,9 +169,8 @@ def _fit_gbt(rows: DataFrame, arm: Arm, numeric: list[str], id_col: str) -> Fitt
             )
         rows = materialize(rows, "target-encoded")
     stages, inputs = [], []
-    if nominal:
-        stages.append(indexer(nominal))
-        inputs += [f"{c}__idx" for c in nominal]
+    stages += index_stages(nominal)
+    inputs += [f"{c}__idx" for c in nominal]
     inputs += [stat_name(c) for c in large]
     if numeric:
         stages.append(seen.fill.stage())
