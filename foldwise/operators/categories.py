@@ -45,6 +45,7 @@ def category_dictionary(train: DataFrame, column: str) -> DataFrame:
 
 def index_categories(
     df: DataFrame,
+    id_col: str,
     column: str,
     dictionary: DataFrame,
     parts: int = PARTS,
@@ -52,10 +53,9 @@ def index_categories(
 ) -> DataFrame:
     """Add ``category_idx``; unseen and NULL categories share the index after the last one."""
     size = dictionary.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
-    keyed = df.withColumn("_category", F.col(f"`{column}`").cast("string"))
-    hot = hot_keys(keyed, "_category", parts, min_rows)
+    hot = hot_keys(df, column, parts, min_rows)
     table = dictionary.withColumnRenamed("category", "lookup_key")
-    found = lookup(keyed, table, "_category", hot).drop("_category")
+    found = lookup(df, table, column, id_col, hot)
     return found.withColumn("category_idx", F.coalesce("category_idx", size))
 
 

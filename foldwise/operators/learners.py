@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.functions.nulls import NullFill, fill_aggregates, null_fill
+from foldwise.functions.nulls import fill_aggregates, null_fill
 from foldwise.functions.scores import binary_label, positive_class
 from foldwise.operators.categories import index_stages, one_hot_stages, size_sketches, vocabulary
 from foldwise.operators.target_stats import (
@@ -23,6 +23,9 @@ from foldwise.workspace import materialize, shared_dir
 
 SEED = 96
 
+# MLlib's own default.
+MAX_BINS = 32
+
 # One-hot coefficients live on the driver and travel with every iteration.
 MAX_ONE_HOT = 100_000
 
@@ -68,6 +71,7 @@ class FittedArm:
     """A fitted arm: target-statistic tables for large categories, and a savable pipeline."""
 
     arm: Arm
+    id_col: str
     stats: Mapping[str, DataFrame]
     pipeline: PipelineModel
     inputs: tuple[str, ...]
@@ -76,7 +80,9 @@ class FittedArm:
         """``df`` with the probability of class 1 added."""
         rows = df.withColumns(dict(self.arm.derived)) if self.arm.derived else df
         for category, table in self.stats.items():
-            rows = apply_target_stat(rows, table, category, out=stat_name(category))
+            rows = apply_target_stat(
+                rows, table, self.id_col, category, stat_name(category), base=df
+            )
         scored = self.pipeline.transform(rows).withColumn(out, positive_class(F.col("probability")))
         return scored.select(*[F.col(f"`{c}`") for c in df.columns], out)
 
@@ -87,53 +93,85 @@ class FittedArm:
             (self.arm.run, name, float(weight) * 100.0)
             for name, weight in zip(self.inputs, weights, strict=True)
         ]
-        spark = SparkSession.active()
-        table = spark.createDataFrame(rows, "run string, feature string, importance double")
+        schema = "run string, feature string, importance double"
+        table = SparkSession.active().createDataFrame(rows, schema)
         return table.orderBy(F.desc("importance"), "feature")
 
 
+@dataclass(frozen=True)
+class TrainingRows:
+    """Training rows with their categories encoded, to be shared by all arms fitted on them."""
+
+    rows: DataFrame
+    id_col: str
+    categories: Mapping[str, list[str] | None]
+    stats: Mapping[str, DataFrame]
+
+
+def prepare_training(
+    train: DataFrame, arms: Sequence[Arm], id_col: str, label: str
+) -> TrainingRows:
+    """Check the label and encode the categories that the tree arms use.
+
+    A category that fits in an arm's bins is nominal there; one that does not gets an ordered
+    target statistic, computed and written once however many arms use it.
+    """
+    base = train.withColumn("label", binary_label(F.col(f"`{label}`")))
+    bins: dict[str, list[int]] = {}
+    for arm in arms:
+        if arm.learner == "gbt":
+            for category in arm.categorical:
+                bins.setdefault(category, []).append(_category_limit(arm))
+    most = max((max(limits) for limits in bins.values()), default=0)
+    categories = vocabulary(base, list(bins), most)
+    rows, stats = base, {}
+    for category, limits in bins.items():
+        values = categories[category]
+        if values is None or len(values) > min(limits):
+            table = target_stat_table(base, category, "label")
+            stats[category] = materialize(table, "target-stats")
+            rows = ordered_target_stat(
+                rows, id_col, category, "label", stat_name(category), seed=SEED, base=base
+            )
+    if stats:
+        rows = materialize(rows, "target-encoded")
+    return TrainingRows(rows, id_col, categories, stats)
+
+
 def fit_arm(train: DataFrame, arm: Arm, id_col: str, label: str) -> FittedArm:
     """Fit encoders, null fills and the learner on the training rows."""
-    rows = train.withColumns(dict(arm.derived)) if arm.derived else train
-    rows = rows.withColumn("label", binary_label(F.col(f"`{label}`")))
+    return fit_prepared(prepare_training(train, [arm], id_col, label), arm)
+
+
+def fit_prepared(train: TrainingRows, arm: Arm) -> FittedArm:
+    """Fit an arm on training rows that were prepared for it (and perhaps for others)."""
+    rows = train.rows.withColumns(dict(arm.derived)) if arm.derived else train.rows
     numeric = [*arm.numeric, *arm.derived]
     if arm.learner == "logistic":
-        return _fit_logistic(rows, arm, numeric)
+        return _fit_logistic(train, rows, arm, numeric)
     if arm.learner == "gbt":
-        return _fit_gbt(rows, arm, numeric, id_col)
+        return _fit_gbt(train, rows, arm, numeric)
     raise ValueError(f"unknown learner {arm.learner!r}")
 
 
-@dataclass(frozen=True)
-class _TrainingSummary:
-    """What the stages need to know about the training rows, from one pass over them."""
-
-    n_rows: int
-    fill: NullFill
-    category_sizes: tuple[int, ...]
-
-
-def _summarize(
-    rows: DataFrame, numeric: list[str], categorical: tuple[str, ...], for_trees: bool
-) -> _TrainingSummary:
-    summary = rows.agg(
-        F.count(F.lit(1)), *fill_aggregates(numeric, for_trees), *size_sketches(categorical)
-    ).first()
-    n_rows, known, sizes = summary[0], summary[1 : 1 + len(numeric)], summary[1 + len(numeric) :]
-    return _TrainingSummary(n_rows, null_fill(numeric, known, for_trees), tuple(sizes))
-
-
-def _fit_logistic(rows: DataFrame, arm: Arm, numeric: list[str]) -> FittedArm:
+def _fit_logistic(
+    train: TrainingRows, rows: DataFrame, arm: Arm, numeric: list[str]
+) -> FittedArm:
     """L2 logistic regression on raw numbers and one-hot categories."""
-    seen = _summarize(rows, numeric, arm.categorical, for_trees=False)
-    categories = vocabulary(rows, arm.categorical, MAX_ONE_HOT, seen.category_sizes)
+    # One pass for the row count, the fill values and the sizes of the categories.
+    seen = rows.agg(
+        F.count(F.lit(1)), *fill_aggregates(numeric, False), *size_sketches(arm.categorical)
+    ).first()
+    n_rows, known, sizes = seen[0], seen[1 : 1 + len(numeric)], seen[1 + len(numeric) :]
+    categories = vocabulary(rows, arm.categorical, MAX_ONE_HOT, sizes)
     too_large = [c for c, values in categories.items() if values is None]
     if too_large:
         raise ValueError(f"more than {MAX_ONE_HOT} categories to one-hot encode in {too_large}")
     stages, inputs, names = [], [], []
     if numeric:
-        stages.append(seen.fill.stage())
-        inputs += seen.fill.outputs
+        fill = null_fill(numeric, known, for_trees=False)
+        stages.append(fill.stage())
+        inputs += fill.outputs
         names += [*numeric, *(f"{c} missing" for c in numeric)]
     if categories:
         stages += one_hot_stages(categories)
@@ -142,43 +180,41 @@ def _fit_logistic(rows: DataFrame, arm: Arm, numeric: list[str]) -> FittedArm:
     params = {"C": 1.0, "maxIter": 100, "elasticNetParam": 0.0, "standardization": False}
     params.update(arm.params)
     # A penalty of C on the summed loss is 1 / (C n) on the mean loss that MLlib minimises.
-    penalty = 1.0 / (params.pop("C") * max(seen.n_rows, 1))
+    penalty = 1.0 / (params.pop("C") * max(n_rows, 1))
     params.setdefault("regParam", penalty)
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     stages.append(LogisticRegression(featuresCol="features", labelCol="label", **params))
-    return FittedArm(arm, {}, Pipeline(stages=stages).fit(rows), tuple(names))
+    return FittedArm(arm, train.id_col, {}, Pipeline(stages=stages).fit(rows), tuple(names))
 
 
-def _fit_gbt(rows: DataFrame, arm: Arm, numeric: list[str], id_col: str) -> FittedArm:
-    """Boosted trees. Categories that fit in the bins are nominal, larger ones get a statistic."""
+def _fit_gbt(train: TrainingRows, rows: DataFrame, arm: Arm, numeric: list[str]) -> FittedArm:
+    """Boosted trees on nominal categories, target statistics and filled numbers."""
     shared_dir(rows.sparkSession)  # names the folder in which boosting cuts its own lineage
-    params = {"maxBins": 32, "seed": SEED, "checkpointInterval": 10, **arm.params}
-    seen = _summarize(rows, numeric, arm.categorical, for_trees=True)
-    # One bin is kept for unseen and NULL categories.
-    limit = int(params["maxBins"]) - 1
-    categories = vocabulary(rows, arm.categorical, limit, seen.category_sizes)
-    nominal = {c: values for c, values in categories.items() if values is not None}
-    large = [c for c, values in categories.items() if values is None]
-    stats = {}
-    if large:
-        for category in large:
-            table = target_stat_table(rows, category, "label")
-            stats[category] = materialize(table, "target-stats")
-            rows = ordered_target_stat(
-                rows, id_col, category, "label", out=stat_name(category), seed=SEED
-            )
-        rows = materialize(rows, "target-encoded")
-    stages, inputs = [], []
-    stages += index_stages(nominal)
-    inputs += [f"{c}__idx" for c in nominal]
-    inputs += [stat_name(c) for c in large]
+    nominal, large = {}, []
+    for category in arm.categorical:
+        values = train.categories[category]
+        if values is not None and len(values) <= _category_limit(arm):
+            nominal[category] = values
+        else:
+            large.append(category)
+    stages = index_stages(nominal)
+    inputs = [f"{c}__idx" for c in nominal] + [stat_name(c) for c in large]
     if numeric:
-        stages.append(seen.fill.stage())
-        inputs += seen.fill.outputs
+        known = rows.agg(*fill_aggregates(numeric, True)).first()
+        fill = null_fill(numeric, known, for_trees=True)
+        stages.append(fill.stage())
+        inputs += fill.outputs
+    params = {"maxBins": MAX_BINS, "seed": SEED, "checkpointInterval": 10, **arm.params}
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     stages.append(GBTClassifier(featuresCol="features", labelCol="label", **params))
-    names = (*nominal, *large, *numeric)
-    return FittedArm(arm, stats, Pipeline(stages=stages).fit(rows), names)
+    stats = {c: train.stats[c] for c in large}
+    fitted = Pipeline(stages=stages).fit(rows)
+    return FittedArm(arm, train.id_col, stats, fitted, (*nominal, *large, *numeric))
+
+
+def _category_limit(arm: Arm) -> int:
+    """Categories that fit in an arm's bins, one bin being kept for unseen and NULL values."""
+    return int(arm.params.get("maxBins", MAX_BINS)) - 1
 
 
 def stat_name(category: str) -> str:

@@ -16,11 +16,12 @@ MIN_HOT_ROWS = 1_000_000
 def hot_keys(
     df: DataFrame, key: str, parts: int = PARTS, min_rows: int = MIN_HOT_ROWS
 ) -> DataFrame:
-    """Hot keys with the number of pieces to cut each into: ``(hot_key, pieces)``.
+    """Hot keys (as strings) and the number of pieces to cut each into: ``(hot_key, pieces)``.
 
     At most ``parts`` rows, and the pieces add up to at most ``2 * parts``.
     """
-    counts = df.groupBy(F.col(f"`{key}`").alias("hot_key")).agg(F.count(F.lit(1)).alias("n"))
+    value = F.col(f"`{key}`").cast("string")
+    counts = df.groupBy(value.alias("hot_key")).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     share = F.col("n") * F.lit(parts) / F.greatest(total, F.lit(1))
     return counts.where((F.col("n") > F.lit(min_rows)) & (share > F.lit(1))).select(
@@ -33,31 +34,55 @@ def with_piece(df: DataFrame, key: str, position: Column, hot: DataFrame) -> Dat
 
     ``position`` is a number in [0, 1) per row; pieces are equal intervals of it.
     """
+    value = F.col(f"`{key}`").cast("string")
     piece = F.floor(position * F.col("pieces")).cast("int")
     return (
-        df.join(F.broadcast(hot), F.col(f"`{key}`").eqNullSafe(F.col("hot_key")), "left")
+        df.join(F.broadcast(hot), value.eqNullSafe(F.col("hot_key")), "left")
         .withColumn("_piece", F.when(F.col("pieces").isNotNull(), piece))
         .drop("hot_key", "pieces")
     )
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Left join of ``rows`` to ``table`` (unique on ``lookup_key``), safe against hot keys.
+def lookup(
+    rows: DataFrame, table: DataFrame, key: str, spread: str, hot: DataFrame
+) -> DataFrame:
+    """Left join of ``rows`` to ``table``, which is unique on its string ``lookup_key``.
 
-    Rows of hot keys meet the few table rows they need by broadcast and are not shuffled; all
-    other rows take an ordinary equi-join, in which no key is large. NULL keys match NULL.
+    Rows of hot keys get their values by broadcast. They still pass through the equi-join, because
+    splitting them off would read ``rows`` twice, but under a key of their own that matches nothing
+    and spreads by the hash of ``spread`` (the row id). All keys of the join are then small, and
+    Spark may broadcast ``table`` instead. NULL keys match NULL.
     """
-    key_col = F.col(f"`{key}`")
-    hot_table = hot.select("hot_key").join(
-        table, F.col("hot_key").eqNullSafe(F.col("lookup_key")), "left"
+    values = [c for c in table.columns if c != "lookup_key"]
+    same = F.col("hot_key").eqNullSafe(F.col("lookup_key"))
+    # One row per hot key, also for those that the table does not have.
+    matched = table.join(F.broadcast(hot.select("hot_key")), same, "left_semi")
+    absent = [F.lit(None).cast(table.schema[v].dataType).alias(v) for v in values]
+    hot_values = (
+        hot.select(F.col("hot_key").alias("lookup_key"), *absent)
+        .unionByName(matched)
+        .groupBy(F.col("lookup_key").alias("_hot"))
+        .agg(*[F.max(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_is_hot"))
     )
-    hot_rows = rows.join(F.broadcast(hot_table), key_col.eqNullSafe(F.col("hot_key"))).drop(
-        "hot_key", "lookup_key"
+    key_col = F.col(f"`{key}`").cast("string")
+    flagged = rows.join(F.broadcast(hot_values), key_col.eqNullSafe(F.col("_hot")), "left")
+
+    is_hot = F.col("_is_hot").isNotNull()
+    keyed = flagged.withColumns(
+        {
+            "_kind": F.when(is_hot, 2).when(key_col.isNull(), 1).otherwise(0),
+            "_key": F.when(is_hot, "").otherwise(F.coalesce(key_col, F.lit(""))),
+            "_salt": F.when(is_hot, F.xxhash64(F.col(f"`{spread}`"))).otherwise(F.lit(0)),
+        }
     )
-    cold_rows = rows.join(
-        F.broadcast(hot.select("hot_key")), key_col.eqNullSafe(F.col("hot_key")), "left_anti"
+    entries = table.select(
+        F.when(F.col("lookup_key").isNull(), 1).otherwise(0).alias("_kind"),
+        F.coalesce("lookup_key", F.lit("")).alias("_key"),
+        F.lit(0).cast("bigint").alias("_salt"),
+        *[F.col(v).alias(f"_cold_{v}") for v in values],
     )
-    cold_rows = cold_rows.join(table, key_col.eqNullSafe(F.col("lookup_key")), "left").drop(
-        "lookup_key"
+    joined = keyed.join(entries, ["_kind", "_key", "_salt"], "left")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in rows.columns],
+        *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values],
     )
-    return hot_rows.unionByName(cold_rows)

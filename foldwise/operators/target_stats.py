@@ -20,18 +20,23 @@ def ordered_target_stat(
     seed: int = 96,
     parts: int = PARTS,
     min_rows: int = MIN_HOT_ROWS,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Statistic of each training row from the rows of its category that come before it.
 
     Order is a seeded hash of the id, so a row never sees its own label. ``(sum + weight * prior)
     / (count + weight)``. A hot category is cut into pieces by hash; the sums of the pieces before
     are added to the running sum inside a piece. NULL is a category of its own.
+
+    ``base`` holds the same rows at less cost, if ``train`` is itself the result of a chain of
+    these: sizes and sums are taken from it.
     """
-    hot = hot_keys(train, category, parts, min_rows)
+    base = train if base is None else base
+    hot = hot_keys(base, category, parts, min_rows)
     digest = order_hash(F.col(id_col), seed)
     key = F.col(f"`{category}`")
 
-    narrow = train.select(id_col, category, label)
+    narrow = base.select(id_col, key, label)
     pieces = with_piece(narrow, category, hash_position(digest), hot).where("_piece IS NOT NULL")
     totals = pieces.groupBy(key.alias("_key"), F.col("_piece").alias("_part")).agg(
         F.sum(label).alias("_s"), F.count(label).alias("_n")
@@ -61,7 +66,8 @@ def ordered_target_stat(
 
 def target_stat_table(train: DataFrame, category: str, label: str) -> DataFrame:
     """Label sum and count per category over all training rows: ``(lookup_key, s, n)``."""
-    return train.groupBy(F.col(f"`{category}`").alias("lookup_key")).agg(
+    value = F.col(f"`{category}`").cast("string")
+    return train.groupBy(value.alias("lookup_key")).agg(
         F.sum(label).alias("s"), F.count(label).alias("n")
     )
 
@@ -69,16 +75,21 @@ def target_stat_table(train: DataFrame, category: str, label: str) -> DataFrame:
 def apply_target_stat(
     df: DataFrame,
     table: DataFrame,
+    id_col: str,
     category: str,
     out: str = "stat",
     prior: float = 0.5,
     weight: float = 1.0,
     parts: int = PARTS,
     min_rows: int = MIN_HOT_ROWS,
+    base: DataFrame | None = None,
 ) -> DataFrame:
-    """Statistic of rows outside the training set; an unseen category gets the prior."""
-    hot = hot_keys(df, category, parts, min_rows)
-    found = lookup(df, table, category, hot)
+    """Statistic of rows outside the training set; an unseen category gets the prior.
+
+    ``base`` holds the same rows at less cost, as in ``ordered_target_stat``.
+    """
+    hot = hot_keys(df if base is None else base, category, parts, min_rows)
+    found = lookup(df, table, category, id_col, hot)
     zero = F.lit(0)
     stat = _smoothed(F.coalesce("s", zero), F.coalesce("n", zero), prior, weight)
     return found.select(*_quoted(df), stat.alias(out))

@@ -11,7 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators.folds import held_out_rows, stratified_folds, training_rows
-from foldwise.operators.learners import SEED, Arm, fit_arm
+from foldwise.operators.learners import (
+    SEED,
+    Arm,
+    TrainingRows,
+    fit_prepared,
+    prepare_training,
+)
 from foldwise.operators.metrics import fold_summary, roc_auc
 from foldwise.workspace import materialize
 
@@ -38,15 +44,18 @@ def out_of_fold(
     """Fit every arm on k - 1 folds and score the remaining one: ``(run, fold, id, label, score)``.
 
     Each fit is itself a distributed job; ``parallelism`` is how many run side by side to fill the
-    gaps between each other's stages. Every row is scored once per arm, by a model that has not
-    seen it or the labels of its fold.
+    gaps between each other's stages. Categories are encoded once per fold, from its training rows,
+    and shared by the arms. Every row is scored once per arm, by a model that has not seen it or
+    the labels of its fold.
     """
-    tasks = [(arm, fold) for arm in arms for fold in range(k)]
+    spark = folded.sparkSession
+
+    def prepare(fold: int) -> TrainingRows:
+        return prepare_training(training_rows(folded, fold), arms, id_col, label)
 
-    def run(task: tuple[Arm, int]) -> DataFrame:
-        arm, fold = task
-        fitted = fit_arm(training_rows(folded, fold), arm, id_col, label)
-        scored = fitted.score(held_out_rows(folded, fold))
+    def run(task: tuple[int, TrainingRows, Arm]) -> DataFrame:
+        fold, prepared, arm = task
+        scored = fit_prepared(prepared, arm).score(held_out_rows(folded, fold))
         return scored.select(
             F.lit(arm.run).alias("run"),
             "fold",
@@ -55,8 +64,9 @@ def out_of_fold(
             "score",
         )
 
-    spark = folded.sparkSession
-    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+    with ThreadPool(max(1, min(parallelism, len(arms) * k))) as pool:
+        prepared = pool.map(inheritable_thread_target(spark)(prepare), range(k), chunksize=1)
+        tasks = [(fold, rows, arm) for fold, rows in enumerate(prepared) for arm in arms]
         parts = pool.map(inheritable_thread_target(spark)(run), tasks, chunksize=1)
     return materialize(reduce(DataFrame.unionByName, parts), "out-of-fold")
 

@@ -171,7 +171,7 @@ def category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _labelled(spark, sf_dir)
     dictionary = categories.category_dictionary(_train(labelled), "customer")
     indexed = categories.index_categories(
-        labelled.select("id", "customer"), "customer", dictionary
+        labelled.select("id", "customer"), "id", "customer", dictionary
     )
     return indexed.select("id", "category_idx")
 
@@ -202,7 +202,7 @@ def target_stat_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _labelled(spark, sf_dir)
     table = target_stats.target_stat_table(_train(labelled), "customer", "label")
     test = _test(labelled).select("id", "customer")
-    return target_stats.apply_target_stat(test, table, "customer").select("id", "stat")
+    return target_stats.apply_target_stat(test, table, "id", "customer").select("id", "stat")
 
 
 # --- folds ---------------------------------------------------------------------------------------

@@ -38,7 +38,7 @@ def test_dictionary_is_dense_and_alphabetical(spark, partitions):
 def test_unseen_and_null_share_the_last_index(train, test, min_rows):
     dictionary = category_dictionary(train, "Compound")
     for df in (train, test):
-        got = index_categories(df, "Compound", dictionary, min_rows=min_rows)
+        got = index_categories(df, "id", "Compound", dictionary, min_rows=min_rows)
         assert got.columns == ["id", "Compound", "category_idx"]
         known = {"HARD": 0, "MEDIUM": 1, "SOFT": 2}
         for row in got.collect():

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwise.functions.features import ratio
-from foldwise.operators.learners import Arm, fit_arm
+from foldwise.operators.learners import Arm, fit_arm, fit_prepared, prepare_training
 from foldwise.plans import experiments
 from foldwise.plans.cv import cross_validate, fold_scores, folded_table, leaderboard, out_of_fold
 from foldwise.sources.schema import LAPS
@@ -143,6 +143,19 @@ def test_cross_validation_scores_every_row_once_per_arm(train, trees, logistic):
     assert all(r.mean_auc > 0.8 for r in board)
 
 
+def test_one_preparation_serves_arms_with_different_bins(train, trees):
+    narrow = trees.with_params("narrow", maxBins=4)
+    wide = trees.with_params("wide", maxBins=70)
+    shared = prepare_training(train, [narrow, wide], LAPS.id, LAPS.label)
+    assert list(shared.stats) == ["Driver"]
+    assert len(shared.categories["Driver"]) == 60
+    for arm, stats in ((narrow, ["Driver"]), (wide, [])):
+        together = fit_prepared(shared, arm)
+        assert list(together.stats) == stats
+        alone = fit_arm(train, arm, LAPS.id, LAPS.label)
+        assert _scores(together, train) == pytest.approx(_scores(alone, train))
+
+
 def test_both_ablation_arms_use_the_same_folds(train, trees):
     small = trees.with_params("small", maxIter=1)
     arms = experiments.ablation(small, ["TyreLife"])

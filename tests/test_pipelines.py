@@ -99,7 +99,8 @@ def test_command_line(spark, tmp_path, capsys):
     shown = capsys.readouterr().out
     assert "LapTime (s)" in shown
     assert "n_wrong_labels" in shown
-    cli.main(["run", "--folder", str(folder), "--arm", "logistic", "--out", str(tmp_path / "a")])
+    job = ["run", "--folder", str(folder), "--arm", "logistic", "--parallelism", "5"]
+    cli.main([*job, "--out", str(tmp_path / "a")])
     assert "mean_auc" in capsys.readouterr().out
     pairs = [f"{name}={tmp_path / 'a'}" for name in ("one", "two")]
     cli.main(["blend", "--out", str(tmp_path / "b"), *pairs])

@@ -68,8 +68,19 @@ def test_other_rows_get_the_whole_training_mean(spark, min_rows):
     table = target_stat_table(train, "c", "y")
     new = [(1000 + i, c) for i, c in enumerate(["hot"] * 30 + [None] * 5 + ["t1", "unseen"])]
     df = spark.createDataFrame(new, "id bigint, c string")
-    got = apply_target_stat(df, table, "c", parts=4, min_rows=min_rows).collect()
+    got = apply_target_stat(df, table, "id", "c", parts=4, min_rows=min_rows).collect()
     assert len(got) == len(new)
     for row in got:
         labels = [y for _, c, y in rows if c == row.c]
         assert row.stat == pytest.approx((sum(labels) + 0.5) / (len(labels) + 1))
+
+
+def test_chained_statistics_read_the_source_once_each(spark):
+    rows = skewed_rows(200)
+    base = spark.createDataFrame(rows, SCHEMA).withColumn("d", F.concat("c", F.col("id") % 2))
+    once = ordered_target_stat(base, "id", "c", "y", "c_stat", parts=5, min_rows=0)
+    both = ordered_target_stat(once, "id", "d", "y", "d_stat", parts=5, min_rows=0, base=base)
+    got = both.collect()
+    assert {r.id: r.c_stat for r in got} == pytest.approx(by_hand(rows))
+    split = [(i, None if c is None else f"{c}{i % 2}", y) for i, c, y in rows]
+    assert {r.id: r.d_stat for r in got} == pytest.approx(by_hand(split))
