@@ -67,21 +67,22 @@ def lookup(
     key_col = F.col(f"`{key}`").cast("string")
     flagged = rows.join(F.broadcast(hot_values), key_col.eqNullSafe(F.col("_hot")), "left")
 
+    # The kind keeps NULL, hot and ordinary keys apart. A hot row's key is a hash of its own; a
+    # separate salt column would not do, as equality with a constant drops out of the join keys.
     is_hot = F.col("_is_hot").isNotNull()
+    own = F.xxhash64(F.col(f"`{spread}`")).cast("string")
     keyed = flagged.withColumns(
         {
             "_kind": F.when(is_hot, 2).when(key_col.isNull(), 1).otherwise(0),
-            "_key": F.when(is_hot, "").otherwise(F.coalesce(key_col, F.lit(""))),
-            "_salt": F.when(is_hot, F.xxhash64(F.col(f"`{spread}`"))).otherwise(F.lit(0)),
+            "_key": F.when(is_hot, own).otherwise(F.coalesce(key_col, F.lit(""))),
         }
     )
     entries = table.select(
         F.when(F.col("lookup_key").isNull(), 1).otherwise(0).alias("_kind"),
         F.coalesce("lookup_key", F.lit("")).alias("_key"),
-        F.lit(0).cast("bigint").alias("_salt"),
         *[F.col(v).alias(f"_cold_{v}") for v in values],
     )
-    joined = keyed.join(entries, ["_kind", "_key", "_salt"], "left")
+    joined = keyed.join(entries, ["_kind", "_key"], "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in rows.columns],
         *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values],

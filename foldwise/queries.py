@@ -201,6 +201,7 @@ def ordered_target_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def target_stat_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _labelled(spark, sf_dir)
     table = target_stats.target_stat_table(_train(labelled), "customer", "label")
+    table = materialize(table, "target-stats")
     test = _test(labelled).select("id", "customer")
     return target_stats.apply_target_stat(test, table, "id", "customer").select("id", "stat")
 
