@@ -100,7 +100,11 @@ class FittedArm:
 
 @dataclass(frozen=True)
 class TrainingRows:
-    """Training rows with their categories encoded, to be shared by all arms fitted on them."""
+    """Training rows with their categories encoded, to be shared by all arms fitted on them.
+
+    ``stats`` holds the tables that scored rows look their statistics up in; it has no entry for a
+    category whose statistic is a column of every row already.
+    """
 
     rows: DataFrame
     id_col: str
@@ -109,25 +113,20 @@ class TrainingRows:
 
 
 def prepare_training(
-    train: DataFrame, arms: Sequence[Arm], id_col: str, label: str
+    train: DataFrame, arms: Sequence[Arm], id_col: str, label: str, encoded: Sequence[str] = ()
 ) -> TrainingRows:
     """Check the label and encode the categories that the tree arms use.
 
     A category that fits in an arm's bins is nominal there; one that does not gets an ordered
-    target statistic, computed and written once however many arms use it.
+    target statistic, computed and written once however many arms use it. ``encoded`` names
+    categories whose statistic ``train`` already has.
     """
     base = train.withColumn("label", binary_label(F.col(f"`{label}`")))
-    bins: dict[str, list[int]] = {}
-    for arm in arms:
-        if arm.learner == "gbt":
-            for category in arm.categorical:
-                bins.setdefault(category, []).append(_category_limit(arm))
-    most = max((max(limits) for limits in bins.values()), default=0)
-    categories = vocabulary(base, list(bins), most)
+    bins = _category_limits(arms)
+    categories = vocabulary(base, list(bins), _largest_limit(bins))
     rows, stats = base, {}
-    for category, limits in bins.items():
-        values = categories[category]
-        if values is None or len(values) > min(limits):
+    for category in _too_large(categories, bins):
+        if category not in encoded:
             table = target_stat_table(base, category, "label")
             stats[category] = materialize(table, "target-stats")
             rows = ordered_target_stat(
@@ -138,6 +137,33 @@ def prepare_training(
     return TrainingRows(rows, id_col, categories, stats)
 
 
+def large_categories(df: DataFrame, arms: Sequence[Arm]) -> list[str]:
+    """Categories that do not fit in the bins of every tree arm that uses them."""
+    bins = _category_limits(arms)
+    return _too_large(vocabulary(df, list(bins), _largest_limit(bins)), bins)
+
+
+def _category_limits(arms: Sequence[Arm]) -> dict[str, list[int]]:
+    bins: dict[str, list[int]] = {}
+    for arm in arms:
+        if arm.learner == "gbt":
+            for category in arm.categorical:
+                bins.setdefault(category, []).append(_category_limit(arm))
+    return bins
+
+
+def _largest_limit(bins: Mapping[str, Sequence[int]]) -> int:
+    return max((max(limits) for limits in bins.values()), default=0)
+
+
+def _too_large(
+    categories: Mapping[str, list[str] | None], bins: Mapping[str, Sequence[int]]
+) -> list[str]:
+    return [
+        c for c, limits in bins.items() if categories[c] is None or len(categories[c]) > min(limits)
+    ]
+
+
 def fit_arm(train: DataFrame, arm: Arm, id_col: str, label: str) -> FittedArm:
     """Fit encoders, null fills and the learner on the training rows."""
     return fit_prepared(prepare_training(train, [arm], id_col, label), arm)
@@ -207,7 +233,7 @@ def _fit_gbt(train: TrainingRows, rows: DataFrame, arm: Arm, numeric: list[str])
     params = {"maxBins": MAX_BINS, "seed": SEED, "checkpointInterval": 10, **arm.params}
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     stages.append(GBTClassifier(featuresCol="features", labelCol="label", **params))
-    stats = {c: train.stats[c] for c in large}
+    stats = {c: train.stats[c] for c in large if c in train.stats}
     fitted = Pipeline(stages=stages).fit(rows)
     return FittedArm(arm, train.id_col, stats, fitted, (*nominal, *large, *numeric))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +67,79 @@ def ordered_target_stat(
     return joined.select(*_quoted(train), _smoothed(total, count, prior, weight).alias(out))
 
 
+def fold_target_stats(
+    folded: DataFrame,
+    id_col: str,
+    category: str,
+    label: str,
+    k: int,
+    out: str = "stats",
+    prior: float = 0.5,
+    weight: float = 1.0,
+    seed: int = 96,
+    parts: int = PARTS,
+    min_rows: int = MIN_HOT_ROWS,
+    base: DataFrame | None = None,
+) -> DataFrame:
+    """The category's statistic for every held-out fold at once: ``out`` is an array of ``k``.
+
+    Element ``f`` is what the row is encoded with when fold ``f`` is held out. For a training row
+    that is ``ordered_target_stat`` over the other folds, for a row of fold ``f`` it is
+    ``apply_target_stat`` from them. Leaving a fold out is a subtraction from sums kept per fold,
+    so ``k`` encodings cost one exchange instead of ``k`` and the held-out rows need no join.
+    """
+    base = folded if base is None else base
+    hot = hot_keys(base, category, parts, min_rows)
+    digest = order_hash(F.col(id_col), seed)
+    key = F.col(f"`{category}`")
+    # Label sum and row count of each fold, in that order.
+    per_fold = {f"s{f}": F.sum(F.when(F.col("fold") == f, F.col(label))) for f in range(k)}
+    per_fold |= {f"n{f}": F.count(F.when(F.col("fold") == f, F.col(label))) for f in range(k)}
+
+    narrow = base.select(id_col, key, label, "fold")
+    pieces = with_piece(narrow, category, hash_position(digest), hot).where("_piece IS NOT NULL")
+    totals = pieces.groupBy(key.alias("_key"), F.col("_piece").alias("_part")).agg(
+        *[value.alias(name) for name, value in per_fold.items()]
+    )
+    whole_key = Window.partitionBy("_key")
+    before = whole_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most 2 * parts rows: the pieces of the hot categories.
+    carried = totals.select(
+        "_key",
+        "_part",
+        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in per_fold],
+        *[F.sum(n).over(whole_key).alias(f"_total_{n}") for n in per_fold],
+    )
+
+    placed = with_piece(folded, category, hash_position(digest), hot).repartition(key, "_piece")
+    whole = Window.partitionBy(key, "_piece")
+    earlier = whole.orderBy(digest, F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
+    running = placed.withColumns(
+        {f"_run_{name}": value.over(earlier) for name, value in per_fold.items()}
+        | {f"_all_{name}": value.over(whole) for name, value in per_fold.items()}
+    )
+    same_piece = key.eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_part"))
+    joined = running.join(F.broadcast(carried), same_piece, "left")
+
+    def ordered(name: str):
+        return F.coalesce(f"_before_{name}", F.lit(0)) + F.coalesce(f"_run_{name}", F.lit(0))
+
+    def held_out(name: str):
+        return F.coalesce(f"_total_{name}", f"_all_{name}", F.lit(0))
+
+    def without(sums, kind: str, fold: int):
+        return reduce(add, [sums(f"{kind}{f}") for f in range(k) if f != fold])
+
+    stats = [
+        F.when(
+            F.col("fold") == f,
+            _smoothed(without(held_out, "s", f), without(held_out, "n", f), prior, weight),
+        ).otherwise(_smoothed(without(ordered, "s", f), without(ordered, "n", f), prior, weight))
+        for f in range(k)
+    ]
+    return joined.select(*_quoted(folded), F.array(*stats).alias(out))
+
+
 def target_stat_table(train: DataFrame, category: str, label: str) -> DataFrame:
     """Label sum and count per category over all training rows: ``(lookup_key, s, n)``."""
     value = F.col(f"`{category}`").cast("string")

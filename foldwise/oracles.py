@@ -184,3 +184,96 @@ labels l JOIN documents d ON l.doc_id = d.doc_id), g AS (SELECT long, avg(y) AS
 GROUP BY long) SELECT t.id AS id, round(1.0E0 / (1.0E0 + exp(-2.0E0 * (2.0E0 * g.rate -
 1.0E0))), 9) AS p FROM t JOIN g ON t.long = g.long
 """
+
+ORACLE_SQL["table_shape"] = """
+SELECT 0 AS position, 'o_orderkey' AS "column", 'bigint' AS dtype, count(*) AS n_rows FROM
+orders UNION ALL SELECT 1 AS position, 'o_custkey' AS "column", 'bigint' AS dtype, count(*) AS
+n_rows FROM orders UNION ALL SELECT 2 AS position, 'o_orderstatus' AS "column", 'string' AS
+dtype, count(*) AS n_rows FROM orders UNION ALL SELECT 3 AS position, 'o_totalprice' AS
+"column", 'double' AS dtype, count(*) AS n_rows FROM orders UNION ALL SELECT 4 AS position,
+'o_orderdate' AS "column", 'timestamp_ntz' AS dtype, count(*) AS n_rows FROM orders UNION ALL
+SELECT 5 AS position, 'o_orderpriority' AS "column", 'string' AS dtype, count(*) AS n_rows FROM
+orders
+"""
+
+ORACLE_SQL["duplicate_ids"] = """
+SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1
+"""
+
+ORACLE_SQL["fold_target_stats"] = """
+WITH t AS (SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS c, CASE WHEN o_orderstatus =
+'F' THEN 1 ELSE 0 END AS y, md5(concat('96:', CAST(o_orderkey AS STRING))) AS h FROM orders), f
+AS (SELECT id, c, y, h, CAST((row_number() OVER (ORDER BY y, h, id) - 1) % 5 AS INT) AS fold
+FROM t), k AS (SELECT DISTINCT fold AS held_out FROM f), x AS (SELECT id, c, h, fold, held_out,
+CASE WHEN fold <> held_out THEN y ELSE 0 END AS s, CASE WHEN fold <> held_out THEN 1 ELSE 0 END
+AS n FROM f CROSS JOIN k), w AS (SELECT id, fold, held_out, sum(s) OVER (PARTITION BY held_out,
+c) AS s_all, sum(n) OVER (PARTITION BY held_out, c) AS n_all, coalesce(sum(s) OVER (PARTITION BY
+held_out, c ORDER BY h, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s_run,
+coalesce(sum(n) OVER (PARTITION BY held_out, c ORDER BY h, id ROWS BETWEEN UNBOUNDED PRECEDING
+AND 1 PRECEDING), 0) AS n_run FROM x) SELECT id, held_out, CASE WHEN fold = held_out THEN (s_all
++ 0.5E0) / (n_all + 1) ELSE (s_run + 0.5E0) / (n_run + 1) END AS stat FROM w
+"""
+
+ORACLE_SQL["one_hot_rate"] = """
+SELECT d.lang AS lang, round(avg(CAST(l.quality AS DOUBLE)), 5) AS mean_p FROM labels l JOIN
+documents d ON l.doc_id = d.doc_id GROUP BY d.lang
+"""
+
+ORACLE_SQL["nominal_stump_score"] = """
+WITH t AS (SELECT l.doc_id AS id, d.lang AS lang, 2.0E0 * l.quality - 1.0E0 AS y FROM labels l
+JOIN documents d ON l.doc_id = d.doc_id), g AS (SELECT lang, count(*) AS n, sum(y) AS s FROM t
+GROUP BY lang), o AS (SELECT lang, n, s, row_number() OVER (ORDER BY s / n, lang) AS place FROM
+g), c AS (SELECT place, sum(n) OVER (ORDER BY place) AS nl, sum(s) OVER (ORDER BY place) AS sl,
+sum(n) OVER () AS nt, sum(s) OVER () AS st FROM o), b AS (SELECT place AS cut FROM c WHERE nl <
+nt ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC LIMIT 1), m AS (SELECT o.place
+<= b.cut AS below, sum(o.s) / sum(o.n) AS mean FROM o CROSS JOIN b GROUP BY o.place <= b.cut)
+SELECT t.id AS id, round(1.0E0 / (1.0E0 + exp(-2.0E0 * m.mean)), 9) AS p FROM t JOIN o ON t.lang
+= o.lang CROSS JOIN b JOIN m ON m.below = (o.place <= b.cut)
+"""
+
+ORACLE_SQL["out_of_fold_stump"] = """
+WITH t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, CAST(d.n_chars > 1000 AS INT) AS
+long, CAST(d.lang = 'en' AS INT) AS english, md5(concat('96:', CAST(l.doc_id AS STRING))) AS h
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id), f AS (SELECT id, y, long, english,
+CAST((row_number() OVER (ORDER BY y, h, id) - 1) % 5 AS INT) AS fold FROM t), k AS (SELECT
+DISTINCT fold FROM f), r AS (SELECT k.fold AS fold, f.long AS long, avg(CAST(f.y AS DOUBLE)) AS
+rate FROM f CROSS JOIN k WHERE f.fold <> k.fold GROUP BY k.fold, f.long) SELECT f.id AS id,
+f.fold AS fold, f.y AS label, round(1.0E0 / (1.0E0 + exp(-2.0E0 * (2.0E0 * r.rate - 1.0E0))), 9)
+AS p FROM f JOIN r ON f.fold = r.fold AND f.long = r.long
+"""
+
+ORACLE_SQL["cv_stump"] = """
+WITH t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, CAST(d.n_chars > 1000 AS INT) AS
+long, CAST(d.lang = 'en' AS INT) AS english, md5(concat('96:', CAST(l.doc_id AS STRING))) AS h
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id), f AS (SELECT id, y, long, english,
+CAST((row_number() OVER (ORDER BY y, h, id) - 1) % 5 AS INT) AS fold FROM t), k AS (SELECT
+DISTINCT fold FROM f), r AS (SELECT k.fold AS fold, f.long AS long, avg(CAST(f.y AS DOUBLE)) AS
+rate FROM f CROSS JOIN k WHERE f.fold <> k.fold GROUP BY k.fold, f.long), s AS (SELECT f.fold AS
+fold, f.y AS y, r.rate AS s FROM f JOIN r ON f.fold = r.fold AND f.long = r.long), g AS (SELECT
+fold, s, sum(y) AS p, sum(1 - y) AS n FROM s GROUP BY fold, s), c AS (SELECT fold, p, n,
+coalesce(sum(n) OVER (PARTITION BY fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1
+PRECEDING), 0) AS b FROM g) SELECT fold, round(sum(p * (b + 0.5E0 * n)) / (CAST(sum(p) AS
+DOUBLE) * CAST(sum(n) AS DOUBLE)), 6) AS auc FROM c GROUP BY fold
+"""
+
+ORACLE_SQL["ablation_stump"] = """
+WITH t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, CAST(d.n_chars > 1000 AS INT) AS
+long, CAST(d.lang = 'en' AS INT) AS english, md5(concat('96:', CAST(l.doc_id AS STRING))) AS h
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id), f AS (SELECT id, y, long, english,
+CAST((row_number() OVER (ORDER BY y, h, id) - 1) % 5 AS INT) AS fold FROM t), k AS (SELECT
+DISTINCT fold FROM f), v AS (SELECT id, fold, y, 'long' AS flag, long AS x FROM f UNION ALL
+SELECT id, fold, y, 'english', english FROM f), r AS (SELECT k.fold AS fold, v.flag AS flag, v.x
+AS x, count(*) AS n, avg(CAST(v.y AS DOUBLE)) AS rate FROM v CROSS JOIN k WHERE v.fold <> k.fold
+GROUP BY k.fold, v.flag, v.x), q AS (SELECT fold, flag, sum(n * rate * rate) AS fit FROM r GROUP
+BY fold, flag), best AS (SELECT fold, flag FROM (SELECT fold, flag, row_number() OVER (PARTITION
+BY fold ORDER BY fit DESC) AS i FROM q) z WHERE i = 1), u AS (SELECT 'both - english' AS run,
+fold, 'long' AS flag FROM k UNION ALL SELECT 'both - long', fold, 'english' FROM k UNION ALL
+SELECT 'both', fold, flag FROM best), s AS (SELECT u.run AS run, v.fold AS fold, v.y AS y,
+r.rate AS s FROM u JOIN v ON u.fold = v.fold AND u.flag = v.flag JOIN r ON r.fold = v.fold AND
+r.flag = v.flag AND r.x = v.x), g AS (SELECT run, fold, s, sum(y) AS p, sum(1 - y) AS n FROM s
+GROUP BY run, fold, s), c AS (SELECT run, fold, p, n, coalesce(sum(n) OVER (PARTITION BY run,
+fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g), a AS (SELECT
+run, fold, sum(p * (b + 0.5E0 * n)) / (CAST(sum(p) AS DOUBLE) * CAST(sum(n) AS DOUBLE)) AS auc
+FROM c GROUP BY run, fold) SELECT run, round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6)
+AS std_auc FROM a GROUP BY run
+"""

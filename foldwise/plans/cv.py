@@ -10,15 +10,19 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.functions.scores import binary_label
 from foldwise.operators.folds import held_out_rows, stratified_folds, training_rows
 from foldwise.operators.learners import (
     SEED,
     Arm,
     TrainingRows,
     fit_prepared,
+    large_categories,
     prepare_training,
+    stat_name,
 )
 from foldwise.operators.metrics import fold_summary, roc_auc
+from foldwise.operators.target_stats import fold_target_stats
 from foldwise.workspace import materialize
 
 
@@ -44,18 +48,26 @@ def out_of_fold(
     """Fit every arm on k - 1 folds and score the remaining one: ``(run, fold, id, label, score)``.
 
     Each fit is itself a distributed job; ``parallelism`` is how many run side by side to fill the
-    gaps between each other's stages. Categories are encoded once per fold, from its training rows,
-    and shared by the arms. Every row is scored once per arm, by a model that has not seen it or
-    the labels of its fold.
+    gaps between each other's stages. Large categories are encoded for all folds in one pass and
+    the result is shared by the arms. Every row is scored once per arm, by a model and encodings
+    that have not seen it or the labels of its fold.
     """
     spark = folded.sparkSession
+    large = large_categories(folded, arms)
+    encoded = _encode_folds(folded, large, id_col, label, k) if large else folded
+
+    def rows_for(fold: int, part: DataFrame) -> DataFrame:
+        own = {stat_name(c): F.element_at(_stats_name(c), fold + 1) for c in large}
+        return part.withColumns(own).drop(*map(_stats_name, large)) if large else part
 
     def prepare(fold: int) -> TrainingRows:
-        return prepare_training(training_rows(folded, fold), arms, id_col, label)
+        train = rows_for(fold, training_rows(encoded, fold))
+        return prepare_training(train, arms, id_col, label, encoded=large)
 
     def run(task: tuple[int, TrainingRows, Arm]) -> DataFrame:
         fold, prepared, arm = task
-        scored = fit_prepared(prepared, arm).score(held_out_rows(folded, fold))
+        held_out = rows_for(fold, held_out_rows(encoded, fold))
+        scored = fit_prepared(prepared, arm).score(held_out)
         return scored.select(
             F.lit(arm.run).alias("run"),
             "fold",
@@ -71,6 +83,24 @@ def out_of_fold(
     return materialize(reduce(DataFrame.unionByName, parts), "out-of-fold")
 
 
+def _encode_folds(
+    folded: DataFrame, large: Sequence[str], id_col: str, label: str, k: int
+) -> DataFrame:
+    base = folded.withColumn("label", binary_label(F.col(f"`{label}`")))
+    rows = base
+    for category in large:
+        rows = fold_target_stats(
+            rows, id_col, category, "label", k, _stats_name(category), seed=SEED, base=base
+        )
+    if label != "label":
+        rows = rows.drop("label")
+    return materialize(rows, "target-encoded", partition_by=("fold",))
+
+
+def _stats_name(category: str) -> str:
+    return f"{category}__stats"
+
+
 def fold_scores(scored: DataFrame) -> DataFrame:
     """``(run, fold, auc)``."""
     return roc_auc(scored, by=["run", "fold"])

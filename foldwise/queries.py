@@ -20,7 +20,7 @@ from foldwise.plans import cv, experiments
 from foldwise.plans.pipelines import predict
 from foldwise.sources.schema import TableSpec
 from foldwise.sources.sinks import write_predictions
-from foldwise.sources.tables import Bundle, read_predictions, read_table
+from foldwise.sources.tables import Bundle, read_predictions, read_table, shape
 from foldwise.workspace import materialize, scratch_path
 
 PARALLEL_FITS = 8
@@ -84,13 +84,18 @@ def scan_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape(_table(spark, sf_dir, "orders"))
+
+
 @query
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as CSV and scanned again with declared types."""
-    columns = "o_orderkey BIGINT, o_custkey BIGINT, o_orderpriority STRING, o_totalprice DOUBLE"
-    names = [part.split()[0] for part in columns.split(", ")]
     path = scratch_path(spark, "orders-csv")
-    orders = _table(spark, sf_dir, "orders").select(*names)
+    orders = _table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"
+    )
     orders.write.option("header", True).csv(path)
     return read_table(spark, path, orders.schema)
 
@@ -206,6 +211,14 @@ def target_stat_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_stats.apply_target_stat(test, table, "id", "customer").select("id", "stat")
 
 
+@query
+def fold_target_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's statistic under every held-out fold, one row for each."""
+    folded = materialize(_folded(_labelled(spark, sf_dir).drop("priority")), "folded")
+    encoded = target_stats.fold_target_stats(folded, "id", "customer", "label", k=5, seed=SEED)
+    return encoded.select("id", F.posexplode("stats").alias("held_out", "stat"))
+
+
 # --- folds ---------------------------------------------------------------------------------------
 
 
@@ -284,6 +297,12 @@ def id_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions.missing_ids(labelled.select("id"), _set_b(labelled))
 
 
+@query
+def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lineitem = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"))
+    return predictions.duplicate_ids(lineitem)
+
+
 @query
 def run_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of two models and of their blend, best first."""
@@ -375,16 +394,86 @@ def importance_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.where(F.col("feature") == "constant_one").select("feature", "importance")
 
 
+@query
+def importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = materialize(_learner_table(spark, sf_dir), "learner-input")
+    return fit_arm(data, _small_trees(), "doc_id", "quality").importance()
+
+
+@query
+def one_hot_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unpenalised logistic regression on one-hot indicators alone gives category base rates."""
+    data = materialize(_learner_table(spark, sf_dir), "learner-input")
+    exact = {"regParam": 0.0, "maxIter": 500, "tol": 1e-12}
+    arm = Arm("rates", "logistic", numeric=(), categorical=("lang",), params=exact)
+    scored = fit_arm(data, arm, "doc_id", "quality").score(data)
+    return scored.groupBy("lang").agg(F.round(F.avg("score"), 5).alias("mean_p"))
+
+
+# One boosting round of depth 1: a learner whose fitted scores have a closed form.
+STUMP = {"maxIter": 1, "maxDepth": 1}
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = {
+        "long": flag_above(F.col("n_chars"), 1000.0),
+        "english": (F.col("lang") == "en").cast("int"),
+    }
+    data = _learner_table(spark, sf_dir).withColumns(flags)
+    return data.select("doc_id", "quality", "lang", *flags)
+
+
+def _stump(run: str, *flags: str) -> Arm:
+    return Arm(run, "gbt", numeric=flags, params=STUMP)
+
+
 @query
 def stump_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One boosting round of depth 1 on a flag, where the fitted score has a closed form."""
-    data = _learner_table(spark, sf_dir).withColumn("long", flag_above(F.col("n_chars"), 1000.0))
-    data = materialize(data.select("doc_id", "quality", "long"), "learner-input")
-    arm = Arm("stump", "gbt", numeric=("long",), params={"maxIter": 1, "maxDepth": 1})
+    data = materialize(_flagged(spark, sf_dir), "learner-input")
+    scored = fit_arm(data, _stump("stump", "long"), "doc_id", "quality").score(data)
+    return scored.select(F.col("doc_id").alias("id"), F.round("score", 9).alias("p"))
+
+
+@query
+def nominal_stump_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best two-way grouping of a nominal category."""
+    data = materialize(_flagged(spark, sf_dir), "learner-input")
+    arm = Arm("nominal", "gbt", numeric=(), categorical=("lang",), params=STUMP)
     scored = fit_arm(data, arm, "doc_id", "quality").score(data)
     return scored.select(F.col("doc_id").alias("id"), F.round("score", 9).alias("p"))
 
 
+@query
+def out_of_fold_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out score of every row, each from the model that was fitted without its fold."""
+    folded = cv.folded_table(_flagged(spark, sf_dir), "doc_id", "quality")
+    arms = [_stump("stump", "long")]
+    scored = cv.out_of_fold(folded, arms, "doc_id", "quality", parallelism=PARALLEL_FITS)
+    return scored.select("id", "fold", "label", F.round("score", 9).alias("p"))
+
+
+@query
+def cv_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = cv.cross_validate(
+        _flagged(spark, sf_dir),
+        [_stump("stump", "long")],
+        "doc_id",
+        "quality",
+        parallelism=PARALLEL_FITS,
+    )
+    return _rounded(scores.select("fold", "auc"), "auc")
+
+
+@query
+def ablation_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaving out either of two flags; with both, the round splits on the better one."""
+    arms = experiments.ablation(_stump("both", "long", "english"), ["long", "english"])
+    scores = cv.cross_validate(
+        _flagged(spark, sf_dir), arms, "doc_id", "quality", parallelism=PARALLEL_FITS
+    )
+    return _rounded(cv.leaderboard(scores), "mean_auc", "std_auc")
+
+
 @query
 def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on all training rows, score the test rows, write the file, and read it back."""

@@ -5,11 +5,14 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from foldwise.operators.folds import stratified_folds
 from foldwise.operators.target_stats import (
     apply_target_stat,
+    fold_target_stats,
     ordered_target_stat,
     target_stat_table,
 )
+from foldwise.workspace import materialize
 
 SCHEMA = "id bigint, c string, y int"
 
@@ -84,3 +87,34 @@ def test_chained_statistics_read_the_source_once_each(spark):
     assert {r.id: r.c_stat for r in got} == pytest.approx(by_hand(rows))
     split = [(i, None if c is None else f"{c}{i % 2}", y) for i, c, y in rows]
     assert {r.id: r.d_stat for r in got} == pytest.approx(by_hand(split))
+
+
+@pytest.mark.parametrize(("parts", "min_rows"), [(4096, 10**6), (7, 0)])
+def test_all_folds_at_once_equal_one_fold_at_a_time(spark, parts, min_rows):
+    df = spark.createDataFrame(skewed_rows(300), SCHEMA)
+    folded = stratified_folds(df, "id", "y", k=3)
+    at_once = fold_target_stats(folded, "id", "c", "y", 3, parts=parts, min_rows=min_rows)
+    got = {r.id: r.stats for r in at_once.collect()}
+    assert len(got) == 300
+    for fold in range(3):
+        train = folded.where(F.col("fold") != fold)
+        held_out = folded.where(F.col("fold") == fold)
+        table = target_stat_table(train, "c", "y")
+        one = ordered_target_stat(train, "id", "c", "y").unionByName(
+            apply_target_stat(held_out, table, "id", "c")
+        )
+        assert {i: stats[fold] for i, stats in got.items()} == pytest.approx(
+            {r.id: r.stat for r in one.collect()}
+        )
+
+
+def test_held_out_labels_do_not_reach_their_own_fold(spark):
+    rows = skewed_rows(150)
+    folded = materialize(stratified_folds(spark.createDataFrame(rows, SCHEMA), "id", "y", k=3), "f")
+    flipped = folded.withColumn("y", F.when(F.col("fold") == 1, 1 - F.col("y")).otherwise(F.col("y")))
+    a, b = (
+        {r.id: r.stats for r in fold_target_stats(df, "id", "c", "y", 3).collect()}
+        for df in (folded, flipped)
+    )
+    assert all(a[i][1] == b[i][1] for i in a)
+    assert any(a[i][0] != b[i][0] for i in a)
