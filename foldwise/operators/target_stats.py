@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,14 +89,16 @@ def fold_target_stats(
     hot = hot_keys(base, category, parts, min_rows)
     digest = order_hash(F.col(id_col), seed)
     key = F.col(f"`{category}`")
-    # Label sum and row count of each fold, in that order.
-    per_fold = {f"s{f}": F.sum(F.when(F.col("fold") == f, F.col(label))) for f in range(k)}
-    per_fold |= {f"n{f}": F.count(F.when(F.col("fold") == f, F.col(label))) for f in range(k)}
+    # Label sum and row count: of all rows, and of each fold.
+    sums = {"s": F.sum(label), "n": F.count(label)}
+    for f in range(k):
+        own = F.when(F.col("fold") == f, F.col(label))
+        sums |= {f"s{f}": F.sum(own), f"n{f}": F.count(own)}
 
     narrow = base.select(id_col, key, label, "fold")
     pieces = with_piece(narrow, category, hash_position(digest), hot).where("_piece IS NOT NULL")
     totals = pieces.groupBy(key.alias("_key"), F.col("_piece").alias("_part")).agg(
-        *[value.alias(name) for name, value in per_fold.items()]
+        *[value.alias(name) for name, value in sums.items()]
     )
     whole_key = Window.partitionBy("_key")
     before = whole_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,34 +106,32 @@ def fold_target_stats(
     carried = totals.select(
         "_key",
         "_part",
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in per_fold],
-        *[F.sum(n).over(whole_key).alias(f"_total_{n}") for n in per_fold],
+        *[F.sum(name).over(before).alias(f"_before_{name}") for name in sums],
+        *[F.sum(name).over(whole_key).alias(f"_total_{name}") for name in sums],
     )
 
     placed = with_piece(folded, category, hash_position(digest), hot).repartition(key, "_piece")
     whole = Window.partitionBy(key, "_piece")
     earlier = whole.orderBy(digest, F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
     running = placed.withColumns(
-        {f"_run_{name}": value.over(earlier) for name, value in per_fold.items()}
-        | {f"_all_{name}": value.over(whole) for name, value in per_fold.items()}
+        {f"_run_{name}": value.over(earlier) for name, value in sums.items()}
+        | {f"_all_{name}": value.over(whole) for name, value in sums.items()}
     )
     same_piece = key.eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_part"))
     joined = running.join(F.broadcast(carried), same_piece, "left")
 
-    def ordered(name: str):
-        return F.coalesce(f"_before_{name}", F.lit(0)) + F.coalesce(f"_run_{name}", F.lit(0))
+    def ordered(name: str) -> str:
+        return f"(coalesce(_before_{name}, 0) + coalesce(_run_{name}, 0))"
 
-    def held_out(name: str):
-        return F.coalesce(f"_total_{name}", f"_all_{name}", F.lit(0))
+    def held_out(name: str) -> str:
+        return f"coalesce(_total_{name}, _all_{name}, 0)"
 
-    def without(sums, kind: str, fold: int):
-        return reduce(add, [sums(f"{kind}{f}") for f in range(k) if f != fold])
+    def stat(of, f: int) -> str:
+        total = f"({of('s')} - {of(f's{f}')} + {weight * prior!r}D)"
+        return f"{total} / ({of('n')} - {of(f'n{f}')} + {float(weight)!r}D)"
 
     stats = [
-        F.when(
-            F.col("fold") == f,
-            _smoothed(without(held_out, "s", f), without(held_out, "n", f), prior, weight),
-        ).otherwise(_smoothed(without(ordered, "s", f), without(ordered, "n", f), prior, weight))
+        F.expr(f"CASE WHEN fold = {f} THEN {stat(held_out, f)} ELSE {stat(ordered, f)} END")
         for f in range(k)
     ]
     return joined.select(*_quoted(folded), F.array(*stats).alias(out))

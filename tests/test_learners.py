@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwise.functions.features import ratio
+from foldwise.operators.folds import held_out_rows, training_rows
 from foldwise.operators.learners import Arm, fit_arm, fit_prepared, prepare_training
 from foldwise.plans import experiments
 from foldwise.plans.cv import cross_validate, fold_scores, folded_table, leaderboard, out_of_fold
@@ -156,6 +157,17 @@ def test_one_preparation_serves_arms_with_different_bins(train, trees):
         assert _scores(together, train) == pytest.approx(_scores(alone, train))
 
 
+def test_encoding_all_folds_at_once_gives_the_same_scores(train, trees):
+    folded = folded_table(train, LAPS.id, LAPS.label, k=2)
+    scored = out_of_fold(folded, [trees], LAPS.id, LAPS.label, k=2, parallelism=2)
+    got = {r.id: r.score for r in scored.collect()}
+    for fold in range(2):
+        fitted = fit_arm(training_rows(folded, fold), trees, LAPS.id, LAPS.label)
+        assert list(fitted.stats) == ["Driver"]
+        alone = _scores(fitted, held_out_rows(folded, fold))
+        assert {i: got[i] for i in alone} == pytest.approx(alone)
+
+
 def test_both_ablation_arms_use_the_same_folds(train, trees):
     small = trees.with_params("small", maxIter=1)
     arms = experiments.ablation(small, ["TyreLife"])
