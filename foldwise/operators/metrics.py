@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.scores import binary_label
 
+# Ranges that distinct scores are cut into, and when and how far to cut finer.
 SCORE_RANGES = 1024
+ROWS_PER_RANGE = 5_000_000
+MAX_RANGES = 16_384
+
+# Groups in which the sketches of input partitions are merged.
+SKETCH_GROUPS = 256
 
 
 def roc_auc(
@@ -59,13 +66,45 @@ def roc_auc(
 
 
 def score_cuts(df: DataFrame, score: str = "score", ranges: int = SCORE_RANGES) -> list[float]:
-    """At most ``ranges - 1`` increasing cuts, from a map-side sketch of the score column."""
+    """Increasing cuts that split the rows about evenly by score into ``ranges`` ranges.
+
+    Sketched map-side. The sketches of the input partitions are merged in ``SKETCH_GROUPS`` groups
+    rather than in one task, and the driver sees ``ranges`` quantiles of each group. If that leaves
+    more than ``ROWS_PER_RANGE`` rows to a range, the scores are sketched again, finer.
+    """
     if ranges < 2:
         return []
+    cuts, n_rows = _sketch(df, score, ranges)
+    finer = min(MAX_RANGES, n_rows // ROWS_PER_RANGE)
+    if finer > ranges:
+        cuts, _ = _sketch(df, score, finer)
+    return cuts
+
+
+def _sketch(df: DataFrame, score: str, ranges: int) -> tuple[list[float], int]:
     shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
-    sketch = f"percentile_approx(CAST(`{score}` AS DOUBLE), array({shares}), {ranges * 4})"
-    found = df.agg(F.expr(sketch).alias("cuts")).first().cuts or []
-    return sorted({c + 0.0 for c in found if c == c and abs(c) != float("inf")})
+    value = f"CAST(`{score}` AS DOUBLE)"
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")
+    groups = (
+        df.select(F.expr(value).alias("v"), group)
+        .groupBy("g")
+        .agg(
+            F.expr(f"percentile_approx(v, array({shares}), {ranges * 4})").alias("quantiles"),
+            F.count("v").alias("n"),
+        )
+        .where("quantiles IS NOT NULL")
+        .collect()
+    )
+    if not groups:
+        return [], 0
+    quantiles = np.concatenate([np.asarray(g.quantiles) for g in groups])
+    weights = np.repeat([g.n / ranges for g in groups], [len(g.quantiles) for g in groups])
+    order = np.argsort(quantiles)
+    quantiles, reached = quantiles[order], np.cumsum(weights[order])
+    wanted = reached[-1] * np.arange(1, ranges) / ranges
+    # Adding 0.0 turns -0.0 into 0.0.
+    cuts = np.unique(quantiles[np.searchsorted(reached, wanted)] + 0.0)
+    return cuts[np.isfinite(cuts)].tolist(), sum(g.n for g in groups)
 
 
 def fold_summary(scores: DataFrame, by: Sequence[str] = (), auc: str = "auc") -> DataFrame:

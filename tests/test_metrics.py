@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from foldwise.operators import metrics
 from foldwise.operators.metrics import fold_summary, roc_auc, score_cuts
 from foldwise.plans.cv import leaderboard
 
@@ -76,6 +77,25 @@ def test_cuts_hold_about_equally_many_rows(spark):
     assert cuts == pytest.approx([i * 1e-5 for i in range(1, 10)], rel=0.3)
 
 
+def test_cuts_from_partitions_with_different_scores(spark):
+    """Partitions of unequal size, each holding its own stretch of scores."""
+    df = spark.range(60_000).select((F.col("id") / 60_000).alias("score"))
+    df = df.repartitionByRange(300, "score").union(df.where("score < 0.1").coalesce(1))
+    cuts = score_cuts(df, "score", 32)
+    rows = sorted(r.score for r in df.collect())
+    sizes = [0] * (len(cuts) + 1)
+    for score in rows:
+        sizes[sum(c <= score for c in cuts)] += 1
+    assert max(sizes) < 2 * len(rows) / 32
+
+
+def test_more_rows_get_more_ranges(spark, monkeypatch):
+    df = spark.range(10_000).select((F.col("id") / 10_000).alias("score"))
+    assert len(score_cuts(df, "score", 16)) == 15
+    monkeypatch.setattr(metrics, "ROWS_PER_RANGE", 100)
+    assert 90 <= len(score_cuts(df, "score", 16)) <= 99
+
+
 # Printed fold scores with their printed mean and standard deviation.
 GOLDEN = {
     "six deep": ([0.93617, 0.93467, 0.93619, 0.93584, 0.93640], 0.93586, 0.00062),
