@@ -277,3 +277,33 @@ run, fold, sum(p * (b + 0.5E0 * n)) / (CAST(sum(p) AS DOUBLE) * CAST(sum(n) AS D
 FROM c GROUP BY run, fold) SELECT run, round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6)
 AS std_auc FROM a GROUP BY run
 """
+
+ORACLE_SQL["feature_trial_stump"] = """
+WITH t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, CAST(d.n_chars > 1000 AS INT) AS
+long, CAST(d.lang = 'en' AS INT) AS english, md5(concat('96:', CAST(l.doc_id AS STRING))) AS h
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id), f AS (SELECT id, y, long, english,
+CAST((row_number() OVER (ORDER BY y, h, id) - 1) % 5 AS INT) AS fold FROM t), k AS (SELECT
+DISTINCT fold FROM f), v AS (SELECT id, fold, y, 'long' AS flag, long AS x FROM f UNION ALL
+SELECT id, fold, y, 'english', english FROM f), r AS (SELECT k.fold AS fold, v.flag AS flag, v.x
+AS x, count(*) AS n, avg(CAST(v.y AS DOUBLE)) AS rate FROM v CROSS JOIN k WHERE v.fold <> k.fold
+GROUP BY k.fold, v.flag, v.x), q AS (SELECT fold, flag, sum(n * rate * rate) AS fit FROM r GROUP
+BY fold, flag), best AS (SELECT fold, flag FROM (SELECT fold, flag, row_number() OVER (PARTITION
+BY fold ORDER BY fit DESC) AS i FROM q) z WHERE i = 1), u AS (SELECT 'english' AS run, fold,
+'english' AS flag FROM k UNION ALL SELECT 'english + is_long', fold, flag FROM best), s AS
+(SELECT u.run AS run, v.fold AS fold, v.y AS y, r.rate AS s FROM u JOIN v ON u.fold = v.fold AND
+u.flag = v.flag JOIN r ON r.fold = v.fold AND r.flag = v.flag AND r.x = v.x), g AS (SELECT run,
+fold, s, sum(y) AS p, sum(1 - y) AS n FROM s GROUP BY run, fold, s), c AS (SELECT run, fold, p,
+n, coalesce(sum(n) OVER (PARTITION BY run, fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND
+1 PRECEDING), 0) AS b FROM g), a AS (SELECT run, fold, sum(p * (b + 0.5E0 * n)) / (CAST(sum(p)
+AS DOUBLE) * CAST(sum(n) AS DOUBLE)) AS auc FROM c GROUP BY run, fold) SELECT run,
+round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6) AS std_auc FROM a GROUP BY run
+"""
+
+ORACLE_SQL["boosted_stump_score"] = """
+WITH t AS (SELECT l.doc_id AS id, d.n_chars > 1000 AS long, 2.0E0 * l.quality - 1.0E0 AS y FROM
+labels l JOIN documents d ON l.doc_id = d.doc_id), a AS (SELECT long, avg(y) AS f FROM t GROUP
+BY long), r AS (SELECT t.long AS long, avg(4.0E0 * t.y / (1.0E0 + exp(2.0E0 * t.y * a.f))) AS g
+FROM t JOIN a ON t.long = a.long GROUP BY t.long) SELECT t.id AS id, round(1.0E0 / (1.0E0 +
+exp(-2.0E0 * (a.f + 0.3E0 * r.g))), 9) AS p FROM t JOIN a ON t.long = a.long JOIN r ON t.long =
+r.long
+"""

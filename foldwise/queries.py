@@ -420,7 +420,7 @@ def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
         "english": (F.col("lang") == "en").cast("int"),
     }
     data = _learner_table(spark, sf_dir).withColumns(flags)
-    return data.select("doc_id", "quality", "lang", *flags)
+    return data.select("doc_id", "quality", "lang", "n_chars", *flags)
 
 
 def _stump(run: str, *flags: str) -> Arm:
@@ -434,6 +434,15 @@ def stump_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("doc_id").alias("id"), F.round("score", 9).alias("p"))
 
 
+@query
+def boosted_stump_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second round: fitted to what the first left over, and weighted by the step size."""
+    data = materialize(_flagged(spark, sf_dir), "learner-input")
+    arm = _stump("boosted", "long").with_params("boosted", maxIter=2, stepSize=0.3)
+    scored = fit_arm(data, arm, "doc_id", "quality").score(data)
+    return scored.select(F.col("doc_id").alias("id"), F.round("score", 9).alias("p"))
+
+
 @query
 def nominal_stump_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best two-way grouping of a nominal category."""
@@ -474,6 +483,17 @@ def ablation_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cv.leaderboard(scores), "mean_auc", "std_auc")
 
 
+@query
+def feature_trial_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A derived flag added to a given one."""
+    added = {"is_long": flag_above(F.col("n_chars"), 1000.0)}
+    arms = experiments.feature_trial(_stump("english", "english"), added)
+    scores = cv.cross_validate(
+        _flagged(spark, sf_dir), arms, "doc_id", "quality", parallelism=PARALLEL_FITS
+    )
+    return _rounded(cv.leaderboard(scores), "mean_auc", "std_auc")
+
+
 @query
 def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on all training rows, score the test rows, write the file, and read it back."""
