@@ -29,5 +29,6 @@ def sigmoid(margin: Column) -> Column:
 
 def binary_label(label: Column) -> Column:
     """The label as 0 or 1; anything else, NULL included, stops the job."""
-    wrong = F.raise_error(F.concat(F.lit("label is not 0 or 1: "), F.coalesce(label.cast("string"), F.lit("NULL"))))
+    shown = F.coalesce(label.cast("string"), F.lit("NULL"))
+    wrong = F.raise_error(F.concat(F.lit("label is not 0 or 1: "), shown))
     return F.when(label.isin(0, 1), label.cast("int")).otherwise(wrong)

@@ -20,7 +20,7 @@ def stratified_folds(
     seed: int = 96,
     pieces: int = PIECES,
 ) -> DataFrame:
-    """Add ``fold``: rows ordered by (label, seeded hash of the id, id) are dealt out to ``k`` folds.
+    """Add ``fold``: rows in order of label, seeded hash of the id, and id are dealt to ``k`` folds.
 
     Each class is spread over the folds to within one row. Equal to numbering the whole table in
     that order, but each class is cut into pieces of equal hash ranges: count the pieces, add up

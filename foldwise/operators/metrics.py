@@ -36,7 +36,8 @@ def roc_auc(
     The cuts only decide where work happens and do not enter the result; pass ``score_cuts`` of a
     cheaper source of the same scores to keep them from evaluating ``df`` a second time.
 
-    A group of one class gives NULL. A NULL or NaN score, or a label other than 0 and 1, is an error.
+    A group of one class gives NULL. A NULL or NaN score is an error, as is a label other than 0
+    and 1.
     """
     by = list(by)
     if cuts is None:

@@ -22,7 +22,9 @@ def join_predictions(
     """
     names = list(sets)
     stacked = _stack(sets, id_col, score_col).where(F.col(id_col).isNotNull())
-    scores = [F.max(F.when(F.col("_set") == i, F.col("_score"))).alias(n) for i, n in enumerate(names)]
+    scores = [
+        F.max(F.when(F.col("_set") == i, F.col("_score"))).alias(n) for i, n in enumerate(names)
+    ]
     counts = [_count_in(i).alias(f"_n{i}") for i in range(len(names))]
     joined = stacked.groupBy(id_col).agg(*scores, *counts)
     for i in range(len(names)):

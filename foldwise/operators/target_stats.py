@@ -44,7 +44,10 @@ def ordered_target_stat(
     before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # At most 2 * parts rows: the pieces of the hot categories.
     carried = totals.select(
-        "_key", "_part", F.sum("_s").over(before).alias("_s0"), F.sum("_n").over(before).alias("_n0")
+        "_key",
+        "_part",
+        F.sum("_s").over(before).alias("_s0"),
+        F.sum("_n").over(before).alias("_n0"),
     )
 
     placed = with_piece(train, category, hash_position(digest), hot).repartition(key, "_piece")

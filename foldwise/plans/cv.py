@@ -52,6 +52,8 @@ def out_of_fold(
     the result is shared by the arms. Every row is scored once per arm, by a model and encodings
     that have not seen it or the labels of its fold.
     """
+    if len({arm.run for arm in arms}) < len(arms):
+        raise ValueError(f"run names are not unique: {[arm.run for arm in arms]}")
     spark = folded.sparkSession
     large = large_categories(folded, arms)
     encoded = _encode_folds(folded, large, id_col, label, k) if large else folded

@@ -23,7 +23,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.schema(schema).option("enforceSchema", False).csv(path)
 
 
-def read_predictions(spark: SparkSession, path: str, schema: T.StructType = PREDICTIONS) -> DataFrame:
+def read_predictions(
+    spark: SparkSession, path: str, schema: T.StructType = PREDICTIONS
+) -> DataFrame:
     """Scan of an ``(id, probability)`` file."""
     return read_table(spark, path, schema)
 

@@ -50,7 +50,9 @@ def test_vocabulary_is_sorted_and_limited(spark, train):
     assert vocabulary(train, ["Compound"], 3) == {"Compound": ["HARD", "MEDIUM", "SOFT"]}
     assert vocabulary(train, ["Compound"], 2) == {"Compound": None}
     many = spark.range(500).select(
-        F.col("id").cast("string").alias("a"), F.lit("x").alias("b"), F.lit(None).cast("string").alias("c")
+        F.col("id").cast("string").alias("a"),
+        F.lit("x").alias("b"),
+        F.lit(None).cast("string").alias("c"),
     )
     assert vocabulary(many, ["a", "b", "c"], 20) == {"a": None, "b": ["x"], "c": []}
     assert vocabulary(many, [], 20) == {}
@@ -82,16 +84,16 @@ def test_alignment(train, test):
 
 
 def test_hot_keys_are_those_above_their_share(spark):
-    df = spark.range(1000).select(
-        F.when(F.col("id") < 400, "a").when(F.col("id") < 700, None).otherwise(F.col("id").cast("string")).alias("k")
-    )
+    key = F.when(F.col("id") < 400, "a").when(F.col("id") < 700, None)
+    df = spark.range(1000).select(key.otherwise(F.col("id").cast("string")).alias("k"))
     got = {r.hot_key: r.pieces for r in hot_keys(df, "k", parts=10, min_rows=0).collect()}
     assert got == {"a": 4, None: 3}
     assert hot_keys(df, "k", parts=10, min_rows=350).count() == 1
 
 
 def test_columns_of_different_sizes_are_encoded_together(spark):
-    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "y")], "id int, p string, q string")
+    rows = [(1, "a", "x"), (2, "b", "x"), (3, "c", "y")]
+    df = spark.createDataFrame(rows, "id int, p string, q string")
     known = vocabulary(df, ["p", "q"], 10)
     rows = one_hot_columns(df, known).orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, 1, 0, 0, 1, 0), (2, 0, 1, 0, 1, 0), (3, 0, 0, 1, 0, 1)]

@@ -53,10 +53,11 @@ def test_importance_sums_to_100_and_falls(fitted_trees):
 
 
 def test_probabilities_and_columns(spark, fitted_trees):
-    test = laps(spark, 5000, 100).drop(LAPS.label).withColumn(
-        "Driver", F.when(F.col("id") % 2 == 0, "nobody").when(F.col("id") % 3 == 0, None).otherwise(F.col("Driver"))
-    )
-    test = test.withColumn("Compound", F.when(F.col("id") % 5 == 0, "WET").otherwise(F.col("Compound")))
+    driver = F.when(F.col("id") % 2 == 0, "nobody").when(F.col("id") % 3 == 0, None)
+    compound = F.when(F.col("id") % 5 == 0, "WET")
+    test = laps(spark, 5000, 100).drop(LAPS.label)
+    test = test.withColumn("Driver", driver.otherwise(F.col("Driver")))
+    test = test.withColumn("Compound", compound.otherwise(F.col("Compound")))
     scored = fitted_trees.score(test)
     assert scored.columns == [*test.columns, "score"]
     rows = scored.collect()
@@ -168,6 +169,11 @@ def test_encoding_all_folds_at_once_gives_the_same_scores(train, trees):
         assert {i: got[i] for i in alone} == pytest.approx(alone)
 
 
+def test_run_names_must_differ(train, trees):
+    with pytest.raises(ValueError, match="not unique"):
+        out_of_fold(train, [trees, trees], LAPS.id, LAPS.label)
+
+
 def test_both_ablation_arms_use_the_same_folds(train, trees):
     small = trees.with_params("small", maxIter=1)
     arms = experiments.ablation(small, ["TyreLife"])

@@ -93,7 +93,8 @@ def test_command_line(spark, tmp_path, capsys):
     train, test = laps(spark, 0, 60), laps(spark, 60, 20).drop(LAPS.label)
     train.toPandas().to_csv(folder / "train.csv", index=False)
     test.toPandas().to_csv(folder / "test.csv", index=False)
-    test.select("id", F.lit(0.0).alias(LAPS.label)).toPandas().to_csv(folder / "sample.csv", index=False)
+    sample = test.select("id", F.lit(0.0).alias(LAPS.label))
+    sample.toPandas().to_csv(folder / "sample.csv", index=False)
     cli.main(["preview", "--folder", str(folder), "--rows", "2"])
     cli.main(["check", "--folder", str(folder)])
     shown = capsys.readouterr().out

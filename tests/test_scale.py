@@ -143,7 +143,14 @@ def test_features_do_not_shuffle(spark, name):
 
 @pytest.mark.parametrize(
     "name",
-    ["roc_auc_by_fold", "category_index", "ordered_target_stat", "target_stat_apply", "one_hot_align"],
+    [
+        "roc_auc_by_fold",
+        "category_index",
+        "ordered_target_stat",
+        "target_stat_apply",
+        "fold_target_stats",
+        "one_hot_align",
+    ],
 )
 def test_no_cross_join_and_no_python(spark, name):
     text = plan(queries.QUERIES[name](spark, SF_DIR))

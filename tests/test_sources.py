@@ -2,7 +2,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwise.operators.tables import bundle_check, drop_columns, scan_profile, split_label
-from foldwise.sources import LAPS, LAPS_TEST, Bundle, read_predictions, read_table, write_predictions
+from foldwise.sources import (
+    LAPS,
+    LAPS_TEST,
+    Bundle,
+    read_predictions,
+    read_table,
+    write_predictions,
+)
 from foldwise.sources.tables import preview, shape
 from lap_data import laps
 
@@ -57,9 +64,10 @@ def test_a_reordered_file_is_refused(spark, tmp_path):
 
 def test_predictions_round_trip_and_overwrite(spark, tmp_path):
     path = str(tmp_path / "deep" / "er" / "submission")
-    first = spark.createDataFrame([(1, 0.25), (2, None), (3, 1e-17)], "id bigint, PitNextLap double")
+    rows = [(1, 0.25), (2, None), (3, 1e-17)]
+    first = spark.createDataFrame(rows, "id bigint, PitNextLap double")
     write_predictions(first, path)
-    assert sorted(map(tuple, read_predictions(spark, path).collect())) == [(1, 0.25), (2, None), (3, 1e-17)]
+    assert sorted(map(tuple, read_predictions(spark, path).collect())) == rows
     write_predictions(first.where("id = 1"), path, single_file=True)
     got = read_predictions(spark, path)
     assert dict(got.dtypes) == {"id": "bigint", "PitNextLap": "double"}
@@ -72,8 +80,9 @@ def test_bundle_check_reports_every_defect(spark, folder):
         assert row.n_rows == row.n_ids
         assert (row.n_null_ids, row.n_wrong_labels) == (0, 0)
         assert (row.missing_columns, row.extra_columns) == ("", "")
+    labels = F.when(F.col("id") > 2, 1).when(F.col("id") == 1, 7)
     broken = Bundle(
-        train=clean.train.withColumn("PitNextLap", F.when(F.col("id") > 2, 1).when(F.col("id") == 1, 7)),
+        train=clean.train.withColumn("PitNextLap", labels),
         test=clean.test.drop("Year").withColumn("new", F.lit(1)).unionByName(
             clean.test.drop("Year").withColumn("new", F.lit(1)).limit(1)
         ),

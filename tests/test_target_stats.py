@@ -20,8 +20,13 @@ SCHEMA = "id bigint, c string, y int"
 def skewed_rows(n=600):
     """A third of the rows in one category, a sixth NULL, the rest in a long tail."""
     draw = random.Random(5)
-    pick = lambda i: "hot" if i % 3 == 0 else None if i % 6 == 1 else f"t{draw.randrange(80)}"
-    return [(i, pick(i), draw.randrange(2)) for i in range(n)]
+
+    def category(i):
+        if i % 3 == 0:
+            return "hot"
+        return None if i % 6 == 1 else f"t{draw.randrange(80)}"
+
+    return [(i, category(i), draw.randrange(2)) for i in range(n)]
 
 
 def by_hand(rows, prior=0.5, weight=1.0, seed=96):
@@ -111,7 +116,8 @@ def test_all_folds_at_once_equal_one_fold_at_a_time(spark, parts, min_rows):
 def test_held_out_labels_do_not_reach_their_own_fold(spark):
     rows = skewed_rows(150)
     folded = materialize(stratified_folds(spark.createDataFrame(rows, SCHEMA), "id", "y", k=3), "f")
-    flipped = folded.withColumn("y", F.when(F.col("fold") == 1, 1 - F.col("y")).otherwise(F.col("y")))
+    other = F.when(F.col("fold") == 1, 1 - F.col("y")).otherwise(F.col("y"))
+    flipped = folded.withColumn("y", other)
     a, b = (
         {r.id: r.stats for r in fold_target_stats(df, "id", "c", "y", 3).collect()}
         for df in (folded, flipped)
