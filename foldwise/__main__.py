@@ -53,7 +53,7 @@ def _parser() -> argparse.ArgumentParser:
     run = commands.choices["run"]
     run.add_argument("--arm", required=True, choices=[arm.run for arm in laps.arms()])
     run.add_argument("--out", required=True)
-    run.add_argument("--parallelism", type=int, default=1)
+    run.add_argument("--parallelism", type=int)
     run.add_argument("--max-bins", type=int, default=32)
     blend = commands.add_parser("blend")
     blend.add_argument("--out", required=True)

@@ -25,6 +25,9 @@ from foldwise.operators.metrics import fold_summary, roc_auc
 from foldwise.operators.target_stats import fold_target_stats
 from foldwise.workspace import materialize
 
+SMALL_TABLE_ROWS = 1_000_000
+SMALL_TABLE_FITS = 8
+
 
 def folded_table(
     df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = SEED
@@ -43,12 +46,13 @@ def out_of_fold(
     id_col: str,
     label: str,
     k: int = 5,
-    parallelism: int = 1,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Fit every arm on k - 1 folds and score the remaining one: ``(run, fold, id, label, score)``.
 
-    Each fit is itself a distributed job; ``parallelism`` is how many run side by side to fill the
-    gaps between each other's stages. Large categories are encoded for all folds in one pass and
+    Each fit is itself a distributed job. ``parallelism`` is how many run side by side; by default
+    small tables, whose fits are mostly scheduling, are fitted ``SMALL_TABLE_FITS`` at a time, and
+    larger ones one at a time, as a fit keeps its own copy of its training rows. Large categories are encoded for all folds in one pass and
     the result is shared by the arms. Every row is scored once per arm, by a model and encodings
     that have not seen it or the labels of its fold.
     """
@@ -78,6 +82,8 @@ def out_of_fold(
             "score",
         )
 
+    if parallelism is None:
+        parallelism = SMALL_TABLE_FITS if folded.count() <= SMALL_TABLE_ROWS else 1
     with ThreadPool(max(1, min(parallelism, len(arms) * k))) as pool:
         prepared = pool.map(inheritable_thread_target(spark)(prepare), range(k), chunksize=1)
         tasks = [(fold, rows, arm) for fold, rows in enumerate(prepared) for arm in arms]
@@ -120,7 +126,7 @@ def cross_validate(
     label: str,
     k: int = 5,
     seed: int = SEED,
-    parallelism: int = 1,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Fold, fit, score and measure: ``(run, fold, auc)`` for every arm."""
     folded = folded_table(df, id_col, label, k, seed)

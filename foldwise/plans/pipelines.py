@@ -38,7 +38,7 @@ def train_and_submit(
     path: str,
     k: int = 5,
     seed: int = SEED,
-    parallelism: int = 1,
+    parallelism: int | None = None,
     validate: bool = True,
 ) -> RunResult:
     """Cross-validate an arm, fit it on all training rows, score the test rows, write them.

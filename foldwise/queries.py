@@ -23,8 +23,6 @@ from foldwise.sources.sinks import write_predictions
 from foldwise.sources.tables import Bundle, read_predictions, read_table, shape
 from foldwise.workspace import materialize, scratch_path
 
-PARALLEL_FITS = 8
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -357,9 +355,7 @@ def _small_trees() -> Arm:
 
 
 def _cross_validate(spark: SparkSession, sf_dir: str, arms: list[Arm]) -> DataFrame:
-    return cv.cross_validate(
-        _learner_table(spark, sf_dir), arms, "doc_id", "quality", parallelism=PARALLEL_FITS
-    )
+    return cv.cross_validate(_learner_table(spark, sf_dir), arms, "doc_id", "quality")
 
 
 def _linear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,19 +453,14 @@ def out_of_fold_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out score of every row, each from the model that was fitted without its fold."""
     folded = cv.folded_table(_flagged(spark, sf_dir), "doc_id", "quality")
     arms = [_stump("stump", "long")]
-    scored = cv.out_of_fold(folded, arms, "doc_id", "quality", parallelism=PARALLEL_FITS)
+    scored = cv.out_of_fold(folded, arms, "doc_id", "quality")
     return scored.select("id", "fold", "label", F.round("score", 9).alias("p"))
 
 
 @query
 def cv_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = cv.cross_validate(
-        _flagged(spark, sf_dir),
-        [_stump("stump", "long")],
-        "doc_id",
-        "quality",
-        parallelism=PARALLEL_FITS,
-    )
+    arms = [_stump("stump", "long")]
+    scores = cv.cross_validate(_flagged(spark, sf_dir), arms, "doc_id", "quality")
     return _rounded(scores.select("fold", "auc"), "auc")
 
 
@@ -477,9 +468,7 @@ def cv_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ablation_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaving out either of two flags; with both, the round splits on the better one."""
     arms = experiments.ablation(_stump("both", "long", "english"), ["long", "english"])
-    scores = cv.cross_validate(
-        _flagged(spark, sf_dir), arms, "doc_id", "quality", parallelism=PARALLEL_FITS
-    )
+    scores = cv.cross_validate(_flagged(spark, sf_dir), arms, "doc_id", "quality")
     return _rounded(cv.leaderboard(scores), "mean_auc", "std_auc")
 
 
@@ -488,9 +477,7 @@ def feature_trial_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A derived flag added to a given one."""
     added = {"is_long": flag_above(F.col("n_chars"), 1000.0)}
     arms = experiments.feature_trial(_stump("english", "english"), added)
-    scores = cv.cross_validate(
-        _flagged(spark, sf_dir), arms, "doc_id", "quality", parallelism=PARALLEL_FITS
-    )
+    scores = cv.cross_validate(_flagged(spark, sf_dir), arms, "doc_id", "quality")
     return _rounded(cv.leaderboard(scores), "mean_auc", "std_auc")
 
 

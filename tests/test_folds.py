@@ -22,8 +22,8 @@ def expected_folds(rows, k, seed):
     return {i: place % k for place, (i, _) in enumerate(order)}
 
 
-@pytest.mark.parametrize("pieces", [1, 3, 64, 4096])
-@pytest.mark.parametrize("partitions", [1, 8, 50])
+@pytest.mark.parametrize("pieces", [1, 3, 4096])
+@pytest.mark.parametrize("partitions", [1, 50])
 def test_equal_to_numbering_the_whole_table(spark, pieces, partitions):
     df = labelled(spark, 500, 77).repartition(partitions)
     got = {r.id: r.fold for r in stratified_folds(df, "id", "y", 5, 96, pieces).collect()}

@@ -100,7 +100,7 @@ def test_command_line(spark, tmp_path, capsys):
     shown = capsys.readouterr().out
     assert "LapTime (s)" in shown
     assert "n_wrong_labels" in shown
-    job = ["run", "--folder", str(folder), "--arm", "logistic", "--parallelism", "5"]
+    job = ["run", "--folder", str(folder), "--arm", "logistic"]
     cli.main([*job, "--out", str(tmp_path / "a")])
     assert "mean_auc" in capsys.readouterr().out
     pairs = [f"{name}={tmp_path / 'a'}" for name in ("one", "two")]
