@@ -191,9 +191,7 @@ orders UNION ALL SELECT 1 AS position, 'o_custkey' AS "column", 'bigint' AS dtyp
 n_rows FROM orders UNION ALL SELECT 2 AS position, 'o_orderstatus' AS "column", 'string' AS
 dtype, count(*) AS n_rows FROM orders UNION ALL SELECT 3 AS position, 'o_totalprice' AS
 "column", 'double' AS dtype, count(*) AS n_rows FROM orders UNION ALL SELECT 4 AS position,
-'o_orderdate' AS "column", 'timestamp_ntz' AS dtype, count(*) AS n_rows FROM orders UNION ALL
-SELECT 5 AS position, 'o_orderpriority' AS "column", 'string' AS dtype, count(*) AS n_rows FROM
-orders
+'o_orderpriority' AS "column", 'string' AS dtype, count(*) AS n_rows FROM orders
 """
 
 ORACLE_SQL["duplicate_ids"] = """
@@ -307,3 +305,30 @@ FROM t JOIN a ON t.long = a.long GROUP BY t.long) SELECT t.id AS id, round(1.0E0
 exp(-2.0E0 * (a.f + 0.3E0 * r.g))), 9) AS p FROM t JOIN a ON t.long = a.long JOIN r ON t.long =
 r.long
 """
+
+ORACLE_SQL["sweep_stump"] = """
+WITH t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, CAST(d.n_chars > 1000 AS INT) AS
+long, CAST(d.lang = 'en' AS INT) AS english, md5(concat('96:', CAST(l.doc_id AS STRING))) AS h
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id), f AS (SELECT id, y, long, english,
+CAST((row_number() OVER (ORDER BY y, h, id) - 1) % 5 AS INT) AS fold FROM t), k AS (SELECT
+DISTINCT fold FROM f), z AS (SELECT id, fold, long, y, 2.0E0 * y - 1.0E0 AS e FROM f), x AS
+(SELECT k.fold AS fold, z.long AS long, avg(z.e) AS f1 FROM z CROSS JOIN k WHERE z.fold <>
+k.fold GROUP BY k.fold, z.long), r AS (SELECT x.fold AS fold, x.long AS long, x.f1 AS f1,
+avg(4.0E0 * z.e / (1.0E0 + exp(2.0E0 * z.e * x.f1))) AS g FROM x JOIN z ON z.long = x.long AND
+z.fold <> x.fold GROUP BY x.fold, x.long, x.f1), u AS (SELECT '1 round' AS run, 0.0E0 AS step
+UNION ALL SELECT '2 rounds, step 0.3', 0.3E0 UNION ALL SELECT '2 rounds, step 0.9', 0.9E0), s AS
+(SELECT u.run AS run, z.fold AS fold, z.y AS y, r.f1 + u.step * r.g AS s FROM z JOIN r ON z.fold
+= r.fold AND z.long = r.long CROSS JOIN u), g AS (SELECT run, fold, s, sum(y) AS p, sum(1 - y)
+AS n FROM s GROUP BY run, fold, s), c AS (SELECT run, fold, p, n, coalesce(sum(n) OVER
+(PARTITION BY run, fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+FROM g), a AS (SELECT run, fold, sum(p * (b + 0.5E0 * n)) / (CAST(sum(p) AS DOUBLE) *
+CAST(sum(n) AS DOUBLE)) AS auc FROM c GROUP BY run, fold) SELECT run, round(avg(auc), 6) AS
+mean_auc, round(stddev_pop(auc), 6) AS std_auc FROM a GROUP BY run
+"""
+
+ORACLE_SQL["submission_stump"] = """
+WITH t AS (SELECT l.doc_id AS id, d.n_chars > 1000 AS long, CAST(l.quality AS DOUBLE) AS y FROM
+labels l JOIN documents d ON l.doc_id = d.doc_id), r AS (SELECT long, avg(y) AS rate FROM t
+WHERE id % 5 <> 0 GROUP BY long) SELECT t.id AS id, round(1.0E0 / (1.0E0 + exp(-2.0E0 * (2.0E0 *
+r.rate - 1.0E0))), 9) AS p FROM t JOIN r ON t.long = r.long WHERE t.id % 5 = 0
+"""

@@ -84,7 +84,7 @@ def scan_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape(_table(spark, sf_dir, "orders"))
+    return shape(_table(spark, sf_dir, "orders").drop("o_orderdate"))
 
 
 @query
@@ -482,18 +482,41 @@ def feature_trial_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sweep_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds and step size of the same stump."""
+    settings = {
+        "1 round": {"maxIter": 1},
+        "2 rounds, step 0.3": {"maxIter": 2, "stepSize": 0.3},
+        "2 rounds, step 0.9": {"maxIter": 2, "stepSize": 0.9},
+    }
+    arms = experiments.sweep(_stump("stump", "long"), settings)
+    scores = cv.cross_validate(_flagged(spark, sf_dir), arms, "doc_id", "quality")
+    return _rounded(cv.leaderboard(scores), "mean_auc", "std_auc")
+
+
+def _submit(spark: SparkSession, data: DataFrame, arm: Arm) -> DataFrame:
     """Fit on all training rows, score the test rows, write the file, and read it back."""
-    data = materialize(_learner_table(spark, sf_dir), "learner-input")
     train = data.where(F.col("doc_id") % 5 != 0)
     test = data.where(F.col("doc_id") % 5 == 0).drop("quality")
-    fitted = fit_arm(train, _small_trees(), "doc_id", "quality")
-    out = predict(fitted, test, LEARNER_SPEC)
+    out = predict(fit_arm(train, arm, "doc_id", "quality"), test, LEARNER_SPEC)
     path = scratch_path(spark, "submission")
     write_predictions(out, path, "doc_id", "quality")
     return read_predictions(spark, path, out.schema)
 
 
+@query
+def submission_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = materialize(_flagged(spark, sf_dir), "learner-input")
+    written = _submit(spark, data, _stump("stump", "long"))
+    return written.select(F.col("doc_id").alias("id"), F.round("quality", 9).alias("p"))
+
+
+@query
+def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = materialize(_learner_table(spark, sf_dir), "learner-input")
+    return _submit(spark, data, _small_trees())
+
+
 @query
 def cv_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cross_validate(spark, sf_dir, [_arm("logistic", "logistic")])
