@@ -26,6 +26,11 @@ SEED = 96
 # MLlib's own default.
 MAX_BINS = 32
 
+# Every iteration of a fit pays per task. A table of at most this many rows is fitted in tasks of
+# about FIT_TASK_ROWS rows; larger tables keep the partitions of their scan.
+SMALL_FIT_ROWS = 1_000_000
+FIT_TASK_ROWS = 100_000
+
 # One-hot coefficients live on the driver and travel with every iteration.
 MAX_ONE_HOT = 100_000
 
@@ -210,7 +215,8 @@ def _fit_logistic(
     params.setdefault("regParam", penalty)
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     stages.append(LogisticRegression(featuresCol="features", labelCol="label", **params))
-    return FittedArm(arm, train.id_col, {}, Pipeline(stages=stages).fit(rows), tuple(names))
+    fitted = Pipeline(stages=stages).fit(_in_few_tasks(rows, n_rows))
+    return FittedArm(arm, train.id_col, {}, fitted, tuple(names))
 
 
 def _fit_gbt(train: TrainingRows, rows: DataFrame, arm: Arm, numeric: list[str]) -> FittedArm:
@@ -225,8 +231,8 @@ def _fit_gbt(train: TrainingRows, rows: DataFrame, arm: Arm, numeric: list[str])
             large.append(category)
     stages = index_stages(nominal)
     inputs = [f"{c}__idx" for c in nominal] + [stat_name(c) for c in large]
+    n_rows, *known = rows.agg(F.count(F.lit(1)), *fill_aggregates(numeric, True)).first()
     if numeric:
-        known = rows.agg(*fill_aggregates(numeric, True)).first()
         fill = null_fill(numeric, known, for_trees=True)
         stages.append(fill.stage())
         inputs += fill.outputs
@@ -234,10 +240,16 @@ def _fit_gbt(train: TrainingRows, rows: DataFrame, arm: Arm, numeric: list[str])
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     stages.append(GBTClassifier(featuresCol="features", labelCol="label", **params))
     stats = {c: train.stats[c] for c in large if c in train.stats}
-    fitted = Pipeline(stages=stages).fit(rows)
+    fitted = Pipeline(stages=stages).fit(_in_few_tasks(rows, n_rows))
     return FittedArm(arm, train.id_col, stats, fitted, (*nominal, *large, *numeric))
 
 
+def _in_few_tasks(rows: DataFrame, n_rows: int) -> DataFrame:
+    if n_rows > SMALL_FIT_ROWS:
+        return rows
+    return rows.coalesce(max(1, -(-n_rows // FIT_TASK_ROWS)))
+
+
 def _category_limit(arm: Arm) -> int:
     """Categories that fit in an arm's bins, one bin being kept for unseen and NULL values."""
     return int(arm.params.get("maxBins", MAX_BINS)) - 1
