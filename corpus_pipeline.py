@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import quality, simhash
+from foldwise.llm import decontamination, packing, pii, quality, simhash, tokens
 from foldwise.workspace import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,9 +31,36 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return first.dropDuplicates(["doc_id"])
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    holds = decontamination.is_contaminated(items, "item_id", "text", F.col("text"))
+    return docs.where(~holds)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their personal data replaced by its kind; ``n_chars`` follows."""
+    found = pii.find_pii(docs, pii.fit_pii(docs, "text"), "text")
+    clean = found.withColumn("text", pii.redact(F.col("text"), F.col("_spans")))
+    length = F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", length).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 1024 ids."""
+    import public_tokenizers
+
+    definition = tokens.read_definition(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = packing.pack_documents(docs, "doc_id", "text", definition, "spaces", end_id=2)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality_classifier),
     ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("PII", personal_data),
+    ("best-fit packing", best_fit_packing),
 ]
 ORACLE_SQL = None
 

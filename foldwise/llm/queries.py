@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import quality, simhash
+from foldwise.llm import (
+    decontamination,
+    packing,
+    pii,
+    quality,
+    simhash,
+    token_files,
+    tokens,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,3 +54,55 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.fingerprint_hex(F.col("fingerprint")).alias("fingerprint"),
         "component_id",
     )
+
+
+@query
+def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, and where."""
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = decontamination.find_passages(docs, items, "doc_id", "text", "item_id", "text")
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts and a digest of the base spans, and all spans."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.fit_pii(docs, "text"), "text")
+    return found.select(
+        "doc_id",
+        *[pii.count_kind(F.col("_base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.joined_spans(F.col("_base")), 256).alias("base_sha256"),
+        pii.joined_spans(F.col("_spans")).alias("spans"),
+    )
+
+
+def _tokenizer(name: str) -> str:
+    """A public tokenizer's definition; the file is read where the query is built."""
+    import public_tokenizers
+
+    return tokens.read_definition(public_tokenizers.path(name))
+
+
+@query
+def op4_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 1024 ids, and their places in packed sequences."""
+    docs = _table(spark, sf_dir, "documents")
+    packed = packing.pack_documents(
+        docs, "doc_id", "text", _tokenizer("byte_bpe_50k.json"), "spaces", end_id=2, capacity=1024
+    )
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to shards, found again by the index and read back."""
+    docs = _table(spark, sf_dir, "documents")
+    root = token_files.write_token_files(
+        docs, "doc_id", "text", _tokenizer("word_bpe_49k.json"), "words", end_id=2
+    )
+    keys = token_files.read_documents(spark, root).select("id", "copy")
+    read = token_files.read_ids(root, token_files.look_up(spark, root, keys))
+    return read.select(
+        F.col("id").alias("doc_id"), "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32"
+    )
