@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -344,16 +345,14 @@ def is_contaminated(
     items: DataFrame, item_id_col: str, item_text_col: str, text: Column, **settings: float
 ) -> Column:
     """Whether a text holds any item, by the same search; false for NULL."""
-    flags = []
-    for matcher in _passes(items, item_id_col, item_text_col, **settings):
+    flags = [_holds(m, text) for m in _passes(items, item_id_col, item_text_col, **settings)]
+    return reduce(Column.__or__, flags)
 
-        @F.pandas_udf("boolean")
-        def holds(texts: pd.Series, matcher: Matcher = matcher) -> pd.Series:
-            found = matcher.matches([matcher.symbols(t) for t in texts])
-            return pd.Series([bool(f) for f in found], dtype=bool)
 
-        flags.append(holds(text))
-    out = flags[0]
-    for flag in flags[1:]:
-        out = out | flag
-    return out
+def _holds(matcher: Matcher, text: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        found = matcher.matches([matcher.symbols(t) for t in texts])
+        return pd.Series([bool(f) for f in found], dtype=bool)
+
+    return holds(text)
