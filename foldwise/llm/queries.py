@@ -13,8 +13,10 @@ from foldwise.llm import (
     pii,
     quality,
     simhash,
+    sketches,
     token_files,
     tokens,
+    urls,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +108,43 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(
         F.col("id").alias("doc_id"), "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32"
     )
+
+
+#: ``(verdict, host, path)``.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+@query
+def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict; a page's known outcome is the label of its number."""
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    outcomes = _table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("id"), F.coalesce(bad, F.lit(0)).alias("bad")
+    )
+    judged = urls.judge_urls(_table(spark, sf_dir, "pages"), outcomes, "page_id", "url", URL_RULES)
+    return judged.withColumnRenamed("id", "page_id")
+
+
+ORACLE_SQL["op2_host_reputation"] = urls.judge_urls_sql(URL_RULES)
+
+
+@query
+def op8_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sketch, its edited text's, and how near it is to that and to the next."""
+    docs = _table(spark, sf_dir, "documents")
+    compared = sketches.compare_with_edits(docs, "doc_id", "text")
+    return compared.select(
+        F.col("id").alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.sketch_text(F.col("sketch")).alias("fingerprint"),
+        sketches.sketch_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
