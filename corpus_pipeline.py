@@ -24,11 +24,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one whose id names the group."""
+    """One document of each near-duplicate group: the one whose id names the group.
+
+    Rows of one id and text are one document. Rows with a NULL id can't be named and stay.
+    """
     grouped = simhash.near_groups(docs, "doc_id", "text", n_words=4, max_bits=4)
-    kept = grouped.where("id <=> component_id").select(F.col("id").alias("kept")).distinct()
-    first = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    grouped = materialize(grouped.select("id", "component_id"), "near-groups")
+    other = grouped.where("id <> component_id").select(F.col("id").alias("other")).distinct()
+    kept = docs.join(other, docs.doc_id == other.other, "left_anti")
+    twice = grouped.groupBy("id").count().where("count > 1").select(F.col("id").alias("twice"))
+    twice = materialize(twice, "repeated-ids")
+    if twice.isEmpty():  # ids name rows, as they should
+        return kept
+    same = kept.doc_id.eqNullSafe(twice.twice)
+    once = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, same, "left_anti").unionByName(once)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +51,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their personal data replaced by its kind; ``n_chars`` follows."""
     found = pii.find_pii(docs, pii.fit_pii(docs, "text"), "text")
-    clean = found.withColumn("text", pii.redact(F.col("text"), F.col("_spans")))
-    length = F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", length).select(*docs.columns)
+    clean = pii.redact(F.col("text"), F.col("spans"))
+    length = F.when(F.size("spans") > 0, F.length("clean").cast("long"))
+    changed = {"text": F.col("clean"), "n_chars": F.coalesce(length, F.col("row.n_chars"))}
+    return found.withColumn("clean", clean).select(
+        *[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    )
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

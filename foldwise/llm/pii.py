@@ -134,8 +134,9 @@ def _guard(kind: str, text: Column) -> Column:
 
 
 def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with the column ``_pii``: per kind the strict and the loose matches and their votes."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    """``(row, text, found)``: a document's columns, its text, and the matches and votes by kind."""
+    docs = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = {}
     for kind in KINDS:
         guard = _guard(kind, text)
@@ -172,7 +173,7 @@ def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
             ),
         )
         spans.append(F.concat(strict, apart).alias(kind))
-    return rows.withColumn("_pii", F.struct(*spans)).drop(*found)
+    return rows.select("row", "text", F.struct(*spans).alias("found"))
 
 
 def _features(kind: str, span: Column) -> list[Column]:
@@ -216,7 +217,7 @@ def fit_pii(docs: DataFrame, text_col: str) -> PiiModel:
     """Learn from the votes on every candidate of ``docs``; only counted patterns leave the rows."""
     candidates = with_candidates(docs.select(F.col(f"`{text_col}`")), text_col)
     tagged = [
-        F.transform(f"_pii.{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), *[s[v].alias(v) for v in VOTERS]))
+        F.transform(f"found.{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), *[s[v].alias(v) for v in VOTERS]))
         for kind in KINDS
     ]
     counted = (
@@ -250,12 +251,12 @@ def fit_pii(docs: DataFrame, text_col: str) -> PiiModel:
 
 
 def find_pii(docs: DataFrame, model: PiiModel, text_col: str) -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans``: ``array<struct<kind, start, end>>`` by kind, start.
+    """``(row, text, base, spans)``: ``row`` has the columns of ``docs``, the others are spans.
 
-    ``_base`` are the strict matches that pass their checks. ``_spans`` has them and the looser
+    Spans are ``array<struct<kind, start, end>>`` by kind and start. ``base`` are the strict matches that pass their checks. ``spans`` has them and the looser
     matches that the classifier takes for personal data and that overlap no strict match of their
-    kind. NULL and empty texts have none; ids are not looked at; repeated rows stay; the names
-    ``_pii``, ``_base``, ``_spans`` and ``_s_``/``_l_`` with a kind must be free.
+    kind. NULL and empty texts have none; no other column is looked at, whatever its name; repeated
+    rows stay.
     """
     rows = with_candidates(docs, text_col)
     base, spans = [], []
@@ -272,10 +273,12 @@ def find_pii(docs: DataFrame, model: PiiModel, text_col: str) -> DataFrame:
                 margin = margin + weight * flag
             return (span["strict"] == YES) | ((span["loose"] == YES) & (margin > 0))
 
-        own = F.col(f"_pii.{kind}")
+        own = F.col(f"found.{kind}")
         base.append(F.transform(F.filter(own, lambda s: s["strict"] == YES), named))
         spans.append(F.array_sort(F.transform(F.filter(own, accepted), named)))
-    return rows.withColumns({"_base": F.concat(*base), "_spans": F.concat(*spans)}).drop("_pii")
+    return rows.select(
+        "row", "text", F.concat(*base).alias("base"), F.concat(*spans).alias("spans")
+    )
 
 
 def joined_spans(spans: Column) -> Column:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from foldwise.llm import (
     decontamination,
+    licenses,
     packing,
     pii,
     quality,
+    repeats,
     simhash,
     sketches,
     token_files,
@@ -72,10 +74,10 @@ def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_pii(docs, pii.fit_pii(docs, "text"), "text")
     return found.select(
-        "doc_id",
-        *[pii.count_kind(F.col("_base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
-        F.sha2(pii.joined_spans(F.col("_base")), 256).alias("base_sha256"),
-        pii.joined_spans(F.col("_spans")).alias("spans"),
+        "row.doc_id",
+        *[pii.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.joined_spans(F.col("base")), 256).alias("base_sha256"),
+        pii.joined_spans(F.col("spans")).alias("spans"),
     )
 
 
@@ -148,3 +150,18 @@ def op8_bottom_k_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query
+def op3_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph that is a licence notice, its family and whether a template confirms it."""
+    docs = _table(spark, sf_dir, "documents")
+    found = licenses.scan_licenses(docs, licenses.fit_licenses(docs, "text"), "doc_id", "text")
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that documents share, its class, and which one stays."""
+    docs = _table(spark, sf_dir, "documents")
+    return repeats.repeated_passages(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
