@@ -17,15 +17,46 @@ from __future__ import annotations
 import os
 import sys
 import types
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts remembered per Python worker; then it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: White space (as Unicode has it) before a space.
 _UNSAFE = r"[\s\x0b\x{85}\p{Z}] "
+#: A part that is one word, perhaps behind a space, and holds no separator.
+_ONE_WORD = {
+    "spaces": r"^ ?[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+$",
+    "words": r"^[^\s\x0b\x1c-\x1f\x{85}\p{Z}0]+$",
+}
+#: Commas and full stops behind a letter; some other capitals turn into a letter and a mark, which
+#: would join the full stop.
+_ENDS_IN_STOP = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}][.,]+$"
+
+
+class _Grown:
+    """An array of whole numbers that grows by doubling."""
+
+    def __init__(self) -> None:
+        self.values, self.used = np.zeros(1 << 12, np.int64), 0
+
+    def __len__(self) -> int:
+        return self.used
+
+    def extend(self, more: np.ndarray) -> None:
+        end = self.used + len(more)
+        if end > len(self.values):
+            spare = np.zeros(max(end, 2 * len(self.values)) - self.used, np.int64)
+            self.values = np.concatenate([self.values[: self.used], spare])
+        self.values[self.used : end] = more
+        self.used = end
+
+
+def _strings(parts: pa.Array) -> list[str]:
+    return parts.to_numpy(zero_copy_only=False).tolist()
 
 
 class Encoder:
@@ -46,70 +77,82 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
+        self.codes: dict[str, int] = {"": 0}
+        self.starts, self.sizes = _Grown(), _Grown()
+        self.flat = _Grown()
+        self._add(np.zeros(0, np.int64), np.zeros(1, np.int64))
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Codes of new parts, whose ids stand one after the other."""
+        first = len(self.sizes)
+        self.starts.extend(len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes.extend(sizes)
+        self.flat.extend(ids)
+        return np.arange(first, first + len(sizes))
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts, one after the other, and where each part ends."""
+        sizes = self.sizes.values[codes]
+        ends = np.cumsum(sizes)
+        shift = self.starts.values[codes] - (ends - sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat.values[np.repeat(shift, sizes) + np.arange(total)], ends
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [e.ids for e in encoded]
 
-    def _gluable(self, part: str) -> bool:
-        bare = part.split()
-        if len(bare) != 1 or self.glue_id is None:
-            return False
-        if self.mode == "spaces":
-            return part == bare[0] or part == " " + bare[0]
-        return part == bare[0] and "0" not in part
-
-    def _encode_cores(self, parts: list[str]) -> None:
-        """Many parts are encoded as one text, with a separator that none of them holds."""
-        glued = [p for p in parts if self._gluable(p)]
-        single = [p for p in parts if not self._gluable(p)]
+    def _learn(self, parts: pa.Array) -> None:
+        """Encode distinct new parts, many as one text, with a separator that none of them holds."""
+        one = pc.match_substring_regex(parts, _ONE_WORD[self.mode])
+        if self.glue_id is None:
+            one = pa.array(np.zeros(len(parts), bool))
+        glued, single = _strings(parts.filter(one)), _strings(parts.filter(pc.invert(one)))
         for at in range(0, len(glued), 4096):
             some = glued[at : at + 4096]
-            ids = np.array(self._plain([self.glue.join(some)])[0], np.int32)
+            ids = np.array(self._plain([self.glue.join(some)])[0], np.int64)
             cuts = np.flatnonzero(ids == self.glue_id)
             if len(cuts) != len(some) - 1:
                 single += some
                 continue
-            for part, own in zip(some, np.split(ids, cuts), strict=True):
-                self.cores[part] = own.tolist()
-            for part in some[1:]:
-                del self.cores[part][0]
-        self.cores.update(zip(single, self._plain(single), strict=True))
-
-    def _codes_of(self, parts: list[str]) -> np.ndarray:
-        known = self.codes
-        new = list(dict.fromkeys(p for p in parts if p not in known))
-        if new:
-            cut = []
-            for part in new:
-                core = part.rstrip(".,")
-                # some capitals turn into a letter and a mark, which would join the full stop
-                letter = core[-1:].isalpha() and core[-1:].lower()[-1:].isalpha()
-                whole = not letter or len(core) == len(part)
-                core, tail = (part, "") if whole else (core, part[len(core) :])
-                if self.mode == "words" and core.isascii():
-                    core = core.lower()
-                cut.append((core, tail))
-            missing = dict.fromkeys(x for pair in cut for x in pair if x and x not in self.cores)
-            self._encode_cores(list(missing))
-            self.cores[""] = []
-            for part, (core, tail) in zip(new, cut, strict=True):
-                ids = self.cores[core] + self.cores[tail]
-                end = self.used + len(ids)
-                if end > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(end, len(self.flat)), np.int32)])
-                self.flat[self.used : end] = ids
-                known[part] = len(self.starts)
-                self.starts.append(self.used)
-                self.sizes.append(len(ids))
-                self.used = end
-        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+            sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+            new = self._add(np.delete(ids, cuts), sizes)
+            self.codes.update(zip(some, new.tolist(), strict=True))
+        own = self._plain(single)
+        flat = np.array([i for ids in own for i in ids], np.int64)
+        new = self._add(flat, np.array([len(ids) for ids in own], np.int64))
+        self.codes.update(zip(single, new.tolist(), strict=True))
+
+    def _known(self, parts: pa.Array) -> np.ndarray:
+        """Codes of parts, -1 for new ones."""
+        names = _strings(parts)
+        return np.fromiter(map(self.codes.get, names, repeat(-1)), np.int64, len(names))
+
+    def _codes_of(self, parts: pa.Array) -> np.ndarray:
+        codes = self._known(parts)
+        new = np.flatnonzero(codes < 0)
+        if not len(new):
+            return codes
+        fresh = parts.take(pa.array(new))
+        cut = pc.match_substring_regex(fresh, _ENDS_IN_STOP)
+        cores = pc.if_else(cut, pc.utf8_rtrim(fresh, ".,"), fresh)
+        if self.mode == "words":
+            cores = pc.if_else(pc.string_is_ascii(cores), pc.ascii_lower(cores), cores)
+        tails = pc.if_else(cut, pc.replace_substring_regex(fresh, r"(?s)^.*[^.,]", ""), "")
+        halves = pa.concat_arrays([cores, tails])
+        missing = halves.filter(pa.array(self._known(halves) < 0)).unique()
+        if len(missing):
+            self._learn(missing)
+        core, tail = np.split(self._known(halves), 2)
+        codes[new] = core
+        joined = np.flatnonzero(tail > 0)
+        if len(joined):
+            both = np.stack([core[joined], tail[joined]], axis=1).ravel()
+            ids, ends = self._gather(both)
+            ends = ends[1::2]
+            codes[new[joined]] = self._add(ids, np.diff(ends, prepend=0))
+        self.codes.update(zip(_strings(fresh), codes[new].tolist(), strict=True))
+        return codes
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text; NULL counts as empty."""
@@ -129,17 +172,16 @@ class Encoder:
         distinct = parts.values[bounds[0] : bounds[-1]].dictionary_encode()
         bounds = bounds - bounds[0]
         index = distinct.indices.to_numpy(zero_copy_only=False)
-        names = distinct.dictionary.to_pylist()
+        names = distinct.dictionary
         if self.mode == "spaces":
-            codes = self._codes_of([" " + n for n in names])[index]
+            spaced = pc.binary_join_element_wise(pa.scalar(" ", names.type), names, pa.scalar("", names.type))
+            codes = self._codes_of(spaced)[index]
             begins = np.unique(bounds[:-1][bounds[:-1] < bounds[1:]])
-            codes[begins] = self._codes_of([names[i] for i in index[begins]])
+            firsts = names.take(pa.array(index[begins])).dictionary_encode()
+            codes[begins] = self._codes_of(firsts.dictionary)[firsts.indices.to_numpy(zero_copy_only=False)]
         else:
             codes = self._codes_of(names)[index]
-        sizes = np.array(self.sizes, np.int64)[codes]
-        ends = np.cumsum(sizes)
-        first = np.array(self.starts, np.int64)[codes] - (ends - sizes)
-        ids = self.flat[np.repeat(first, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        ids, ends = self._gather(codes)
         edges = np.concatenate([[0], ends])[bounds]
         out = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
         for at, own in whole.items():
@@ -162,7 +204,7 @@ def read_definition(path: str) -> str:
         return file.read()
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 24 << 20):
+def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 6 << 20):
     """``(first row, texts)`` in slices of bounded size, so that long texts don't pile up."""
     texts = batch.column(column)
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
