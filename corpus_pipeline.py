@@ -6,16 +6,28 @@ Every stage takes ``(spark, docs, sf_dir)`` and works on all its predecessor kep
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm import decontamination, packing, pii, quality, simhash, tokens
+from foldwise.llm.batches import bound_batches
 from foldwise.workspace import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def stage(build: Stage) -> Stage:
+    @wraps(build)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return build(spark, docs, sf_dir)
+
+    return bounded
+
+
+@stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -23,6 +35,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return docs.where(quality.quality_score(model, F.col("text")) >= 0.3)
 
 
+@stage
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one whose id names the group.
 
@@ -41,6 +54,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return kept.join(twice, same, "left_anti").unionByName(once)
 
 
+@stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -48,6 +62,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return docs.where(~holds)
 
 
+@stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their personal data replaced by its kind; ``n_chars`` follows."""
     found = pii.find_pii(docs, pii.fit_pii(docs, "text"), "text")
@@ -59,6 +74,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     )
 
 
+@stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of at most 1024 ids."""
     import public_tokenizers
@@ -80,6 +96,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, apply in STAGES:
+        docs = materialize(apply(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

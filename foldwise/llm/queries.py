@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from foldwise.llm import (
     tokens,
     urls,
 )
+from foldwise.llm.batches import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,8 +29,13 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
-    return build
+    @wraps(build)
+    def bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return build(spark, sf_dir)
+
+    QUERIES[build.__name__] = bounded
+    return bounded
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
