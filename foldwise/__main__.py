@@ -14,10 +14,11 @@ from pyspark.sql import SparkSession
 
 from foldwise.operators.tables import bundle_check
 from foldwise.plans import laps
-from foldwise.plans.cv import leaderboard
+from foldwise.plans.cv import PARALLELISM, leaderboard
 from foldwise.plans.pipelines import blend_files, train_and_submit
 from foldwise.sources.schema import LAPS
 from foldwise.sources.tables import Bundle, preview, shape
+from foldwise.workspace import clear_scratch
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -40,6 +41,7 @@ def main(argv: list[str] | None = None) -> None:
         leaderboard(result.fold_scores).show(truncate=False)
         if arms[args.arm].learner == "gbt":
             result.fitted.importance().show(100, truncate=False)
+        clear_scratch(spark)
     else:
         blend_files(spark, dict(pair.split("=", 1) for pair in args.sets), args.out)
 
@@ -53,7 +55,7 @@ def _parser() -> argparse.ArgumentParser:
     run = commands.choices["run"]
     run.add_argument("--arm", required=True, choices=[arm.run for arm in laps.arms()])
     run.add_argument("--out", required=True)
-    run.add_argument("--parallelism", type=int)
+    run.add_argument("--parallelism", type=int, default=PARALLELISM)
     run.add_argument("--max-bins", type=int, default=32)
     blend = commands.add_parser("blend")
     blend.add_argument("--out", required=True)

@@ -24,8 +24,8 @@ def rate(numerator: Column, count: Column) -> Column:
 
 
 def flag_above(value: Column, threshold: float) -> Column:
-    """1 where ``value`` is strictly above the threshold, else 0."""
-    return (value > F.lit(threshold)).cast("int")
+    """1 where ``value`` is strictly above the threshold, else 0, also for NaN; NULL for NULL."""
+    return ((value > F.lit(threshold)) & ~F.isnan(value.cast("double"))).cast("int")
 
 
 def interaction(left: Column, right: Column) -> Column:

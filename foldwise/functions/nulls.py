@@ -7,6 +7,7 @@ plus an indicator column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def finite_or_null(value: Column) -> Column:
-    """The value as a double, with NaN and infinities turned to NULL."""
-    number = value.cast("double")
-    infinite = F.abs(number) == F.lit(float("inf"))
-    return F.when(~(F.isnan(number) | infinite), number)
+def finite_sql(column: str) -> str:
+    """The column as a double, with NaN and infinities turned to NULL, as SQL text."""
+    number = f"CAST(`{column}` AS DOUBLE)"
+    infinite = f"abs({number}) = DOUBLE('Infinity')"
+    return f"CASE WHEN NOT (isnan({number}) OR {infinite}) THEN {number} END"
 
 
 @dataclass(frozen=True)
@@ -40,9 +41,7 @@ class NullFill:
         """The fill as a pipeline stage, so that it is saved along with the model."""
         parts = []
         for column, value in self.values.items():
-            number = f"CAST(`{column}` AS DOUBLE)"
-            finite = f"CASE WHEN NOT (isnan({number}) OR abs({number}) = DOUBLE('Infinity')) "
-            finite += f"THEN {number} END"
+            finite = finite_sql(column)
             parts.append(f"coalesce({finite}, {value!r}D) AS `{filled_name(column)}`")
             if self.flag_missing:
                 parts.append(f"CAST({finite} IS NULL AS DOUBLE) AS `{missing_name(column)}`")
@@ -60,11 +59,18 @@ def missing_name(column: str) -> str:
 def fill_aggregates(columns: Sequence[str], for_trees: bool) -> list[Column]:
     """The aggregates over training rows that fill values come from, in column order."""
     aggregate = F.min if for_trees else F.avg
-    return [aggregate(finite_or_null(F.col(f"`{c}`"))) for c in columns]
+    return [aggregate(F.expr(finite_sql(c))) for c in columns]
 
 
 def null_fill(columns: Sequence[str], known: Sequence[float | None], for_trees: bool) -> NullFill:
     """Fill values from the results of ``fill_aggregates``."""
-    step = 1.0 if for_trees else 0.0
-    values = {c: (0.0 if v is None else v) - step for c, v in zip(columns, known, strict=True)}
+    values = {c: 0.0 if v is None else v for c, v in zip(columns, known, strict=True)}
+    if for_trees:
+        values = {c: _below(v) for c, v in values.items()}
     return NullFill(values, flag_missing=not for_trees)
+
+
+def _below(value: float) -> float:
+    """One less, or the next double below where that is the same number."""
+    less = value - 1.0
+    return less if less < value else math.nextafter(value, -math.inf)

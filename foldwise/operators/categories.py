@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.operators.skew import MIN_HOT_ROWS, PARTS, hot_keys, lookup
+from foldwise.operators.skew import ROWS_PER_PIECE, hot_keys, lookup
 from foldwise.workspace import materialize
 
 # monotonically_increasing_id keeps the row's place within its partition in the lower 33 bits.
@@ -48,52 +46,46 @@ def index_categories(
     id_col: str,
     column: str,
     dictionary: DataFrame,
-    parts: int = PARTS,
-    min_rows: int = MIN_HOT_ROWS,
+    rows_per_piece: int = ROWS_PER_PIECE,
+    out: str = "category_idx",
+    size: int | None = None,
 ) -> DataFrame:
-    """Add ``category_idx``; unseen and NULL categories share the index after the last one."""
-    size = dictionary.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
-    hot = hot_keys(df, column, parts, min_rows)
-    table = dictionary.withColumnRenamed("category", "lookup_key")
-    found = lookup(df, table, column, id_col, hot)
-    return found.withColumn("category_idx", F.coalesce("category_idx", size))
-
+    """Add the index; unseen and NULL categories share the one after the last.
 
-def size_sketches(columns: Sequence[str]) -> list[Column]:
-    """Approximate distinct counts, computed map-side: what rules out the large columns."""
-    return [F.approx_count_distinct(f"`{c}`", 0.02) for c in columns]
+    ``size`` is the dictionary's size, for callers that have counted it.
+    """
+    last = F.lit(size)
+    if size is None:
+        last = dictionary.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
+    hot = hot_keys(df, column, rows_per_piece)
+    table = dictionary.select(F.col("category").alias("lookup_key"), F.col("category_idx").alias(out))
+    found = lookup(df, table, column, id_col, hot)
+    return found.withColumn(out, F.coalesce(F.col(f"`{out}`"), last))
 
 
 def vocabulary(
-    train: DataFrame, columns: Sequence[str], limit: int, sketched: Sequence[int] | None = None
-) -> dict[str, list[str] | None]:
-    """Sorted categories of each column, or None for a column with more than ``limit`` of them.
+    train: DataFrame, columns: Sequence[str], limits: Sequence[int]
+) -> dict[str, list[str]]:
+    """Sorted categories of each column; an error names columns with more than their limit.
 
-    Only columns that the sketch puts at about ``limit`` values or fewer are collected, and of
-    those at most ``limit + 1`` values. ``sketched`` are the results of ``size_sketches``, where
-    the caller has them already.
+    For categories declared to be few: at most one more than the limit reaches the driver.
     """
-    values: dict[str, list[str] | None] = dict.fromkeys(columns)
-    if not columns:
-        return values
-    if sketched is None:
-        sketched = train.agg(*size_sketches(columns)).first()
-    small = [i for i, about in enumerate(sketched) if about <= 1.2 * limit + 10]
-    if not small:
+    values: dict[str, list[str]] = {c: [] for c in columns}
+    if not values:
         return values
     found = [
-        train.select(F.lit(i).alias("i"), F.col(f"`{columns[i]}`").cast("string").alias("category"))
+        train.select(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("category"))
         .where(F.col("category").isNotNull())
         .distinct()
         .limit(limit + 1)
-        for i in small
+        for i, (c, limit) in enumerate(zip(columns, limits, strict=True))
     ]
-    collected: dict[int, list[str]] = {i: [] for i in small}
     for row in reduce(DataFrame.unionByName, found).collect():
-        collected[row.i].append(row.category)
-    for i, categories in collected.items():
-        values[columns[i]] = sorted(categories) if len(categories) <= limit else None
-    return values
+        values[columns[row.i]].append(row.category)
+    over = [c for c, limit in zip(columns, limits, strict=True) if len(values[c]) > limit]
+    if over:
+        raise ValueError(f"more categories than declared possible in {over}")
+    return {c: sorted(v) for c, v in values.items()}
 
 
 def index_stages(categories: dict[str, list[str]]) -> list[StringIndexerModel]:
@@ -110,32 +102,46 @@ def index_stages(categories: dict[str, list[str]]) -> list[StringIndexerModel]:
     ]
 
 
-def one_hot_stages(categories: dict[str, list[str]]) -> list:
-    """Sparse indicators ``<column>__hot``: a slot per training category, none for the rest.
+def one_hot_encoder(sizes: dict[str, int]) -> OneHotEncoder:
+    """Sparse indicators ``<column>__hot`` of the indices ``<column>__code``.
 
-    The indexer adds an index for unseen and NULL values and the encoder drops that last one, so
-    such rows get the all-zero vector and every training category keeps its slot.
+    A slot per training category, none for the rest: unseen and NULL values have the index after
+    the last, and the encoder drops that one. See ``with_sizes`` for what tells it the sizes.
     """
-    encode = OneHotEncoder(
-        inputCols=[f"{c}__idx" for c in categories],
-        outputCols=[f"{c}__hot" for c in categories],
+    return OneHotEncoder(
+        inputCols=[f"{c}__code" for c in sizes],
+        outputCols=[f"{c}__hot" for c in sizes],
         handleInvalid="error",
         dropLast=True,
     )
-    return [*index_stages(categories), encode]
+
+
+def with_sizes(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """The indices with their number of categories attached, so that no pass has to find it."""
+    for column, size in sizes.items():
+        name = f"{column}__code"
+        attribute = {"type": "nominal", "name": name, "num_vals": size + 1}
+        df = df.withColumn(name, F.col(f"`{name}`").cast("double"))
+        df = df.withMetadata(name, {"ml_attr": attribute})
+    return df
 
 
 def one_hot_columns(
     df: DataFrame, categories: dict[str, list[str]], names: dict[str, list[str]] | None = None
 ) -> DataFrame:
-    """Indicators as 0/1 columns, ``<column>_<category>`` unless ``names`` says otherwise."""
-    encoded = Pipeline(stages=one_hot_stages(categories)).fit(df).transform(df)
+    """Indicators as 0/1 columns, ``<column>_<category>`` unless ``names`` says otherwise.
+
+    Unseen and NULL categories are 0 in all of them.
+    """
     out = [F.col(f"`{c}`") for c in df.columns if c not in categories]
     for column, values in categories.items():
         labels = names[column] if names else [f"{column}_{v}" for v in values]
-        slots = vector_to_array(F.col(f"`{column}__hot`"))
-        out += [slots[i].cast("int").alias(label) for i, label in enumerate(labels)]
-    return encoded.select(*out)
+        own = F.col(f"`{column}`").cast("string")
+        out += [
+            own.eqNullSafe(F.lit(value)).cast("int").alias(label)
+            for value, label in zip(values, labels, strict=True)
+        ]
+    return df.select(*out)
 
 
 def align_categories(train: DataFrame, test: DataFrame, column: str) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import hash_position, order_hash
 from foldwise.functions.scores import binary_label
+from foldwise.operators.tables import refuse_columns
 
-# Pieces per class. At 10^11 rows a piece is some ten million rows.
-PIECES = 4096
+# Rows that are numbered in one piece: pieces grow with the table.
+ROWS_PER_PIECE = 250_000
 
 
 def stratified_folds(
@@ -18,20 +19,25 @@ def stratified_folds(
     label: str,
     k: int = 5,
     seed: int = 96,
-    pieces: int = PIECES,
+    rows_per_piece: int = ROWS_PER_PIECE,
 ) -> DataFrame:
     """Add ``fold``: rows in order of label, seeded hash of the id, and id are dealt to ``k`` folds.
 
     Each class is spread over the folds to within one row. Equal to numbering the whole table in
     that order, but each class is cut into pieces of equal hash ranges: count the pieces, add up
     the counts, and number the rows inside a piece. Ids must be unique (see ``duplicate_ids``).
+
+    The folds do not depend on ``rows_per_piece``. ``df`` is read three times (its size, the sizes
+    of the pieces, the rows): pass a written table, as ``folded_table`` does.
     """
+    refuse_columns(df, ("fold", "_class", "_piece", "_n", "_start", "_rank"))
+    pieces = 1 + df.count() // rows_per_piece
     digest = order_hash(F.col(f"`{id_col}`"), seed)
     piece = F.floor(hash_position(digest) * F.lit(pieces)).cast("int")
     cut = df.withColumns({"_class": binary_label(F.col(f"`{label}`")), "_piece": piece})
 
     sizes = cut.groupBy("_class", "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    # Two classes, so at most 2 * pieces rows: small enough for one task and for broadcast.
+    # Two rows per piece, so a hundred-thousandth of the table: for one task and for broadcast.
     before = Window.orderBy("_class", "_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         "_class", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
@@ -59,7 +65,7 @@ def held_out_rows(folded: DataFrame, fold: int) -> DataFrame:
 
 def fold_class_counts(folded: DataFrame, label: str) -> DataFrame:
     """Rows per fold and class."""
-    return folded.groupBy("fold", label).agg(F.count(F.lit(1)).alias("n"))
+    return folded.groupBy("fold", f"`{label}`").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fold_sizes(folded: DataFrame) -> DataFrame:

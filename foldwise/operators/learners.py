@@ -13,7 +13,15 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.nulls import fill_aggregates, null_fill
 from foldwise.functions.scores import binary_label, positive_class
-from foldwise.operators.categories import index_stages, one_hot_stages, size_sketches, vocabulary
+from foldwise.operators.categories import (
+    category_dictionary,
+    index_categories,
+    index_stages,
+    one_hot_encoder,
+    vocabulary,
+    with_sizes,
+)
+from foldwise.operators.tables import refuse_columns
 from foldwise.operators.target_stats import (
     apply_target_stat,
     ordered_target_stat,
@@ -26,27 +34,27 @@ SEED = 96
 # MLlib's own default.
 MAX_BINS = 32
 
-# Every iteration of a fit pays per task. A table of at most this many rows is fitted in tasks of
-# about FIT_TASK_ROWS rows; larger tables keep the partitions of their scan.
-SMALL_FIT_ROWS = 1_000_000
-FIT_TASK_ROWS = 100_000
-
-# One-hot coefficients live on the driver and travel with every iteration.
-MAX_ONE_HOT = 100_000
+# The label as the learners read it, and what MLlib adds to a table.
+LABEL = "_label"
+RESERVED = (LABEL, "features", "rawPrediction", "probability", "prediction")
 
 
 @dataclass(frozen=True)
 class Arm:
     """One run: a learner, its parameters and the columns it sees.
 
-    ``derived`` maps the name of an added feature to its expression. The id is a feature only if
-    it is listed in ``numeric``.
+    How a category is encoded is declared and the same in every fold and fit. ``categorical`` are
+    nominal for trees, which need a bin for each category (one more than there are), and one-hot
+    for a logistic learner, however many there are. ``target_stat`` get an ordered target
+    statistic. ``derived`` maps the name of an added feature to its expression. The id is a feature
+    only if it is listed in ``numeric``.
     """
 
     run: str
     learner: str
     numeric: tuple[str, ...]
     categorical: tuple[str, ...] = ()
+    target_stat: tuple[str, ...] = ()
     derived: Mapping[str, Column] = field(default_factory=dict, compare=False)
     params: Mapping[str, object] = field(default_factory=dict, compare=False)
 
@@ -57,6 +65,7 @@ class Arm:
             run=run or f"{self.run} - {column}",
             numeric=tuple(c for c in self.numeric if c != column),
             categorical=tuple(c for c in self.categorical if c != column),
+            target_stat=tuple(c for c in self.target_stat if c != column),
             derived={n: e for n, e in self.derived.items() if n != column},
         )
 
@@ -72,101 +81,163 @@ class Arm:
 
 
 @dataclass(frozen=True)
-class FittedArm:
-    """A fitted arm: target-statistic tables for large categories, and a savable pipeline."""
+class Encodings:
+    """What scored rows look their categories up in.
+
+    ``stats`` are target-statistic tables; ``dictionaries`` are the one-hot dictionaries with their
+    sizes. A category whose statistic is a column of every row already has no entry.
+    """
 
-    arm: Arm
     id_col: str
     stats: Mapping[str, DataFrame]
+    dictionaries: Mapping[str, tuple[DataFrame, int]]
+
+    def add_to(self, df: DataFrame, categories: Sequence[str]) -> DataFrame:
+        """``df`` with the encodings of those of ``categories`` that have a table."""
+        rows = df
+        for c in categories:
+            if c in self.stats:
+                rows = apply_target_stat(
+                    rows, self.stats[c], self.id_col, c, stat_name(c), base=df
+                )
+            if c in self.dictionaries:
+                rows = self._indexed(rows, c)
+        return rows
+
+    def _indexed(self, rows: DataFrame, category: str) -> DataFrame:
+        table, size = self.dictionaries[category]
+        out = code_name(category)
+        return index_categories(rows, self.id_col, category, table, out=out, size=size)
+
+
+@dataclass(frozen=True)
+class FittedArm:
+    """A fitted arm: lookup tables for its categories, and a savable pipeline."""
+
+    arm: Arm
+    encodings: Encodings
     pipeline: PipelineModel
     inputs: tuple[str, ...]
 
+    @property
+    def looked_up(self) -> tuple[str, ...]:
+        one_hot = self.arm.categorical if self.arm.learner == "logistic" else ()
+        return (*self.arm.target_stat, *one_hot)
+
+    @property
+    def stats(self) -> Mapping[str, DataFrame]:
+        return {c: t for c, t in self.encodings.stats.items() if c in self.arm.target_stat}
+
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
         """``df`` with the probability of class 1 added."""
-        rows = df.withColumns(dict(self.arm.derived)) if self.arm.derived else df
-        for category, table in self.stats.items():
-            rows = apply_target_stat(
-                rows, table, self.id_col, category, stat_name(category), base=df
-            )
-        scored = self.pipeline.transform(rows).withColumn(out, positive_class(F.col("probability")))
-        return scored.select(*[F.col(f"`{c}`") for c in df.columns], out)
+        return score_all([self], df, [out])
 
     def importance(self) -> DataFrame:
-        """``(run, feature, importance)``, summing to 100, largest first."""
-        weights = self.pipeline.stages[-1].featureImportances.toArray()
+        """``(run, feature, importance, rank)``, summing to 100, largest first."""
+        model = self.pipeline.stages[-1]
+        if not hasattr(model, "featureImportances"):
+            raise ValueError(f"a {self.arm.learner!r} learner has no feature importances")
+        weights = model.featureImportances.toArray()
+        named = sorted(zip(self.inputs, weights, strict=True), key=lambda x: (-x[1], x[0]))
         rows = [
-            (self.arm.run, name, float(weight) * 100.0)
-            for name, weight in zip(self.inputs, weights, strict=True)
+            (self.arm.run, name, float(weight) * 100.0, rank)
+            for rank, (name, weight) in enumerate(named, 1)
         ]
-        schema = "run string, feature string, importance double"
-        table = SparkSession.active().createDataFrame(rows, schema)
-        return table.orderBy(F.desc("importance"), "feature")
+        schema = "run string, feature string, importance double, rank int"
+        return SparkSession.active().createDataFrame(rows, schema).orderBy("rank")
+
+
+def score_all(fitted: Sequence[FittedArm], df: DataFrame, outs: Sequence[str]) -> DataFrame:
+    """``df`` with the scores of arms that share their encodings: one scan, each lookup once."""
+    refuse_columns(df, (*RESERVED, *outs))
+    categories = dict.fromkeys(c for one in fitted for c in one.looked_up)
+    rows = fitted[0].encodings.add_to(df, list(categories))
+    kept = rows.columns
+    for one, out in zip(fitted, outs, strict=True):
+        wide = rows.withColumns(dict(one.arm.derived)) if one.arm.derived else rows
+        scored = one.pipeline.transform(wide)
+        scored = scored.withColumn(out, positive_class(F.col("probability")))
+        kept = [*kept, out]
+        rows = scored.select(*[F.col(f"`{c}`") for c in kept])
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], *outs)
 
 
 @dataclass(frozen=True)
 class TrainingRows:
     """Training rows with their categories encoded, to be shared by all arms fitted on them.
 
-    ``stats`` holds the tables that scored rows look their statistics up in; it has no entry for a
-    category whose statistic is a column of every row already.
+    ``nominal`` are the categories trees see as such. ``n_rows`` and ``known`` (minimum and mean of
+    every number, by column, and by run for derived ones) come from one pass for all arms.
     """
 
     rows: DataFrame
-    id_col: str
-    categories: Mapping[str, list[str] | None]
-    stats: Mapping[str, DataFrame]
+    encodings: Encodings
+    nominal: Mapping[str, list[str]]
+    n_rows: int
+    known: Mapping[tuple[str | None, str], tuple[float | None, float | None]]
 
 
 def prepare_training(
     train: DataFrame, arms: Sequence[Arm], id_col: str, label: str, encoded: Sequence[str] = ()
 ) -> TrainingRows:
-    """Check the label and encode the categories that the tree arms use.
+    """Check the label, encode the arms' categories and learn their fill values.
 
-    A category that fits in an arm's bins is nominal there; one that does not gets an ordered
-    target statistic, computed and written once however many arms use it. ``encoded`` names
-    categories whose statistic ``train`` already has.
+    Statistics and one-hot indices are computed and written once however many arms use them.
+    ``encoded`` names categories whose statistic ``train`` already has.
     """
-    base = train.withColumn("label", binary_label(F.col(f"`{label}`")))
-    bins = _category_limits(arms)
-    categories = vocabulary(base, list(bins), _largest_limit(bins))
-    rows, stats = base, {}
-    for category in _too_large(categories, bins):
-        if category not in encoded:
-            table = target_stat_table(base, category, "label")
-            stats[category] = materialize(table, "target-stats")
-            rows = ordered_target_stat(
-                rows, id_col, category, "label", stat_name(category), seed=SEED, base=base
-            )
-    if stats:
-        rows = materialize(rows, "target-encoded")
-    return TrainingRows(rows, id_col, categories, stats)
-
-
-def large_categories(df: DataFrame, arms: Sequence[Arm]) -> list[str]:
-    """Categories that do not fit in the bins of every tree arm that uses them."""
-    bins = _category_limits(arms)
-    return _too_large(vocabulary(df, list(bins), _largest_limit(bins)), bins)
-
-
-def _category_limits(arms: Sequence[Arm]) -> dict[str, list[int]]:
+    unknown = sorted({a.learner for a in arms} - {"logistic", "gbt"})
+    if unknown:
+        raise ValueError(f"unknown learner {unknown[0]!r}")
+    refuse_columns(train, RESERVED)
+    base = train.withColumn(LABEL, binary_label(F.col(f"`{label}`")))
     bins: dict[str, list[int]] = {}
     for arm in arms:
         if arm.learner == "gbt":
             for category in arm.categorical:
                 bins.setdefault(category, []).append(_category_limit(arm))
-    return bins
-
+    nominal = vocabulary(base, list(bins), [min(limits) for limits in bins.values()])
 
-def _largest_limit(bins: Mapping[str, Sequence[int]]) -> int:
-    return max((max(limits) for limits in bins.values()), default=0)
-
-
-def _too_large(
-    categories: Mapping[str, list[str] | None], bins: Mapping[str, Sequence[int]]
-) -> list[str]:
-    return [
-        c for c, limits in bins.items() if categories[c] is None or len(categories[c]) > min(limits)
-    ]
+    rows, stats, dictionaries = base, {}, {}
+    for category in dict.fromkeys(c for arm in arms for c in arm.target_stat):
+        if category not in encoded:
+            table = target_stat_table(base, category, LABEL)
+            stats[category] = materialize(table, "target-stats")
+            rows = ordered_target_stat(
+                rows, id_col, category, LABEL, stat_name(category), seed=SEED, base=base
+            )
+    one_hot = [c for arm in arms if arm.learner == "logistic" for c in arm.categorical]
+    for category in dict.fromkeys(one_hot):
+        table = materialize(category_dictionary(base, category), "dictionary")
+        dictionaries[category] = (table, table.count())
+    encodings = Encodings(id_col, stats, dictionaries)
+    for category in dictionaries:
+        rows = encodings._indexed(rows, category)
+    if stats or dictionaries:
+        rows = materialize(rows, "encoded")
+    return TrainingRows(rows, encodings, nominal, *_fill_values(rows, arms))
+
+
+def _fill_values(rows: DataFrame, arms: Sequence[Arm]) -> tuple[int, dict]:
+    """Row count, and minimum and mean of every number that any arm uses: one pass."""
+    keys = dict.fromkeys((None, c) for arm in arms for c in arm.numeric)
+    plain = [c for _, c in keys]
+    wide, names = rows, [f"_n{i}" for i in range(len(plain))]
+    wide = rows.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(plain, names, strict=True)],
+        *[
+            expression.alias(f"_d{i}_{j}")
+            for i, arm in enumerate(arms)
+            for j, expression in enumerate(arm.derived.values())
+        ],
+    )
+    for arm in arms:
+        keys |= dict.fromkeys((arm.run, name) for name in arm.derived)
+    columns = wide.columns
+    seen = wide.agg(
+        F.count(F.lit(1)), *fill_aggregates(columns, True), *fill_aggregates(columns, False)
+    ).first()
+    least, means = seen[1 : 1 + len(columns)], seen[1 + len(columns) :]
+    return seen[0], dict(zip(keys, zip(least, means, strict=True), strict=True))
 
 
 def fit_arm(train: DataFrame, arm: Arm, id_col: str, label: str) -> FittedArm:
@@ -177,77 +248,58 @@ def fit_arm(train: DataFrame, arm: Arm, id_col: str, label: str) -> FittedArm:
 def fit_prepared(train: TrainingRows, arm: Arm) -> FittedArm:
     """Fit an arm on training rows that were prepared for it (and perhaps for others)."""
     rows = train.rows.withColumns(dict(arm.derived)) if arm.derived else train.rows
-    numeric = [*arm.numeric, *arm.derived]
-    if arm.learner == "logistic":
-        return _fit_logistic(train, rows, arm, numeric)
-    if arm.learner == "gbt":
-        return _fit_gbt(train, rows, arm, numeric)
-    raise ValueError(f"unknown learner {arm.learner!r}")
-
-
-def _fit_logistic(
-    train: TrainingRows, rows: DataFrame, arm: Arm, numeric: list[str]
-) -> FittedArm:
-    """L2 logistic regression on raw numbers and one-hot categories."""
-    # One pass for the row count, the fill values and the sizes of the categories.
-    seen = rows.agg(
-        F.count(F.lit(1)), *fill_aggregates(numeric, False), *size_sketches(arm.categorical)
-    ).first()
-    n_rows, known, sizes = seen[0], seen[1 : 1 + len(numeric)], seen[1 + len(numeric) :]
-    categories = vocabulary(rows, arm.categorical, MAX_ONE_HOT, sizes)
-    too_large = [c for c, values in categories.items() if values is None]
-    if too_large:
-        raise ValueError(f"more than {MAX_ONE_HOT} categories to one-hot encode in {too_large}")
+    fit = {"logistic": _fit_logistic, "gbt": _fit_gbt}[arm.learner]
+    return fit(train, rows, arm)
+
+
+def _known(train: TrainingRows, arm: Arm, place: int) -> tuple[list[str], list[float | None]]:
+    """The arm's numbers, and their minimum (0) or mean (1)."""
+    keys = [*((None, c) for c in arm.numeric), *((arm.run, n) for n in arm.derived)]
+    return [c for _, c in keys], [train.known[k][place] for k in keys]
+
+
+def _fit_logistic(train: TrainingRows, rows: DataFrame, arm: Arm) -> FittedArm:
+    """L2 logistic regression on raw numbers, target statistics and one-hot categories."""
+    numeric, known = _known(train, arm, 1)
     stages, inputs, names = [], [], []
     if numeric:
         fill = null_fill(numeric, known, for_trees=False)
         stages.append(fill.stage())
         inputs += fill.outputs
         names += [*numeric, *(f"{c} missing" for c in numeric)]
-    if categories:
-        stages += one_hot_stages(categories)
-        inputs += [f"{c}__hot" for c in categories]
-        names += [f"{c}_{v}" for c, values in categories.items() for v in values]
+    inputs += [stat_name(c) for c in arm.target_stat]
+    if arm.categorical:
+        sizes = {c: train.encodings.dictionaries[c][1] for c in arm.categorical}
+        rows = with_sizes(rows, sizes)
+        stages.append(one_hot_encoder(sizes))
+        inputs += [f"{c}__hot" for c in arm.categorical]
     params = {"C": 1.0, "maxIter": 100, "elasticNetParam": 0.0, "standardization": False}
     params.update(arm.params)
     # A penalty of C on the summed loss is 1 / (C n) on the mean loss that MLlib minimises.
-    penalty = 1.0 / (params.pop("C") * max(n_rows, 1))
+    penalty = 1.0 / (params.pop("C") * max(train.n_rows, 1))
     params.setdefault("regParam", penalty)
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    stages.append(LogisticRegression(featuresCol="features", labelCol="label", **params))
-    fitted = Pipeline(stages=stages).fit(_in_few_tasks(rows, n_rows))
-    return FittedArm(arm, train.id_col, {}, fitted, tuple(names))
+    stages.append(LogisticRegression(featuresCol="features", labelCol=LABEL, **params))
+    fitted = Pipeline(stages=stages).fit(rows)
+    return FittedArm(arm, train.encodings, fitted, (*names, *arm.target_stat, *arm.categorical))
 
 
-def _fit_gbt(train: TrainingRows, rows: DataFrame, arm: Arm, numeric: list[str]) -> FittedArm:
+def _fit_gbt(train: TrainingRows, rows: DataFrame, arm: Arm) -> FittedArm:
     """Boosted trees on nominal categories, target statistics and filled numbers."""
     shared_dir(rows.sparkSession)  # names the folder in which boosting cuts its own lineage
-    nominal, large = {}, []
-    for category in arm.categorical:
-        values = train.categories[category]
-        if values is not None and len(values) <= _category_limit(arm):
-            nominal[category] = values
-        else:
-            large.append(category)
-    stages = index_stages(nominal)
-    inputs = [f"{c}__idx" for c in nominal] + [stat_name(c) for c in large]
-    n_rows, *known = rows.agg(F.count(F.lit(1)), *fill_aggregates(numeric, True)).first()
+    stages = index_stages({c: train.nominal[c] for c in arm.categorical})
+    inputs = [f"{c}__idx" for c in arm.categorical] + [stat_name(c) for c in arm.target_stat]
+    numeric, known = _known(train, arm, 0)
     if numeric:
         fill = null_fill(numeric, known, for_trees=True)
         stages.append(fill.stage())
         inputs += fill.outputs
     params = {"maxBins": MAX_BINS, "seed": SEED, "checkpointInterval": 10, **arm.params}
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    stages.append(GBTClassifier(featuresCol="features", labelCol="label", **params))
-    stats = {c: train.stats[c] for c in large if c in train.stats}
-    fitted = Pipeline(stages=stages).fit(_in_few_tasks(rows, n_rows))
-    return FittedArm(arm, train.id_col, stats, fitted, (*nominal, *large, *numeric))
-
-
-def _in_few_tasks(rows: DataFrame, n_rows: int) -> DataFrame:
-    if n_rows > SMALL_FIT_ROWS:
-        return rows
-    return rows.coalesce(max(1, -(-n_rows // FIT_TASK_ROWS)))
+    stages.append(GBTClassifier(featuresCol="features", labelCol=LABEL, **params))
+    fitted = Pipeline(stages=stages).fit(rows)
+    names = (*arm.categorical, *arm.target_stat, *numeric)
+    return FittedArm(arm, train.encodings, fitted, names)
 
 
 def _category_limit(arm: Arm) -> int:
@@ -257,3 +309,7 @@ def _category_limit(arm: Arm) -> int:
 
 def stat_name(category: str) -> str:
     return f"{category}__stat"
+
+
+def code_name(category: str) -> str:
+    return f"{category}__code"

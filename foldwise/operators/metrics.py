@@ -71,7 +71,9 @@ def score_cuts(df: DataFrame, score: str = "score", ranges: int = SCORE_RANGES)
 
     Sketched map-side. The sketches of the input partitions are merged in ``SKETCH_GROUPS`` groups
     rather than in one task, and the driver sees ``ranges`` quantiles of each group. If that leaves
-    more than ``ROWS_PER_RANGE`` rows to a range, the scores are sketched again, finer.
+    more than ``ROWS_PER_RANGE`` rows to a range, the scores are sketched again, finer. ``df`` is
+    evaluated for each sketch and again by the measure itself: pass written scores, not a plan that
+    still has to score.
     """
     if ranges < 2:
         return []

@@ -5,27 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/PARTS of the rows, so there are fewer than PARTS hot keys
-# however large the table is. That is the bound which lets their table be broadcast.
-PARTS = 4096
+# A key is hot when it holds more rows than one task should take, so a table of N rows has fewer
+# than N / ROWS_PER_PIECE hot keys: a millionth of the table, which may be broadcast.
+ROWS_PER_PIECE = 1_000_000
 
-# Below this many rows a key is handled by one task without splitting.
-MIN_HOT_ROWS = 1_000_000
 
-
-def hot_keys(
-    df: DataFrame, key: str, parts: int = PARTS, min_rows: int = MIN_HOT_ROWS
-) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
     """Hot keys (as strings) and the number of pieces to cut each into: ``(hot_key, pieces)``.
 
-    At most ``parts`` rows, and the pieces add up to at most ``2 * parts``.
+    Keys and pieces grow with the table: fewer than ``n / rows_per_piece`` keys and at most twice
+    as many pieces.
     """
     value = F.col(f"`{key}`").cast("string")
     counts = df.groupBy(value.alias("hot_key")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    share = F.col("n") * F.lit(parts) / F.greatest(total, F.lit(1))
-    return counts.where((F.col("n") > F.lit(min_rows)) & (share > F.lit(1))).select(
-        "hot_key", F.ceil(share).cast("int").alias("pieces")
+    return counts.where(F.col("n") > F.lit(rows_per_piece)).select(
+        "hot_key", F.ceil(F.col("n") / F.lit(rows_per_piece)).cast("int").alias("pieces")
     )
 
 

@@ -22,7 +22,14 @@ def split_label(
     """
     if label_is_last and df.columns[-1] != label:
         raise ValueError(f"label {label!r} is not the last column of {df.columns}")
-    return df.drop(label), df.select(id_col, F.col(label).cast("int").alias("label"))
+    return df.drop(label), df.select(f"`{id_col}`", F.col(f"`{label}`").cast("int").alias("label"))
+
+
+def refuse_columns(df: DataFrame, names: Sequence[str]) -> None:
+    """An error for columns whose names an operator needs for its own."""
+    taken = sorted(set(names) & set(df.columns))
+    if taken:
+        raise ValueError(f"these column names are reserved, rename them: {taken}")
 
 
 def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -77,8 +84,8 @@ def _check_table(role: str, table: DataFrame, needed: list[str], spec: TableSpec
     return table.agg(
         F.lit(role).alias("role"),
         F.count(F.lit(1)).alias("n_rows"),
-        F.countDistinct(spec.id).alias("n_ids"),
-        F.count(F.when(F.col(spec.id).isNull(), 1)).alias("n_null_ids"),
+        F.countDistinct(f"`{spec.id}`").alias("n_ids"),
+        F.count(F.when(F.col(f"`{spec.id}`").isNull(), 1)).alias("n_null_ids"),
         F.count(wrong_label).alias("n_wrong_labels"),
         F.lit(missing).alias("missing_columns"),
         F.lit(extra).alias("extra_columns"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import hash_position, order_hash
-from foldwise.operators.skew import MIN_HOT_ROWS, PARTS, hot_keys, lookup, with_piece
+from foldwise.operators.skew import ROWS_PER_PIECE, hot_keys, lookup, with_piece
 
 
 def ordered_target_stat(
@@ -18,8 +18,7 @@ def ordered_target_stat(
     prior: float = 0.5,
     weight: float = 1.0,
     seed: int = 96,
-    parts: int = PARTS,
-    min_rows: int = MIN_HOT_ROWS,
+    rows_per_piece: int = ROWS_PER_PIECE,
     base: DataFrame | None = None,
 ) -> DataFrame:
     """Statistic of each training row from the rows of its category that come before it.
@@ -32,17 +31,17 @@ def ordered_target_stat(
     these: sizes and sums are taken from it.
     """
     base = train if base is None else base
-    hot = hot_keys(base, category, parts, min_rows)
-    digest = order_hash(F.col(id_col), seed)
+    hot = hot_keys(base, category, rows_per_piece)
+    digest = order_hash(F.col(f"`{id_col}`"), seed)
     key = F.col(f"`{category}`")
 
-    narrow = base.select(id_col, key, label)
+    narrow = base.select(f"`{id_col}`", key, f"`{label}`")
     pieces = with_piece(narrow, category, hash_position(digest), hot).where("_piece IS NOT NULL")
     totals = pieces.groupBy(key.alias("_key"), F.col("_piece").alias("_part")).agg(
-        F.sum(label).alias("_s"), F.count(label).alias("_n")
+        F.sum(f"`{label}`").alias("_s"), F.count(f"`{label}`").alias("_n")
     )
     before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 2 * parts rows: the pieces of the hot categories.
+    # The pieces of the hot categories: at most two per ``rows_per_piece`` rows of the table.
     carried = totals.select(
         "_key",
         "_part",
@@ -53,11 +52,11 @@ def ordered_target_stat(
     placed = with_piece(train, category, hash_position(digest), hot).repartition(key, "_piece")
     earlier = (
         Window.partitionBy(key, "_piece")
-        .orderBy(digest, F.col(id_col))
+        .orderBy(digest, F.col(f"`{id_col}`"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     running = placed.withColumns(
-        {"_s1": F.sum(label).over(earlier), "_n1": F.count(label).over(earlier)}
+        {"_s1": F.sum(f"`{label}`").over(earlier), "_n1": F.count(f"`{label}`").over(earlier)}
     )
     same_piece = key.eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_part"))
     joined = running.join(F.broadcast(carried), same_piece, "left")
@@ -77,8 +76,7 @@ def fold_target_stats(
     prior: float = 0.5,
     weight: float = 1.0,
     seed: int = 96,
-    parts: int = PARTS,
-    min_rows: int = MIN_HOT_ROWS,
+    rows_per_piece: int = ROWS_PER_PIECE,
     base: DataFrame | None = None,
 ) -> DataFrame:
     """The category's statistic for every held-out fold at once: ``out`` is an array of ``k``.
@@ -89,23 +87,23 @@ def fold_target_stats(
     so ``k`` encodings cost one exchange instead of ``k`` and the held-out rows need no join.
     """
     base = folded if base is None else base
-    hot = hot_keys(base, category, parts, min_rows)
-    digest = order_hash(F.col(id_col), seed)
+    hot = hot_keys(base, category, rows_per_piece)
+    digest = order_hash(F.col(f"`{id_col}`"), seed)
     key = F.col(f"`{category}`")
     # Label sum and row count: of all rows, and of each fold.
-    sums = {"s": F.sum(label), "n": F.count(label)}
+    sums = {"s": F.sum(f"`{label}`"), "n": F.count(f"`{label}`")}
     for f in range(k):
-        own = F.when(F.col("fold") == f, F.col(label))
+        own = F.when(F.col("fold") == f, F.col(f"`{label}`"))
         sums |= {f"s{f}": F.sum(own), f"n{f}": F.count(own)}
 
-    narrow = base.select(id_col, key, label, "fold")
+    narrow = base.select(f"`{id_col}`", key, f"`{label}`", "fold")
     pieces = with_piece(narrow, category, hash_position(digest), hot).where("_piece IS NOT NULL")
     totals = pieces.groupBy(key.alias("_key"), F.col("_piece").alias("_part")).agg(
         *[value.alias(name) for name, value in sums.items()]
     )
     whole_key = Window.partitionBy("_key")
     before = whole_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 2 * parts rows: the pieces of the hot categories.
+    # The pieces of the hot categories: at most two per ``rows_per_piece`` rows of the table.
     carried = totals.select(
         "_key",
         "_part",
@@ -115,7 +113,7 @@ def fold_target_stats(
 
     placed = with_piece(folded, category, hash_position(digest), hot).repartition(key, "_piece")
     whole = Window.partitionBy(key, "_piece")
-    earlier = whole.orderBy(digest, F.col(id_col)).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.orderBy(digest, F.col(f"`{id_col}`")).rowsBetween(Window.unboundedPreceding, -1)
     running = placed.withColumns(
         {f"_run_{name}": value.over(earlier) for name, value in sums.items()}
         | {f"_all_{name}": value.over(whole) for name, value in sums.items()}
@@ -144,7 +142,7 @@ def target_stat_table(train: DataFrame, category: str, label: str) -> DataFrame:
     """Label sum and count per category over all training rows: ``(lookup_key, s, n)``."""
     value = F.col(f"`{category}`").cast("string")
     return train.groupBy(value.alias("lookup_key")).agg(
-        F.sum(label).alias("s"), F.count(label).alias("n")
+        F.sum(f"`{label}`").alias("s"), F.count(f"`{label}`").alias("n")
     )
 
 
@@ -156,15 +154,14 @@ def apply_target_stat(
     out: str = "stat",
     prior: float = 0.5,
     weight: float = 1.0,
-    parts: int = PARTS,
-    min_rows: int = MIN_HOT_ROWS,
+    rows_per_piece: int = ROWS_PER_PIECE,
     base: DataFrame | None = None,
 ) -> DataFrame:
     """Statistic of rows outside the training set; an unseen category gets the prior.
 
     ``base`` holds the same rows at less cost, as in ``ordered_target_stat``.
     """
-    hot = hot_keys(df if base is None else base, category, parts, min_rows)
+    hot = hot_keys(df if base is None else base, category, rows_per_piece)
     found = lookup(df, table, category, id_col, hot)
     zero = F.lit(0)
     stat = _smoothed(F.coalesce("s", zero), F.coalesce("n", zero), prior, weight)

@@ -40,10 +40,11 @@ FROM orders o CROSS JOIN n LEFT JOIN d ON CAST(o.o_custkey AS STRING) = d.c
 """
 
 ORACLE_SQL["one_hot"] = """
-SELECT o_orderkey AS id, CAST(o_orderpriority = '1-URGENT' AS INT) AS p_1, CAST(o_orderpriority
-= '2-HIGH' AS INT) AS p_2, CAST(o_orderpriority = '3-MEDIUM' AS INT) AS p_3,
-CAST(o_orderpriority = '4-NOT SPECIFIED' AS INT) AS p_4, CAST(o_orderpriority = '5-LOW' AS INT)
-AS p_5 FROM orders
+WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN ''
+ELSE o_orderpriority END AS c FROM orders WHERE o_orderkey % 5 = 0) SELECT id,
+CAST(c = '1-URGENT' AS INT) AS "priority_1-URGENT", CAST(c = '2-HIGH' AS INT) AS
+"priority_2-HIGH", CAST(c = '3-MEDIUM' AS INT) AS "priority_3-MEDIUM", CAST(c = '4-NOT SPECIFIED' AS INT) AS "priority_4-NOT SPECIFIED", CAST(c = '5-LOW' AS INT) AS "priority_5-LOW"
+FROM t
 """
 
 ORACLE_SQL["one_hot_align"] = """
@@ -155,7 +156,7 @@ SELECT 'constant_one' AS feature, CAST(0 AS DOUBLE) AS importance
 """
 
 ORACLE_SQL["csv_scan"] = """
-SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders
 """
 
 ORACLE_SQL["bundle_check"] = """
@@ -186,12 +187,10 @@ GROUP BY long) SELECT t.id AS id, round(1.0E0 / (1.0E0 + exp(-2.0E0 * (2.0E0 * g
 """
 
 ORACLE_SQL["table_shape"] = """
-SELECT 0 AS position, 'o_orderkey' AS "column", 'bigint' AS dtype, count(*) AS n_rows FROM
-orders UNION ALL SELECT 1 AS position, 'o_custkey' AS "column", 'bigint' AS dtype, count(*) AS
-n_rows FROM orders UNION ALL SELECT 2 AS position, 'o_orderstatus' AS "column", 'string' AS
-dtype, count(*) AS n_rows FROM orders UNION ALL SELECT 3 AS position, 'o_totalprice' AS
-"column", 'double' AS dtype, count(*) AS n_rows FROM orders UNION ALL SELECT 4 AS position,
-'o_orderpriority' AS "column", 'string' AS dtype, count(*) AS n_rows FROM orders
+SELECT c.position, c."column", c.dtype, count(*) AS n_rows FROM orders, (VALUES (0,
+'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'), (3,
+'o_totalprice', 'double'), (4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority',
+'string')) c(position, "column", dtype) GROUP BY ALL
 """
 
 ORACLE_SQL["duplicate_ids"] = """
@@ -240,7 +239,7 @@ f.fold AS fold, f.y AS label, round(1.0E0 / (1.0E0 + exp(-2.0E0 * (2.0E0 * r.rat
 AS p FROM f JOIN r ON f.fold = r.fold AND f.long = r.long
 """
 
-ORACLE_SQL["cv_stump"] = """
+ORACLE_SQL["cv_gbt"] = """
 WITH t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, CAST(d.n_chars > 1000 AS INT) AS
 long, CAST(d.lang = 'en' AS INT) AS english, md5(concat('96:', CAST(l.doc_id AS STRING))) AS h
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id), f AS (SELECT id, y, long, english,
@@ -254,7 +253,7 @@ PRECEDING), 0) AS b FROM g) SELECT fold, round(sum(p * (b + 0.5E0 * n)) / (CAST(
 DOUBLE) * CAST(sum(n) AS DOUBLE)), 6) AS auc FROM c GROUP BY fold
 """
 
-ORACLE_SQL["ablation_stump"] = """
+ORACLE_SQL["ablation"] = """
 WITH t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, CAST(d.n_chars > 1000 AS INT) AS
 long, CAST(d.lang = 'en' AS INT) AS english, md5(concat('96:', CAST(l.doc_id AS STRING))) AS h
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id), f AS (SELECT id, y, long, english,
@@ -276,7 +275,7 @@ FROM c GROUP BY run, fold) SELECT run, round(avg(auc), 6) AS mean_auc, round(std
 AS std_auc FROM a GROUP BY run
 """
 
-ORACLE_SQL["feature_trial_stump"] = """
+ORACLE_SQL["feature_trial"] = """
 WITH t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, CAST(d.n_chars > 1000 AS INT) AS
 long, CAST(d.lang = 'en' AS INT) AS english, md5(concat('96:', CAST(l.doc_id AS STRING))) AS h
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id), f AS (SELECT id, y, long, english,
@@ -306,7 +305,7 @@ exp(-2.0E0 * (a.f + 0.3E0 * r.g))), 9) AS p FROM t JOIN a ON t.long = a.long JOI
 r.long
 """
 
-ORACLE_SQL["sweep_stump"] = """
+ORACLE_SQL["sweep"] = """
 WITH t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, CAST(d.n_chars > 1000 AS INT) AS
 long, CAST(d.lang = 'en' AS INT) AS english, md5(concat('96:', CAST(l.doc_id AS STRING))) AS h
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id), f AS (SELECT id, y, long, english,
@@ -326,9 +325,67 @@ CAST(sum(n) AS DOUBLE)) AS auc FROM c GROUP BY run, fold) SELECT run, round(avg(
 mean_auc, round(stddev_pop(auc), 6) AS std_auc FROM a GROUP BY run
 """
 
-ORACLE_SQL["submission_stump"] = """
+ORACLE_SQL["submission"] = """
 WITH t AS (SELECT l.doc_id AS id, d.n_chars > 1000 AS long, CAST(l.quality AS DOUBLE) AS y FROM
 labels l JOIN documents d ON l.doc_id = d.doc_id), r AS (SELECT long, avg(y) AS rate FROM t
 WHERE id % 5 <> 0 GROUP BY long) SELECT t.id AS id, round(1.0E0 / (1.0E0 + exp(-2.0E0 * (2.0E0 *
 r.rate - 1.0E0))), 9) AS p FROM t JOIN r ON t.long = r.long WHERE t.id % 5 = 0
 """
+
+ORACLE_SQL["label_split_features"] = """
+SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS customer, o_orderpriority AS priority FROM
+orders WHERE o_orderkey % 5 <> 0
+"""
+
+ORACLE_SQL["blend_two_files"] = """
+SELECT o_orderkey AS id, round(((o_orderkey * 37 % 101) / 101.0E0 + (o_orderkey * 53 % 97) /
+97.0E0) / 2, 9) AS p FROM orders WHERE o_orderkey % 10 <> 3
+"""
+
+ORACLE_SQL["bundle_folder"] = ORACLE_SQL["bundle_check"]
+for _name in ("category_index", "ordered_target_stat", "target_stat_apply", "fold_target_stats"):
+    ORACLE_SQL[f"{_name}_split"] = ORACLE_SQL[_name]
+
+ORACLE_SQL["importance_table"] = """
+WITH t AS (SELECT CAST(l.quality AS DOUBLE) AS y, CAST(d.n_chars > 1000 AS INT) AS long,
+CAST(d.lang = 'en' AS INT) AS english FROM labels l JOIN documents d ON l.doc_id = d.doc_id), v
+AS (SELECT 'long' AS feature, long AS x, y FROM t UNION ALL SELECT 'english', english, y FROM
+t), g AS (SELECT feature, x, count(*) AS n, avg(y) AS rate FROM v GROUP BY feature, x), q AS
+(SELECT feature, sum(n * rate * rate) AS fit FROM g GROUP BY feature), r AS (SELECT feature,
+CAST(row_number() OVER (ORDER BY fit DESC) AS INT) AS rank FROM q) SELECT 'both' AS run,
+feature, CASE WHEN rank = 1 THEN 100.0E0 ELSE 0.0E0 END AS importance, rank FROM r
+"""
+
+ORACLE_SQL["leafwise_score"] = ORACLE_SQL["boosted_stump_score"].replace("0.3E0", "0.05E0")
+
+ORACLE_SQL["cv_logistic"] = """
+WITH t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, d.lang AS lang,
+md5(concat('96:', CAST(l.doc_id AS STRING))) AS h FROM labels l JOIN documents d ON l.doc_id =
+d.doc_id), f AS (SELECT id, y, lang, CAST((row_number() OVER (ORDER BY y, h, id) - 1) % 5 AS
+INT) AS fold FROM t), k AS (SELECT DISTINCT fold FROM f), r AS (SELECT k.fold AS fold, f.lang AS
+lang, round(avg(CAST(f.y AS DOUBLE)), 6) AS rate FROM f CROSS JOIN k WHERE f.fold <> k.fold
+GROUP BY k.fold, f.lang), s AS (SELECT f.fold AS fold, f.y AS y, r.rate AS s FROM f JOIN r ON
+f.fold = r.fold AND f.lang = r.lang), g AS (SELECT fold, s, sum(y) AS p, sum(1 - y) AS n FROM s
+GROUP BY fold, s), c AS (SELECT fold, p, n, coalesce(sum(n) OVER (PARTITION BY fold ORDER BY s
+ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g) SELECT fold, round(sum(p * (b
++ 0.5E0 * n)) / (CAST(sum(p) AS DOUBLE) * CAST(sum(n) AS DOUBLE)), 6) AS auc FROM c GROUP BY
+fold
+"""
+
+ORACLE_SQL["cv_target_stat"] = """
+WITH t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, d.source AS c, md5(concat('96:',
+CAST(l.doc_id AS STRING))) AS h FROM labels l JOIN documents d ON l.doc_id = d.doc_id), f AS
+(SELECT id, c, y, h, CAST((row_number() OVER (ORDER BY y, h, id) - 1) % 5 AS INT) AS fold FROM
+t), k AS (SELECT DISTINCT fold AS held_out FROM f), x AS (SELECT id, c, h, y, fold, held_out,
+CASE WHEN fold <> held_out THEN y ELSE 0 END AS s, CASE WHEN fold <> held_out THEN 1 ELSE 0 END
+AS n FROM f CROSS JOIN k), w AS (SELECT id, y, fold, held_out, sum(s) OVER (PARTITION BY
+held_out, c) AS s_all, sum(n) OVER (PARTITION BY held_out, c) AS n_all, coalesce(sum(s) OVER
+(PARTITION BY held_out, c ORDER BY h, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+AS s_run, coalesce(sum(n) OVER (PARTITION BY held_out, c ORDER BY h, id ROWS BETWEEN UNBOUNDED
+PRECEDING AND 1 PRECEDING), 0) AS n_run FROM x), e AS (SELECT id, y, fold, held_out, CASE WHEN
+fold = held_out THEN (s_all + 0.5E0) / (n_all + 1) ELSE (s_run + 0.5E0) / (n_run + 1) END > 0.85
+AS high FROM w), r AS (SELECT held_out, high, avg(CAST(y AS DOUBLE)) AS rate FROM e WHERE fold
+<> held_out GROUP BY held_out, high) SELECT e.id AS id, e.fold AS fold, e.y AS label,
+round(1.0E0 / (1.0E0 + exp(-2.0E0 * (2.0E0 * r.rate - 1.0E0))), 9) AS p FROM e JOIN r ON
+e.held_out = r.held_out AND e.high = r.high WHERE e.fold = e.held_out
+"""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -13,96 +13,119 @@ from pyspark.sql import functions as F
 from foldwise.functions.scores import binary_label
 from foldwise.operators.folds import held_out_rows, stratified_folds, training_rows
 from foldwise.operators.learners import (
+    LABEL,
     SEED,
     Arm,
+    FittedArm,
     TrainingRows,
     fit_prepared,
-    large_categories,
     prepare_training,
+    score_all,
     stat_name,
 )
 from foldwise.operators.metrics import fold_summary, roc_auc
+from foldwise.operators.tables import refuse_columns
 from foldwise.operators.target_stats import fold_target_stats
 from foldwise.workspace import materialize
 
-SMALL_TABLE_ROWS = 1_000_000
-SMALL_TABLE_FITS = 8
+# Fits that run side by side unless the caller says otherwise. A fit holds its own binned copy of
+# its training rows while it runs.
+PARALLELISM = 4
 
 
 def folded_table(
     df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = SEED
 ) -> DataFrame:
-    """The table with its folds, written once so that every fit of every arm reads it.
+    """The table with its folds, written so that every fit of every arm reads it.
 
-    Partitioned by fold: training and held-out rows are partition-pruned scans.
+    Partitioned by fold: training and held-out rows are partition-pruned scans. ``df`` is evaluated
+    once: it is written first, and the folds are numbered from what is written.
     """
-    folded = stratified_folds(df, id_col, label, k, seed)
+    folded = stratified_folds(materialize(df, "source"), id_col, label, k, seed)
     return materialize(folded, "folded", partition_by=("fold",))
 
 
+def in_threads(spark, task: Callable, arguments: Sequence, parallelism: int) -> list:
+    """``task`` of every argument, some side by side, each with local properties of its own.
+
+    The wrapper copies the properties when it is made, and a thread that runs under it uses that
+    very copy. So every task gets its own wrapper: tasks that shared one would see each other's
+    job ids and tags.
+    """
+    wrapped = [inheritable_thread_target(spark)(partial(task, a)) for a in arguments]
+    with ThreadPool(max(1, min(parallelism, len(wrapped)))) as pool:
+        return pool.map(lambda run: run(), wrapped, chunksize=1)
+
+
 def out_of_fold(
     folded: DataFrame,
     arms: Sequence[Arm],
     id_col: str,
     label: str,
     k: int = 5,
-    parallelism: int | None = None,
+    parallelism: int = PARALLELISM,
 ) -> DataFrame:
     """Fit every arm on k - 1 folds and score the remaining one: ``(run, fold, id, label, score)``.
 
-    Each fit is itself a distributed job. ``parallelism`` is how many run side by side; by default
-    small tables, whose fits are mostly scheduling, are fitted ``SMALL_TABLE_FITS`` at a time, and
-    larger ones one at a time, as a fit keeps its own copy of its training rows. Large categories are encoded for all folds in one pass and
-    the result is shared by the arms. Every row is scored once per arm, by a model and encodings
-    that have not seen it or the labels of its fold.
+    Each fit is itself a distributed job; ``parallelism`` is how many run side by side. Target
+    statistics are encoded for all folds in one pass; dictionaries and fill values are learnt once
+    per fold, and all arms of a fold score it in one scan. Every row is scored once per arm, by a
+    model and encodings that have not seen it or the labels of its fold.
     """
     if len({arm.run for arm in arms}) < len(arms):
         raise ValueError(f"run names are not unique: {[arm.run for arm in arms]}")
+    outs = [f"_score_{i}" for i in range(len(arms))]
+    refuse_columns(folded, (LABEL, *outs))
     spark = folded.sparkSession
-    large = large_categories(folded, arms)
-    encoded = _encode_folds(folded, large, id_col, label, k) if large else folded
+    stats = list(dict.fromkeys(c for arm in arms for c in arm.target_stat))
+    encoded = _encode_folds(folded, stats, id_col, label, k) if stats else folded
 
     def rows_for(fold: int, part: DataFrame) -> DataFrame:
-        own = {stat_name(c): F.element_at(_stats_name(c), fold + 1) for c in large}
-        return part.withColumns(own).drop(*map(_stats_name, large)) if large else part
+        own = {stat_name(c): F.element_at(_stats_name(c), fold + 1) for c in stats}
+        return part.withColumns(own).drop(*map(_stats_name, stats)) if stats else part
 
     def prepare(fold: int) -> TrainingRows:
         train = rows_for(fold, training_rows(encoded, fold))
-        return prepare_training(train, arms, id_col, label, encoded=large)
-
-    def run(task: tuple[int, TrainingRows, Arm]) -> DataFrame:
-        fold, prepared, arm = task
-        held_out = rows_for(fold, held_out_rows(encoded, fold))
-        scored = fit_prepared(prepared, arm).score(held_out)
-        return scored.select(
-            F.lit(arm.run).alias("run"),
-            "fold",
-            F.col(f"`{id_col}`").alias("id"),
-            F.col(f"`{label}`").cast("int").alias("label"),
-            "score",
+        return prepare_training(train, arms, id_col, label, encoded=stats)
+
+    def fit(task: tuple[TrainingRows, Arm]) -> FittedArm:
+        return fit_prepared(*task)
+
+    prepared = in_threads(spark, prepare, range(k), parallelism)
+    fitted = in_threads(
+        spark, fit, [(rows, arm) for rows in prepared for arm in arms], parallelism
+    )
+    parts = []
+    for fold in range(k):
+        own = fitted[fold * len(arms) : (fold + 1) * len(arms)]
+        scored = score_all(own, rows_for(fold, held_out_rows(encoded, fold)), outs)
+        runs = F.array(
+            *[
+                F.struct(F.lit(arm.run).alias("run"), F.col(out).alias("score"))
+                for arm, out in zip(arms, outs, strict=True)
+            ]
+        )
+        parts.append(
+            scored.select(
+                "fold",
+                F.col(f"`{id_col}`").alias("id"),
+                F.col(f"`{label}`").cast("int").alias("label"),
+                F.explode(runs).alias("_run"),
+            ).select("_run.run", "fold", "id", "label", "_run.score")
         )
-
-    if parallelism is None:
-        parallelism = SMALL_TABLE_FITS if folded.count() <= SMALL_TABLE_ROWS else 1
-    with ThreadPool(max(1, min(parallelism, len(arms) * k))) as pool:
-        prepared = pool.map(inheritable_thread_target(spark)(prepare), range(k), chunksize=1)
-        tasks = [(fold, rows, arm) for fold, rows in enumerate(prepared) for arm in arms]
-        parts = pool.map(inheritable_thread_target(spark)(run), tasks, chunksize=1)
     return materialize(reduce(DataFrame.unionByName, parts), "out-of-fold")
 
 
 def _encode_folds(
-    folded: DataFrame, large: Sequence[str], id_col: str, label: str, k: int
+    folded: DataFrame, stats: Sequence[str], id_col: str, label: str, k: int
 ) -> DataFrame:
-    base = folded.withColumn("label", binary_label(F.col(f"`{label}`")))
+    base = folded.withColumn(LABEL, binary_label(F.col(f"`{label}`")))
     rows = base
-    for category in large:
+    for category in stats:
         rows = fold_target_stats(
-            rows, id_col, category, "label", k, _stats_name(category), seed=SEED, base=base
+            rows, id_col, category, LABEL, k, _stats_name(category), seed=SEED, base=base
         )
-    if label != "label":
-        rows = rows.drop("label")
-    return materialize(rows, "target-encoded", partition_by=("fold",))
+    return materialize(rows.drop(LABEL), "target-encoded", partition_by=("fold",))
 
 
 def _stats_name(category: str) -> str:
@@ -126,7 +149,7 @@ def cross_validate(
     label: str,
     k: int = 5,
     seed: int = SEED,
-    parallelism: int | None = None,
+    parallelism: int = PARALLELISM,
 ) -> DataFrame:
     """Fold, fit, score and measure: ``(run, fold, auc)`` for every arm."""
     folded = folded_table(df, id_col, label, k, seed)

@@ -22,6 +22,9 @@ TREE_SETTINGS = {
     },
     "depth 10, 2000 rounds": {"maxIter": 2000, "stepSize": 0.015, "maxDepth": 10},
 }
+# How trees see the categories, in every fold and fit alike.
+NOMINAL = ("Compound",)
+TARGET_STAT = ("Driver", "Race")
 LEAFWISE_SETTING = {"maxIter": 500, "stepSize": 0.05, "maxDepth": 5}
 
 
@@ -42,7 +45,8 @@ def constant_feature():
 
 def arms(max_bins: int = 32) -> list[Arm]:
     """Every recorded setting, by run name."""
-    return [logistic_arm(), leafwise_arm(), *(tree_arm(s, max_bins) for s in TREE_SETTINGS)]
+    trees = [tree_arm(setting, max_bins) for setting in TREE_SETTINGS]
+    return [logistic_arm(), leafwise_arm(max_bins), *trees]
 
 
 def tree_arm(setting: str, max_bins: int = 32) -> Arm:
@@ -51,19 +55,21 @@ def tree_arm(setting: str, max_bins: int = 32) -> Arm:
         run=setting,
         learner="gbt",
         numeric=LAPS.numeric,
-        categorical=LAPS.categorical,
+        categorical=NOMINAL,
+        target_stat=TARGET_STAT,
         params={**TREE_SETTINGS[setting], "maxBins": max_bins},
     )
 
 
-def leafwise_arm() -> Arm:
+def leafwise_arm(max_bins: int = 32) -> Arm:
     """Boosted trees of about 31 leaves, with the id among the features."""
     return Arm(
         run="leafwise",
         learner="gbt",
         numeric=(LAPS.id, *LAPS.numeric),
-        categorical=LAPS.categorical,
-        params=LEAFWISE_SETTING,
+        categorical=NOMINAL,
+        target_stat=TARGET_STAT,
+        params={**LEAFWISE_SETTING, "maxBins": max_bins},
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.learners import SEED, Arm, FittedArm, fit_arm
 from foldwise.operators.predictions import blend_mean
-from foldwise.plans.cv import fold_scores, folded_table, out_of_fold
+from foldwise.plans.cv import PARALLELISM, fold_scores, folded_table, out_of_fold
 from foldwise.sources.schema import TableSpec
 from foldwise.sources.sinks import write_predictions
 from foldwise.sources.tables import Bundle, read_predictions
@@ -38,12 +38,12 @@ def train_and_submit(
     path: str,
     k: int = 5,
     seed: int = SEED,
-    parallelism: int | None = None,
+    parallelism: int = PARALLELISM,
     validate: bool = True,
 ) -> RunResult:
     """Cross-validate an arm, fit it on all training rows, score the test rows, write them.
 
-    The training rows are parsed once: validation and the final fit read the same written table.
+    The training rows are parsed once: folding, validation and the final fit read written tables.
     """
     scores = None
     if validate:

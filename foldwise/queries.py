@@ -17,7 +17,8 @@ from foldwise.functions.scores import linear_margin, positive_class, sigmoid
 from foldwise.operators import categories, folds, metrics, predictions, tables, target_stats
 from foldwise.operators.learners import SEED, Arm, fit_arm
 from foldwise.plans import cv, experiments
-from foldwise.plans.pipelines import predict
+from foldwise.plans.laps import leafwise_arm
+from foldwise.plans.pipelines import blend_files, predict
 from foldwise.sources.schema import TableSpec
 from foldwise.sources.sinks import write_predictions
 from foldwise.sources.tables import Bundle, read_predictions, read_table, shape
@@ -84,18 +85,34 @@ def scan_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape(_table(spark, sf_dir, "orders").drop("o_orderdate"))
+    return shape(_table(spark, sf_dir, "orders"))
 
 
 @query
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders written as CSV and scanned again with declared types."""
+    """Orders written as CSV and scanned again with declared types; the time shown as text."""
     path = scratch_path(spark, "orders-csv")
-    orders = _table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"
-    )
+    orders = _table(spark, sf_dir, "orders")
     orders.write.option("header", True).csv(path)
-    return read_table(spark, path, orders.schema)
+    scanned = read_table(spark, path, orders.schema)
+    return scanned.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def bundle_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three written tables in a folder, told apart by their sorted names, and checked."""
+    labelled = _labelled(spark, sf_dir).drop("customer")
+    folder = scratch_path(spark, "bundle")
+    test = _test(labelled)
+    parts = {
+        "train.csv": _train(labelled),
+        "test.csv": test.drop("label"),
+        "sample.csv": test.select("id", F.lit(0.5).alias("label")),
+    }
+    for name, rows in parts.items():
+        rows.write.option("header", True).csv(f"{folder}/{name}")
+    spec = TableSpec(id="id", label="label", categorical=("priority",))
+    return tables.bundle_check(Bundle.from_folder(spark, folder), spec)
 
 
 @query
@@ -130,6 +147,12 @@ def label_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label
 
 
+@query
+def label_split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features, _ = tables.split_label(_train(_labelled(spark, sf_dir)), "id", "label")
+    return features
+
+
 @query
 def drop_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.drop_columns(_table(spark, sf_dir, "events"), ["ts", "props"])
@@ -179,12 +202,24 @@ def category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed.select("id", "category_idx")
 
 
+@query
+def category_index_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every customer of more than 3 orders taken for a hot one."""
+    labelled = _labelled(spark, sf_dir)
+    dictionary = categories.category_dictionary(_train(labelled), "customer")
+    rows = labelled.select("id", "customer")
+    indexed = categories.index_categories(rows, "id", "customer", dictionary, rows_per_piece=3)
+    return indexed.select("id", "category_idx")
+
+
 @query
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators learnt from training rows, on test rows with unseen and NULL categories."""
     labelled = _labelled(spark, sf_dir).select("id", "priority")
-    known = categories.vocabulary(labelled, ["priority"], limit=100)
-    names = {"priority": [f"p_{value[0]}" for value in known["priority"]]}
-    return categories.one_hot_columns(labelled, known, names)
+    known = categories.vocabulary(_train(labelled), ["priority"], [100])
+    other = F.when(F.col("id") % 7 == 0, "6-NEVER SEEN").when(F.col("id") % 11 == 0, None)
+    test = _test(labelled).withColumn("priority", other.otherwise(F.col("priority")))
+    return categories.one_hot_columns(test, known)
 
 
 @query
@@ -201,22 +236,53 @@ def ordered_target_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def target_stat_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ordered_target_stat_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every customer of more than 3 orders cut into pieces."""
+    train = _train(_labelled(spark, sf_dir)).select("id", "customer", "label")
+    encoded = target_stats.ordered_target_stat(
+        train, "id", "customer", "label", seed=SEED, rows_per_piece=3
+    )
+    return encoded.select("id", "stat")
+
+
+def _target_stat_apply(spark: SparkSession, sf_dir: str, **split: int) -> DataFrame:
     labelled = _labelled(spark, sf_dir)
     table = target_stats.target_stat_table(_train(labelled), "customer", "label")
     table = materialize(table, "target-stats")
     test = _test(labelled).select("id", "customer")
-    return target_stats.apply_target_stat(test, table, "id", "customer").select("id", "stat")
+    found = target_stats.apply_target_stat(test, table, "id", "customer", **split)
+    return found.select("id", "stat")
 
 
 @query
-def fold_target_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row's statistic under every held-out fold, one row for each."""
+def target_stat_apply_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _target_stat_apply(spark, sf_dir, rows_per_piece=3)
+
+
+@query
+def target_stat_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _target_stat_apply(spark, sf_dir)
+
+
+def _fold_target_stats(spark: SparkSession, sf_dir: str, **split: int) -> DataFrame:
     folded = materialize(_folded(_labelled(spark, sf_dir).drop("priority")), "folded")
-    encoded = target_stats.fold_target_stats(folded, "id", "customer", "label", k=5, seed=SEED)
+    encoded = target_stats.fold_target_stats(
+        folded, "id", "customer", "label", k=5, seed=SEED, **split
+    )
     return encoded.select("id", F.posexplode("stats").alias("held_out", "stat"))
 
 
+@query
+def fold_target_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's statistic under every held-out fold, one row for each."""
+    return _fold_target_stats(spark, sf_dir)
+
+
+@query
+def fold_target_stats_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fold_target_stats(spark, sf_dir, rows_per_piece=3)
+
+
 # --- folds ---------------------------------------------------------------------------------------
 
 
@@ -282,6 +348,18 @@ def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions.blend_mean(sets, score_col="p")
 
 
+@query
+def blend_two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two written prediction files, blended into a third, which is read back."""
+    labelled = _labelled(spark, sf_dir)
+    paths = {name: scratch_path(spark, f"set-{name}") for name in "ab"}
+    for name, rows in (("a", _set_a(labelled)), ("b", _set_b(labelled))):
+        write_predictions(rows.withColumnRenamed("p", "PitNextLap"), paths[name])
+    out = scratch_path(spark, "blend")
+    blend_files(spark, paths, out)
+    return read_predictions(spark, out).select("id", F.round("PitNextLap", 9).alias("p"))
+
+
 @query
 def prediction_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _labelled(spark, sf_dir)
@@ -354,10 +432,6 @@ def _small_trees() -> Arm:
     return _arm("trees", "gbt", maxIter=5, stepSize=0.05, maxDepth=4)
 
 
-def _cross_validate(spark: SparkSession, sf_dir: str, arms: list[Arm]) -> DataFrame:
-    return cv.cross_validate(_learner_table(spark, sf_dir), arms, "doc_id", "quality")
-
-
 def _linear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     p = sigmoid(linear_margin({"n_chars": -0.001}, 0.5))
@@ -390,12 +464,6 @@ def importance_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.where(F.col("feature") == "constant_one").select("feature", "importance")
 
 
-@query
-def importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = materialize(_learner_table(spark, sf_dir), "learner-input")
-    return fit_arm(data, _small_trees(), "doc_id", "quality").importance()
-
-
 @query
 def one_hot_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unpenalised logistic regression on one-hot indicators alone gives category base rates."""
@@ -416,7 +484,7 @@ def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
         "english": (F.col("lang") == "en").cast("int"),
     }
     data = _learner_table(spark, sf_dir).withColumns(flags)
-    return data.select("doc_id", "quality", "lang", "n_chars", *flags)
+    return data.select("doc_id", "quality", "lang", "source", "n_chars", *flags)
 
 
 def _stump(run: str, *flags: str) -> Arm:
@@ -430,6 +498,23 @@ def stump_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("doc_id").alias("id"), F.round("score", 9).alias("p"))
 
 
+@query
+def importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One split over two flags: the better one has all the importance."""
+    data = materialize(_flagged(spark, sf_dir), "learner-input")
+    return fit_arm(data, _stump("both", "long", "english"), "doc_id", "quality").importance()
+
+
+@query
+def leafwise_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recorded leaf-wise setting, two rounds of it, on a flag: deeper trees add nothing."""
+    data = materialize(_flagged(spark, sf_dir), "learner-input")
+    params = {**leafwise_arm(64).params, "maxIter": 2}
+    arm = Arm("leafwise", "gbt", numeric=("long",), params=params)
+    scored = fit_arm(data, arm, "doc_id", "quality").score(data)
+    return scored.select(F.col("doc_id").alias("id"), F.round("score", 9).alias("p"))
+
+
 @query
 def boosted_stump_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second round: fitted to what the first left over, and weighted by the step size."""
@@ -458,14 +543,14 @@ def out_of_fold_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def cv_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cv_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     arms = [_stump("stump", "long")]
     scores = cv.cross_validate(_flagged(spark, sf_dir), arms, "doc_id", "quality")
     return _rounded(scores.select("fold", "auc"), "auc")
 
 
 @query
-def ablation_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaving out either of two flags; with both, the round splits on the better one."""
     arms = experiments.ablation(_stump("both", "long", "english"), ["long", "english"])
     scores = cv.cross_validate(_flagged(spark, sf_dir), arms, "doc_id", "quality")
@@ -473,7 +558,7 @@ def ablation_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def feature_trial_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A derived flag added to a given one."""
     added = {"is_long": flag_above(F.col("n_chars"), 1000.0)}
     arms = experiments.feature_trial(_stump("english", "english"), added)
@@ -482,7 +567,7 @@ def feature_trial_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def sweep_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds and step size of the same stump."""
     settings = {
         "1 round": {"maxIter": 1},
@@ -505,60 +590,32 @@ def _submit(spark: SparkSession, data: DataFrame, arm: Arm) -> DataFrame:
 
 
 @query
-def submission_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = materialize(_flagged(spark, sf_dir), "learner-input")
     written = _submit(spark, data, _stump("stump", "long"))
     return written.select(F.col("doc_id").alias("id"), F.round("quality", 9).alias("p"))
 
 
-@query
-def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = materialize(_learner_table(spark, sf_dir), "learner-input")
-    return _submit(spark, data, _small_trees())
-
-
 @query
 def cv_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cross_validate(spark, sf_dir, [_arm("logistic", "logistic")])
-
-
-@query
-def cv_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cross_validate(spark, sf_dir, [_small_trees()])
-
-
-@query
-def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _arm("all columns", "logistic")
-    scores = _cross_validate(spark, sf_dir, experiments.ablation(base, ["n_words", "lang"]))
-    return cv.leaderboard(scores)
-
-
-@query
-def feature_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words, lines, chars = F.col("n_words"), F.col("n_lines"), F.col("n_chars")
-    added = {
-        "chars_per_word": ratio(chars, words),
-        "words_per_line": rate(words, lines),
-        "is_long": flag_above(chars, 1000.0),
-        "words_times_lines": interaction(words, lines),
-    }
-    base = _arm("no added feature", "logistic")
-    return cv.leaderboard(_cross_validate(spark, sf_dir, experiments.feature_trial(base, added)))
+    """Without a penalty, one-hot indicators alone give the training folds' category rates."""
+    exact = {"regParam": 0.0, "maxIter": 500, "tol": 1e-12}
+    arm = Arm("rates", "logistic", numeric=(), categorical=("lang",), params=exact)
+    folded = cv.folded_table(_flagged(spark, sf_dir), "doc_id", "quality")
+    scored = cv.out_of_fold(folded, [arm], "doc_id", "quality")
+    scores = cv.fold_scores(_rounded(scored, "score"))
+    return _rounded(scores.select("fold", "auc"), "auc")
 
 
 @query
-def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rounds, step and depth traded off, with one more strongly regularised setting."""
-    settings = {
-        "depth 2, 3 rounds": {"maxIter": 3, "stepSize": 0.1, "maxDepth": 2},
-        "depth 4, 5 rounds": {"maxIter": 5, "stepSize": 0.05, "maxDepth": 4},
-        "depth 4, 5 rounds, regularised": {
-            "maxIter": 5,
-            "stepSize": 0.05,
-            "maxDepth": 4,
-            "minInstancesPerNode": 5,
-        },
-    }
-    arms = experiments.sweep(_small_trees(), settings)
-    return cv.leaderboard(_cross_validate(spark, sf_dir, arms))
+def cv_target_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A category's statistic through cross-validation: a stump on whether it is high."""
+    arms = [
+        Arm("statistic", "gbt", numeric=(), target_stat=("source",), params=STUMP),
+        Arm("flag", "gbt", numeric=(), params=STUMP).adding(
+            "high", flag_above(F.col("source__stat"), 0.85), run="flag"
+        ),
+    ]
+    folded = cv.folded_table(_flagged(spark, sf_dir), "doc_id", "quality")
+    scored = cv.out_of_fold(folded, arms, "doc_id", "quality").where("run = 'flag'")
+    return scored.select("id", "fold", "label", F.round("score", 9).alias("p"))

@@ -18,7 +18,7 @@ def write_predictions(
     One part file per task by default. ``single_file`` funnels every row through one task and is
     only for handing a small result to an outside consumer.
     """
-    out = predictions.select(F.col(id_col), F.col(score_col))
+    out = predictions.select(F.col(f"`{id_col}`"), F.col(f"`{score_col}`"))
     if single_file:
-        out = out.coalesce(1)
+        out = out.repartition(1)
     out.write.mode("overwrite").option("header", True).csv(path)

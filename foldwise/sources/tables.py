@@ -63,14 +63,17 @@ class Bundle:
 
     @classmethod
     def from_folder(cls, spark: SparkSession, folder: str, spec: TableSpec | None = None) -> Bundle:
-        """A folder of exactly three files which, sorted by name, are sample, test and train.
+        """A folder of exactly three tables which, sorted by name, are sample, test and train.
 
-        Only file names are listed; the column check in ``bundle_check`` is what confirms roles.
+        A table is a file or a folder of part files; names that start with a dot or an underscore
+        are not counted. The column check in ``bundle_check`` is what confirms roles.
         """
-        listing = spark.read.format("binaryFile").load(folder).select("path")
-        paths = [row.path for row in listing.orderBy("path").limit(4).collect()]
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        entries = [entry.getPath() for entry in store.listStatus(place)]
+        paths = sorted(e.toString() for e in entries if e.getName()[0] not in "._")
         if len(paths) != 3:
-            raise ValueError(f"expected exactly 3 files in {folder}, found {len(paths)} or more")
+            raise ValueError(f"expected exactly 3 files in {folder}, found {len(paths)}")
         sample, test, train = paths
         return cls.read(spark, train=train, test=test, sample=sample, spec=spec)
 

@@ -36,6 +36,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/foldwise/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; call it when its results are written."""
+    app = spark.sparkContext.applicationId
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/foldwise/{app}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a scan of the written table.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwise.functions.features import flag_above, interaction, mean_of, rate, ratio
-from foldwise.functions.nulls import fill_aggregates, finite_or_null, null_fill
+from foldwise.functions.nulls import fill_aggregates, finite_sql, null_fill
 from foldwise.functions.scores import linear_margin, sigmoid
 
 
@@ -53,7 +53,7 @@ def test_linear_score(spark):
 def test_null_fill_policies(spark):
     values = [1.0, 3.0, None, float("nan"), float("inf"), float("-inf")]
     df = spark.createDataFrame([(v,) for v in values], "`LapTime (s)` double")
-    assert df.where(finite_or_null(F.col("`LapTime (s)`")).isNotNull()).count() == 2
+    assert df.where(F.expr(finite_sql("LapTime (s)")).isNotNull()).count() == 2
     columns = ["LapTime (s)"]
 
     known = df.agg(*fill_aggregates(columns, for_trees=True)).first()
@@ -72,3 +72,14 @@ def test_null_fill_of_an_all_null_column(spark):
     known = df.agg(*fill_aggregates(["x"], for_trees=True)).first()
     fill = null_fill(["x"], known, for_trees=True)
     assert fill.stage().transform(df).first()["x__filled"] == -1.0
+
+
+@pytest.mark.parametrize("least", [0.0, -5.5, 2.0**53, -(2.0**60), 1e300])
+def test_trees_see_missing_numbers_below_the_minimum(spark, least):
+    fill = null_fill(["x"], [least], for_trees=True)
+    assert fill.values["x"] < least
+
+
+def test_nan_is_not_above_a_threshold(spark):
+    df = spark.createDataFrame([(float("nan"),), (None,), (1.0,), (0.1,)], "x double")
+    assert [r[0] for r in df.select(flag_above(F.col("x"), 0.5)).collect()] == [0, None, 1, 0]

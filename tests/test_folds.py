@@ -22,11 +22,11 @@ def expected_folds(rows, k, seed):
     return {i: place % k for place, (i, _) in enumerate(order)}
 
 
-@pytest.mark.parametrize("pieces", [1, 3, 4096])
+@pytest.mark.parametrize("rows_per_piece", [1, 150, 250_000])
 @pytest.mark.parametrize("partitions", [1, 50])
-def test_equal_to_numbering_the_whole_table(spark, pieces, partitions):
+def test_equal_to_numbering_the_whole_table(spark, rows_per_piece, partitions):
     df = labelled(spark, 500, 77).repartition(partitions)
-    got = {r.id: r.fold for r in stratified_folds(df, "id", "y", 5, 96, pieces).collect()}
+    got = {r.id: r.fold for r in stratified_folds(df, "id", "y", 5, 96, rows_per_piece).collect()}
     assert got == expected_folds([(i, int(i < 77)) for i in range(500)], 5, 96)
 
 
@@ -67,3 +67,10 @@ def test_a_label_other_than_0_and_1_is_an_error(spark, label):
     df = spark.createDataFrame([(1, 0), (2, label)], "id bigint, y int")
     with pytest.raises(Exception, match="label is not 0 or 1"):
         stratified_folds(df, "id", "y").collect()
+
+
+def test_reserved_names_are_refused(spark):
+    for name in ("fold", "_class", "_rank"):
+        taken = labelled(spark, 10, 3).withColumn(name, F.lit(1))
+        with pytest.raises(ValueError, match=name):
+            stratified_folds(taken, "id", "y")

@@ -1,10 +1,12 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from foldwise.functions.features import ratio
 from foldwise.operators.folds import held_out_rows, training_rows
 from foldwise.operators.learners import Arm, fit_arm, fit_prepared, prepare_training
-from foldwise.plans import experiments
+from foldwise.plans import cv, experiments
 from foldwise.plans.cv import cross_validate, fold_scores, folded_table, leaderboard, out_of_fold
 from foldwise.sources.schema import LAPS
 from foldwise.workspace import materialize
@@ -20,7 +22,14 @@ def train(spark):
 
 @pytest.fixture(scope="module")
 def trees():
-    return Arm("trees", "gbt", numeric=LAPS.numeric, categorical=LAPS.categorical, params=TREES)
+    return Arm(
+        "trees",
+        "gbt",
+        numeric=LAPS.numeric,
+        categorical=("Compound", "Race"),
+        target_stat=("Driver",),
+        params=TREES,
+    )
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +48,7 @@ def fitted_trees(train, trees):
     return fit_arm(train, trees, LAPS.id, LAPS.label)
 
 
-def test_large_category_gets_a_statistic_and_small_ones_are_nominal(fitted_trees):
+def test_categories_are_encoded_as_declared(fitted_trees):
     assert list(fitted_trees.stats) == ["Driver"]
     features = [r.feature for r in fitted_trees.importance().collect()]
     assert set(features) == set(LAPS.features)
@@ -122,7 +131,7 @@ def test_arms_of_an_experiment(trees):
     arms = experiments.ablation(trees, ["Year", "Driver"])
     assert [a.run for a in arms] == ["trees", "trees - Year", "trees - Driver"]
     assert "Year" not in arms[1].numeric
-    assert "Driver" not in arms[2].categorical
+    assert "Driver" not in arms[2].target_stat
     added = experiments.feature_trial(trees, {"f": F.lit(1)})
     assert list(added[1].derived) == ["f"]
     assert not added[1].without("f").derived
@@ -145,17 +154,81 @@ def test_cross_validation_scores_every_row_once_per_arm(train, trees, logistic):
     assert all(r.mean_auc > 0.8 for r in board)
 
 
-def test_one_preparation_serves_arms_with_different_bins(train, trees):
-    narrow = trees.with_params("narrow", maxBins=4)
-    wide = trees.with_params("wide", maxBins=70)
-    shared = prepare_training(train, [narrow, wide], LAPS.id, LAPS.label)
-    assert list(shared.stats) == ["Driver"]
-    assert len(shared.categories["Driver"]) == 60
-    for arm, stats in ((narrow, ["Driver"]), (wide, [])):
+def test_one_preparation_serves_arms_with_different_encodings(train, trees, logistic):
+    nominal = Arm("nominal", "gbt", ("Year",), ("Driver",), params={**TREES, "maxBins": 70})
+    shared = prepare_training(train, [trees, nominal, logistic], LAPS.id, LAPS.label)
+    assert list(shared.encodings.stats) == ["Driver"]
+    assert len(shared.nominal["Driver"]) == 60
+    for arm, stats in ((trees, ["Driver"]), (nominal, []), (logistic, [])):
         together = fit_prepared(shared, arm)
         assert list(together.stats) == stats
         alone = fit_arm(train, arm, LAPS.id, LAPS.label)
-        assert _scores(together, train) == pytest.approx(_scores(alone, train))
+        assert _scores(together, train) == pytest.approx(_scores(alone, train), abs=1e-6)
+
+
+def test_a_nominal_category_that_does_not_fit_is_an_error_naming_it(train):
+    arm = Arm("nominal", "gbt", numeric=(), categorical=("Driver",), params=TREES)
+    with pytest.raises(ValueError, match="Driver"):
+        fit_arm(train, arm, LAPS.id, LAPS.label)
+
+
+def test_encoding_is_the_same_in_every_fold(spark, monkeypatch):
+    """32 categories, one of them a single row: some fold trains on 31, others on 32."""
+    rows = [(i, f"c{i % 31}", i % 3 % 2) for i in range(310)] + [(999, "only here", 1)]
+    df = spark.createDataFrame(rows, "id long, c string, y int")
+    seen = []
+    monkeypatch.setattr(
+        cv, "fit_prepared", lambda train, arm: seen.append(fit_prepared(train, arm)) or seen[-1]
+    )
+    folded = folded_table(df, "id", "y", k=3)
+    out_of_fold(folded, [Arm("s", "gbt", (), target_stat=("c",), params=TREES)], "id", "y", k=3)
+    assert [one.inputs for one in seen] == [("c",)] * 3
+    assert all(not one.stats for one in seen)  # encoded for all folds beforehand
+    nominal = Arm("n", "gbt", (), categorical=("c",), params={**TREES, "maxBins": 33})
+    seen.clear()
+    out_of_fold(folded, [nominal], "id", "y", k=3)
+    assert [one.inputs for one in seen] == [("c",)] * 3
+
+
+def test_tasks_do_not_see_each_others_properties(spark):
+    """Job ids and tags are such properties; shared ones broke concurrent fits."""
+    turn = threading.Barrier(2)
+    context = spark.sparkContext
+
+    def run(number):
+        context.setLocalProperty("foldwise.test", str(number))
+        turn.wait(20)
+        own = context.getLocalProperty("foldwise.test")
+        turn.wait(20)
+        return own
+
+    assert cv.in_threads(spark, run, [1, 2], 2) == ["1", "2"]
+
+
+def test_reserved_names_are_refused_and_common_ones_ride_along(train, trees):
+    for name in ("_label", "features", "probability"):
+        with pytest.raises(ValueError, match=name):
+            fit_arm(train.withColumn(name, F.lit(1)), trees, LAPS.id, LAPS.label)
+    named = train.withColumn("label", F.lit("kept"))
+    scored = fit_arm(named, trees, LAPS.id, LAPS.label).score(named)
+    assert scored.select("label").distinct().collect()[0][0] == "kept"
+    with pytest.raises(ValueError, match="score"):
+        fit_arm(train, trees, LAPS.id, LAPS.label).score(train.withColumn("score", F.lit(1)))
+
+
+def test_a_logistic_arm_has_no_importances(train, logistic):
+    with pytest.raises(ValueError, match="no feature importances"):
+        fit_arm(train, logistic, LAPS.id, LAPS.label).importance()
+
+
+def test_one_hot_has_no_largest_number_of_categories(spark):
+    df = spark.range(4000).selectExpr("id", "concat('c', id % 1500) AS c", "CAST(id % 2 AS INT) AS y")
+    arm = Arm("wide", "logistic", numeric=(), categorical=("c",), params={"maxIter": 5})
+    fitted = fit_arm(df, arm, "id", "y")
+    assert fitted.pipeline.stages[-1].coefficients.size == 1500
+    new = spark.createDataFrame([(1, "c1"), (2, "unseen"), (3, None)], "id long, c string")
+    scores = {r.id: r.score for r in fitted.score(new).collect()}
+    assert scores[2] == scores[3]
 
 
 def test_encoding_all_folds_at_once_gives_the_same_scores(train, trees):

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +8,7 @@ from foldwise.operators.learners import fit_arm
 from foldwise.plans import laps as lap_plans
 from foldwise.plans.pipelines import blend_files, train_and_submit
 from foldwise.sources import LAPS, Bundle, read_predictions
+from foldwise.workspace import materialize, scratch_path
 from lap_data import laps
 
 
@@ -58,6 +61,8 @@ def test_recorded_arms(spark):
     assert "id" in arms["leafwise"].numeric
     assert "id" not in arms["depth 10, 2000 rounds"].numeric
     assert arms["depth 8, 1000 rounds"].params["stepSize"] == 0.03
+    bins = [a.params["maxBins"] for a in lap_plans.arms(100) if a.learner == "gbt"]
+    assert bins == [100] * 6
 
 
 def test_every_lap_feature_can_be_fitted(spark, bundle):
@@ -87,7 +92,16 @@ def test_lap_features_on_edge_rows(spark, bundle):
     assert got.TyreLife_LapTimeDelta == 0.0
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_scratch_tables_can_be_cleared(spark):
+    written = materialize(spark.range(3), "some")
+    assert written.count() == 3
+    folder = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    assert any(folder.iterdir())
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    cleared = []
+    monkeypatch.setattr(cli, "clear_scratch", cleared.append)  # other tests read scratch tables
     folder = tmp_path / "input"
     folder.mkdir()
     train, test = laps(spark, 0, 60), laps(spark, 60, 20).drop(LAPS.label)
@@ -103,6 +117,7 @@ def test_command_line(spark, tmp_path, capsys):
     job = ["run", "--folder", str(folder), "--arm", "logistic"]
     cli.main([*job, "--out", str(tmp_path / "a")])
     assert "mean_auc" in capsys.readouterr().out
+    assert len(cleared) == 1
     pairs = [f"{name}={tmp_path / 'a'}" for name in ("one", "two")]
     cli.main(["blend", "--out", str(tmp_path / "b"), *pairs])
     a, b = (read_predictions(spark, str(tmp_path / p)).orderBy("id").collect() for p in "ab")

@@ -54,3 +54,19 @@ def test_coverage(spark):
     assert sorted(r.id for r in missing_ids(expected, actual).collect()) == [1, 3]
     counts = {r.id: (r.e, r.a) for r in id_counts({"e": expected, "a": actual}).collect()}
     assert counts == {1: (1, 0), 2: (1, 1), 3: (1, 0), 9: (0, 1)}
+
+
+@pytest.mark.parametrize("look", [lambda df: df.count(), lambda df: df.select("id", "b").collect()])
+def test_no_projection_hides_a_repeated_id(spark, look):
+    a = prediction_set(spark, i1=0.2).unionByName(prediction_set(spark, i1=0.3, i2=0.4))
+    b = prediction_set(spark, i1=0.5, i2=0.6)
+    for sets in ({"a": a, "b": b}, {"b": b, "a": a}):
+        with pytest.raises(Exception, match="duplicate id in a prediction set: 1"):
+            look(join_predictions(sets))
+
+
+def test_an_id_with_a_dot(spark):
+    a = prediction_set(spark, i1=0.2, i2=0.4).withColumnRenamed("id", "row.id")
+    got = blend_mean({"a": a, "b": a}, id_col="row.id")
+    assert sorted(map(tuple, got.collect())) == [(1, 0.2), (2, 0.4)]
+    assert missing_ids(a, a, "row.id").count() == duplicate_ids(a, "row.id").count() == 0

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwise import queries
+from foldwise.plans import cv
 from foldwise.operators.categories import category_dictionary, index_categories
 from foldwise.operators.folds import stratified_folds
 from foldwise.operators.metrics import roc_auc, score_cuts
@@ -69,7 +70,7 @@ def skewed(spark):
 def test_lookup_spreads_hot_rows(spark, skewed):
     table = materialize(target_stat_table(skewed, "c", "y"), "table")
     with shuffling(spark):
-        split = apply_target_stat(skewed, table, "id", "c", parts=64, min_rows=0)
+        split = apply_target_stat(skewed, table, "id", "c", rows_per_piece=375)
         assert "SortMergeJoin" in plan(split)
         assert largest_share(split) < 2
         whole = apply_target_stat(skewed, table, "id", "c")
@@ -80,20 +81,20 @@ def test_lookup_spreads_hot_rows(spark, skewed):
 def test_index_lookup_spreads_hot_rows(spark, skewed):
     dictionary = category_dictionary(skewed, "c")
     with shuffling(spark):
-        found = index_categories(skewed, "id", "c", dictionary, parts=64, min_rows=0)
+        found = index_categories(skewed, "id", "c", dictionary, rows_per_piece=375)
         assert largest_share(found) < 2
 
 
 def test_ordered_statistic_spreads_hot_rows(spark, skewed):
     with shuffling(spark):
-        split = ordered_target_stat(skewed, "id", "c", "y", parts=256, min_rows=0)
+        split = ordered_target_stat(skewed, "id", "c", "y", rows_per_piece=94)
         assert largest_share(split) < 2
         assert largest_share(ordered_target_stat(skewed, "id", "c", "y")) > 4
 
 
 def test_folds_spread_a_large_class(spark, skewed):
     with shuffling(spark):
-        assert largest_share(stratified_folds(skewed, "id", "y")) < 2
+        assert largest_share(stratified_folds(skewed, "id", "y", rows_per_piece=50)) < 2
 
 
 def test_copies_collapse_before_the_shuffle(spark):
@@ -169,6 +170,24 @@ def test_texts_are_not_shuffled(spark):
     assert not any(re.search(r"\btext#", columns) for columns in exchanged)
 
 
+def test_the_source_of_folds_is_evaluated_once(spark, monkeypatch):
+    source = spark.read.parquet(f"{SF_DIR}/orders.parquet").selectExpr(
+        "o_orderkey AS id", "CAST(o_orderstatus = 'F' AS INT) AS y"
+    )
+    plans = []
+    monkeypatch.setattr(cv, "materialize", lambda df, *a, **b: plans.append(plan(df)) or materialize(df, *a, **b))
+    folded_table(source, "id", "y")
+    assert [text.count("orders.parquet") for text in plans] == [1, 0]
+
+
+@pytest.mark.parametrize("rows_per_piece", [10, 1000])
+def test_folds_do_not_depend_on_the_pieces(spark, skewed, rows_per_piece):
+    def folds(**how):
+        return sorted(tuple(r) for r in stratified_folds(skewed, "id", "y", **how).select("id", "fold").collect())
+
+    assert folds(rows_per_piece=rows_per_piece) == folds()
+
+
 def test_held_out_rows_are_a_pruned_partition(spark, skewed):
     folded = folded_table(skewed, "id", "y")
     assert re.search(r"PartitionFilters: \[.*fold.* = 2", plan(folded.where("fold = 2")))

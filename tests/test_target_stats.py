@@ -42,12 +42,12 @@ def by_hand(rows, prior=0.5, weight=1.0, seed=96):
     return out
 
 
-@pytest.mark.parametrize(("parts", "min_rows"), [(4096, 10**6), (4096, 0), (10, 0), (3, 0)])
+@pytest.mark.parametrize("rows_per_piece", [10**6, 1, 60, 200])
 @pytest.mark.parametrize("partitions", [1, 8])
-def test_equal_to_a_running_mean_by_hand(spark, parts, min_rows, partitions):
+def test_equal_to_a_running_mean_by_hand(spark, rows_per_piece, partitions):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, SCHEMA).repartition(partitions)
-    got = ordered_target_stat(df, "id", "c", "y", parts=parts, min_rows=min_rows).collect()
+    got = ordered_target_stat(df, "id", "c", "y", rows_per_piece=rows_per_piece).collect()
     assert {r.id: r.stat for r in got} == pytest.approx(by_hand(rows))
     assert len(got) == len(rows)
 
@@ -69,14 +69,14 @@ def _stats(spark, rows):
     return ordered_target_stat(spark.createDataFrame(rows, SCHEMA), "id", "c", "y").collect()
 
 
-@pytest.mark.parametrize("min_rows", [0, 10**6])
-def test_other_rows_get_the_whole_training_mean(spark, min_rows):
+@pytest.mark.parametrize("rows_per_piece", [5, 10**6])
+def test_other_rows_get_the_whole_training_mean(spark, rows_per_piece):
     rows = skewed_rows()
     train = spark.createDataFrame(rows, SCHEMA)
     table = target_stat_table(train, "c", "y")
     new = [(1000 + i, c) for i, c in enumerate(["hot"] * 30 + [None] * 5 + ["t1", "unseen"])]
     df = spark.createDataFrame(new, "id bigint, c string")
-    got = apply_target_stat(df, table, "id", "c", parts=4, min_rows=min_rows).collect()
+    got = apply_target_stat(df, table, "id", "c", rows_per_piece=rows_per_piece).collect()
     assert len(got) == len(new)
     for row in got:
         labels = [y for _, c, y in rows if c == row.c]
@@ -86,19 +86,19 @@ def test_other_rows_get_the_whole_training_mean(spark, min_rows):
 def test_chained_statistics_read_the_source_once_each(spark):
     rows = skewed_rows(200)
     base = spark.createDataFrame(rows, SCHEMA).withColumn("d", F.concat("c", F.col("id") % 2))
-    once = ordered_target_stat(base, "id", "c", "y", "c_stat", parts=5, min_rows=0)
-    both = ordered_target_stat(once, "id", "d", "y", "d_stat", parts=5, min_rows=0, base=base)
+    once = ordered_target_stat(base, "id", "c", "y", "c_stat", rows_per_piece=40)
+    both = ordered_target_stat(once, "id", "d", "y", "d_stat", rows_per_piece=40, base=base)
     got = both.collect()
     assert {r.id: r.c_stat for r in got} == pytest.approx(by_hand(rows))
     split = [(i, None if c is None else f"{c}{i % 2}", y) for i, c, y in rows]
     assert {r.id: r.d_stat for r in got} == pytest.approx(by_hand(split))
 
 
-@pytest.mark.parametrize(("parts", "min_rows"), [(4096, 10**6), (7, 0)])
-def test_all_folds_at_once_equal_one_fold_at_a_time(spark, parts, min_rows):
+@pytest.mark.parametrize("rows_per_piece", [10**6, 40])
+def test_all_folds_at_once_equal_one_fold_at_a_time(spark, rows_per_piece):
     df = spark.createDataFrame(skewed_rows(300), SCHEMA)
     folded = stratified_folds(df, "id", "y", k=3)
-    at_once = fold_target_stats(folded, "id", "c", "y", 3, parts=parts, min_rows=min_rows)
+    at_once = fold_target_stats(folded, "id", "c", "y", 3, rows_per_piece=rows_per_piece)
     got = {r.id: r.stats for r in at_once.collect()}
     assert len(got) == 300
     for fold in range(3):
@@ -124,3 +124,14 @@ def test_held_out_labels_do_not_reach_their_own_fold(spark):
     )
     assert all(a[i][1] == b[i][1] for i in a)
     assert any(a[i][0] != b[i][0] for i in a)
+
+
+def test_an_id_with_a_dot(spark):
+    rows = skewed_rows(60)
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("id", "row.id")
+    got = ordered_target_stat(df, "row.id", "c", "y", rows_per_piece=5).collect()
+    assert {r["row.id"]: r.stat for r in got} == pytest.approx(by_hand(rows))
+    folded = df.withColumn("fold", F.col("`row.id`") % 2)
+    assert fold_target_stats(folded, "row.id", "c", "y", 2, rows_per_piece=5).count() == 60
+    table = target_stat_table(df, "c", "y")
+    assert apply_target_stat(df, table, "row.id", "c", rows_per_piece=5).count() == 60
