@@ -223,7 +223,8 @@ def repeated_passages(
     """
     units = materialize(_units(docs, id_col, text_col), "paragraphs")
     crowded = units.groupBy("least").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
-    crowded = crowded.where("lo < hi").select("least")
+    # Written, so that the join below is of two plain exchanges, which Spark can split by size.
+    crowded = materialize(crowded.where("lo < hi").select("least"), "crowded")
     texts = units.select("least", "content", "words").join(crowded, "least").drop("least")
     texts = materialize(texts.groupBy("content").agg(F.first("words").alias("words")), "colliding")
     found = connected_components(_near_links(texts, similarity, rows, recall))
