@@ -130,7 +130,8 @@ _NONE = "array<struct<start:bigint,end:bigint,match:string>>"
 
 def _guard(kind: str, text: Column) -> Column:
     """Texts without this hold no match of the kind, strict or loose."""
-    return text.rlike({"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]"}.get(kind, "[0-9]"))
+    marks = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]"}
+    return text.rlike(marks.get(kind, "[0-9]"))
 
 
 def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
@@ -146,7 +147,8 @@ def with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
 
     def voted(kind: str, span: Column, strict: Column, loose: int) -> Column:
         first = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.lower(F.substring(text, first.cast("int") + 1, (span["start"] - first).cast("int")))
+        width = (span["start"] - first).cast("int")
+        before = F.lower(F.substring(text, first.cast("int") + 1, width))
         context = F.when(before.rlike(SPEAKS_AGAINST[kind]), NO).when(
             before.rlike(SPEAKS_FOR[kind]), YES
         )
@@ -216,12 +218,15 @@ def _expectation_maximisation(
 def fit_pii(docs: DataFrame, text_col: str) -> PiiModel:
     """Learn from the votes on every candidate of ``docs``; only counted patterns leave the rows."""
     candidates = with_candidates(docs.select(F.col(f"`{text_col}`")), text_col)
-    tagged = [
-        F.transform(f"found.{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), *[s[v].alias(v) for v in VOTERS]))
-        for kind in KINDS
-    ]
+
+    def tagged(kind: str) -> Column:
+        def tag(span: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), *[span[v].alias(v) for v in VOTERS])
+
+        return F.transform(f"found.{kind}", tag)
+
     counted = (
-        candidates.select(F.explode(F.concat(*tagged)).alias("c"))
+        candidates.select(F.explode(F.concat(*map(tagged, KINDS))).alias("c"))
         .groupBy("c.kind", *[f"c.{v}" for v in VOTERS])
         .agg(F.count("*").alias("n"))
     )
@@ -253,9 +258,9 @@ def fit_pii(docs: DataFrame, text_col: str) -> PiiModel:
 def find_pii(docs: DataFrame, model: PiiModel, text_col: str) -> DataFrame:
     """``(row, text, base, spans)``: ``row`` has the columns of ``docs``, the others are spans.
 
-    Spans are ``array<struct<kind, start, end>>`` by kind and start. ``base`` are the strict matches that pass their checks. ``spans`` has them and the looser
-    matches that the classifier takes for personal data and that overlap no strict match of their
-    kind. NULL and empty texts have none; no other column is looked at, whatever its name; repeated
+    Spans are ``array<struct<kind, start, end>>`` by kind and start. ``base`` are the strict matches
+    that pass their checks. ``spans`` has them and the looser matches that the classifier takes for
+    personal data and that overlap no strict match of their kind. NULL and empty texts have none; no other column is looked at, whatever its name; repeated
     rows stay.
     """
     rows = with_candidates(docs, text_col)
@@ -283,10 +288,12 @@ def find_pii(docs: DataFrame, model: PiiModel, text_col: str) -> DataFrame:
 
 def joined_spans(spans: Column) -> Column:
     """``kind:start:end`` of all spans, comma-joined."""
-    return F.array_join(
-        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
-        ",",
-    )
+
+    def shown(span: Column) -> Column:
+        places = [span[c].cast("string") for c in ("start", "end")]
+        return F.concat_ws(":", span["kind"], *places)
+
+    return F.array_join(F.transform(spans, shown), ",")
 
 
 def count_kind(spans: Column, kind: str) -> Column:
@@ -295,15 +302,15 @@ def count_kind(spans: Column, kind: str) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in angle brackets; overlaps are replaced once."""
-    ordered = F.array_sort(
-        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    )
+    fields = ("start", "end", "kind")
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in fields])))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def add(state: Column, span: Column) -> Column:
         gap = F.greatest(span["start"] - state["at"], F.lit(0).cast("bigint"))
         kept = F.substring(text, (state["at"] + 1).cast("int"), gap.cast("int"))
-        mark = F.when(span["start"] >= state["at"], F.concat(F.lit("<"), span["kind"], F.lit(">"))).otherwise("")
+        named = F.concat(F.lit("<"), span["kind"], F.lit(">"))
+        mark = F.when(span["start"] >= state["at"], named).otherwise("")
         return F.struct(
             F.greatest(state["at"], span["end"]).alias("at"),
             F.concat(state["out"], kept, mark).alias("out"),

@@ -75,16 +75,19 @@ def paragraphs(text: str | None, hashes: dict[str, int]) -> tuple[np.ndarray, ..
     Texts of fewer than 20 words have none.
     """
     words = (text or "").split()
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, WORDS), np.uint16)
+    empty = np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64), empty, empty, np.zeros((0, WORDS), np.uint16)
     if len(words) < WORDS:
         return none
     own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     shingles = _runs(own, SHINGLE)
     width = min(WINDOW, len(shingles))
     views = np.lib.stride_tricks.sliding_window_view(shingles, width)
-    starts = np.unique(np.concatenate(  # parts bound the memory of a very long text
-        [views[a : a + 65536].argmin(axis=1) + np.arange(a, min(a + 65536, len(views))) for a in range(0, len(views), 65536)]
-    ))
+    anchors = []
+    for at in range(0, len(views), 65536):  # parts bound the memory of a very long text
+        part = views[at : at + 65536]
+        anchors.append(part.argmin(axis=1) + np.arange(at, at + len(part)))
+    starts = np.unique(np.concatenate(anchors))
     starts = starts[starts <= len(words) - WORDS]
     if not len(starts):
         return none
@@ -115,14 +118,14 @@ def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     continue
                 starts, content, least, words = (np.concatenate(x) for x in zip(*found, strict=True))
                 raw = pa.py_buffer(np.ascontiguousarray(words).tobytes())
-                ends = pa.py_buffer(np.arange(0, 2 * WORDS * (len(starts) + 1), 2 * WORDS, dtype=np.int32).tobytes())
+                ends = np.arange(len(starts) + 1, dtype=np.int32) * 2 * WORDS
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(pa.array(np.repeat(np.arange(len(many)), many))),
                         pa.array(starts.astype(np.int32)),
                         pa.array(content.view(np.int64)),
                         pa.array(least.view(np.int64)),
-                        pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, raw]),
+                        pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), raw]),
                     ],
                     names=schema.names,
                 )
@@ -148,7 +151,8 @@ def _banded(texts: DataFrame, rows: int, bands: int) -> DataFrame:
                 key = np.full(len(table), number, np.uint64)
                 for row in range(rows):
                     key = _mixed(key ^ _mixed(table, 1 + number * rows + row).min(axis=1))
-                yield batch[["content", "words"]].assign(band=key.view(np.int64))[["band", "content", "words"]]
+                found = batch.assign(band=key.view(np.int64))
+                yield found[["band", "content", "words"]]
 
     return texts.mapInPandas(band, "band long, content long, words binary")
 
