@@ -44,7 +44,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     grouped = simhash.near_groups(docs, "doc_id", "text", n_words=4, max_bits=4)
     grouped = materialize(grouped.select("id", "component_id"), "near-groups")
     other = grouped.where("id <> component_id").select(F.col("id").alias("other")).distinct()
-    kept = docs.join(other, docs.doc_id == other.other, "left_anti")
+    # By sorting at every size: the others grow with the documents and are never broadcast.
+    kept = docs.join(other.hint("merge"), docs.doc_id == other.other, "left_anti")
     twice = grouped.groupBy("id").count().where("count > 1").select(F.col("id").alias("twice"))
     twice = materialize(twice, "repeated-ids")
     if twice.isEmpty():  # ids name rows, as they should
