@@ -1,25 +1,27 @@
-"""Passages that repeat across documents: content-defined paragraphs, MinHash bands, components.
-
-Repeated passages stand anywhere in a line, so paragraphs are cut by content: in any 31 consecutive
-5-word shingles the one with the least hash is an anchor, and the 20 words from an anchor are a
-paragraph. A passage of 50 words has an anchor whose paragraph lies inside it, the same one in every
-document that has the passage.
-
-Paragraphs are compared by the Jaccard similarity of their shingles: those with a least shingle in
-common are banded by MinHash, colliding ones are verified, and verified links make components. Equal
-paragraphs are one node, so copies make no links.
+"""Passages that repeat across documents: winnowed seeds, maximal shared runs, paragraphs.
+
+* Seeds: in any 11 consecutive 10-word runs the one with the least hash is kept, so every 20 words
+  hold a seed, the same one wherever they stand. Seeds that several documents hold show where to look.
+* Runs: around shared seeds every 20-word window is compared, so each word of every exact run of 20
+  words or more that documents share is found. Runs are reported as windows of 20 words: their first
+  and last one and those at content-defined places at most 20 words apart, in every holder alike.
+* Paragraphs: runs at most 5 words apart are one stretch. Where they cover half of a line of 20 words
+  or more, the line and the stretch's part of it are paragraphs, else the stretch is. All distinct paragraphs are banded by
+  MinHash over their whole shingle sets, verified by Jaccard, and joined to components. Two
+  paragraphs of more than 20 words that reach 0.8 share 20 words, so both have been looked at.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +29,8 @@ from foldwise.llm.components import connected_components
 from foldwise.workspace import materialize
 
 SHINGLE = 5
-WINDOW = 31
 WORDS = 20
+SEED_WORDS = 10
 SIMILARITY = 0.8
 ROWS = 3
 RECALL = 0.95
@@ -69,98 +71,197 @@ class _Hashes(dict):
         return value
 
 
-def paragraphs(text: str | None, hashes: dict[str, int]) -> tuple[np.ndarray, ...]:
-    """Starts (in words), content hashes, least shingles and 16-bit word hashes of a text's paragraphs.
-
-    Texts of fewer than 20 words have none.
-    """
-    words = (text or "").split()
-    empty = np.zeros(0, np.uint64)
-    none = np.zeros(0, np.int64), empty, empty, np.zeros((0, WORDS), np.uint16)
-    if len(words) < WORDS:
-        return none
-    own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    shingles = _runs(own, SHINGLE)
-    width = min(WINDOW, len(shingles))
-    views = np.lib.stride_tricks.sliding_window_view(shingles, width)
-    anchors = []
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """Places of the least value in any ``width`` consecutive ones."""
+    width = min(width, len(values))
+    views = np.lib.stride_tricks.sliding_window_view(values, width)
+    found = []
     for at in range(0, len(views), 65536):  # parts bound the memory of a very long text
         part = views[at : at + 65536]
-        anchors.append(part.argmin(axis=1) + np.arange(at, at + len(part)))
-    starts = np.unique(np.concatenate(anchors))
-    starts = starts[starts <= len(words) - WORDS]
-    if not len(starts):
-        return none
-    windows = np.lib.stride_tricks.sliding_window_view(own, WORDS)[starts]
-    least = np.lib.stride_tricks.sliding_window_view(shingles, WORDS - SHINGLE + 1)[starts].min(axis=1)
-    return starts, _runs(windows, WORDS)[:, 0], least, (windows & np.uint64(0xFFFF)).astype(np.uint16)
-
-
-def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    schema = T.StructType(
-        [
-            T.StructField("id", docs.schema[id_col].dataType),
-            T.StructField("start", T.IntegerType()),
-            T.StructField("content", T.LongType()),
-            T.StructField("least", T.LongType()),
-            T.StructField("words", T.BinaryType()),
-        ]
-    )
+        found.append(np.unique(part.argmin(axis=1) + np.arange(at, at + len(part))))
+    return np.unique(np.concatenate(found))
+
+
+def _hashed(text: str | None, hashes: dict[str, int]) -> np.ndarray:
+    words = (text or "").split()
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def seeds_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the seeds of a text's hashed words; none below 20 words."""
+    if len(own) < WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    runs = _runs(own, SEED_WORDS)
+    starts = _least(runs, WORDS - SEED_WORDS + 1)
+    return starts, runs[starts]
+
+
+def windows_of(own: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, hashes and tile marks of the 20-word windows that hold one of the ``seeds``."""
+    size = len(own) - WORDS + 1
+    edges = np.zeros(len(own) + 1, np.int64)
+    np.add.at(edges, np.maximum(seeds - (WORDS - SEED_WORDS), 0), 1)
+    np.add.at(edges, seeds + 1, -1)
+    starts = np.flatnonzero(np.cumsum(edges)[:size] > 0)
+    content = _runs(own, WORDS)
+    tile = np.zeros(size, bool)
+    tile[_least(content, WORDS)] = True
+    return starts, content[starts], tile[starts]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def paragraphs_of(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``(start, end)`` in words of the paragraphs around shared ``runs``: stretches, and lines.
+
+    A line that is half covered counts, and so does a stretch's part of it: a passage may be most of
+    one document's line and little of another's.
+    """
+    stretches: list[list[int]] = []
+    for a, b in runs:
+        if stretches and a - stretches[-1][1] <= SHINGLE:
+            stretches[-1][1] = max(stretches[-1][1], b)
+        else:
+            stretches.append([a, b])
+    lines, at = [], 0
+    for line in text.split("\n"):
+        size = len(line.split())
+        if size >= WORDS:
+            lines.append((at, at + size))
+        at += size
+    covered = [0] * len(lines)
+    firsts = [low for low, _ in lines]
+
+    def touched(a: int, b: int) -> Iterator[int]:
+        k = max(bisect.bisect_right(firsts, a) - 1, 0)
+        while k < len(lines) and lines[k][0] < b:
+            if lines[k][1] > a:
+                yield k
+            k += 1
+
+    for a, b in stretches:
+        for k in touched(a, b):
+            covered[k] += min(b, lines[k][1]) - max(a, lines[k][0])
+    whole = [n * 2 >= high - low for n, (low, high) in zip(covered, lines, strict=True)]
+    found = {line for line, taken in zip(lines, whole, strict=True) if taken}
+    for a, b in stretches:
+        place = a
+        for k in touched(a, b):
+            if whole[k]:
+                low, high = lines[k]
+                found |= {(place, low), (max(a, low), min(b, high))}
+                place = high
+        found.add((place, b))
+    return sorted((a, b) for a, b in found if b - a >= WORDS)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, doc, row, text)``: ``doc`` and ``row`` stand for the id and for the id with its text."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    document = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.xxhash64("id"))
+    return rows.select("id", document.alias("doc"), F.xxhash64(document, "text").alias("row"), "text")
+
+
+def _each(rows: DataFrame, schema: T.StructType, carried: list[str], make, inputs: list[str]) -> DataFrame:
+    """``make`` gives a row's columns as arrays of one length; ``carried`` columns are repeated."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [paragraphs(t, hashes) for t in part.column("text").to_pylist()]
-                many = [len(f[0]) for f in found]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                given = zip(*[part.column(c).to_pylist() for c in inputs], strict=True)
+                made = [make(hashes, *values) for values in given]
+                many = [len(m[0]) for m in made]
                 if not sum(many):
                     continue
-                starts, content, least, words = (np.concatenate(x) for x in zip(*found, strict=True))
-                raw = pa.py_buffer(np.ascontiguousarray(words).tobytes())
-                ends = np.arange(len(starts) + 1, dtype=np.int32) * 2 * WORDS
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id").take(pa.array(np.repeat(np.arange(len(many)), many))),
-                        pa.array(starts.astype(np.int32)),
-                        pa.array(content.view(np.int64)),
-                        pa.array(least.view(np.int64)),
-                        pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), raw]),
-                    ],
-                    names=schema.names,
-                )
+                take = pa.array(np.repeat(np.arange(len(many)), many))
+                columns = [part.column(c).take(take) for c in carried]
+                for k, field in enumerate(schema.fields[len(carried) :]):
+                    values = [m[k] for m in made]
+                    if isinstance(field.dataType, T.BinaryType):
+                        columns.append(pa.array([x for v in values for x in v], pa.binary()))
+                        continue
+                    joined = np.concatenate([v for v in values if len(v)])
+                    kinds = {T.IntegerType: np.int32, T.BooleanType: bool}
+                    kind = kinds.get(type(field.dataType))
+                    columns.append(pa.array(joined.astype(kind) if kind else joined.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(build, schema)
+
+
+def _fields(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(*f) for f in fields])
+
+
+def _seeds(rows: DataFrame) -> DataFrame:
+    schema = _fields(("doc", T.LongType()), ("row", T.LongType()), ("at", T.IntegerType()), ("seed", T.LongType()))
+    make = lambda hashes, text: seeds_of(_hashed(text, hashes))
+    return _each(rows.select("doc", "row", "text"), schema, ["doc", "row"], make, ["text"])
 
 
-def _shingle_table(words: list[bytes]) -> np.ndarray:
-    values = np.frombuffer(b"".join(words), np.uint16).reshape(-1, WORDS).astype(np.uint64)
-    return _runs(values, SHINGLE)
+def _windows(rows: DataFrame) -> DataFrame:
+    schema = _fields(
+        ("id", rows.schema["id"].dataType), ("doc", T.LongType()), ("row", T.LongType()),
+        ("start", T.IntegerType()), ("content", T.LongType()), ("tile", T.BooleanType()),
+    )
+
+    def make(hashes: dict[str, int], text: str, seeds: list[int]) -> tuple[np.ndarray, ...]:
+        return windows_of(_hashed(text, hashes), np.asarray(seeds, np.int64))
+
+    return _each(rows, schema, ["id", "doc", "row"], make, ["text", "seeds"])
+
+
+def _paragraphs(rows: DataFrame) -> DataFrame:
+    schema = _fields(
+        ("id", rows.schema["id"].dataType), ("doc", T.LongType()), ("row", T.LongType()),
+        ("start", T.IntegerType()), ("n_words", T.IntegerType()), ("content", T.LongType()),
+        ("words", T.BinaryType()),
+    )
+
+    def make(hashes: dict[str, int], text: str, firsts: list[int], lasts: list[int]) -> tuple:
+        own = _hashed(text, hashes)
+        runs = [(a, b + WORDS) for a, b in zip(sorted(firsts), sorted(lasts), strict=True)]
+        found = paragraphs_of(text, runs)
+        content = [xxhash.xxh64_intdigest(own[a:b].tobytes()) for a, b in found]
+        return (
+            np.array([a for a, _ in found], np.int64),
+            np.array([b - a for a, b in found], np.int64),
+            np.array(content, np.uint64),
+            [(own[a:b] & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for a, b in found],
+        )
+
+    return _each(rows, schema, ["id", "doc", "row"], make, ["text", "firsts", "lasts"])
+
+
+def _shingles(words: bytes) -> np.ndarray:
+    return np.unique(_runs(np.frombuffer(words, np.uint16).astype(np.uint64), SHINGLE))
 
 
 def _banded(texts: DataFrame, rows: int, bands: int) -> DataFrame:
-    """``(band, content, words)``: MinHash bands of paragraphs."""
+    """``(band, content)``: MinHash bands of whole paragraphs."""
 
     def band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            table = _shingle_table(list(batch["words"]))
-            for number in range(bands):
-                key = np.full(len(table), number, np.uint64)
+            keys = []
+            for words in batch["words"]:
+                shingles = _shingles(words)
+                least = [_mixed(shingles, 1 + k).min() for k in range(rows * bands)]
+                table = np.array(least, np.uint64).reshape(bands, rows)
+                key = np.arange(bands, dtype=np.uint64)
                 for row in range(rows):
-                    key = _mixed(key ^ _mixed(table, 1 + number * rows + row).min(axis=1))
-                found = batch.assign(band=key.view(np.int64))
-                yield found[["band", "content", "words"]]
+                    key = _mixed(key ^ table[:, row])
+                keys.append(key)
+            if keys:
+                content = np.repeat(batch["content"].to_numpy(), bands)
+                yield pd.DataFrame({"band": np.concatenate(keys).view(np.int64), "content": content})
 
-    return texts.mapInPandas(band, "band long, content long, words binary")
+    return texts.mapInPandas(band, "band long, content long")
 
 
-def jaccard_links(content: np.ndarray, table: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def jaccard_links(content: np.ndarray, table: Sequence[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the paragraphs whose shingles are similar enough, verified exactly."""
     content, first = np.unique(content, return_index=True)
-    sets = [frozenset(row) for row in table[first].tolist()]
+    sets = [frozenset(table[k].tolist()) for k in first]
     holders: dict[int, set[int]] = {}
     for k, own in enumerate(sets):
         for shingle in own:
@@ -185,11 +286,12 @@ def jaccard_links(content: np.ndarray, table: np.ndarray, similarity: float) ->
 
 
 def _near_links(texts: DataFrame, similarity: float, rows: int, recall: float) -> DataFrame:
-    banded = _banded(texts, rows, bands_for(similarity, rows, recall))
+    banded = materialize(_banded(texts, rows, bands_for(similarity, rows, recall)), "bands")
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     own = F.pmod(F.xxhash64("content"), F.col("tiles")).cast("int")
     pieces = (
         banded.join(shared, "band")
+        .join(texts, "content")
         .withColumn("tiles", F.ceil(F.col("n") / TILE_ROWS).cast("int"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -202,13 +304,36 @@ def _near_links(texts: DataFrame, similarity: float, rows: int, recall: float) -
             found = {
                 x
                 for c, w in zip(batch["contents"], batch["words"], strict=True)
-                for x in jaccard_links(np.asarray(c, np.int64), _shingle_table(list(w)), similarity)
+                for x in jaccard_links(np.asarray(c, np.int64), [_shingles(x) for x in w], similarity)
             }
             yield pd.DataFrame(sorted(found), columns=["src", "dst"], dtype="int64")
 
     return pieces.select("contents", "words").mapInPandas(link, "src long, dst long").distinct()
 
 
+def _classes(units: DataFrame, similarity: float, rows: int, recall: float) -> DataFrame:
+    """``(row, paragraphs)``: every row's paragraphs with their classes."""
+    texts = materialize(units.groupBy("content").agg(F.first("words").alias("words")), "paragraph-texts")
+    found = connected_components(_near_links(texts, similarity, rows, recall))
+    each = units.groupBy("content").agg(
+        F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")
+    )
+    each = each.join(found, each.content == found.node, "left").withColumn(
+        "class_id", F.coalesce("component", "content")
+    )
+    classes = each.groupBy("class_id").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    members = materialize(each.select("content", "class_id").join(classes, "class_id"), "classes")
+    placed = units.select("id", "row", "start", "n_words", "content").join(members, "content")
+    one = F.struct(
+        F.col("start").alias("paragraph_start"),
+        F.col("n_words").alias("paragraph_words"),
+        F.col("class_id").alias("paragraph_class"),
+        (F.col("n") - 1).alias("paragraph_links"),
+        F.struct("id", "start").eqNullSafe(F.col("first")).alias("paragraph_keep"),
+    )
+    return placed.groupBy("row").agg(F.sort_array(F.collect_set(one)).alias("paragraphs"))
+
+
 def repeated_passages(
     docs: DataFrame,
     id_col: str,
@@ -217,42 +342,67 @@ def repeated_passages(
     rows: int = ROWS,
     recall: float = RECALL,
 ) -> DataFrame:
-    """``(id, start, n_words, class_id, n_links, keep)`` of every paragraph that other documents repeat.
-
-    ``start`` counts white-space separated words. ``class_id`` names the component, ``keep`` is true
-    for its first paragraph by id and start, the one that stays; ``n_links`` is the number of other
-    paragraphs of the class. Paragraphs that repeat within one document only are no repeats. Rows
-    with NULL ids count as one document, as do rows of one id. NULL, empty and short texts have no
-    paragraph. Other columns are not read.
+    """Every exact run of 20 words or more that documents share, as windows of 20 words:
+    ``(id, start, n_words, class_id, n_links, keep, paragraph_start, paragraph_words,
+    paragraph_class, paragraph_links, paragraph_keep)``.
+
+    ``start`` counts white-space separated words; the windows cover each run from its first to its
+    last word. ``class_id`` names equal windows, ``keep`` is true for the first by id and start, the
+    one that stays; ``n_links`` is the number of other windows of the class.
+
+    The ``paragraph_*`` columns tell the longest line or stretch that the window begins in, those with
+    like ones first, and its class of paragraphs that are similar as wholes; they are NULL where a window begins in no paragraph of 20
+    words. A paragraph like no other is alone in its class. Words beyond a changed word that make no
+    run of 20 belong to a paragraph only if it is a line.
+
+    Passages that repeat within one document only are no repeats. Rows with NULL ids count as one
+    document, as do rows of one id. NULL, empty and short texts have no passage. Other columns are
+    not read.
     """
-    units = materialize(_units(docs, id_col, text_col), "paragraphs")
-    crowded = units.groupBy("least").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
+    texts = _rows(docs, id_col, text_col)
+    seeds = materialize(_seeds(texts), "seeds")
+    crowded = seeds.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     # Written, so that the join below is of two plain exchanges, which Spark can split by size.
-    crowded = materialize(crowded.where("lo < hi").select("least"), "crowded")
-    texts = units.select("least", "content", "words").join(crowded, "least").drop("least")
-    texts = materialize(texts.groupBy("content").agg(F.first("words").alias("words")), "colliding")
-    found = connected_components(_near_links(texts, similarity, rows, recall))
-    document = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.xxhash64("id"))
-    each = units.groupBy("content").agg(
-        F.min(document).alias("lo"),
-        F.max(document).alias("hi"),
+    crowded = materialize(crowded.where("lo < hi").select("seed"), "crowded")
+    places = seeds.join(crowded, "seed").groupBy("row").agg(F.collect_set("at").alias("seeds"))
+    windows = materialize(_windows(texts.join(places, "row")), "windows")
+    shared = windows.groupBy("content").agg(
+        F.min("doc").alias("lo"),
+        F.max("doc").alias("hi"),
         F.min(F.struct("id", "start")).alias("first"),
         F.count("*").alias("n"),
     )
-    each = each.join(found, each.content == found.node, "left").withColumn(
-        "class_id", F.coalesce("component", "content")
+    shared = materialize(shared.where("lo < hi").select("content", "first", "n"), "shared")
+    held = windows.join(shared.select("content"), "content").select("id", "row", "start", "content", "tile")
+    ordered = Window.partitionBy("row").orderBy("start")
+    held = held.withColumns({"before": F.lag("start").over(ordered), "behind": F.lead("start").over(ordered)})
+    first = F.col("before").isNull() | (F.col("start") - F.col("before") > 1)
+    last = F.col("behind").isNull() | (F.col("behind") - F.col("start") > 1)
+    held = held.select("id", "row", "start", "content", "tile", first.alias("first"), last.alias("last"))
+    held = materialize(held, "held")
+    runs = held.where("first or last").groupBy("row").agg(
+        F.collect_set(F.when(F.col("first"), F.col("start"))).alias("firsts"),
+        F.collect_set(F.when(F.col("last"), F.col("start"))).alias("lasts"),
     )
-    classes = each.groupBy("class_id").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.sum("n").alias("n")
+    units = materialize(_paragraphs(texts.join(runs, "row")), "paragraphs")
+    classes = _classes(units, similarity, rows, recall)
+    told = materialize(held.where("first or last or tile").select("content").distinct(), "told")
+    placed = held.select("id", "row", "start", "content").join(told.join(shared, "content"), "content")
+    placed = placed.join(classes, "row", "left")
+    inside = F.filter(
+        "paragraphs",
+        lambda p: (p.paragraph_start <= F.col("start"))
+        & (F.col("start") < p.paragraph_start + p.paragraph_words),
     )
-    classes = classes.where("lo < hi").select("class_id", "first", "n")
-    members = materialize(each.select("content", "class_id").join(classes, "class_id"), "classes")
-    placed = units.select("id", "start", "content").join(members, "content")
-    return placed.select(
+    best = F.array_max(
+        F.transform(inside, lambda p: F.struct(p.paragraph_links > 0, p.paragraph_words, p.alias("one")))
+    )
+    return placed.withColumn("inside", best.one).select(
         "id",
         "start",
         F.lit(WORDS).alias("n_words"),
-        "class_id",
+        F.col("content").alias("class_id"),
         (F.col("n") - 1).alias("n_links"),
         F.struct("id", "start").eqNullSafe(F.col("first")).alias("keep"),
+        "inside.*",
     )

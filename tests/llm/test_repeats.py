@@ -93,3 +93,49 @@ def test_hard_rows(spark, hard, empty):
     found = repeats.repeated_passages(twice, "doc_id", "text").collect()
     assert {r.id for r in found if r.keep} == {5} and {r.id for r in found} == {5, 9}
     assert repeats.repeated_passages(empty, "doc_id", "text").collect() == []
+
+
+def test_paragraphs_are_lines_and_stretches():
+    text = "\n".join([" ".join(["a"] * 30), "b c", " ".join(["d"] * 100)])
+    assert repeats.paragraphs_of(text, [(5, 28)]) == [(0, 30), (5, 28)]
+    assert repeats.paragraphs_of(text, [(40, 65)]) == [(40, 65)]
+    assert repeats.paragraphs_of(text, [(40, 65), (66, 90)]) == [(32, 132), (40, 90)]
+    assert repeats.paragraphs_of(text, [(40, 65), (72, 100)]) == [(32, 132), (40, 65), (72, 100)]  # both cover half of the line
+    assert repeats.paragraphs_of(text, [(0, 60)]) == [(0, 30), (30, 60)]
+    assert repeats.paragraphs_of("", []) == []
+
+
+def test_runs_of_twenty_words_and_similar_paragraphs_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    docs, similar, k = [], [], 0
+    for trial in range(400):
+        near, line = trial % 2, trial % 4 > 1
+        passage = some(rng.randrange(50, 71) if near else rng.randrange(20, 50))
+        other = list(passage)
+        for _ in range(rng.randrange(1, 3) if near else 0):
+            at, kind = rng.randrange(len(other)), rng.randrange(3)
+            other[at : at + (kind != 1)] = [f"edit{trial}"] if kind < 2 else []
+        sets = [set(zip(*[p[i:] for i in range(5)])) for p in (passage, other)]
+        if near and len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            similar.append((k, k + 1))
+        gap = "\n" if line else " "
+        for p in (passage, other):
+            docs.append((k, gap.join(" ".join(x) for x in (some(rng.randrange(5, 60)), p, some(30)))))
+            k += 1
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = repeats.repeated_passages(frame, "doc_id", "text").collect()
+    holders, covered, got, classes = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    places = [(d, i, tuple(t.split()[i : i + 20])) for d, t in docs for i in range(len(t.split()) - 19)]
+    for d, _, run in places:
+        holders[run].add(d)
+    for d, i, run in places:
+        if len(holders[run]) > 1:
+            covered[d] |= set(range(i, i + 20))
+    for r in rows:
+        got[r.id] |= set(range(r.start, r.start + r.n_words))
+        classes[r.id].add(r.paragraph_class)
+    assert got == covered  # every word of every shared run, and no other
+    linked = [pair for pair in similar if classes[pair[0]] & classes[pair[1]]]
+    assert len(similar) > 50 and len(linked) >= 0.95 * len(similar)
