@@ -82,10 +82,10 @@ _GAP = r"[^\p{L}\p{N}]+"
 
 @dataclass
 class LicenseModel:
-    """Vocabulary, fitted regression and temperature; ``triggers`` are the words it rests on."""
+    """Vocabulary, fitted regression and temperature; without ``needed`` n-grams all is unknown."""
 
     vocabulary: list[str]
-    triggers: list[str]
+    needed: list[str]
     regression: LogisticRegressionModel
     temperature: float
 
@@ -113,7 +113,7 @@ def _with_grams(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.withColumn("_grams", F.concat("_words", F.when(size > 0, pairs).otherwise(F.array())))
 
 
-def _examples(background: list[str], triggers: list[str]) -> list[tuple[str, float, int]]:
+def _examples(background: list[str], single: list[str]) -> list[tuple[str, float, int]]:
     """``(text, class, kept apart)``: notices, notices less a word, single words, background."""
     rows = []
     for number, family in enumerate(FAMILIES[1:], 1):
@@ -122,7 +122,7 @@ def _examples(background: list[str], triggers: list[str]) -> list[tuple[str, flo
             rows.append((notice, float(number), 0))
             for k in range(len(words)):
                 rows.append((" ".join(words[:k] + words[k + 1 :]), float(number), int(k % 3 == 2)))
-    rows += [(word, 0.0, k % 3 // 2) for k, word in enumerate(triggers)]
+    rows += [(word, 0.0, k % 3 // 2) for k, word in enumerate(single)]
     return rows + [(text, 0.0, k % 3 // 2) for k, text in enumerate(background)]
 
 
@@ -147,12 +147,10 @@ def fit_licenses(docs: DataFrame, text_col: str) -> LicenseModel:
     background = [
         t for t in background if all(len(n & set(_words(t))) < 0.6 * len(n) for n in notices)
     ]
-    common = {w for t in background for w in _words(t)}
-    triggers = sorted({w for n in notices for w in n} - common)
-    grams = {g for ns in NOTICES.values() for n in ns for g in _grams(_words(n))}
-    vocabulary = sorted(g for g in grams if any(w in triggers for w in g.split()))
+    vocabulary = sorted({g for ns in NOTICES.values() for n in ns for g in _grams(_words(n))})
+    single = sorted({w for n in notices for w in n})
     rows = spark.createDataFrame(
-        _examples(background, triggers), "text string, label double, apart int"
+        _examples(background, single), "text string, label double, apart int"
     ).coalesce(1)
     vectors = _vectors(_with_grams(rows, "text"), vocabulary)
     known = vectors.where("apart = 0").groupBy("label").count().collect()
@@ -169,7 +167,16 @@ def fit_licenses(docs: DataFrame, text_col: str) -> LicenseModel:
         (r.margins, int(r.label))
         for r in apart.select(vector_to_array("rawPrediction").alias("margins"), "label").collect()
     ]
-    return LicenseModel(vocabulary, triggers, regression, _temperature(margins))
+    return LicenseModel(vocabulary, _needed(vocabulary, regression), regression, _temperature(margins))
+
+
+def _needed(vocabulary: list[str], regression: LogisticRegressionModel) -> list[str]:
+    """N-grams that can lift some family above unknown; every paragraph given a family has one."""
+    weights = regression.coefficientMatrix.toArray()
+    start = regression.interceptVector.toArray()
+    lifts = ((weights[1:] - weights[0]) > 0).any(axis=0) | (start[1:] > start[0]).any()
+    grams = {g for g, lift in zip(vocabulary, lifts, strict=True) if lift}
+    return sorted(g for g in grams if " " not in g or not grams.intersection(g.split()))
 
 
 def _temperature(margins: list[tuple[list[float], int]]) -> float:
@@ -195,19 +202,20 @@ def _vectors(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
 def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str, text_col: str) -> DataFrame:
     """``(id, paragraph, text, family, probability, similarity, confirmed)`` of licence paragraphs.
 
-    Paragraphs are lines, counted from 0. Only n-grams with a trigger word bear weight, so texts
-    without any trigger are unknown as a whole and are passed over; every other paragraph is scored.
+    Paragraphs are lines, counted from 0. Texts and lines without any n-gram that lifts a family
+    above unknown are unknown and are passed over; every other paragraph is scored.
     ``similarity`` is the best Jaccard similarity of words with a notice of the family. NULL, empty
     and blank texts give no row; NULL ids are carried; repeated rows stay; other columns are not read.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    if not model.triggers:
+    grams = [gram.replace(" ", _GAP) for gram in model.needed]
+    any_needed = r"(?<![\p{L}\p{N}])(?:" + "|".join(grams) + r")(?![\p{L}\p{N}])"
+    if not grams:
         rows = rows.where("false")
-    any_trigger = r"(?<![\p{L}\p{N}])(?:" + "|".join(model.triggers) + r")(?![\p{L}\p{N}])"
     lines = (
-        rows.where(F.lower("text").rlike(any_trigger))
+        rows.where(F.lower("text").rlike(any_needed))
         .select("id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "text"))
-        .where(F.lower("text").rlike(any_trigger))
+        .where(F.lower("text").rlike(any_needed))
     )
     scored = model.regression.transform(_vectors(_with_grams(lines, "text"), model.vocabulary))
     margins = F.transform(vector_to_array("rawPrediction"), lambda m: m / model.temperature)

@@ -42,3 +42,18 @@ def test_unknown_paragraphs_and_hard_rows(spark, hard, empty):
     assert licenses.scan_licenses(empty, model, "doc_id", "text").collect() == []
     bare = licenses.fit_licenses(empty, "text")
     assert [r.family for r in licenses.scan_licenses(rows, bare, "doc_id", "text").collect() if r.paragraph == 1] == ["Apache-2.0"]
+
+
+def test_words_of_notices_in_ordinary_text_hide_no_notice(spark):
+    words = sorted({w for ns in licenses.NOTICES.values() for n in ns for w in licenses._words(n)})
+    docs = [(k, f"people spoke of {words[k % len(words)]} and the weather in town {k}") for k in range(450)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = licenses.fit_licenses(frame, "text")
+    notices = list(PLANTED.items())
+    planted = spark.createDataFrame([(1000 + k, n) for k, (n, _) in enumerate(notices)], frame.schema)
+    got = licenses.scan_licenses(frame.unionByName(planted), model, "doc_id", "text").collect()
+    assert {(r.id, r.family) for r in got if r.confirmed} == {(1000 + k, f) for k, (_, f) in enumerate(notices)}
+    # nothing that the classifier accepts is passed over: without the filter the rows are the same
+    whole = licenses.LicenseModel(model.vocabulary, words, model.regression, model.temperature)
+    same = licenses.scan_licenses(frame.unionByName(planted), whole, "doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, same))
