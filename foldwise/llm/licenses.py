@@ -204,7 +204,8 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str, text_col: s
 
     Paragraphs are lines, counted from 0. Texts and lines without any n-gram that lifts a family
     above unknown are unknown and are passed over; every other paragraph is scored.
-    ``similarity`` is the best Jaccard similarity of words with a notice of the family. NULL, empty
+    ``similarity`` is the best one with a notice of the family: the Jaccard similarity of the words, or
+    the share of the notice's word pairs that the paragraph holds, if that is more. NULL, empty
     and blank texts give no row; NULL ids are carried; repeated rows stay; other columns are not read.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -238,6 +239,9 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, id_col: str, text_col: s
         for notice in notices:
             words = F.array(*[F.lit(w) for w in sorted(set(_words(notice)))])
             each.append(F.size(F.array_intersect(own, words)) / F.size(F.array_union(own, words)))
+            found = sorted(set(_grams(_words(notice))) - set(_words(notice)))
+            pairs = F.array(*[F.lit(g) for g in found])
+            each.append(F.size(F.array_intersect("_grams", pairs)) / F.lit(len(found)))
         most = F.greatest(*each, F.lit(0.0))
         similarity = F.when(F.col("family") == family, most).otherwise(similarity)
     return scored.withColumn("similarity", similarity).select(

@@ -57,3 +57,16 @@ def test_words_of_notices_in_ordinary_text_hide_no_notice(spark):
     whole = licenses.LicenseModel(model.vocabulary, words, model.regression, model.temperature)
     same = licenses.scan_licenses(frame.unionByName(planted), whole, "doc_id", "text").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, same))
+
+
+def test_notices_with_other_words_on_their_line_are_confirmed(spark):
+    frame = spark.createDataFrame([(k, f"the tale of river {k} and hill") for k in range(20)], "doc_id long, text string")
+    model = licenses.fit_licenses(frame, "text")
+    lines = [
+        ("Copyright 2024 Acme Corp. All rights reserved.", "reserved"),
+        ("Acme tools 2.1, released under the MIT License.", "MIT"),
+        ("All the rights of the people were reserved for another day of rain", None),
+    ]
+    rows = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(lines)], "doc_id long, text string")
+    got = licenses.scan_licenses(rows, model, "doc_id", "text").collect()
+    assert {(r.id, r.family) for r in got if r.confirmed} == {(k, f) for k, (_, f) in enumerate(lines) if f}
