@@ -39,20 +39,34 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one whose id names the group.
 
-    Rows of one id and text are one document. Rows with a NULL id can't be named and stay.
+    An id may stand on several texts: each is judged in its own group, and if the naming id has more
+    than one text there, the least stays. Rows of one id and text are one document. Rows with a NULL
+    id can't be named and stay.
     """
     grouped = simhash.near_groups(docs, "doc_id", "text", n_words=4, max_bits=4)
-    grouped = materialize(grouped.select("id", "component_id"), "near-groups")
+    grouped = materialize(grouped, "near-groups")
     other = grouped.where("id <> component_id").select(F.col("id").alias("other")).distinct()
-    # By sorting at every size: the others grow with the documents and are never broadcast.
-    kept = docs.join(other.hint("merge"), docs.doc_id == other.other, "left_anti")
     twice = grouped.groupBy("id").count().where("count > 1").select(F.col("id").alias("twice"))
     twice = materialize(twice, "repeated-ids")
-    if twice.isEmpty():  # ids name rows, as they should
+    named = twice.isEmpty()  # ids name rows, as they should
+    same = docs.doc_id.eqNullSafe(twice.twice)
+    single = docs if named else docs.join(twice, same, "left_anti")
+    # By sorting at every size: the others grow with the documents and are never broadcast.
+    kept = single.join(other.hint("merge"), single.doc_id == other.other, "left_anti")
+    if named:
         return kept
-    same = kept.doc_id.eqNullSafe(twice.twice)
-    once = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, same, "left_anti").unionByName(once)
+    repeated = docs.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    repeated = materialize(repeated, "repeated-rows")
+    unnamed = repeated.where("doc_id is null")
+    rows = repeated.where("doc_id is not null").select(F.struct("*").alias("row"))
+    rows = rows.select("row", "row.text")
+    prints = simhash.fingerprints(
+        rows, "row", "text", n_words=4
+    ).select(F.col("id").alias("row"), "fingerprint")
+    groups = grouped.where("id = component_id").select("id", "fingerprint", "component").distinct()
+    found = prints.join(groups.hint("merge"), "fingerprint").where("row.doc_id = id")
+    found = found.groupBy("component").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    return kept.unionByName(found.select("row.*")).unionByName(unnamed)
 
 
 @stage

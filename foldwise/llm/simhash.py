@@ -156,10 +156,11 @@ def near_groups(
     max_bits: int = 4,
     bytes_per_key: int = 3,
 ) -> DataFrame:
-    """``(id, fingerprint, component_id)`` of every row of ``docs``.
+    """``(id, fingerprint, component_id, component)`` of every row of ``docs``.
 
     Fingerprints within ``max_bits`` bits are linked; ``component_id`` is the smallest id that is
-    reachable. Equal fingerprints are one node, so copies cost nothing beyond their own rows. NULL
+    reachable; ``component`` is the component's least fingerprint, which tells components apart that
+    repeated ids name alike. Equal fingerprints are one node, so copies cost nothing beyond their own rows. NULL
     and empty texts have fingerprint 0 and are linked like any other. Rows with a NULL id get a
     component like others; NULL is never the smallest id unless no row of the component has an id.
     Repeated ids stay repeated rows. Other columns of ``docs`` are not read.
@@ -173,8 +174,8 @@ def near_groups(
         .select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
     )
     least = of_fingerprint.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = of_fingerprint.join(least, "component").select("fingerprint", "component_id")
-    return rows.join(labels, "fingerprint").select("id", "fingerprint", "component_id")
+    labels = of_fingerprint.join(least, "component").select("fingerprint", "component_id", "component")
+    return rows.join(labels, "fingerprint").select("id", "fingerprint", "component_id", "component")
 
 
 def fingerprint_hex(fingerprint: F.Column) -> F.Column:

@@ -65,3 +65,11 @@ def test_run_applies_all_stages(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset", "ids_crc32"} <= set(rows.columns)
     assert rows.count() > 0
+
+
+def test_an_id_on_two_texts_loses_only_its_duplicate(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in ("apple", "brick", "cloud"))
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (5, c)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = STAGE["SimHash near-dedup"](spark, frame, SF).collect()
+    assert sorted(map(tuple, kept)) == [(1, a), (2, b), (4, c)]
