@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm import (
+    alignment,
     decontamination,
     licenses,
     packing,
@@ -172,3 +173,15 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage that documents share, its class, and which one stays."""
     docs = _table(spark, sf_dir, "documents")
     return repeats.repeated_passages(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two tokenizers, aligned by the bytes they cover."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    docs = _table(spark, sf_dir, "documents")
+    aligned = alignment.align_documents(docs, "doc_id", "text", _tokenizer("byte_bpe_50k.json"), model)
+    return aligned.withColumnRenamed("id", "doc_id")
