@@ -13,7 +13,6 @@ distinct pairs once, the counts are joined to these lists and go back to the blo
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import re
 import sys
@@ -36,9 +35,13 @@ CHUNK_BYTES = 32_768
 #: Fragments composed by one task of the tree.
 FAN = 16
 #: Distinct words a worker remembers for the second tokenizer.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Links written out at once.
-MOST_LINKS = 2_000_000
+MOST_LINKS = 1_000_000
+#: Links of a group from which its equal ids are put together first.
+WIDE = 64
+#: Bytes of text aligned at once.
+SLICE_BYTES = 1 << 20
 #: Words around a cut, so that neither tokenizer has a token across it.
 _SAFE_CUT = re.compile(rb"(?<=[!-~]) (?=[!-~])")
 
@@ -133,24 +136,6 @@ class PieceEncoder:
         return np.concatenate(own), np.array([len(x) for x in own])
 
 
-def _byte_level(definition: str) -> tuple[list[bytes], int]:
-    """The bytes of every entry of a byte-level vocabulary, whose characters stand for bytes."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    parsed = json.loads(definition)
-    names = {i: name for name, i in parsed["model"]["vocab"].items()}
-    added = {t["id"]: t["content"] for t in parsed["added_tokens"]}
-    size = max([*names, *added]) + 1
-    entries = []
-    for i in range(size):
-        if i in names:
-            entries.append(bytes(byte_of[c] for c in names[i]))
-        else:
-            entries.append(added.get(i, "").encode())
-    return entries, size
-
-
 class Side:
     """One tokenizer's bytes per id."""
 
@@ -176,7 +161,8 @@ class Aligner:
     def __init__(self, definition: str, model: bytes) -> None:
         self.first = tokens.Encoder(definition, "spaces")
         self.second = PieceEncoder(model)
-        entries, size = _byte_level(definition)
+        entries = tokens.byte_level_entries(definition)
+        size = len(entries)
         self.a, self.b = Side(entries), Side(self.second.bytes)
         self.size_b = self.second.size
         most = max(size, self.size_b)
@@ -244,13 +230,16 @@ class Tokens:
                 setattr(self, f"{name}_{side}", values[kept])
 
     def common_ends(self) -> np.ndarray:
-        """The offsets at which tokens of both sides end, increasing."""
+        """Which offsets tokens of both sides end at."""
         marks = np.zeros(int(self.sizes.sum()) + 1, bool)
+        common = marks.copy()
         marks[self.end_a] = True
-        return self.end_b[marks[self.end_b]]
+        common[self.end_b] = marks[self.end_b]
+        return common
 
     def open_ends(self, common: np.ndarray) -> list[tuple]:
         """``(has, prefix_a, prefix_b, suffix_a, suffix_b)`` per row; those tokens are taken out."""
+        common = np.flatnonzero(common)
         edges = np.searchsorted(common, np.append(self.base, self.sizes.sum()), "right")
         rows, keep_a, keep_b = [], np.ones(len(self.ids_a), bool), np.ones(len(self.ids_b), bool)
         for r in range(self.rows):
@@ -277,8 +266,8 @@ class Tokens:
 
     def closed(self, common: np.ndarray) -> Closed:
         """The groups between common ends."""
-        group_a = np.searchsorted(common, self.end_a, "left")
-        group_b = np.searchsorted(common, self.end_b, "left")
+        before = np.cumsum(common, dtype=np.int32) - common
+        group_a, group_b = before[self.end_a], before[self.end_b]
         return closed_groups(
             self.own, self.rows, self.ids_a, group_a, self.row_a, self.ids_b, group_b, self.row_b
         )
@@ -293,9 +282,10 @@ class Closed:
 
 def closed_groups(own: Aligner, rows: int, ids_a, group_a, row_a, ids_b, group_b, row_b) -> Closed:
     """Of tokens with their group and row, in order; a group has tokens of both sides."""
-    used, group_a = np.unique(group_a, return_inverse=True)
-    group_b = np.searchsorted(used, group_b)
-    n = len(used)
+    used = np.bincount(group_a) > 0
+    number = np.cumsum(used) - 1
+    group_a, group_b = number[group_a], number[group_b]
+    n = int(used.sum())
     in_a, in_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
     row_of = np.zeros(n, np.int64)
     row_of[group_a] = row_a
@@ -316,7 +306,7 @@ def closed_groups(own: Aligner, rows: int, ids_a, group_a, row_a, ids_b, group_b
     edges = ends[np.concatenate([[0], np.cumsum(n_a + n_b)])]
     data = memoryview(_data(own.shown.take(pa.array(shown))))
     texts = [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    keys, times = _linked_pairs(own.size_b, len(own.a.lengths), ids_a, group_a, ids_b, group_b, in_b, row_of)
+    keys, times = _linked_pairs(own.size_b, len(own.a.lengths), ids_a, group_a, ids_b, group_b, row_of)
     space = own.size_b * len(own.a.lengths)
     row, codes = np.divmod(keys, space)
     return Closed(
@@ -331,16 +321,30 @@ def closed_groups(own: Aligner, rows: int, ids_a, group_a, row_a, ids_b, group_b
     )
 
 
-def _linked_pairs(size_b, size_a, ids_a, group_a, ids_b, group_b, in_b, row_of):
+def _linked_pairs(size_b, size_a, ids_a, group_a, ids_b, group_b, row_of) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ``row, a, b`` as one number each, and how often each pair is linked there.
 
-    Equal ids of a group are one entry with their number, so a group of many tokens costs the
-    product of its distinct ids only; entries are written out ``MOST_LINKS`` links at a time.
+    In groups of many links equal ids are one entry with their number, so that such a group costs
+    the product of its distinct ids only; links are written out ``MOST_LINKS`` at a time.
     """
-    entry_a, many_a = np.unique(group_a * size_a + ids_a, return_counts=True)
-    entry_b, many_b = np.unique(group_b * size_b + ids_b, return_counts=True)
-    (group_a, ids_a), (group_b, ids_b) = np.divmod(entry_a, size_a), np.divmod(entry_b, size_b)
-    in_b = np.bincount(group_b, minlength=len(in_b))
+    n = len(row_of)
+    links = np.bincount(group_a, minlength=n) * np.bincount(group_b, minlength=n)
+    wide = links > WIDE
+    if not wide.any():
+        return _written_out(size_b, size_a, ids_a, group_a, None, ids_b, group_b, None, row_of)
+    in_a, in_b = wide[group_a], wide[group_b]
+    entry_a, many_a = np.unique(group_a[in_a].astype(np.int64) * size_a + ids_a[in_a], return_counts=True)
+    entry_b, many_b = np.unique(group_b[in_b].astype(np.int64) * size_b + ids_b[in_b], return_counts=True)
+    (of_a, of_b), (own_a, own_b) = zip(np.divmod(entry_a, size_a), np.divmod(entry_b, size_b), strict=True)
+    some = _written_out(size_b, size_a, own_a, of_a, many_a, own_b, of_b, many_b, row_of)
+    rest = _written_out(
+        size_b, size_a, ids_a[~in_a], group_a[~in_a], None, ids_b[~in_b], group_b[~in_b], None, row_of
+    )
+    return _summed(np.concatenate([some[0], rest[0]]), np.concatenate([some[1], rest[1]]))
+
+
+def _written_out(size_b, size_a, ids_a, group_a, many_a, ids_b, group_b, many_b, row_of):
+    in_b = np.bincount(group_b, minlength=len(row_of))
     first_b = np.cumsum(in_b) - in_b
     width = in_b[group_a]
     piece = np.cumsum(width) // MOST_LINKS
@@ -348,20 +352,26 @@ def _linked_pairs(size_b, size_a, ids_a, group_a, ids_b, group_b, in_b, row_of):
     keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         some = width[a:b]
-        own = np.repeat(np.arange(a, b), some)
         shift = first_b[group_a[a:b]] - (np.cumsum(some) - some)
         other = np.repeat(shift, some) + np.arange(int(some.sum()))
-        key = (row_of[group_a[own]] * size_a + ids_a[own]) * size_b + ids_b[other]
-        keys = np.concatenate([keys, key])
-        times = np.concatenate([times, many_a[own] * many_b[other]])
-        order = np.argsort(keys, kind="stable")
-        keys, times = keys[order], times[order]
-        head = np.flatnonzero(np.append(True, np.diff(keys) != 0)[: len(keys)])
-        times = np.add.reduceat(times, head) if len(head) else times
-        keys = keys[head]
+        key = (row_of[group_a[a:b]] * size_a + ids_a[a:b]) * size_b
+        key = np.repeat(key, some) + ids_b[other]
+        many = None if many_a is None else np.repeat(many_a[a:b], some) * many_b[other]
+        if many is None and not len(keys):
+            keys, times = np.unique(key, return_counts=True)
+            continue
+        many = np.ones(len(key), np.int64) if many is None else many
+        keys, times = _summed(np.concatenate([keys, key]), np.concatenate([times, many]))
     return keys, times
 
 
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    head = np.flatnonzero(np.append(True, np.diff(keys) != 0)[: len(keys)])
+    return keys[head], np.add.reduceat(times, head) if len(head) else times
+
+
 def _aligner(definition: str, model: bytes) -> Aligner:
     """This Python worker's tokenizers, kept between its tasks."""
     name = "_foldwise_worker"
@@ -457,11 +467,11 @@ def aligned_blocks(
         own = _aligner(*shared.value)
         task, count = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first, texts in tokens.text_slices(batch, "text"):
+            for first, texts in tokens.text_slices(batch, "text", SLICE_BYTES):
                 ids = batch.column("id").slice(first, len(texts))
-                found = _whole(own, texts)
-                yield _block(f"{task}-{count}", ids, found, with_groups)
+                yield _block(f"{task}-{count}", ids, _whole(own, texts), with_groups)
                 count += 1
+                pa.default_memory_pool().release_unused()
 
     blocks = materialize(rows.where(~is_long).mapInArrow(short, schema), "aligned")
     long = rows.where(is_long)
@@ -534,7 +544,7 @@ def _long_blocks(long: DataFrame, shared, schema: T.StructType, chunk_bytes: int
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _aligner(*shared.value)
         for batch in batches:
-            for first, texts in tokens.text_slices(batch, "segment"):
+            for first, texts in tokens.text_slices(batch, "segment", SLICE_BYTES):
                 part = batch.slice(first, len(texts))
                 uid, k, low, high = (
                     part.column(c).to_numpy(zero_copy_only=False) for c in ("uid", "k", "low", "high")
@@ -544,6 +554,7 @@ def _long_blocks(long: DataFrame, shared, schema: T.StructType, chunk_bytes: int
                 common = found.common_ends()
                 ends = found.open_ends(common)
                 yield _part_rows(uid, k, k, False, ends, found.same, found.closed(common))
+                pa.default_memory_pool().release_unused()
 
     def reduce_ends(table: pa.Table) -> pa.Table:
         """Compose neighbours; the groups that close between them are rows of their own."""

@@ -21,7 +21,7 @@ def plain_groups(texts):
     first = Tokenizer.from_str(DEFINITION)
     first.encode_special_tokens = True
     second = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
-    entries, _ = alignment._byte_level(DEFINITION)
+    entries = tokens.byte_level_entries(DEFINITION)
     for text in texts:
         if not text:
             yield []
