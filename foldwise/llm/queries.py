@@ -21,6 +21,7 @@ from foldwise.llm import (
     token_files,
     tokens,
     urls,
+    whitening,
 )
 from foldwise.llm.batches import bound_batches
 
@@ -185,3 +186,10 @@ def op11_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     aligned = alignment.align_documents(docs, "doc_id", "text", _tokenizer("byte_bpe_50k.json"), model)
     return aligned.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_incremental_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding's whitened components."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whitening.whitened_embeddings(vectors, "vec_id", "embedding").withColumnRenamed("id", "vec_id")
