@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foldwise.llm import (
     alignment,
     decontamination,
+    languages,
     licenses,
     packing,
     pii,
@@ -193,3 +194,14 @@ def op12_incremental_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable embedding's whitened components."""
     vectors = _table(spark, sf_dir, "embeddings")
     return whitening.whitened_embeddings(vectors, "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+@query
+def op13_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from the documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    trees = languages.fit_languages(docs, "doc_id", "text", "lang")
+    found = languages.predict_languages(trees, docs, "doc_id", "text")
+    return found.select(
+        F.col("id").alias("doc_id"), languages.held_out(F.col("id")).alias("held_out"), "lang_pred", "score"
+    )
