@@ -31,6 +31,8 @@ ORDER = 4
 #: many times as many are ranked.
 TEXTS, MOST_CHARS = 400, 20_000
 SPARE = 4
+#: Languages at most: their trees are held side by side.
+MOST_LANGUAGES = 1000
 #: Bytes scored at once; longer texts go window by window.
 WINDOW_BYTES = 1 << 19
 
@@ -96,12 +98,17 @@ def sample_texts(
     """``(lang, text)``: at most ``texts`` per language, the first by a hash of id and text.
 
     A hash threshold from the language's number of rows comes first: about ``SPARE`` times as many
-    texts pass, so that what is ranked for a language does not grow with the input.
+    texts pass, so that what is ranked for a language does not grow with the input. The numbers are
+    one row per language, of which there may be ``MOST_LANGUAGES``; more stop the job.
     """
     key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     lang = F.col(f"`{lang_col}`")
     learnt = docs.where(~held_out(key) & lang.isNotNull())
-    rows = learnt.groupBy(lang.alias("lang")).agg(F.count("*").alias("rows"))
+    counted = learnt.groupBy(lang.alias("lang")).agg(F.count("*").alias("rows"))
+    counts = counted.limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = F.broadcast(docs.sparkSession.createDataFrame(counts, counted.schema))
     usable = learnt.where(text.rlike(r"\p{L}") & (F.length(text) <= most_chars))
     hashed = usable.select(lang.alias("own"), text.alias("text"), F.xxhash64(key, text).alias("h"))
     share = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
