@@ -44,10 +44,10 @@ def roc_auc(
         cuts = score_cuts(df, score, ranges)
     scored = df.select(
         *by,
-        _known(F.col(score)).alias("_s"),
+        known_score(F.col(score)).alias("_s"),
         binary_label(F.col(label)).alias("_y"),
     )
-    scored = _range_of(scored, cuts)
+    scored = range_of(scored, cuts)
 
     positive = F.sum("_y")
     negative = F.sum(F.lit(1) - F.col("_y"))
@@ -55,14 +55,14 @@ def roc_auc(
 
     in_range = Window.partitionBy(*by, "_range").orderBy("_s")
     totals = (
-        tied.withColumn("below", _running_before(F.col("n"), in_range))
+        tied.withColumn("below", running_before(F.col("n"), in_range))
         .groupBy(*by, "_range")
         .agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(_pairs()).alias("inner"))
     )
     across = Window.partitionBy(*by).orderBy("_range")
     won = F.sum(F.col("inner") + F.col("p") * F.col("below").cast("double"))
     possible = F.sum("p").cast("double") * F.sum("n").cast("double")
-    summed = totals.withColumn("below", _running_before(F.col("n"), across))
+    summed = totals.withColumn("below", running_before(F.col("n"), across))
     return summed.groupBy(*by).agg(F.try_divide(won, possible).alias("auc"))
 
 
@@ -122,19 +122,22 @@ def _pairs() -> Column:
     return F.col("p") * (F.col("below") + F.lit(0.5) * F.col("n"))
 
 
-def _running_before(value: Column, window) -> Column:
+def running_before(value: Column, window) -> Column:
+    """Sum of the rows before, 0 for the first."""
     preceding = window.rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(value).over(preceding), F.lit(0))
 
 
-def _known(value: Column) -> Column:
+def known_score(value: Column) -> Column:
+    """The score as a double; NULL and NaN stop the job."""
     number = value.cast("double")
     bad = number.isNull() | F.isnan(number)
     # Adding 0.0 turns -0.0 into 0.0, so that the two fall in one range.
     return F.when(bad, F.raise_error(F.lit("score is NULL or NaN"))).otherwise(number + F.lit(0.0))
 
 
-def _range_of(scored: DataFrame, cuts: Sequence[float]) -> DataFrame:
+def range_of(scored: DataFrame, cuts: Sequence[float]) -> DataFrame:
+    """``_range``: between which of ``cuts`` the score ``_s`` lies."""
     if not cuts:
         return scored.withColumn("_range", F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]

@@ -389,3 +389,25 @@ AS high FROM w), r AS (SELECT held_out, high, avg(CAST(y AS DOUBLE)) AS rate FRO
 round(1.0E0 / (1.0E0 + exp(-2.0E0 * (2.0E0 * r.rate - 1.0E0))), 9) AS p FROM e JOIN r ON
 e.held_out = r.held_out AND e.high = r.high WHERE e.fold = e.held_out
 """
+
+ORACLE_SQL["arm_comparison"] = """
+WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y,
+md5(concat('96:', CAST(o_orderkey AS STRING))) AS h, (o_orderkey * 37 % 101) / 101.0E0 AS a,
+(o_orderkey * 53 % 97) / 97.0E0 AS b FROM orders), f AS (SELECT id, y, a, b, round((a + b) / 2, 9)
+AS c, CAST((row_number() OVER (ORDER BY y, h, id) - 1) % 5 AS INT) AS fold FROM t), r AS (SELECT
+'a' AS run, fold, id, y, a AS s FROM f UNION ALL SELECT 'b', fold, id, y, b FROM f UNION ALL
+SELECT 'blend', fold, id, y, c FROM f), w AS (SELECT run, fold, id, y, sum(1 - y) OVER (PARTITION
+BY run, fold ORDER BY s RANGE UNBOUNDED PRECEDING) AS n_upto, sum(1 - y) OVER (PARTITION BY run,
+fold, s) AS n_tied, sum(y) OVER (PARTITION BY run, fold ORDER BY s RANGE UNBOUNDED PRECEDING) AS
+p_upto, sum(y) OVER (PARTITION BY run, fold, s) AS p_tied, sum(y) OVER (PARTITION BY run, fold) AS
+p_all, sum(1 - y) OVER (PARTITION BY run, fold) AS n_all FROM r), v AS (SELECT run, fold, id, y,
+CASE WHEN y = 1 THEN (n_upto - n_tied / 2.0E0) / n_all ELSE (p_all - p_upto + p_tied / 2.0E0) /
+p_all END AS v FROM w), x AS (SELECT a.run AS run_a, b.run AS run_b, a.fold AS fold, a.y AS y,
+avg(a.v) AS mean_a, avg(b.v) AS mean_b, var_samp(a.v - b.v) / count(*) AS var FROM v a JOIN v b ON
+a.id = b.id AND a.run < b.run GROUP BY a.run, b.run, a.fold, a.y), g AS (SELECT run_a, run_b,
+fold, max(CASE WHEN y = 1 THEN mean_a END) AS auc_a, max(CASE WHEN y = 1 THEN mean_b END) AS
+auc_b, sum(var) AS var FROM x GROUP BY run_a, run_b, fold), m AS (SELECT run_a, run_b, avg(auc_a)
+AS auc_a, avg(auc_b) AS auc_b, sqrt(sum(var)) / count(*) AS e FROM g GROUP BY run_a, run_b) SELECT
+run_a, run_b, round(auc_a, 6) AS auc_a, round(auc_b, 6) AS auc_b, round(auc_a - auc_b, 6) AS
+difference, round(e, 6) AS std_error, round((auc_a - auc_b) / e, 6) AS z FROM m
+"""

@@ -14,7 +14,15 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.features import flag_above, interaction, rate, ratio
 from foldwise.functions.scores import linear_margin, positive_class, sigmoid
-from foldwise.operators import categories, folds, metrics, predictions, tables, target_stats
+from foldwise.operators import (
+    categories,
+    comparison,
+    folds,
+    metrics,
+    predictions,
+    tables,
+    target_stats,
+)
 from foldwise.operators.learners import SEED, Arm, fit_arm
 from foldwise.plans import cv, experiments
 from foldwise.plans.laps import leafwise_arm
@@ -390,6 +398,18 @@ def run_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.roc_auc(runs, by=["run"]), "auc").orderBy(F.desc("auc"), "run")
 
 
+@query
+def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Are two models and their blend told apart by the rows of five folds?"""
+    folded = _folded(_labelled(spark, sf_dir).select("id", "label"))
+    scored = folded.withColumns({"a": _score_a(), "b": _score_b()})
+    scored = scored.withColumn("blend", F.round((F.col("a") + F.col("b")) / 2, 9))
+    runs = scored.unpivot(["id", "label", "fold"], ["a", "b", "blend"], "run", "score")
+    compared = comparison.compare_runs(materialize(runs, "runs"))
+    shown = _rounded(compared, "auc_a", "auc_b", "difference", "std_error", "z")
+    return shown.drop("p_value")
+
+
 # --- learners ------------------------------------------------------------------------------------
 
 
