@@ -6,13 +6,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.functions.nulls import fill_aggregates, null_fill
-from foldwise.functions.scores import binary_label, positive_class
+from foldwise.functions.scores import binary_label, positive_class, sigmoid
 from foldwise.operators.categories import (
     category_dictionary,
     index_categories,
@@ -27,7 +28,7 @@ from foldwise.operators.target_stats import (
     ordered_target_stat,
     target_stat_table,
 )
-from foldwise.workspace import materialize, shared_dir
+from foldwise.workspace import materialize, scratch_path, shared_dir
 
 SEED = 96
 
@@ -47,7 +48,8 @@ class Arm:
     nominal for trees, which need a bin for each category (one more than there are), and one-hot
     for a logistic learner, however many there are. ``target_stat`` get an ordered target
     statistic. ``derived`` maps the name of an added feature to its expression. The id is a feature
-    only if it is listed in ``numeric``.
+    only if it is listed in ``numeric``. ``stages`` are numbers of boosting rounds after which one
+    fit is scored, increasing; its last round is the last of them.
     """
 
     run: str
@@ -57,6 +59,12 @@ class Arm:
     target_stat: tuple[str, ...] = ()
     derived: Mapping[str, Column] = field(default_factory=dict, compare=False)
     params: Mapping[str, object] = field(default_factory=dict, compare=False)
+    stages: tuple[int, ...] = ()
+
+    @property
+    def runs(self) -> tuple[str, ...]:
+        """The names its scores go by: one, or one per stage."""
+        return tuple(f"{self.run}, {rounds} rounds" for rounds in self.stages) or (self.run,)
 
     def without(self, column: str, run: str | None = None) -> Arm:
         """The same arm with one column less, for training and scoring alike."""
@@ -79,6 +87,13 @@ class Arm:
         """The same arm under other learner parameters."""
         return replace(self, run=run, params={**self.params, **params})
 
+    def staged(self, rounds: Sequence[int]) -> Arm:
+        """The same trees scored after each number of rounds, all from one fit of the most."""
+        stages = tuple(sorted(set(rounds)))
+        if self.learner != "gbt" or not stages or stages[0] < 1:
+            raise ValueError("stages are positive numbers of boosting rounds")
+        return replace(self, stages=stages, params={**self.params, "maxIter": stages[-1]})
+
 
 @dataclass(frozen=True)
 class Encodings:
@@ -118,6 +133,7 @@ class FittedArm:
     encodings: Encodings
     pipeline: PipelineModel
     inputs: tuple[str, ...]
+    leaves: DataFrame | None = None
 
     @property
     def looked_up(self) -> tuple[str, ...]:
@@ -129,9 +145,22 @@ class FittedArm:
         return {c: t for c, t in self.encodings.stats.items() if c in self.arm.target_stat}
 
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
-        """``df`` with the probability of class 1 added."""
+        """``df`` with the probability of class 1 added; after the last round for a staged arm."""
+        if self.arm.stages:
+            return replace(self, arm=replace(self.arm, stages=())).score(df, out)
         return score_all([self], df, [out])
 
+    def score_stages(self, df: DataFrame, outs: Sequence[str]) -> DataFrame:
+        """``df`` with the probability of class 1 after each of the arm's stages."""
+        return score_all([self], df, outs)
+
+    def _scored(self, rows: DataFrame, outs: Sequence[str]) -> DataFrame:
+        """Rows with their encodings, scored by the pipeline."""
+        if not self.arm.stages:
+            scored = self.pipeline.transform(rows)
+            return scored.withColumn(outs[0], positive_class(F.col("probability")))
+        return staged_scores(self.pipeline, self.leaves, rows, self.arm.stages, outs)
+
     def importance(self) -> DataFrame:
         """``(run, feature, importance, rank)``, summing to 100, largest first."""
         model = self.pipeline.stages[-1]
@@ -148,20 +177,72 @@ class FittedArm:
 
 
 def score_all(fitted: Sequence[FittedArm], df: DataFrame, outs: Sequence[str]) -> DataFrame:
-    """``df`` with the scores of arms that share their encodings: one scan, each lookup once."""
+    """``df`` with the scores of arms that share their encodings: one scan, each lookup once.
+
+    ``outs`` has a name for every run of every arm, in order.
+    """
     refuse_columns(df, (*RESERVED, *outs))
     categories = dict.fromkeys(c for one in fitted for c in one.looked_up)
     rows = fitted[0].encodings.add_to(df, list(categories))
     kept = rows.columns
-    for one, out in zip(fitted, outs, strict=True):
+    names = iter(outs)
+    for one in fitted:
+        own = [next(names) for _ in one.arm.runs]
         wide = rows.withColumns(dict(one.arm.derived)) if one.arm.derived else rows
-        scored = one.pipeline.transform(wide)
-        scored = scored.withColumn(out, positive_class(F.col("probability")))
-        kept = [*kept, out]
-        rows = scored.select(*[F.col(f"`{c}`") for c in kept])
+        kept = [*kept, *own]
+        rows = one._scored(wide, own).select(*[F.col(f"`{c}`") for c in kept])
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], *outs)
 
 
+def weighted_leaves(model: GBTClassificationModel) -> DataFrame:
+    """One row, ``leaves``: what each leaf of each tree adds to the margin, leaves from the left.
+
+    Read from the saved model, whose nodes are rows in order of their place in the tree. The row is
+    as large as the model: rounds times leaves.
+    """
+    path = scratch_path(SparkSession.active(), "model")
+    model.write().save(path)
+    spark = SparkSession.active()
+    nodes = spark.read.parquet(f"{path}/data").where("nodeData.leftChild < 0")
+    found = nodes.groupBy("treeID").agg(
+        F.sort_array(F.collect_list(F.struct("nodeData.id", "nodeData.prediction"))).alias("leaf")
+    )
+    weights = F.array(*[F.lit(float(w)) for w in model.treeWeights])
+    weight = F.element_at(weights, F.col("treeID") + 1)
+    tree = F.struct("treeID", F.transform("leaf", lambda x: x.prediction * weight).alias("adds"))
+    whole = found.agg(F.sort_array(F.collect_list(tree)).alias("trees"))
+    return materialize(whole.select(F.transform("trees", lambda x: x.adds).alias("leaves")), "leaves")
+
+
+def staged_scores(
+    pipeline: PipelineModel, leaves: DataFrame, rows: DataFrame, stages: Sequence[int], outs: Sequence[str]
+) -> DataFrame:
+    """Probability of class 1 after each stage: every tree is walked once per row.
+
+    The trees give the leaf a row falls in; the margins are running sums of what the leaves add.
+    """
+    *before, model = pipeline.stages
+    walker = model.copy({})
+    for unused in ("predictionCol", "rawPredictionCol", "probabilityCol"):
+        walker.set(walker.getParam(unused), "")
+    walker.setLeafCol("_leaf")
+    walked = PipelineModel([*before, walker]).transform(rows)
+    walked = walked.crossJoin(F.broadcast(leaves.select(F.col("leaves").alias("_leaves"))))  # one row
+    adds = F.zip_with(vector_to_array("_leaf"), "_leaves", lambda leaf, own: F.get(own, leaf.cast("int")))
+    walked = walked.withColumn("_adds", adds)
+    cuts = [0, *stages]
+    steps = [
+        F.aggregate(F.slice("_adds", a + 1, b - a), F.lit(0.0), lambda total, x: total + x)
+        for a, b in zip(cuts, cuts[1:], strict=False)
+    ]
+    walked = walked.withColumns({f"_step_{i}": step for i, step in enumerate(steps)})
+    margin, scores = F.lit(0.0), {}
+    for i, out in enumerate(outs):
+        margin = margin + F.col(f"_step_{i}")
+        scores[out] = sigmoid(margin * 2)
+    return walked.withColumns(scores)
+
+
 @dataclass(frozen=True)
 class TrainingRows:
     """Training rows with their categories encoded, to be shared by all arms fitted on them.
@@ -299,7 +380,8 @@ def _fit_gbt(train: TrainingRows, rows: DataFrame, arm: Arm) -> FittedArm:
     stages.append(GBTClassifier(featuresCol="features", labelCol=LABEL, **params))
     fitted = Pipeline(stages=stages).fit(rows)
     names = (*arm.categorical, *arm.target_stat, *numeric)
-    return FittedArm(arm, train.encodings, fitted, names)
+    leaves = weighted_leaves(fitted.stages[-1]) if arm.stages else None
+    return FittedArm(arm, train.encodings, fitted, names, leaves)
 
 
 def _category_limit(arm: Arm) -> int:

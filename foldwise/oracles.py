@@ -411,3 +411,49 @@ AS auc_a, avg(auc_b) AS auc_b, sqrt(sum(var)) / count(*) AS e FROM g GROUP BY ru
 run_a, run_b, round(auc_a, 6) AS auc_a, round(auc_b, 6) AS auc_b, round(auc_a - auc_b, 6) AS
 difference, round(e, 6) AS std_error, round((auc_a - auc_b) / e, 6) AS z FROM m
 """
+
+_CELLS = """
+WITH t AS (SELECT l.doc_id AS id, 2.0E0 * l.quality - 1.0E0 AS y, {cell} AS cell FROM labels l JOIN
+documents d ON l.doc_id = d.doc_id), a AS (SELECT cell, avg(y) AS f FROM t GROUP BY cell), r AS
+(SELECT t.cell AS cell, avg(4.0E0 * t.y / (1.0E0 + exp(2.0E0 * t.y * a.f))) AS g FROM t JOIN a ON
+t.cell = a.cell GROUP BY t.cell) SELECT t.id AS id, round(1.0E0 / (1.0E0 + exp(-2.0E0 * (a.f +
+{step} * r.g))), 9) AS p FROM t JOIN a ON t.cell = a.cell JOIN r ON t.cell = r.cell
+"""
+_LONG, _ENGLISH = "CAST(d.n_chars > 1000 AS INT)", "CAST(d.lang = 'en' AS INT)"
+_LINES = "CAST(length(d.text) - length(replace(d.text, chr(10), '')) + 1 > 8 AS INT)"
+
+ORACLE_SQL["crossed_tree_score"] = _CELLS.format(cell=f"2 * {_LONG} + {_ENGLISH}", step="0.3E0")
+
+ORACLE_SQL["leafwise_cells"] = _CELLS.format(
+    cell=f"4 * {_LONG} + 2 * {_ENGLISH} + {_LINES}", step="0.05E0"
+)
+
+# Rounds of a stump on one flag: each adds the mean of the loss's gradient on either side.
+_ROUNDS = """
+WITH RECURSIVE t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, CAST(d.n_chars > 1000 AS
+INT) AS long, md5(concat('96:', CAST(l.doc_id AS STRING))) AS h FROM labels l JOIN documents d ON
+l.doc_id = d.doc_id), f AS (SELECT id, y, 2.0E0 * y - 1.0E0 AS e, long, CAST((row_number() OVER
+(ORDER BY y, h, id) - 1) % 5 AS INT) AS fold FROM t), k AS (SELECT DISTINCT fold FROM f), w AS
+(SELECT k.fold AS fold, f.long AS long, sum(CASE WHEN e > 0 THEN 1.0E0 ELSE 0 END) AS p, sum(CASE
+WHEN e < 0 THEN 1.0E0 ELSE 0 END) AS n FROM f CROSS JOIN k WHERE f.fold <> k.fold GROUP BY k.fold,
+f.long), u AS (SELECT unnest([0.3E0, 0.9E0]) AS step), m AS (SELECT 1 AS rounds, step, fold, long,
+p, n, (p - n) / (p + n) AS margin FROM w CROSS JOIN u UNION ALL SELECT rounds + 1, step, fold,
+long, p, n, margin + step * (p * 4.0E0 / (1.0E0 + exp(2.0E0 * margin)) - n * 4.0E0 / (1.0E0 +
+exp(-2.0E0 * margin))) / (p + n) FROM m WHERE rounds < 4), s AS (SELECT m.rounds AS rounds, m.step
+AS step, f.id AS id, f.fold AS fold, f.y AS y, 1.0E0 / (1.0E0 + exp(-2.0E0 * m.margin)) AS s FROM
+f JOIN m ON f.fold = m.fold AND f.long = m.long)
+"""
+
+ORACLE_SQL["staged_sweep"] = _ROUNDS + """
+SELECT concat('step ', CAST(step AS STRING), ', ', CAST(rounds AS STRING), ' rounds') AS run, id,
+fold, round(s, 9) AS p FROM s
+"""
+
+ORACLE_SQL["staged_leaderboard"] = _ROUNDS + """
+, g AS (SELECT rounds, fold, s, sum(y) AS p, sum(1 - y) AS n FROM s WHERE step = 0.3E0 AND rounds <
+4 GROUP BY rounds, fold, s), c AS (SELECT rounds, fold, p, n, coalesce(sum(n) OVER (PARTITION BY
+rounds, fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g), a AS
+(SELECT rounds, fold, sum(p * (b + 0.5E0 * n)) / (CAST(sum(p) AS DOUBLE) * CAST(sum(n) AS DOUBLE))
+AS auc FROM c GROUP BY rounds, fold) SELECT concat('stump, ', CAST(rounds AS STRING), ' rounds') AS
+run, round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6) AS std_auc FROM a GROUP BY rounds
+"""

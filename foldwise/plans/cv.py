@@ -70,11 +70,13 @@ def out_of_fold(
     Each fit is itself a distributed job; ``parallelism`` is how many run side by side. Target
     statistics are encoded for all folds in one pass; dictionaries and fill values are learnt once
     per fold, and all arms of a fold score it in one scan. Every row is scored once per arm, by a
-    model and encodings that have not seen it or the labels of its fold.
+    model and encodings that have not seen it or the labels of its fold. An arm with stages is fitted
+    once per fold and gives a run for each of them.
     """
-    if len({arm.run for arm in arms}) < len(arms):
-        raise ValueError(f"run names are not unique: {[arm.run for arm in arms]}")
-    outs = [f"_score_{i}" for i in range(len(arms))]
+    runs = [run for arm in arms for run in arm.runs]
+    if len(set(runs)) < len(runs) or len({arm.run for arm in arms}) < len(arms):
+        raise ValueError(f"run names are not unique: {runs}")
+    outs = [f"_score_{i}" for i in range(len(runs))]
     refuse_columns(folded, (LABEL, *outs))
     spark = folded.sparkSession
     stats = list(dict.fromkeys(c for arm in arms for c in arm.target_stat))
@@ -99,10 +101,10 @@ def out_of_fold(
     for fold in range(k):
         own = fitted[fold * len(arms) : (fold + 1) * len(arms)]
         scored = score_all(own, rows_for(fold, held_out_rows(encoded, fold)), outs)
-        runs = F.array(
+        named = F.array(
             *[
-                F.struct(F.lit(arm.run).alias("run"), F.col(out).alias("score"))
-                for arm, out in zip(arms, outs, strict=True)
+                F.struct(F.lit(run).alias("run"), F.col(out).alias("score"))
+                for run, out in zip(runs, outs, strict=True)
             ]
         )
         parts.append(
@@ -110,7 +112,7 @@ def out_of_fold(
                 "fold",
                 F.col(f"`{id_col}`").alias("id"),
                 F.col(f"`{label}`").cast("int").alias("label"),
-                F.explode(runs).alias("_run"),
+                F.explode(named).alias("_run"),
             ).select("_run.run", "fold", "id", "label", "_run.score")
         )
     return materialize(reduce(DataFrame.unionByName, parts), "out-of-fold")

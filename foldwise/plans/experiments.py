@@ -22,3 +22,8 @@ def feature_trial(base: Arm, features: Mapping[str, Column]) -> list[Arm]:
 def sweep(base: Arm, settings: Mapping[str, Mapping[str, object]]) -> list[Arm]:
     """One arm per named parameter setting."""
     return [base.with_params(run, **params) for run, params in settings.items()]
+
+
+def staged_sweep(base: Arm, rounds: Sequence[int], settings: Mapping[str, Mapping[str, object]]) -> list[Arm]:
+    """Every setting under every number of rounds, with one fit per setting and fold."""
+    return [arm.staged(rounds) for arm in sweep(base, settings)]

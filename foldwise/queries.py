@@ -535,6 +535,35 @@ def leafwise_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("doc_id").alias("id"), F.round("score", 9).alias("p"))
 
 
+def _crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three flags that cut the rows into up to eight cells."""
+    english = (F.col("lang") == "en").cast("int")
+    learner = _learner_table(spark, sf_dir).withColumns(
+        {"long": flag_above(F.col("n_chars"), 1000.0), "english": english, "lines": flag_above(F.col("n_lines"), 8.0)}
+    )
+    return learner.select("doc_id", "quality", "long", "english", "lines")
+
+
+@query
+def crossed_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of trees of depth 2 over two flags: each of the four cells is a leaf."""
+    data = materialize(_crossed(spark, sf_dir), "learner-input")
+    params = {"maxIter": 2, "maxDepth": 2, "stepSize": 0.3}
+    arm = Arm("crossed", "gbt", numeric=("long", "english"), params=params)
+    scored = fit_arm(data, arm, "doc_id", "quality").score(data)
+    return scored.select(F.col("doc_id").alias("id"), F.round("score", 9).alias("p"))
+
+
+@query
+def leafwise_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recorded leaf-wise setting, two rounds of it, over three flags: every cell is a leaf."""
+    data = materialize(_crossed(spark, sf_dir), "learner-input")
+    params = {**leafwise_arm(64).params, "maxIter": 2}
+    arm = Arm("leafwise", "gbt", numeric=("long", "english", "lines"), params=params)
+    scored = fit_arm(data, arm, "doc_id", "quality").score(data)
+    return scored.select(F.col("doc_id").alias("id"), F.round("score", 9).alias("p"))
+
+
 @query
 def boosted_stump_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second round: fitted to what the first left over, and weighted by the step size."""
@@ -599,6 +628,24 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cv.leaderboard(scores), "mean_auc", "std_auc")
 
 
+@query
+def staged_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One to four rounds of the stump under two step sizes, from one fit per step size and fold."""
+    settings = {"step 0.3": {"stepSize": 0.3}, "step 0.9": {"stepSize": 0.9}}
+    arms = experiments.staged_sweep(_stump("stump", "long"), [1, 2, 3, 4], settings)
+    folded = cv.folded_table(_flagged(spark, sf_dir), "doc_id", "quality")
+    scored = cv.out_of_fold(folded, arms, "doc_id", "quality")
+    return scored.select("run", "id", "fold", F.round("score", 9).alias("p"))
+
+
+@query
+def staged_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rounds of one fit per fold ranked."""
+    arms = [_stump("stump", "long").with_params("stump", stepSize=0.3).staged([1, 2, 3])]
+    scores = cv.cross_validate(_flagged(spark, sf_dir), arms, "doc_id", "quality")
+    return _rounded(cv.leaderboard(scores), "mean_auc", "std_auc")
+
+
 def _submit(spark: SparkSession, data: DataFrame, arm: Arm) -> DataFrame:
     """Fit on all training rows, score the test rows, write the file, and read it back."""
     train = data.where(F.col("doc_id") % 5 != 0)

@@ -253,3 +253,34 @@ def test_both_ablation_arms_use_the_same_folds(train, trees):
     scores = cross_validate(train, arms, LAPS.id, LAPS.label, k=2, parallelism=4)
     board = {r.run: r.mean_auc for r in leaderboard(scores).collect()}
     assert board["small"] > board["small - TyreLife"] + 0.2
+
+
+def test_stages_of_one_fit_equal_fits_of_fewer_rounds(spark, train, trees):
+    staged = fit_arm(train, trees.with_params("trees", maxDepth=4).staged([5, 1, 3]), LAPS.id, LAPS.label)
+    assert staged.arm.runs == ("trees, 1 rounds", "trees, 3 rounds", "trees, 5 rounds")
+    unseen = laps(spark, 600, 200)
+    got = staged.score_stages(unseen, ["s1", "s3", "s5"])
+    assert got.columns == [*unseen.columns, "s1", "s3", "s5"]
+    found = {r[LAPS.id]: (r.s1, r.s3, r.s5) for r in got.collect()}
+    whole = {r[LAPS.id]: r.score for r in staged.score(unseen).collect()}
+    for at, rounds in enumerate((1, 3, 5)):
+        alone = fit_arm(train, trees.with_params("alone", maxDepth=4, maxIter=rounds), LAPS.id, LAPS.label)
+        for r in alone.score(unseen).collect():
+            assert found[r[LAPS.id]][at] == pytest.approx(r.score, rel=1e-9)
+    assert all(whole[i] == pytest.approx(s[2], rel=1e-9) for i, s in found.items())
+
+
+def test_staged_arms_are_fitted_once_per_fold(spark, train, trees, logistic, monkeypatch):
+    fits = []
+    monkeypatch.setattr(cv, "fit_prepared", lambda *task: fits.append(task[1].run) or fit_prepared(*task))
+    folded = folded_table(train, LAPS.id, LAPS.label, k=2)
+    scored = out_of_fold(folded, [trees.staged([1, 2, 3]), logistic], LAPS.id, LAPS.label, k=2)
+    assert sorted(fits) == ["logistic"] * 2 + ["trees"] * 2
+    counts = {r.run: r["count"] for r in scored.groupBy("run").count().collect()}
+    assert counts == {**{f"trees, {n} rounds": 600 for n in (1, 2, 3)}, "logistic": 600}
+
+
+def test_stages_are_rounds_of_trees(trees, logistic):
+    for arm, rounds in ((logistic, [1]), (trees, []), (trees, [0, 2])):
+        with pytest.raises(ValueError, match="boosting rounds"):
+            arm.staged(rounds)
