@@ -457,3 +457,29 @@ rounds, fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS
 AS auc FROM c GROUP BY rounds, fold) SELECT concat('stump, ', CAST(rounds AS STRING), ' rounds') AS
 run, round(avg(auc), 6) AS mean_auc, round(stddev_pop(auc), 6) AS std_auc FROM a GROUP BY rounds
 """
+
+ORACLE_SQL["group_folds"] = """
+WITH t AS (SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS c, CASE WHEN o_orderstatus = 'F'
+THEN 1 ELSE 0 END AS y FROM orders), g AS (SELECT c, count(*) AS n, least(7, floor(sum(y) * 8 /
+count(*))) AS b FROM t GROUP BY c), r AS (SELECT c, b, row_number() OVER (PARTITION BY b ORDER BY n
+DESC, md5(concat('96:', c)), c) - 1 AS i FROM g) SELECT t.id AS id, CAST((CASE WHEN (i // 5) % 2 = 0
+THEN i % 5 ELSE 4 - i % 5 END + b) % 5 AS INT) AS fold FROM t JOIN r ON t.c = r.c
+"""
+ORACLE_SQL["group_folds_split"] = ORACLE_SQL["group_folds"]
+
+ORACLE_SQL["permutation_importance"] = """
+WITH t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, CAST(d.n_chars > 1000 AS INT) AS x
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id), a AS (SELECT id, y, x, row_number() OVER
+(ORDER BY md5(concat('96:', CAST(id AS STRING))), id) AS k FROM t), b AS (SELECT x AS px,
+row_number() OVER (ORDER BY md5(concat('97:', CAST(id AS STRING))), id) AS k FROM t), m AS (SELECT
+x, avg(CAST(y AS DOUBLE)) AS rate FROM t GROUP BY x), v AS (SELECT 'none' AS feature, y, m.rate AS
+s FROM a JOIN m ON a.x = m.x UNION ALL SELECT 'constant', y, m.rate FROM a JOIN m ON a.x = m.x UNION
+ALL SELECT 'is_long', y, m.rate FROM a JOIN b ON a.k = b.k JOIN m ON b.px = m.x), g AS (SELECT
+feature, s, sum(y) AS p, sum(1 - y) AS n FROM v GROUP BY feature, s), c AS (SELECT feature, p, n,
+coalesce(sum(n) OVER (PARTITION BY feature ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1
+PRECEDING), 0) AS b FROM g), u AS (SELECT feature, sum(p * (b + 0.5E0 * n)) / (CAST(sum(p) AS
+DOUBLE) * CAST(sum(n) AS DOUBLE)) AS auc FROM c GROUP BY feature), z AS (SELECT feature, auc,
+(SELECT auc FROM u WHERE feature = 'none') - auc AS lost FROM u WHERE feature <> 'none') SELECT
+'stump' AS run, feature, round(auc, 6) AS auc, round(lost, 6) AS auc_loss, CAST(row_number() OVER
+(ORDER BY lost DESC, feature) AS INT) AS rank FROM z
+"""

@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.scores import binary_label
-from foldwise.operators.folds import held_out_rows, stratified_folds, training_rows
+from foldwise.operators.folds import (
+    group_folds,
+    held_out_rows,
+    stratified_folds,
+    training_rows,
+)
 from foldwise.operators.learners import (
     LABEL,
     SEED,
@@ -34,14 +39,20 @@ PARALLELISM = 4
 
 
 def folded_table(
-    df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = SEED
+    df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = SEED, group: str | None = None
 ) -> DataFrame:
     """The table with its folds, written so that every fit of every arm reads it.
 
+    Rows that share a ``group`` stay in one fold; without one, rows are dealt singly.
+
     Partitioned by fold: training and held-out rows are partition-pruned scans. ``df`` is evaluated
     once: it is written first, and the folds are numbered from what is written.
     """
-    folded = stratified_folds(materialize(df, "source"), id_col, label, k, seed)
+    source = materialize(df, "source")
+    if group is None:
+        folded = stratified_folds(source, id_col, label, k, seed)
+    else:
+        folded = group_folds(source, id_col, group, label, k, seed)
     return materialize(folded, "folded", partition_by=("fold",))
 
 
@@ -152,7 +163,8 @@ def cross_validate(
     k: int = 5,
     seed: int = SEED,
     parallelism: int = PARALLELISM,
+    group: str | None = None,
 ) -> DataFrame:
     """Fold, fit, score and measure: ``(run, fold, auc)`` for every arm."""
-    folded = folded_table(df, id_col, label, k, seed)
+    folded = folded_table(df, id_col, label, k, seed, group)
     return fold_scores(out_of_fold(folded, arms, id_col, label, k, parallelism))

@@ -19,6 +19,7 @@ from foldwise.operators import (
     comparison,
     folds,
     metrics,
+    permutation,
     predictions,
     tables,
     target_stats,
@@ -310,6 +311,21 @@ def fold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold_sizes(_folded(_labelled(spark, sf_dir).select("id", "label")))
 
 
+@query
+def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders stay together."""
+    labelled = materialize(_labelled(spark, sf_dir).select("id", "customer", "label"), "grouped")
+    return folds.group_folds(labelled, "id", "customer", "label", k=5, seed=SEED).select("id", "fold")
+
+
+@query
+def group_folds_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every customer of more than 3 orders taken for a hot one."""
+    labelled = materialize(_labelled(spark, sf_dir).select("id", "customer", "label"), "grouped")
+    folded = folds.group_folds(labelled, "id", "customer", "label", k=5, seed=SEED, rows_per_piece=3)
+    return folded.select("id", "fold")
+
+
 # --- metrics -------------------------------------------------------------------------------------
 
 
@@ -525,6 +541,17 @@ def importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_arm(data, _stump("both", "long", "english"), "doc_id", "quality").importance()
 
 
+@query
+def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The AUC lost by shuffling a flag, and exactly none by shuffling a constant."""
+    data = _flagged(spark, sf_dir).withColumn("constant", F.lit(1))
+    data = materialize(data.withColumnRenamed("long", "is_long"), "learner-input")
+    arm = Arm("stump", "gbt", numeric=("is_long", "constant"), params=STUMP)
+    fitted = fit_arm(data, arm, "doc_id", "quality")
+    table = permutation.permutation_importance(fitted, data, "doc_id", "quality")
+    return _rounded(table, "auc", "auc_loss")
+
+
 @query
 def leafwise_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recorded leaf-wise setting, two rounds of it, on a flag: deeper trees add nothing."""
