@@ -22,6 +22,8 @@ from foldwise.operators.categories import (
     vocabulary,
     with_sizes,
 )
+from foldwise.operators.grouping import apply_groups, target_groups
+from foldwise.operators.order_stats import ordered_target_stats
 from foldwise.operators.tables import refuse_columns
 from foldwise.operators.target_stats import (
     apply_target_stat,
@@ -49,7 +51,9 @@ class Arm:
     for a logistic learner, however many there are. ``target_stat`` get an ordered target
     statistic. ``derived`` maps the name of an added feature to its expression. The id is a feature
     only if it is listed in ``numeric``. ``stages`` are numbers of boosting rounds after which one
-    fit is scored, increasing; its last round is the last of them.
+    fit is scored, increasing; its last round is the last of them. ``grouped`` categories of trees,
+    however many values they have, become at most a group per bin in the order of their labels'
+    means. ``orders`` is how many seeded orders a target statistic is averaged over.
     """
 
     run: str
@@ -60,6 +64,8 @@ class Arm:
     derived: Mapping[str, Column] = field(default_factory=dict, compare=False)
     params: Mapping[str, object] = field(default_factory=dict, compare=False)
     stages: tuple[int, ...] = ()
+    grouped: tuple[str, ...] = ()
+    orders: int = 1
 
     @property
     def runs(self) -> tuple[str, ...]:
@@ -74,6 +80,7 @@ class Arm:
             numeric=tuple(c for c in self.numeric if c != column),
             categorical=tuple(c for c in self.categorical if c != column),
             target_stat=tuple(c for c in self.target_stat if c != column),
+            grouped=tuple(c for c in self.grouped if c != column),
             derived={n: e for n, e in self.derived.items() if n != column},
         )
 
@@ -100,17 +107,21 @@ class Encodings:
     """What scored rows look their categories up in.
 
     ``stats`` are target-statistic tables; ``dictionaries`` are the one-hot dictionaries with their
-    sizes. A category whose statistic is a column of every row already has no entry.
+    sizes; ``groups`` are the groups of categories. A category whose statistic is a column of every
+    row already has no entry.
     """
 
     id_col: str
     stats: Mapping[str, DataFrame]
     dictionaries: Mapping[str, tuple[DataFrame, int]]
+    groups: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def add_to(self, df: DataFrame, categories: Sequence[str]) -> DataFrame:
         """``df`` with the encodings of those of ``categories`` that have a table."""
         rows = df
         for c in categories:
+            if c in self.groups:
+                rows = apply_groups(rows, self.groups[c], self.id_col, c, group_name(c), base=df)
             if c in self.stats:
                 rows = apply_target_stat(
                     rows, self.stats[c], self.id_col, c, stat_name(c), base=df
@@ -138,7 +149,7 @@ class FittedArm:
     @property
     def looked_up(self) -> tuple[str, ...]:
         one_hot = self.arm.categorical if self.arm.learner == "logistic" else ()
-        return (*self.arm.target_stat, *one_hot)
+        return (*self.arm.target_stat, *one_hot, *self.arm.grouped)
 
     @property
     def stats(self) -> Mapping[str, DataFrame]:
@@ -269,6 +280,8 @@ def prepare_training(
     unknown = sorted({a.learner for a in arms} - {"logistic", "gbt"})
     if unknown:
         raise ValueError(f"unknown learner {unknown[0]!r}")
+    if any(a.grouped and a.learner != "gbt" for a in arms):
+        raise ValueError("grouped categories are for trees")
     refuse_columns(train, RESERVED)
     base = train.withColumn(LABEL, binary_label(F.col(f"`{label}`")))
     bins: dict[str, list[int]] = {}
@@ -279,21 +292,33 @@ def prepare_training(
     nominal = vocabulary(base, list(bins), [min(limits) for limits in bins.values()])
 
     rows, stats, dictionaries = base, {}, {}
+    orders = shared_orders(arms)
     for category in dict.fromkeys(c for arm in arms for c in arm.target_stat):
         if category not in encoded:
             table = target_stat_table(base, category, LABEL)
             stats[category] = materialize(table, "target-stats")
-            rows = ordered_target_stat(
-                rows, id_col, category, LABEL, stat_name(category), seed=SEED, base=base
-            )
+            if orders > 1:
+                rows = materialize(rows, "before-orders") if rows is not base else rows
+                rows = ordered_target_stats(
+                    rows, id_col, category, LABEL, orders, stat_name(category), seed=SEED, base=base
+                )
+            else:
+                rows = ordered_target_stat(
+                    rows, id_col, category, LABEL, stat_name(category), seed=SEED, base=base
+                )
+    groups: dict[str, DataFrame] = {}
+    for category in dict.fromkeys(c for arm in arms for c in arm.grouped):
+        most = min(_category_limit(arm) for arm in arms if category in arm.grouped)
+        groups[category] = materialize(target_groups(base, category, LABEL, most), "groups")
+        rows = apply_groups(rows, groups[category], id_col, category, group_name(category), base=base)
     one_hot = [c for arm in arms if arm.learner == "logistic" for c in arm.categorical]
     for category in dict.fromkeys(one_hot):
         table = materialize(category_dictionary(base, category), "dictionary")
         dictionaries[category] = (table, table.count())
-    encodings = Encodings(id_col, stats, dictionaries)
+    encodings = Encodings(id_col, stats, dictionaries, groups)
     for category in dictionaries:
         rows = encodings._indexed(rows, category)
-    if stats or dictionaries:
+    if stats or dictionaries or groups:
         rows = materialize(rows, "encoded")
     return TrainingRows(rows, encodings, nominal, *_fill_values(rows, arms))
 
@@ -370,6 +395,7 @@ def _fit_gbt(train: TrainingRows, rows: DataFrame, arm: Arm) -> FittedArm:
     shared_dir(rows.sparkSession)  # names the folder in which boosting cuts its own lineage
     stages = index_stages({c: train.nominal[c] for c in arm.categorical})
     inputs = [f"{c}__idx" for c in arm.categorical] + [stat_name(c) for c in arm.target_stat]
+    inputs += [group_name(c) for c in arm.grouped]
     numeric, known = _known(train, arm, 0)
     if numeric:
         fill = null_fill(numeric, known, for_trees=True)
@@ -379,7 +405,7 @@ def _fit_gbt(train: TrainingRows, rows: DataFrame, arm: Arm) -> FittedArm:
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     stages.append(GBTClassifier(featuresCol="features", labelCol=LABEL, **params))
     fitted = Pipeline(stages=stages).fit(rows)
-    names = (*arm.categorical, *arm.target_stat, *numeric)
+    names = (*arm.categorical, *arm.target_stat, *arm.grouped, *numeric)
     leaves = weighted_leaves(fitted.stages[-1]) if arm.stages else None
     return FittedArm(arm, train.encodings, fitted, names, leaves)
 
@@ -389,6 +415,18 @@ def _category_limit(arm: Arm) -> int:
     return int(arm.params.get("maxBins", MAX_BINS)) - 1
 
 
+def shared_orders(arms: Sequence[Arm]) -> int:
+    """The number of orders of arms that share their statistics."""
+    orders = {arm.orders for arm in arms if arm.target_stat} or {1}
+    if len(orders) > 1:
+        raise ValueError("arms that run together average their statistics over as many orders")
+    return orders.pop()
+
+
+def group_name(category: str) -> str:
+    return f"{category}__group"
+
+
 def stat_name(category: str) -> str:
     return f"{category}__stat"
 

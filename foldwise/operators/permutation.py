@@ -49,7 +49,7 @@ def permutation_importance(
     """
     arm = fitted.arm
     if columns is None:
-        columns = list(dict.fromkeys((*arm.numeric, *arm.categorical, *arm.target_stat)))
+        columns = list(dict.fromkeys((*arm.numeric, *arm.categorical, *arm.target_stat, *arm.grouped)))
     refuse_columns(df, ("_shuffled",))
     paired = materialize(with_partner(df, id_col, columns, seed), "partners")
     variants = F.explode(F.array(*[F.lit(i) for i in range(-1, len(columns))]))

@@ -483,3 +483,78 @@ DOUBLE) * CAST(sum(n) AS DOUBLE)) AS auc FROM c GROUP BY feature), z AS (SELECT
 'stump' AS run, feature, round(auc, 6) AS auc, round(lost, 6) AS auc_loss, CAST(row_number() OVER
 (ORDER BY lost DESC, feature) AS INT) AS rank FROM z
 """
+
+ORACLE_SQL["target_stats_over_orders"] = """
+WITH t AS (SELECT o_orderkey AS id, concat(o_orderpriority, '/', strftime(o_orderdate, '%Y-%m')) AS
+c, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders WHERE o_orderkey % 5 <> 0), o
+AS (SELECT unnest([96, 97, 98, 99]) AS seed), x AS (SELECT id, c, y, seed, md5(concat(CAST(seed AS
+STRING), ':', CAST(id AS STRING))) AS h FROM t CROSS JOIN o), r AS (SELECT id, (coalesce(sum(y) OVER
+(PARTITION BY c, seed ORDER BY h, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.5E0)
+/ (count(y) OVER (PARTITION BY c, seed ORDER BY h, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1
+PRECEDING) + 1) AS stat FROM x) SELECT id, round(avg(stat), 9) AS stat FROM r GROUP BY id
+"""
+ORACLE_SQL["target_stats_over_orders_split"] = ORACLE_SQL["target_stats_over_orders"]
+
+ORACLE_SQL["fold_stats_over_orders"] = """
+WITH t AS (SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS c, CASE WHEN o_orderstatus = 'F'
+THEN 1 ELSE 0 END AS y, md5(concat('96:', CAST(o_orderkey AS STRING))) AS h FROM orders), f AS
+(SELECT id, c, y, CAST((row_number() OVER (ORDER BY y, h, id) - 1) % 5 AS INT) AS fold FROM t), k AS
+(SELECT DISTINCT fold AS held_out FROM f), o AS (SELECT unnest([96, 97]) AS seed), x AS (SELECT id,
+c, fold, held_out, seed, md5(concat(CAST(seed AS STRING), ':', CAST(id AS STRING))) AS h, CASE WHEN
+fold <> held_out THEN y ELSE 0 END AS s, CASE WHEN fold <> held_out THEN 1 ELSE 0 END AS n FROM f
+CROSS JOIN k CROSS JOIN o), w AS (SELECT id, fold, held_out, sum(s) OVER (PARTITION BY seed,
+held_out, c) AS s_all, sum(n) OVER (PARTITION BY seed, held_out, c) AS n_all, coalesce(sum(s) OVER
+(PARTITION BY seed, held_out, c ORDER BY h, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+AS s_run, coalesce(sum(n) OVER (PARTITION BY seed, held_out, c ORDER BY h, id ROWS BETWEEN
+UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_run FROM x), e AS (SELECT id, held_out, CASE WHEN fold
+= held_out THEN (s_all + 0.5E0) / (n_all + 1) ELSE (s_run + 0.5E0) / (n_run + 1) END AS stat FROM w)
+SELECT id, held_out, round(avg(stat), 6) AS stat FROM e GROUP BY id, held_out
+"""
+
+_GROUPS = """
+WITH t AS (SELECT CAST(o_custkey AS STRING) AS c, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END
+AS y FROM orders WHERE o_orderkey % 5 <> 0), g AS (SELECT c, sum(y) AS s, count(*) AS n FROM t GROUP
+BY c), r AS (SELECT c, coalesce(sum(n) OVER (ORDER BY (s + 0.5E0) / (n + 1.0E0), c ROWS BETWEEN
+UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM g), m AS (SELECT c,
+CAST(floor(before * 31 / total) AS INT) AS grp FROM r)
+"""
+ORACLE_SQL["category_groups"] = _GROUPS + """
+SELECT c AS lookup_key, grp AS "group" FROM m
+"""
+ORACLE_SQL["category_groups_apply"] = _GROUPS + """
+SELECT o.o_orderkey AS id, coalesce(m.grp, -1) AS "group" FROM orders o LEFT JOIN m ON
+CAST(o.o_custkey AS STRING) = m.c WHERE o.o_orderkey % 5 = 0
+"""
+
+ORACLE_SQL["cv_grouped_category"] = """
+WITH t AS (SELECT l.doc_id AS id, CAST(l.quality AS INT) AS y, d.source AS c, md5(concat('96:',
+CAST(l.doc_id AS STRING))) AS h FROM labels l JOIN documents d ON l.doc_id = d.doc_id), f AS (SELECT
+id, y, c, CAST((row_number() OVER (ORDER BY y, h, id) - 1) % 5 AS INT) AS fold FROM t), k AS (SELECT
+DISTINCT fold FROM f), g AS (SELECT k.fold AS fold, f.c AS c, sum(f.y) AS s, count(*) AS n FROM f
+CROSS JOIN k WHERE f.fold <> k.fold GROUP BY k.fold, f.c), r AS (SELECT fold, c, s, n,
+coalesce(sum(n) OVER (PARTITION BY fold ORDER BY (s + 0.5E0) / (n + 1.0E0), c ROWS BETWEEN UNBOUNDED
+PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY fold) AS total FROM g), m AS
+(SELECT fold, c, s, n, floor(before * 4 / total) AS grp FROM r), q AS (SELECT fold, grp,
+sum(2.0E0 * s - n) AS s, sum(n) AS n FROM m GROUP BY fold, grp), w AS (SELECT fold, grp, sum(n) OVER
+(PARTITION BY fold ORDER BY grp) AS nl, sum(s) OVER (PARTITION BY fold ORDER BY grp) AS sl, sum(n)
+OVER (PARTITION BY fold) AS nt, sum(s) OVER (PARTITION BY fold) AS st FROM q), b AS (SELECT fold,
+grp AS cut FROM (SELECT fold, grp, row_number() OVER (PARTITION BY fold ORDER BY sl * sl / nl + (st -
+sl) * (st - sl) / (nt - nl) DESC) AS i FROM w WHERE nl < nt) z WHERE i = 1), e AS (SELECT q.fold AS
+fold, q.grp <= b.cut AS below, sum(q.s) / sum(q.n) AS mean FROM q JOIN b ON q.fold = b.fold GROUP BY
+q.fold, q.grp <= b.cut) SELECT f.id AS id, f.fold AS fold, f.y AS label, round(1.0E0 / (1.0E0 +
+exp(-2.0E0 * e.mean)), 9) AS p FROM f LEFT JOIN m ON f.fold = m.fold AND f.c = m.c JOIN b ON f.fold
+= b.fold JOIN e ON f.fold = e.fold AND e.below = (coalesce(m.grp, -1) <= b.cut)
+"""
+
+_BLEND = """
+WITH a AS (SELECT o_orderkey AS id, (o_orderkey * 37 % 101) / 101.0E0 + 0.3E0 * (CASE WHEN
+o_orderstatus = 'F' THEN 1 ELSE 0 END) AS a, CASE WHEN o_orderstatus = 'F' THEN 1.0E0 ELSE 0.0E0 END
+AS y, (o_orderkey * 53 % 97) / 97.0E0 AS b FROM orders WHERE o_orderkey % 10 <> 3), w AS (SELECT
+greatest(0.0E0, least(1.0E0, sum((a - b) * (y - b)) / sum((a - b) * (a - b)))) AS w FROM a {where})
+"""
+ORACLE_SQL["blend_weights"] = _BLEND.format(where="") + """
+SELECT 'a' AS name, round(w, 6) AS weight FROM w UNION ALL SELECT 'b', round(1 - w, 6) FROM w
+"""
+ORACLE_SQL["blend_learnt"] = _BLEND.format(where="WHERE id % 2 = 0") + """
+SELECT a.id AS id, round(w.w * a.a + (1 - w.w) * a.b, 6) AS p FROM a CROSS JOIN w
+"""

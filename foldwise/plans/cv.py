@@ -26,10 +26,12 @@ from foldwise.operators.learners import (
     fit_prepared,
     prepare_training,
     score_all,
+    shared_orders,
     stat_name,
 )
 from foldwise.operators.metrics import fold_summary, roc_auc
 from foldwise.operators.tables import refuse_columns
+from foldwise.operators.order_stats import fold_target_stats_over
 from foldwise.operators.target_stats import fold_target_stats
 from foldwise.workspace import materialize
 
@@ -91,7 +93,8 @@ def out_of_fold(
     refuse_columns(folded, (LABEL, *outs))
     spark = folded.sparkSession
     stats = list(dict.fromkeys(c for arm in arms for c in arm.target_stat))
-    encoded = _encode_folds(folded, stats, id_col, label, k) if stats else folded
+    orders = shared_orders(arms)
+    encoded = _encode_folds(folded, stats, id_col, label, k, orders) if stats else folded
 
     def rows_for(fold: int, part: DataFrame) -> DataFrame:
         own = {stat_name(c): F.element_at(_stats_name(c), fold + 1) for c in stats}
@@ -130,13 +133,20 @@ def out_of_fold(
 
 
 def _encode_folds(
-    folded: DataFrame, stats: Sequence[str], id_col: str, label: str, k: int
+    folded: DataFrame, stats: Sequence[str], id_col: str, label: str, k: int, orders: int
 ) -> DataFrame:
     base = folded.withColumn(LABEL, binary_label(F.col(f"`{label}`")))
     rows = base
     for category in stats:
-        rows = fold_target_stats(
-            rows, id_col, category, LABEL, k, _stats_name(category), seed=SEED, base=base
+        if orders == 1:
+            rows = fold_target_stats(
+                rows, id_col, category, LABEL, k, _stats_name(category), seed=SEED, base=base
+            )
+            continue
+        # Rows of ordinary and of hot categories are read apart, so the chain is cut between.
+        rows = rows if rows is base else materialize(rows, "before-orders")
+        rows = fold_target_stats_over(
+            rows, id_col, category, LABEL, k, orders, _stats_name(category), seed=SEED, base=base
         )
     return materialize(rows.drop(LABEL), "target-encoded", partition_by=("fold",))
 

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from foldwise.functions.features import flag_above, interaction, rate, ratio
 from foldwise.functions.scores import linear_margin, positive_class, sigmoid
 from foldwise.operators import (
+    blending,
     categories,
     comparison,
     folds,
+    grouping,
     metrics,
+    order_stats,
     permutation,
     predictions,
     tables,
@@ -292,6 +295,64 @@ def fold_target_stats_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fold_target_stats(spark, sf_dir, rows_per_piece=3)
 
 
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the month they were made in and the pair of priority and month as keys."""
+    orders = _table(spark, sf_dir, "orders")
+    rows = orders.select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderpriority").alias("priority"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("label"),
+    )
+    return materialize(order_stats.with_pairs(rows, [("priority", "month")]), "paired")
+
+
+def _stats_over_orders(spark: SparkSession, sf_dir: str, **split: int) -> DataFrame:
+    train = _train(_paired(spark, sf_dir))
+    pair = order_stats.pair_name(("priority", "month"))
+    encoded = order_stats.ordered_target_stats(train, "id", pair, "label", orders=4, seed=SEED, **split)
+    return encoded.select("id", F.round("stat", 9).alias("stat"))
+
+
+@query
+def target_stats_over_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistic of a pair of categories, averaged over four orders."""
+    return _stats_over_orders(spark, sf_dir)
+
+
+@query
+def target_stats_over_orders_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every pair of more than 5 orders cut into pieces in each order."""
+    return _stats_over_orders(spark, sf_dir, rows_per_piece=5)
+
+
+@query
+def fold_stats_over_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's averaged statistic under every held-out fold, some customers cut into pieces."""
+    folded = materialize(_folded(_labelled(spark, sf_dir).drop("priority")), "folded")
+    encoded = order_stats.fold_target_stats_over(
+        folded, "id", "customer", "label", k=5, orders=2, seed=SEED, rows_per_piece=20
+    )
+    stats = encoded.select("id", F.posexplode("stats").alias("held_out", "stat"))
+    return _rounded(stats, "stat")
+
+
+@query
+def category_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in at most 31 groups by the mean of their labels."""
+    train = _train(_labelled(spark, sf_dir))
+    return grouping.target_groups(train, "customer", "label", 31)
+
+
+@query
+def category_groups_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of test rows, unseen customers below all."""
+    labelled = _labelled(spark, sf_dir)
+    table = materialize(grouping.target_groups(_train(labelled), "customer", "label", 31), "groups")
+    test = _test(labelled).select("id", "customer")
+    return grouping.apply_groups(test, table, "id", "customer", rows_per_piece=3).select("id", "group")
+
+
 # --- folds ---------------------------------------------------------------------------------------
 
 
@@ -384,6 +445,31 @@ def blend_two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_predictions(spark, out).select("id", F.round("PitNextLap", 9).alias("p"))
 
 
+def _blend_sets(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """One set that leans to the label and one that does not, and the labels."""
+    labelled = _labelled(spark, sf_dir)
+    leaning = labelled.select("id", (_score_a() + F.col("label") * 0.3).alias("p"))
+    return {"a": leaning, "b": _set_b(labelled)}, labelled.select("id", "label")
+
+
+@query
+def blend_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least-squares weights of two sets on the simplex."""
+    sets, labels = _blend_sets(spark, sf_dir)
+    weights = blending.learn_blend(sets, labels, score_col="p")
+    rows = [(name, round(weight, 6)) for name, weight in weights.items()]
+    return spark.createDataFrame(rows, "name string, weight double")
+
+
+@query
+def blend_learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sets blended by weights that are learnt from half of the ids."""
+    sets, labels = _blend_sets(spark, sf_dir)
+    half = labels.where(F.pmod(F.col("id"), F.lit(2)) == 0)
+    weights = blending.learn_blend(sets, half, score_col="p")
+    return _rounded(blending.blend_weighted(sets, weights, score_col="p"), "p")
+
+
 @query
 def prediction_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = _labelled(spark, sf_dir)
@@ -701,6 +787,15 @@ def cv_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scores.select("fold", "auc"), "auc")
 
 
+@query
+def cv_grouped_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources in at most four groups, learnt per fold, and a stump that splits them best."""
+    arm = Arm("grouped", "gbt", numeric=(), grouped=("source",), params={**STUMP, "maxBins": 5})
+    folded = cv.folded_table(_flagged(spark, sf_dir), "doc_id", "quality")
+    scored = cv.out_of_fold(folded, [arm], "doc_id", "quality")
+    return scored.select("id", "fold", "label", F.round("score", 9).alias("p"))
+
+
 @query
 def cv_target_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A category's statistic through cross-validation: a stump on whether it is high."""
