@@ -558,3 +558,31 @@ SELECT 'a' AS name, round(w, 6) AS weight FROM w UNION ALL SELECT 'b', round(1 -
 ORACLE_SQL["blend_learnt"] = _BLEND.format(where="WHERE id % 2 = 0") + """
 SELECT a.id AS id, round(w.w * a.a + (1 - w.w) * a.b, 6) AS p FROM a CROSS JOIN w
 """
+
+ORACLE_SQL["column_profile"] = """
+WITH v AS (SELECT 0 AS position, 'o_orderkey' AS "column", CAST(o_orderkey AS DOUBLE) AS x, CAST(NULL
+AS STRING) AS s FROM orders UNION ALL SELECT 1, 'o_custkey', CAST(o_custkey AS DOUBLE), NULL FROM
+orders UNION ALL SELECT 2, 'o_orderstatus', NULL, o_orderstatus FROM orders UNION ALL SELECT 3,
+'o_totalprice', o_totalprice, NULL FROM orders UNION ALL SELECT 5, 'o_orderpriority', NULL,
+o_orderpriority FROM orders), t AS (SELECT position, s, count(*) AS n, row_number() OVER (PARTITION BY
+position ORDER BY count(*) DESC, s) AS i FROM v WHERE s IS NOT NULL GROUP BY position, s) SELECT
+CAST(v.position AS INT) AS position, v."column", count(*) AS n_rows, CAST(0 AS BIGINT) AS n_null,
+min(v.x) AS least, max(v.x) AS greatest, round(avg(v.x), 3) AS mean, round(stddev_pop(v.x), 3) AS std,
+max(t.s) AS top_value, max(t.n) AS top_count FROM v LEFT JOIN t ON v.position = t.position AND t.i = 1
+GROUP BY v.position, v."column"
+"""
+
+ORACLE_SQL["column_drift"] = """
+WITH v AS (SELECT o_orderdate >= TIMESTAMP '1996-01-01' AS late, 'o_orderstatus' AS "column",
+o_orderstatus AS s FROM orders UNION ALL SELECT o_orderdate >= TIMESTAMP '1996-01-01',
+'o_orderpriority', CASE WHEN o_orderpriority < '5' THEN o_orderpriority END FROM orders), n AS (SELECT
+"column", late, count(s) AS known, 1 - count(s) / CAST(count(*) AS DOUBLE) AS nulls FROM v GROUP BY
+"column", late), k AS (SELECT DISTINCT "column", s FROM v WHERE s IS NOT NULL), c AS (SELECT
+k."column", k.s, greatest(1.0E-6, sum(CASE WHEN NOT v.late THEN 1.0E0 ELSE 0 END) / max(a.known)) AS p,
+greatest(1.0E-6, sum(CASE WHEN v.late THEN 1.0E0 ELSE 0 END) / max(b.known)) AS q FROM k JOIN v ON
+k."column" = v."column" AND k.s = v.s JOIN n a ON a."column" = k."column" AND NOT a.late JOIN n b ON
+b."column" = k."column" AND b.late GROUP BY k."column", k.s) SELECT c."column", 'values' AS kind,
+round(sum((q - p) * ln(q / p)), 6) AS psi, round(max(b.nulls) - max(a.nulls), 6) AS null_change FROM c
+JOIN n a ON a."column" = c."column" AND NOT a.late JOIN n b ON b."column" = c."column" AND b.late GROUP
+BY c."column"
+"""

@@ -24,6 +24,7 @@ from foldwise.operators import (
     order_stats,
     permutation,
     predictions,
+    profile,
     tables,
     target_stats,
 )
@@ -95,6 +96,42 @@ def scan_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of a table: counts, range and moments, and the value of most rows of few values."""
+    table = profile.profile(_table(spark, sf_dir, "orders"))
+    few = F.col("n_distinct") <= 100
+    first = F.array_sort("frequent", _more_frequent)[0]
+    return table.select(
+        "position",
+        "column",
+        "n_rows",
+        "n_null",
+        "least",
+        "greatest",
+        F.round("mean", 3).alias("mean"),
+        F.round("std", 3).alias("std"),
+        F.when(few, first["item"]).alias("top_value"),
+        F.when(few, first["count"]).alias("top_count"),
+    ).where("dtype <> 'timestamp_ntz'")
+
+
+def _more_frequent(a: F.Column, b: F.Column) -> F.Column:
+    """Order of values: by falling count, then by value."""
+    by_value = F.when(a["item"] < b["item"], -1).when(a["item"] > b["item"], 1).otherwise(0)
+    return F.when(a["count"] > b["count"], -1).when(a["count"] < b["count"], 1).otherwise(by_value)
+
+
+@query
+def column_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the categories of late orders are spread compared with those of early ones."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderdate", "o_orderstatus", "o_orderpriority")
+    late = F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")
+    kept = orders.withColumn("o_orderpriority", F.when(F.col("o_orderpriority") < "5", F.col("o_orderpriority")))
+    sketches = [profile.sketch_columns(kept.where(side).drop("o_orderdate")) for side in (~late, late)]
+    return _rounded(profile.drift(*sketches).drop("position"), "psi", "null_change")
+
+
 @query
 def table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape(_table(spark, sf_dir, "orders"))
