@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from foldwise import __main__ as cli
 from foldwise.operators.learners import fit_arm
+from foldwise.plans import experiments
 from foldwise.plans import laps as lap_plans
+from foldwise.plans.cv import leaderboard
 from foldwise.plans.pipelines import blend_files, train_and_submit
 from foldwise.sources import LAPS, Bundle, read_predictions
 from foldwise.workspace import materialize, scratch_path
@@ -123,3 +125,34 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     a, b = (read_predictions(spark, str(tmp_path / p)).orderBy("id").collect() for p in "ab")
     assert a == b
     assert len(a) == 20
+
+
+def test_command_line_profiles_and_compares(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "clear_scratch", lambda _: None)
+    folder = tmp_path / "input"
+    folder.mkdir()
+    train, test = laps(spark, 0, 300), laps(spark, 300, 60).drop(LAPS.label)
+    train.toPandas().to_csv(folder / "train.csv", index=False)
+    test.toPandas().to_csv(folder / "test.csv", index=False)
+    sample = test.select("id", F.lit(0.0).alias(LAPS.label))
+    sample.toPandas().to_csv(folder / "sample.csv", index=False)
+    cli.main(["profile", "--folder", str(folder)])
+    shown = capsys.readouterr().out
+    assert "n_distinct" in shown and "psi" in shown and "Compound" in shown
+    small = lap_plans.tree_arm("depth 6, 500 rounds").with_params("small", maxDepth=2)
+    monkeypatch.setattr(lap_plans, "arms", lambda max_bins=32: [lap_plans.logistic_arm(), small])
+    args = ["compare", "--folder", str(folder), "--arm", "small", "--rounds", "1", "3", "--group", "Driver"]
+    cli.main(args)
+    shown = capsys.readouterr().out
+    assert "small, 1 rounds" in shown and "small, 3 rounds" in shown and "std_error" in shown
+
+
+def test_compared_arms_and_their_blend(spark):
+    train = laps(spark, 0, 300)
+    trees = lap_plans.tree_arm("depth 6, 500 rounds").with_params("trees", maxDepth=2, maxIter=2)
+    result = experiments.compare_arms(train, [trees, lap_plans.logistic_arm()], LAPS.id, LAPS.label, k=2)
+    assert sum(result.weights.values()) == pytest.approx(1) and set(result.weights) == {"trees", "logistic"}
+    (pair,) = result.pairs.collect()
+    means = {r.run: r.mean_auc for r in leaderboard(result.fold_scores).collect()}
+    assert (pair.auc_a, pair.auc_b) == (pytest.approx(means["trees"]), pytest.approx(means["logistic"]))
+    assert 0 < pair.std_error < 0.2 and 0 <= pair.p_value <= 1
