@@ -1,5 +1,7 @@
 """Licence paragraphs against the lines that are planted in the test tables."""
 
+import math
+
 from foldwise.llm import licenses
 from foldwise.llm.queries import QUERIES
 
@@ -70,3 +72,51 @@ def test_notices_with_other_words_on_their_line_are_confirmed(spark):
     rows = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(lines)], "doc_id long, text string")
     got = licenses.scan_licenses(rows, model, "doc_id", "text").collect()
     assert {(r.id, r.family) for r in got if r.confirmed} == {(k, f) for k, (_, f) in enumerate(lines) if f}
+
+
+def test_other_licences_are_not_given_a_family(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = licenses.fit_licenses(docs, "text")
+    others = [
+        "Licensed under the ISC License.",
+        "Licensed under CC BY-SA 4.0.",
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "Released under the Foo License.",
+        "Licensed under the Quux License, version 2.0.",
+    ]
+    known = [n for ns in licenses.NOTICES.values() for n in ns]
+    rows = spark.createDataFrame(list(enumerate([*others, *known])), "doc_id long, text string")
+    got = licenses.scan_licenses(rows, model, "doc_id", "text").collect()
+    assert not [r for r in got if r.id < len(others)]
+    family = {n: f for f, ns in licenses.NOTICES.items() for n in ns}
+    assert {r.text: r.family for r in got if r.confirmed} == family
+
+
+def test_no_line_is_lost_by_passing_over_and_the_regression_is_evaluated_once(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id % 3 = 0")
+    model = licenses.fit_licenses(docs, "text")
+    assert len(model.needed) < len(model.vocabulary) / 2
+    notices = [n for ns in licenses.NOTICES.values() for n in ns]
+    half = [" ".join(n.split()[: len(n.split()) // 2 + k]) for n in notices for k in (0, 1, 2)]
+    lines = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(half)], "doc_id long, text string")
+    docs = docs.unionByName(lines)
+    plans = []
+    kept = licenses.materialize
+    monkeypatch.setattr(
+        licenses, "materialize",
+        lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name),
+    )
+    got = licenses.scan_licenses(docs, model, "doc_id", "text")
+    written = got._jdf.queryExecution().executedPlan().toString()
+    # Two evaluations in the plan that writes margins: the vector of n-grams, and the regression.
+    assert plans[0].count("UDF(") <= 3 and "UDF(" not in written
+    every = docs.selectExpr("doc_id AS id", "posexplode(split(text, '\\n', -1)) AS (paragraph, text)")
+    scored = licenses.margins(every, model).collect()
+    want = []
+    for r in scored:
+        top = max(range(len(r.margins)), key=lambda k: (r.margins[k], -k))
+        total = sum(math.exp(m - r.margins[top]) for m in r.margins)
+        if 1 <= top < len(licenses.FAMILIES) and 1 / total >= licenses.LEAST_PROBABILITY:
+            want.append((r.id, r.paragraph, licenses.FAMILIES[top], round(1 / total, 9)))
+    found = [(r.id, r.paragraph, r.family, round(r.probability, 9)) for r in got.collect()]
+    assert sorted(found) == sorted(want) and len(want) > 20
