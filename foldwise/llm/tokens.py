@@ -18,7 +18,7 @@ import json
 import os
 import sys
 import types
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +37,24 @@ _ONE_WORD = {
 #: would join the full stop.
 _ENDS_IN_STOP = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}][.,]+$"
 
-# Fixed value: how byte-level tokenizers cut a text before merging.
-_BYTE_LEVEL_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words of letters that no normalizer changes and no pre-tokenizer cuts; the model takes them as they are.
+_LETTERS = {
+    "spaces": r"^ ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$",
+    "words": r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+$",
+}
+_PROBES = ("a", "word", "straße", "naïve", "ÿ", "abcdefghij" * 5)
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: its own if it can be shown."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
 def byte_level_entries(definition: str) -> list[bytes]:
-    """The bytes of every id of a byte-level vocabulary, whose characters stand for bytes."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    """The bytes of every id of a byte-level vocabulary."""
+    byte_of = {letter: b for b, letter in enumerate(_byte_letters())}
     parsed = json.loads(definition)
     names = {i: name for name, i in parsed["model"]["vocab"].items()}
     added = {t["id"]: t["content"].encode() for t in parsed["added_tokens"]}
@@ -55,24 +64,6 @@ def byte_level_entries(definition: str) -> list[bytes]:
     ]
 
 
-def merge_ranks(definition: str) -> dict[bytes, int] | None:
-    """Ranks of a byte-level vocabulary, if its ids stand in the order of its merges.
-
-    Then merging the neighbours whose joined bytes have the lowest id gives the same ids as going
-    by the list of merges. None for any other kind of tokenizer.
-    """
-    parsed = json.loads(definition)
-    model, cuts = parsed["model"], parsed.get("pre_tokenizer") or {}
-    byte_level = cuts.get("type") == "ByteLevel" and cuts.get("use_regex") and not cuts.get("add_prefix_space")
-    if not byte_level or parsed.get("normalizer") or model.get("type", "BPE") != "BPE":
-        return None
-    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    in_order = all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
-    if not in_order or len(model["vocab"]) != 256 + len(merges):
-        return None
-    return {x: i for i, x in enumerate(byte_level_entries(definition)[: len(model["vocab"])])}
-
-
 class _Grown:
     """An array of whole numbers that grows by doubling."""
 
@@ -108,7 +99,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.mode = mode
         self.glue = "\n" if mode == "spaces" else " 0 "
-        self.ranked = self._ranked(definition)
+        self.letters = _byte_letters()
+        self.direct = self._takes_letters()
         glue_ids = self._plain([self.glue])[0]
         self.glue_id = glue_ids[0] if len(glue_ids) == 1 else None
         self._forget()
@@ -139,42 +131,52 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [e.ids for e in encoded]
 
-    @staticmethod
-    def _ranked(definition: str):
-        """The same vocabulary for a library that merges by rank, which is several times faster."""
-        ranks = merge_ranks(definition)
-        if ranks is None:
-            return None
-        import tiktoken
-
-        return tiktoken.Encoding("ranked", pat_str=_BYTE_LEVEL_CUTS, mergeable_ranks=ranks, special_tokens={})
-
-    def _words(self, texts: list[str]) -> list[list[int]]:
-        """Ids of parts or glued parts."""
-        if self.ranked is None:
-            return self._plain(texts)
-        return [self.ranked.encode_ordinary(text) for text in texts]
-
-    def _learn(self, parts: pa.Array) -> None:
-        """Encode distinct new parts, many as one text, with a separator that none of them holds."""
-        one = pc.match_substring_regex(parts, _ONE_WORD[self.mode])
+    def _merged(self, word: str) -> list[int]:
+        """Ids of a word of letters, straight from the model, without normalizer and pre-tokenizer."""
+        letters = self.letters
+        if not word.isascii():
+            word = "".join([letters[b] for b in word.encode()])
+        elif word[0] == " ":
+            word = letters[32] + word[1:]
+        return [token.id for token in self.tokenizer.model.tokenize(word)]
+
+    def _takes_letters(self) -> bool:
+        """Whether the model by itself gives words of letters the whole tokenizer's ids."""
+        probes = [*_PROBES, *(f" {p}" for p in _PROBES if self.mode == "spaces")]
+        return [self._merged(p) for p in probes] == self._plain(probes)
+
+    def _learn(self, parts: pa.Array) -> np.ndarray:
+        """Codes of distinct new parts: words of letters from the model, many of the others as one
+        text with a separator that none of them holds, and the rest one by one."""
+        out = np.zeros(len(parts), np.int64)
+        left = np.arange(len(parts))
+        if self.direct:
+            letters = pc.match_substring_regex(parts, _LETTERS[self.mode])
+            chosen = letters.to_numpy(zero_copy_only=False)
+            out[left[chosen]] = self._add_lists([self._merged(x) for x in _strings(parts.filter(letters))])
+            left = left[~chosen]
+        rest = parts.take(pa.array(left))
+        one = pc.match_substring_regex(rest, _ONE_WORD[self.mode]).to_numpy(zero_copy_only=False)
         if self.glue_id is None:
-            one = pa.array(np.zeros(len(parts), bool))
-        glued, single = _strings(parts.filter(one)), _strings(parts.filter(pc.invert(one)))
-        for at in range(0, len(glued), 4096):
-            some = glued[at : at + 4096]
-            ids = np.array(self._words([self.glue.join(some)])[0], np.int64)
+            one = np.zeros(len(rest), bool)
+        names, single = _strings(rest), [left[~one]]
+        for at in range(0, int(one.sum()), 4096):
+            places = np.flatnonzero(one)[at : at + 4096]
+            ids = np.array(self._plain([self.glue.join([names[i] for i in places])])[0], np.int64)
             cuts = np.flatnonzero(ids == self.glue_id)
-            if len(cuts) != len(some) - 1:
-                single += some
+            if len(cuts) != len(places) - 1:
+                single.append(left[places])
                 continue
             sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
-            new = self._add(np.delete(ids, cuts), sizes)
-            self.codes.update(zip(some, new.tolist(), strict=True))
-        own = self._words(single)
-        flat = np.array([i for ids in own for i in ids], np.int64)
-        new = self._add(flat, np.array([len(ids) for ids in own], np.int64))
-        self.codes.update(zip(single, new.tolist(), strict=True))
+            out[left[places]] = self._add(np.delete(ids, cuts), sizes)
+        places = np.concatenate(single)
+        out[places] = self._add_lists(self._plain(_strings(parts.take(pa.array(places)))))
+        self.codes.update(zip(_strings(parts), out.tolist(), strict=True))
+        return out
+
+    def _add_lists(self, own: list[list[int]]) -> np.ndarray:
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        return self._add(np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum())), sizes)
 
     def _known(self, parts: pa.Array) -> np.ndarray:
         """Codes of parts, -1 for new ones."""
@@ -192,19 +194,28 @@ class Encoder:
         if self.mode == "words":
             cores = pc.if_else(pc.string_is_ascii(cores), pc.ascii_lower(cores), cores)
         tails = pc.if_else(cut, pc.replace_substring_regex(fresh, r"(?s)^.*[^.,]", ""), "")
-        halves = pa.concat_arrays([cores, tails])
-        missing = halves.filter(pa.array(self._known(halves) < 0)).unique()
+        # What is a part of its own is new; what was cut or lowered may be known.
+        changed = np.flatnonzero(pc.not_equal(cores, fresh).to_numpy(zero_copy_only=False))
+        core = np.full(len(fresh), -1)
+        core[changed] = self._known(cores.take(pa.array(changed)))
+        missing = np.flatnonzero(core < 0)
         if len(missing):
-            self._learn(missing)
-        core, tail = np.split(self._known(halves), 2)
+            distinct = cores.take(pa.array(missing)).dictionary_encode()
+            core[missing] = self._learn(distinct.dictionary)[distinct.indices.to_numpy(zero_copy_only=False)]
         codes[new] = core
-        joined = np.flatnonzero(tail > 0)
+        joined = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
         if len(joined):
-            both = np.stack([core[joined], tail[joined]], axis=1).ravel()
-            ids, ends = self._gather(both)
-            ends = ends[1::2]
-            codes[new[joined]] = self._add(ids, np.diff(ends, prepend=0))
-        self.codes.update(zip(_strings(fresh), codes[new].tolist(), strict=True))
+            ends = tails.take(pa.array(joined)).dictionary_encode()
+            tail = self._known(ends.dictionary)
+            if (tail < 0).any():
+                unknown = np.flatnonzero(tail < 0)
+                tail[unknown] = self._learn(ends.dictionary.take(pa.array(unknown)))
+            tail = tail[ends.indices.to_numpy(zero_copy_only=False)]
+            both = np.stack([core[joined], tail], axis=1).ravel()
+            ids, bounds = self._gather(both)
+            codes[new[joined]] = self._add(ids, np.diff(bounds[1::2], prepend=0))
+        names = _strings(fresh.take(pa.array(changed)))
+        self.codes.update(zip(names, codes[new[changed]].tolist(), strict=True))
         return codes
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
