@@ -471,7 +471,6 @@ def aligned_blocks(
                 ids = batch.column("id").slice(first, len(texts))
                 yield _block(f"{task}-{count}", ids, _whole(own, texts), with_groups)
                 count += 1
-                pa.default_memory_pool().release_unused()
 
     blocks = materialize(rows.where(~is_long).mapInArrow(short, schema), "aligned")
     long = rows.where(is_long)
@@ -554,7 +553,6 @@ def _long_blocks(long: DataFrame, shared, schema: T.StructType, chunk_bytes: int
                 common = found.common_ends()
                 ends = found.open_ends(common)
                 yield _part_rows(uid, k, k, False, ends, found.same, found.closed(common))
-                pa.default_memory_pool().release_unused()
 
     def reduce_ends(table: pa.Table) -> pa.Table:
         """Compose neighbours; the groups that close between them are rows of their own."""

@@ -268,7 +268,7 @@ def read_definition(path: str) -> str:
         return file.read()
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 6 << 20):
+def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20):
     """``(first row, texts)`` in slices of bounded size, so that long texts don't pile up."""
     texts = batch.column(column)
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -277,3 +277,4 @@ def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 6 << 20):
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if b > a:
             yield int(a), texts.slice(int(a), int(b - a))
+            pa.default_memory_pool().release_unused()
