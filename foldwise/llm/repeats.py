@@ -1,27 +1,24 @@
-"""Passages that repeat across documents: winnowed seeds, maximal shared runs, paragraphs.
-
-* Seeds: in any 11 consecutive 10-word runs the one with the least hash is kept, so every 20 words
-  hold a seed, the same one wherever they stand. Seeds that several documents hold show where to look.
-* Runs: around shared seeds every 20-word window is compared, so each word of every exact run of 20
-  words or more that documents share is found. Runs are reported as windows of 20 words: their first
-  and last one and those at content-defined places at most 20 words apart, in every holder alike.
-* Paragraphs: runs at most 5 words apart are one stretch. Where they cover half of a line of 20 words
-  or more, the line and the stretch's part of it are paragraphs, else the stretch is. All distinct paragraphs are banded by
-  MinHash over their whole shingle sets, verified by Jaccard, and joined to components. Two
-  paragraphs of more than 20 words that reach 0.8 share 20 words, so both have been looked at.
+"""Passages that repeat across documents: paragraphs by MinHash bands, and stretches inside them.
+
+* Paragraphs are lines, of any number of words. All distinct ones are banded by MinHash over their
+  whole sets of 5-word shingles (a shorter line is one shingle); those that meet in a band are verified
+  by exact Jaccard and joined to components.
+* A passage may stand inside a longer line, or across lines: stretches of 20 words begin at places
+  that their own words choose, the least 5-word run of any 21, so every run of 40 words or more that
+  documents share holds a stretch that is the same in all of them.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,12 +27,15 @@ from foldwise.workspace import materialize
 
 SHINGLE = 5
 WORDS = 20
-SEED_WORDS = 10
+SPREAD = 21
 SIMILARITY = 0.8
 ROWS = 3
-RECALL = 0.95
-TILE_ROWS = 256
+RECALL = 0.98
+#: Paragraphs, and words of them, in one piece of the verification.
+TILE_ROWS = 512
+TILE_WORDS = 1 << 18
 _STEP = np.uint64(0x100000001B3)
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def bands_for(similarity: float = SIMILARITY, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -52,12 +52,12 @@ def _mixed(values: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def _runs(values: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all runs of ``length`` values along the last axis."""
-    width = values.shape[-1] - length + 1
+    """Hashes of all runs of ``length`` values."""
+    width = len(values) - length + 1
     with np.errstate(over="ignore"):
-        total = np.zeros((*values.shape[:-1], width), np.uint64)
+        total = np.zeros(width, np.uint64)
         for k in range(length):
-            total = total * _STEP + values[..., k : k + width]
+            total = total * _STEP + values[k : k + width]
     return _mixed(total)
 
 
@@ -82,75 +82,59 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def _hashed(text: str | None, hashes: dict[str, int]) -> np.ndarray:
-    words = (text or "").split()
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def _content(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes())
 
 
-def seeds_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the seeds of a text's hashed words; none below 20 words."""
-    if len(own) < WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    runs = _runs(own, SEED_WORDS)
-    starts = _least(runs, WORDS - SEED_WORDS + 1)
-    return starts, runs[starts]
-
+def _shingles(own: np.ndarray) -> np.ndarray:
+    """Shingle hashes of a paragraph's hashed words; fewer words than a shingle are one."""
+    return _runs(own, min(SHINGLE, len(own)))
 
-def windows_of(own: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, hashes and tile marks of the 20-word windows that hold one of the ``seeds``."""
-    size = len(own) - WORDS + 1
-    edges = np.zeros(len(own) + 1, np.int64)
-    np.add.at(edges, np.maximum(seeds - (WORDS - SEED_WORDS), 0), 1)
-    np.add.at(edges, seeds + 1, -1)
-    starts = np.flatnonzero(np.cumsum(edges)[:size] > 0)
-    content = _runs(own, WORDS)
-    tile = np.zeros(size, bool)
-    tile[_least(content, WORDS)] = True
-    return starts, content[starts], tile[starts]
 
+def band_keys(own: np.ndarray, edges: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """``(paragraph, band)`` MinHash band keys of the paragraphs ``edges[k] : edges[k + 1]``."""
+    parts = [_shingles(own[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    first = np.cumsum([0, *map(len, parts[:-1])])
+    shingles = np.concatenate(parts)
+    least = np.full((rows * bands, len(parts)), _MOST)
+    for at in range(0, len(parts), 4096):  # parts bound the memory of a very long text
+        low = first[at]
+        high = first[at + 4096] if at + 4096 < len(parts) else len(shingles)
+        own_firsts = first[at : at + 4096] - low
+        for k in range(rows * bands):
+            least[k, at : at + 4096] = np.minimum.reduceat(_mixed(shingles[low:high], 1 + k), own_firsts)
+    table = least.reshape(bands, rows, len(parts))
+    keys = np.repeat(np.arange(bands, dtype=np.uint64)[:, None], len(parts), axis=1)
+    for row in range(rows):
+        keys = _mixed(keys ^ table[:, row])
+    return np.ascontiguousarray(keys.T)
 
-def paragraphs_of(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """``(start, end)`` in words of the paragraphs around shared ``runs``: stretches, and lines.
 
-    A line that is half covered counts, and so does a stretch's part of it: a passage may be most of
-    one document's line and little of another's.
-    """
-    stretches: list[list[int]] = []
-    for a, b in runs:
-        if stretches and a - stretches[-1][1] <= SHINGLE:
-            stretches[-1][1] = max(stretches[-1][1], b)
-        else:
-            stretches.append([a, b])
-    lines, at = [], 0
-    for line in text.split("\n"):
-        size = len(line.split())
-        if size >= WORDS:
-            lines.append((at, at + size))
-        at += size
-    covered = [0] * len(lines)
-    firsts = [low for low, _ in lines]
-
-    def touched(a: int, b: int) -> Iterator[int]:
-        k = max(bisect.bisect_right(firsts, a) - 1, 0)
-        while k < len(lines) and lines[k][0] < b:
-            if lines[k][1] > a:
-                yield k
-            k += 1
-
-    for a, b in stretches:
-        for k in touched(a, b):
-            covered[k] += min(b, lines[k][1]) - max(a, lines[k][0])
-    whole = [n * 2 >= high - low for n, (low, high) in zip(covered, lines, strict=True)]
-    found = {line for line, taken in zip(lines, whole, strict=True) if taken}
-    for a, b in stretches:
-        place = a
-        for k in touched(a, b):
-            if whole[k]:
-                low, high = lines[k]
-                found |= {(place, low), (max(a, low), min(b, high))}
-                place = high
-        found.add((place, b))
-    return sorted((a, b) for a, b in found if b - a >= WORDS)
+def stretches_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the stretches of a text's hashed words; none below 20 words."""
+    if len(own) < WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    starts = _least(_runs(own, SHINGLE)[: len(own) - WORDS + 1], SPREAD)
+    return starts, _runs(own, WORDS)[starts]
+
+
+def units_of(text: str | None, hashes: dict[str, int], rows: int, bands: int) -> tuple:
+    """Starts, lengths, hashes and bands of a text's lines, then of its stretches, whose bands are None."""
+    lines = [words for words in (line.split() for line in (text or "").split("\n")) if words]
+    sizes = np.array([len(words) for words in lines], np.int64)
+    edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    if not lines:
+        return edges[:0], sizes, np.zeros(0, np.uint64), []
+    own = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lines)), np.uint64, int(edges[-1]))
+    content = [_content(own[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    keys = [key.tobytes() for key in band_keys(own, edges, rows, bands)]
+    starts, stretches = stretches_of(own)
+    return (
+        np.concatenate([edges[:-1], starts]),
+        np.concatenate([sizes, np.full(len(starts), WORDS)]),
+        np.concatenate([np.array(content, np.uint64), stretches]),
+        keys + [None] * len(starts),
+    )
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -181,9 +165,8 @@ def _each(rows: DataFrame, schema: T.StructType, carried: list[str], make, input
                         columns.append(pa.array([x for v in values for x in v], pa.binary()))
                         continue
                     joined = np.concatenate([v for v in values if len(v)])
-                    kinds = {T.IntegerType: np.int32, T.BooleanType: bool}
-                    kind = kinds.get(type(field.dataType))
-                    columns.append(pa.array(joined.astype(kind) if kind else joined.view(np.int64)))
+                    short = isinstance(field.dataType, T.IntegerType)
+                    columns.append(pa.array(joined.astype(np.int32) if short else joined.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(build, schema)
@@ -193,69 +176,27 @@ def _fields(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(*f) for f in fields])
 
 
-def _seeds(rows: DataFrame) -> DataFrame:
-    schema = _fields(("doc", T.LongType()), ("row", T.LongType()), ("at", T.IntegerType()), ("seed", T.LongType()))
-    make = lambda hashes, text: seeds_of(_hashed(text, hashes))
-    return _each(rows.select("doc", "row", "text"), schema, ["doc", "row"], make, ["text"])
-
-
-def _windows(rows: DataFrame) -> DataFrame:
-    schema = _fields(
-        ("id", rows.schema["id"].dataType), ("doc", T.LongType()), ("row", T.LongType()),
-        ("start", T.IntegerType()), ("content", T.LongType()), ("tile", T.BooleanType()),
-    )
-
-    def make(hashes: dict[str, int], text: str, seeds: list[int]) -> tuple[np.ndarray, ...]:
-        return windows_of(_hashed(text, hashes), np.asarray(seeds, np.int64))
-
-    return _each(rows, schema, ["id", "doc", "row"], make, ["text", "seeds"])
-
-
-def _paragraphs(rows: DataFrame) -> DataFrame:
+def _units(texts: DataFrame, rows: int, bands: int) -> DataFrame:
     schema = _fields(
-        ("id", rows.schema["id"].dataType), ("doc", T.LongType()), ("row", T.LongType()),
+        ("id", texts.schema["id"].dataType), ("doc", T.LongType()), ("row", T.LongType()),
         ("start", T.IntegerType()), ("n_words", T.IntegerType()), ("content", T.LongType()),
-        ("words", T.BinaryType()),
+        ("bands", T.BinaryType()),
     )
+    make = lambda hashes, text: units_of(text, hashes, rows, bands)
+    return _each(texts, schema, ["id", "doc", "row"], make, ["text"])
 
-    def make(hashes: dict[str, int], text: str, firsts: list[int], lasts: list[int]) -> tuple:
-        own = _hashed(text, hashes)
-        runs = [(a, b + WORDS) for a, b in zip(sorted(firsts), sorted(lasts), strict=True)]
-        found = paragraphs_of(text, runs)
-        content = [xxhash.xxh64_intdigest(own[a:b].tobytes()) for a, b in found]
-        return (
-            np.array([a for a, _ in found], np.int64),
-            np.array([b - a for a, b in found], np.int64),
-            np.array(content, np.uint64),
-            [(own[a:b] & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for a, b in found],
-        )
-
-    return _each(rows, schema, ["id", "doc", "row"], make, ["text", "firsts", "lasts"])
 
+def _words(places: DataFrame) -> DataFrame:
+    """``(content, words)``: the 64-bit word hashes of the paragraphs at ``starts`` of ``text``."""
+    schema = _fields(("content", T.LongType()), ("words", T.BinaryType()))
 
-def _shingles(words: bytes) -> np.ndarray:
-    return np.unique(_runs(np.frombuffer(words, np.uint16).astype(np.uint64), SHINGLE))
+    def make(hashes: dict[str, int], text: str, lines: list[dict]) -> tuple:
+        words = text.split()
+        found = [words[x["start"] : x["start"] + x["n_words"]] for x in lines]
+        own = [np.fromiter(map(hashes.__getitem__, x), np.uint64, len(x)) for x in found]
+        return np.array([_content(x) for x in own], np.uint64), [x.tobytes() for x in own]
 
-
-def _banded(texts: DataFrame, rows: int, bands: int) -> DataFrame:
-    """``(band, content)``: MinHash bands of whole paragraphs."""
-
-    def band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = []
-            for words in batch["words"]:
-                shingles = _shingles(words)
-                least = [_mixed(shingles, 1 + k).min() for k in range(rows * bands)]
-                table = np.array(least, np.uint64).reshape(bands, rows)
-                key = np.arange(bands, dtype=np.uint64)
-                for row in range(rows):
-                    key = _mixed(key ^ table[:, row])
-                keys.append(key)
-            if keys:
-                content = np.repeat(batch["content"].to_numpy(), bands)
-                yield pd.DataFrame({"band": np.concatenate(keys).view(np.int64), "content": content})
-
-    return texts.mapInPandas(band, "band long, content long")
+    return _each(places, schema, [], make, ["text", "lines"])
 
 
 def jaccard_links(content: np.ndarray, table: Sequence[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -285,15 +226,33 @@ def jaccard_links(content: np.ndarray, table: Sequence[np.ndarray], similarity:
     return links
 
 
-def _near_links(texts: DataFrame, similarity: float, rows: int, recall: float) -> DataFrame:
-    banded = materialize(_banded(texts, rows, bands_for(similarity, rows, recall)), "bands")
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    own = F.pmod(F.xxhash64("content"), F.col("tiles")).cast("int")
+def _near_links(lines: DataFrame, texts: DataFrame, similarity: float, bands: int) -> DataFrame:
+    """``(src, dst)`` links that connect the distinct lines which meet in a band and are similar.
+
+    Bands that hold the same lines are one. A band of many lines is cut into tiles, and each pair
+    of tiles is a piece of work of its own, so that no band is too long for a task.
+    """
+    keys = F.array(*[F.xxhash64(F.substring("bands", 1 + 8 * k, 8)) for k in range(bands)])
+    banded = lines.select(F.explode(keys).alias("band"), "content", "n_words")
+    shared = banded.groupBy("band").agg(
+        F.count("*").alias("n"),
+        F.sum(F.col("n_words").cast("long")).alias("size"),
+        F.bit_xor("content").alias("all"),
+        F.min("content").alias("least"),
+        F.max("content").alias("most"),
+    )
+    shared = shared.where("n > 1").groupBy("n", "size", "all", "least", "most").agg(F.min("band").alias("band"))
+    tiles = F.greatest(F.ceil(F.col("n") / TILE_ROWS), F.ceil(F.col("size") / TILE_WORDS)).cast("int")
+    shared = materialize(shared.select("band", tiles.alias("tiles")), "shared-bands")
+    met = materialize(banded.join(shared, "band").select("band", "tiles", "content"), "met")
+    places = lines.join(met.select("content").distinct(), "content").groupBy("place.row").agg(
+        F.collect_list(F.struct("place.start", "n_words")).alias("lines")
+    )
+    words = _words(texts.select("row", "text").join(places, "row").select("text", "lines"))
+    words = words.groupBy("content").agg(F.first("words").alias("words"))
     pieces = (
-        banded.join(shared, "band")
-        .join(texts, "content")
-        .withColumn("tiles", F.ceil(F.col("n") / TILE_ROWS).cast("int"))
-        .withColumn("own", own)
+        met.join(words, "content")
+        .withColumn("own", F.pmod(F.xxhash64("content"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .groupBy("band", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
         .agg(F.collect_list("content").alias("contents"), F.collect_list("words").alias("words"))
@@ -301,37 +260,47 @@ def _near_links(texts: DataFrame, similarity: float, rows: int, recall: float) -
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = {
-                x
-                for c, w in zip(batch["contents"], batch["words"], strict=True)
-                for x in jaccard_links(np.asarray(c, np.int64), [_shingles(x) for x in w], similarity)
-            }
+            found = set()
+            for content, words in zip(batch["contents"], batch["words"], strict=True):
+                table = [_shingles(np.frombuffer(x, np.uint64)) for x in words]
+                found.update(jaccard_links(np.asarray(content, np.int64), table, similarity))
             yield pd.DataFrame(sorted(found), columns=["src", "dst"], dtype="int64")
 
     return pieces.select("contents", "words").mapInPandas(link, "src long, dst long").distinct()
 
 
-def _classes(units: DataFrame, similarity: float, rows: int, recall: float) -> DataFrame:
-    """``(row, paragraphs)``: every row's paragraphs with their classes."""
-    texts = materialize(units.groupBy("content").agg(F.first("words").alias("words")), "paragraph-texts")
-    found = connected_components(_near_links(texts, similarity, rows, recall))
-    each = units.groupBy("content").agg(
-        F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")
+def _line_classes(lines: DataFrame, texts: DataFrame, similarity: float, bands: int) -> DataFrame:
+    """``(content, class_id, first, n)`` of the lines whose class stands in several documents."""
+    distinct = lines.groupBy("content").agg(
+        F.first("bands").alias("bands"),
+        F.first("n_words").alias("n_words"),
+        F.min(F.struct("row", "start")).alias("place"),
+        F.min(F.struct("id", "start")).alias("first"),
+        F.min("doc").alias("lo"),
+        F.max("doc").alias("hi"),
+        F.count("*").alias("n"),
+    )
+    distinct = materialize(distinct, "lines")
+    found = connected_components(_near_links(distinct, texts, similarity, bands))
+    each = distinct.join(found, distinct.content == found.node, "left").select(
+        "content", F.coalesce("component", "content").alias("class_id"), "first", "lo", "hi", "n"
+    )
+    classes = each.groupBy("class_id").agg(
+        F.min("first").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")
     )
-    each = each.join(found, each.content == found.node, "left").withColumn(
-        "class_id", F.coalesce("component", "content")
+    return each.select("content", "class_id").join(
+        classes.where("lo < hi").select("class_id", "first", "n"), "class_id"
     )
-    classes = each.groupBy("class_id").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-    members = materialize(each.select("content", "class_id").join(classes, "class_id"), "classes")
-    placed = units.select("id", "row", "start", "n_words", "content").join(members, "content")
-    one = F.struct(
-        F.col("start").alias("paragraph_start"),
-        F.col("n_words").alias("paragraph_words"),
-        F.col("class_id").alias("paragraph_class"),
-        (F.col("n") - 1).alias("paragraph_links"),
-        F.struct("id", "start").eqNullSafe(F.col("first")).alias("paragraph_keep"),
+
+
+def _stretch_classes(stretches: DataFrame) -> DataFrame:
+    """``(content, class_id, first, n)`` of the stretches that several documents hold."""
+    crowded = stretches.groupBy("content").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    crowded = materialize(crowded.where("lo < hi").select("content"), "crowded")
+    held = stretches.join(crowded, "content")
+    return held.groupBy("content").agg(
+        F.col("content").alias("class_id"), F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")
     )
-    return placed.groupBy("row").agg(F.sort_array(F.collect_set(one)).alias("paragraphs"))
 
 
 def repeated_passages(
@@ -342,67 +311,37 @@ def repeated_passages(
     rows: int = ROWS,
     recall: float = RECALL,
 ) -> DataFrame:
-    """Every exact run of 20 words or more that documents share, as windows of 20 words:
-    ``(id, start, n_words, class_id, n_links, keep, paragraph_start, paragraph_words,
-    paragraph_class, paragraph_links, paragraph_keep)``.
-
-    ``start`` counts white-space separated words; the windows cover each run from its first to its
-    last word. ``class_id`` names equal windows, ``keep`` is true for the first by id and start, the
-    one that stays; ``n_links`` is the number of other windows of the class.
-
-    The ``paragraph_*`` columns tell the longest line or stretch that the window begins in, those with
-    like ones first, and its class of paragraphs that are similar as wholes; they are NULL where a window begins in no paragraph of 20
-    words. A paragraph like no other is alone in its class. Words beyond a changed word that make no
-    run of 20 belong to a paragraph only if it is a line.
-
-    Passages that repeat within one document only are no repeats. Rows with NULL ids count as one
-    document, as do rows of one id. NULL, empty and short texts have no passage. Other columns are
-    not read.
+    """Every line and every stretch of 20 words that documents share:
+    ``(id, start, n_words, kind, class_id, n_links, keep)``.
+
+    ``start`` counts white-space separated words. Of kind ``line`` is each paragraph of a class of
+    lines that are connected by a Jaccard of ``similarity`` or more, found with ``recall``; equal
+    lines are always found, lines under five words only as equal ones. Of kind ``stretch`` are the
+    20-word stretches that are equal in several documents; every shared run of 40 words or more has
+    one, whatever its lines. Letter case does not matter. ``n_links`` is the number of other members
+    of the class, and ``keep`` is true for the first by id and start, the one that stays.
+
+    Classes within one document only are no repeats. Rows with NULL ids count as one document, as
+    do rows of one id. NULL, empty and blank texts have no passage. Other columns are not read.
     """
+    bands = bands_for(similarity, rows, recall)
     texts = _rows(docs, id_col, text_col)
-    seeds = materialize(_seeds(texts), "seeds")
-    crowded = seeds.groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    # Written, so that the join below is of two plain exchanges, which Spark can split by size.
-    crowded = materialize(crowded.where("lo < hi").select("seed"), "crowded")
-    places = seeds.join(crowded, "seed").groupBy("row").agg(F.collect_set("at").alias("seeds"))
-    windows = materialize(_windows(texts.join(places, "row")), "windows")
-    shared = windows.groupBy("content").agg(
-        F.min("doc").alias("lo"),
-        F.max("doc").alias("hi"),
-        F.min(F.struct("id", "start")).alias("first"),
-        F.count("*").alias("n"),
-    )
-    shared = materialize(shared.where("lo < hi").select("content", "first", "n"), "shared")
-    held = windows.join(shared.select("content"), "content").select("id", "row", "start", "content", "tile")
-    ordered = Window.partitionBy("row").orderBy("start")
-    held = held.withColumns({"before": F.lag("start").over(ordered), "behind": F.lead("start").over(ordered)})
-    first = F.col("before").isNull() | (F.col("start") - F.col("before") > 1)
-    last = F.col("behind").isNull() | (F.col("behind") - F.col("start") > 1)
-    held = held.select("id", "row", "start", "content", "tile", first.alias("first"), last.alias("last"))
-    held = materialize(held, "held")
-    runs = held.where("first or last").groupBy("row").agg(
-        F.collect_set(F.when(F.col("first"), F.col("start"))).alias("firsts"),
-        F.collect_set(F.when(F.col("last"), F.col("start"))).alias("lasts"),
-    )
-    units = materialize(_paragraphs(texts.join(runs, "row")), "paragraphs")
-    classes = _classes(units, similarity, rows, recall)
-    told = materialize(held.where("first or last or tile").select("content").distinct(), "told")
-    placed = held.select("id", "row", "start", "content").join(told.join(shared, "content"), "content")
-    placed = placed.join(classes, "row", "left")
-    inside = F.filter(
-        "paragraphs",
-        lambda p: (p.paragraph_start <= F.col("start"))
-        & (F.col("start") < p.paragraph_start + p.paragraph_words),
-    )
-    best = F.array_max(
-        F.transform(inside, lambda p: F.struct(p.paragraph_links > 0, p.paragraph_words, p.alias("one")))
-    )
-    return placed.withColumn("inside", best.one).select(
-        "id",
-        "start",
-        F.lit(WORDS).alias("n_words"),
-        F.col("content").alias("class_id"),
-        (F.col("n") - 1).alias("n_links"),
-        F.struct("id", "start").eqNullSafe(F.col("first")).alias("keep"),
-        "inside.*",
-    )
+    units = materialize(_units(texts, rows, bands), "units")
+    parts = []
+    for kind, own in (("line", units.where("bands is not null")), ("stretch", units.where("bands is null"))):
+        classes = _line_classes(own, texts, similarity, bands) if kind == "line" else _stretch_classes(own)
+        # Written, so that the join below is of two plain exchanges, which Spark can split by size.
+        classes = materialize(classes, f"{kind}-classes")
+        placed = own.select("id", "start", "n_words", "content").join(classes, "content")
+        parts.append(
+            placed.select(
+                "id",
+                "start",
+                "n_words",
+                F.lit(kind).alias("kind"),
+                "class_id",
+                (F.col("n") - 1).alias("n_links"),
+                F.struct("id", "start").eqNullSafe(F.col("first")).alias("keep"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
