@@ -6,6 +6,8 @@ import numpy as np
 
 from foldwise.llm import decontamination as dec
 
+SF = "/root/testdata/sf0.01"
+
 
 def edits_by_hand(item, stretch):
     """Least edits to any part of ``stretch``: the textbook table."""
@@ -65,6 +67,49 @@ def test_recall_and_precision_against_brute_force():
     assert wanted > 100 and both >= 0.98 * wanted
 
 
+def test_buckets_drop_unrelated_windows_and_keep_edited_items(spark):
+    rng = random.Random(4)
+    items = sorted(map(tuple, spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()))
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    prose = [word for text in texts for word in dec.words_of(text)]
+    matcher = dec.Matcher(items)
+
+    def some(n):
+        at = rng.randrange(len(prose) - n)
+        return prose[at : at + n]
+
+    def collide(symbols, sizes, wanted=None):
+        samples = dec.cgk_samples(matcher._padded(symbols), np.array(sizes), matcher.places)
+        keys, whole = dec._keys(samples, np.array(sizes)), (samples >= 0).all(axis=2)
+        for k, row in enumerate(keys):
+            own = row[whole[k]]
+            found = {int(i) for x in own for i in matcher.key_items[matcher.keys == x]}
+            yield bool(found) if wanted is None else wanted[k] in found
+
+    sizes = [int(rng.choice(matcher.sizes)) for _ in range(500)]
+    unrelated = [matcher.symbols(" ".join(some(n))) for n in sizes]
+    assert np.mean(list(collide(unrelated, sizes))) <= 0.1
+    hits = []
+    for k in [*range(len(items))] * 5:
+        words = dec.words_of(items[k][1])
+        edited = " ".join(planted(rng, words, int(0.2 * len(words))))
+        symbols = matcher.symbols(" ".join([*some(20), edited, *some(20)]))
+        near = [(a - off, n) for a, off, n in matcher._windows(symbols).tolist() if n == len(words)]
+        cut = [symbols[max(a, 0) : a + n] for a, n in near]
+        hits.append(any(collide(cut, [n for _, n in near], [k] * len(near))) if near else False)
+    assert len(hits) >= 100 and np.mean(hits) >= 0.98  # tuned to 0.99 on other edits
+
+
+def test_short_items_and_scripts_without_spaces():
+    items = [(1, "alone"), (2, "two words"), (3, "one two three four"), (4, "机器学习模型"), (5, "...")]
+    matcher = dec.Matcher(items)
+    texts = ["not Alone, here", "two other words", "Two, words!", "so one two three four five", "one two three four",
+             "他们训练机器学习模型的时候", "机器 学习", "", "ภาษาไทย", "two changed three four"]
+    got = matcher.matches([matcher.symbols(t) for t in texts])
+    found = [{matcher.ids[i] for i, *_ in hits} for hits in got]
+    assert found == [{1}, set(), {2}, {3}, {3}, {4}, set(), set(), set(), set()]
+
+
 def test_query_and_hard_rows(spark, hard, empty):
     passage = "A plain text of some ten words or a few more."
     rows = [(1, passage), (2, None), (None, ""), (3, "too short"), (4, passage), (5, "me at example")]
