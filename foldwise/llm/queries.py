@@ -134,12 +134,15 @@ URL_RULES = (
 
 @query
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's verdict; a page's known outcome is the label of its number."""
+    """Every page's verdict and its host's reputation; a page's known outcome is the label of its number.
+
+    In the given tables a label says nothing about the page of its number, so hosts hardly differ."""
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
     outcomes = _table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("id"), F.coalesce(bad, F.lit(0)).alias("bad")
     )
     judged = urls.judge_urls(_table(spark, sf_dir, "pages"), outcomes, "page_id", "url", URL_RULES)
+    judged = judged.withColumns({c: F.round(c, 6) for c in ("rate", "lower")})
     return judged.withColumnRenamed("id", "page_id")
 
 

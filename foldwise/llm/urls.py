@@ -4,6 +4,9 @@ Labelled page outcomes are shrunk along host, registered domain and public suffi
 beta-binomial: its prior has the mean of the level above and a strength that is estimated, by the
 method of moments, from how much its units differ. A host is blocked if the lower posterior bound of
 its rate of bad pages exceeds what is allowed.
+
+Strengths are kept in bounds: ``MOST_STRENGTH`` also stands for units that differ no more than chance
+makes them, so without any difference every host has about the rate of all.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.workspace import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Public suffixes of two labels.
 LONG_SUFFIXES = (
@@ -39,8 +44,10 @@ def matching_rule(
 ) -> Column:
     """``struct<size, verdict, rule>`` of the longest fitting ``(verdict, host, path)``, or NULL.
 
-    Of rules of one length, ``block`` wins.
+    Of rules of one length, ``block`` wins. Without any rule it is NULL everywhere.
     """
+    if not rules:
+        return F.lit(None).cast("struct<size:int,verdict:string,rule:string>")
     known = F.array(
         *[
             F.struct(
@@ -115,7 +122,9 @@ def host_reputations(outcomes: DataFrame) -> DataFrame:
         F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
     )
     hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = materialize(hosts, "hosts")  # every level reads its units twice
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    domains = materialize(domains, "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     overall = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("parent"))
     suffixes = _shrunk(suffixes.join(F.broadcast(overall)))  # one row
@@ -136,9 +145,11 @@ def judge_urls(
     rules: Sequence[tuple[str, str, str]],
     max_bad: float = MAX_BAD,
 ) -> DataFrame:
-    """``(id, host, path, rule, verdict)`` of every page: its rule's verdict, else its host's.
+    """``(id, host, path, rule, verdict, n, rate, lower)`` of every page: its rule's verdict, else its
+    host's, which has ``n`` known pages, the posterior mean ``rate`` and its bound ``lower``.
 
-    ``outcomes`` is ``(id, bad)`` with one row per known page. NULL urls and urls without ``://``
+    ``outcomes`` is ``(id, bad)`` with one row per known page. An empty table of pages gives an empty
+    result; without rules every verdict is the host's. NULL urls and urls without ``://``
     have an empty host, which has a reputation like any other. NULL ids have no outcome; repeated
     pages stay and count as often. Other columns are not read.
     """
@@ -147,7 +158,7 @@ def judge_urls(
     known = outcomes.select(F.col("id"), F.col("bad").cast("int").alias("bad")).groupBy("id")
     known = known.agg(F.max("bad").alias("bad"))
     reputations = host_reputations(rows.join(known, "id", "left").select("host", "bad"))
-    judged = rows.join(reputations.select("host", "lower"), "host").withColumn(
+    judged = rows.join(reputations.select("host", "n", "rate", "lower"), "host").withColumn(
         "found", matching_rule(rules, F.col("host"), F.col("path"))
     )
     own = F.when(F.col("lower") > max_bad, "block").otherwise("allow")
@@ -157,11 +168,14 @@ def judge_urls(
         "path",
         F.col("found.rule").alias("rule"),
         F.coalesce("found.verdict", own).alias("verdict"),
+        "n",
+        "rate",
+        "lower",
     )
 
 
 def judge_urls_sql(rules: Sequence[tuple[str, str, str]], max_bad: float = MAX_BAD) -> str:
-    """The query over ``pages`` and ``labels`` as DuckDB SQL."""
+    """The query over ``pages`` and ``labels`` as DuckDB SQL, rates rounded to six digits."""
     listed = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
     long = ", ".join(f"'{s}'" for s in LONG_SUFFIXES)
 
@@ -210,10 +224,11 @@ def judge_urls_sql(rules: Sequence[tuple[str, str, str]], max_bad: float = MAX_B
     host_units AS (
         SELECT h.*, d.rate AS parent FROM hosts h JOIN domain_rates d USING (domain, suffix)),
     host_rates AS ({shrunk("host_units", "host")}),
+    bounds AS (
+        SELECT host, n, rate, rate - {Z} * sqrt(alpha * beta
+            / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) AS lower FROM host_rates),
     verdicts AS (
-        SELECT host, CASE WHEN rate - {Z} * sqrt(alpha * beta
-            / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) > {max_bad}
-            THEN 'block' ELSE 'allow' END AS own FROM host_rates),
+        SELECT *, CASE WHEN lower > {max_bad} THEN 'block' ELSE 'allow' END AS own FROM bounds),
     rules(verdict, rule_host, rule_path) AS (VALUES {listed}),
     fitting AS (
         SELECT host, path, rule_host || rule_path AS rule, verdict,
@@ -221,7 +236,8 @@ def judge_urls_sql(rules: Sequence[tuple[str, str, str]], max_bad: float = MAX_B
                 ORDER BY length(rule_host || rule_path) DESC, verdict DESC, rule_host DESC) AS place
         FROM (SELECT DISTINCT host, path FROM hosted), rules
         WHERE ends_with('.' || host, '.' || rule_host) AND starts_with(path, rule_path))
-    SELECT page_id, hosted.host, hosted.path, f.rule, coalesce(f.verdict, own) AS verdict
+    SELECT page_id, hosted.host, hosted.path, f.rule, coalesce(f.verdict, own) AS verdict,
+        n, round(rate, 6) AS rate, round(lower, 6) AS lower
     FROM hosted JOIN verdicts USING (host)
     LEFT JOIN fitting f ON f.host = hosted.host AND f.path = hosted.path AND f.place = 1
     """

@@ -51,3 +51,22 @@ def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     hosts = urls.with_host_and_path(pages, "url").select("host", "bad")
     rates = {r.host: r for r in urls.host_reputations(hosts).collect()}
     assert rates["new.spam.org"].rate > rates["one.fine.org"].rate > rates["good1.fine.org"].rate
+    by_host = {r.host: r for r in judged.collect()}
+    assert by_host["bad.spam.org"].n == 40 and by_host["bad.spam.org"].lower > 0.5
+    assert all(r.lower < r.rate == rates[r.host].rate for r in by_host.values())
+    strict = urls.judge_urls(pages, outcomes, "page_id", "url", [], max_bad=0.0)
+    assert {r.verdict for r in strict.where("host = 'bad.spam.org'").collect()} == {"block"}
+
+
+def test_no_rules_empty_tables_and_repeated_pages(spark):
+    rows = [(1, "http://a.org/x"), (1, "http://a.org/x"), (2, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    outcomes = spark.createDataFrame([(1, 1)], "id long, bad int")
+    judged = urls.judge_urls(pages, outcomes, "page_id", "url", []).collect()
+    assert sorted((r.id, r.host, r.path, r.rule, r.n) for r in judged) == [
+        (1, "a.org", "/x", None, 2), (1, "a.org", "/x", None, 2), (2, "", "", None, 0)
+    ]
+    assert all(r.verdict == ("block" if r.lower > 0.5 else "allow") for r in judged)
+    assert urls.judge_urls(pages.where("false"), outcomes, "page_id", "url", []).collect() == []
+    assert urls.judge_urls(pages.where("false"), outcomes.where("false"), "page_id", "url", URL_RULES).collect() == []
+    assert len(urls.judge_urls(pages, outcomes.where("false"), "page_id", "url", URL_RULES).collect()) == 3
