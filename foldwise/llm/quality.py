@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ LEVEL = 3
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Two dictionaries and the calibration of their size difference; a few hundred kB."""
+    """Two dictionaries, and intercept and slope of their size difference; a few hundred kB."""
 
     good: bytes
     bad: bytes
@@ -42,20 +43,17 @@ class _Sizes:
 
         self.good, self.bad, self.none = map(compressor, (model.good, model.bad, None))
 
-    def features(self, text: str) -> list[float]:
-        """Intercept, size difference over the size without a dictionary, and the two ratios."""
+    def difference(self, text: str) -> float:
+        """How many more bytes the bad dictionary needs, over the size without a dictionary."""
         raw = text.encode("utf-8", "surrogatepass")
-        good, bad, none = (
-            len(c.compress(raw)) for c in (self.good, self.bad, self.none)
-        )
-        difference = (bad - good) / none
-        ratio = good / len(raw)
-        return [1.0, difference, ratio, none / len(raw), difference * abs(difference), ratio * ratio]
+        good, bad, none = (len(c.compress(raw)) for c in (self.good, self.bad, self.none))
+        return (bad - good) / none
 
 
-def _features(model: QualityModel, texts: pd.Series) -> np.ndarray:
+def size_differences(model: QualityModel, texts: Iterable[str | None]) -> np.ndarray:
+    """The normalised compressed-size differences of texts; 0 for NULL and empty ones."""
     sizes = _Sizes(model)
-    return np.array([sizes.features(t) if t else [0.0] * 6 for t in texts]).reshape(-1, 6)
+    return np.array([sizes.difference(t) if t else 0.0 for t in texts], float)
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
@@ -152,16 +150,17 @@ def fit_quality(
         _dictionary(texts[1], dictionary_bytes), _dictionary(texts[0], dictionary_bytes), (), prior
     )
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("double")
     def sizes(given: pd.Series) -> pd.Series:
-        return pd.Series(list(_features(blank, given)))
+        return pd.Series(size_differences(blank, given))
 
     rest = sampled.join(F.broadcast(first), "id", "left_anti")
     measured = rest.select("id", "y", sizes("text").alias("x")).collect()
     if len({r.y for r in measured}) < 2:  # too few labels to keep some apart
         measured = sampled.select("id", "y", sizes("text").alias("x")).collect()
     measured.sort(key=lambda r: (r.id, r.x))
-    x, y = np.array([r.x for r in measured]), np.array([r.y for r in measured], float)
+    x = np.array([[1.0, r.x] for r in measured])
+    y = np.array([r.y for r in measured], float)
     share = {c: counted[c] / max(1, (y == c).sum()) for c in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
     beta = _logistic(x, y, weight * len(y) / weight.sum())
@@ -169,13 +168,15 @@ def fit_quality(
 
 
 def quality_score(model: QualityModel, text: F.Column) -> F.Column:
-    """Score from 0 to 1 of a text column; NULL and empty texts score the share of good labels."""
+    """Score from 0 to 1 of a text column, a logistic function of its size difference alone.
+
+    NULL and empty texts score the share of good labels."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         if not model.weights:
             return pd.Series(np.full(len(texts), model.empty_score))
-        margin = _features(model, texts) @ np.array(model.weights)
+        margin = model.weights[0] + model.weights[1] * size_differences(model, texts)
         scores = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
         return pd.Series(np.where([bool(t) for t in texts], scores, model.empty_score))
 

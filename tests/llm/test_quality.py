@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from foldwise.llm import quality
@@ -23,6 +24,28 @@ def test_scores_rank_held_out_labels(spark):
     assert (good >= 0.3).mean() > 0.97
 
 
+def test_scores_are_the_calibrated_size_difference(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit_quality(docs, labels, "doc_id", "text", "quality")
+    rows = docs.select("text", quality.quality_score(model, F.col("text")).alias("s")).collect()
+
+    def size(text, dictionary):
+        given = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        return len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=given).compress(text.encode()))
+
+    low, slope = model.weights
+    assert slope > 0
+    pairs = []
+    for r in rows[::5]:
+        if r.text:
+            d = (size(r.text, model.bad) - size(r.text, model.good)) / size(r.text, b"")
+            assert abs(r.s - 1 / (1 + np.exp(-np.clip(low + slope * d, -30, 30)))) < 1e-9
+            pairs.append((d, r.s))
+    pairs.sort()
+    assert len(pairs) > 150 and all(a[1] <= b[1] for a, b in zip(pairs, pairs[1:]))
+
+
 def test_hard_rows_and_labels_without_both_classes(spark, hard, empty):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 0)], "doc_id long, quality int")
     model = quality.fit_quality(hard, labels, "doc_id", "text", "quality")
