@@ -208,21 +208,26 @@ def jaccard_links(content: np.ndarray, table: Sequence[np.ndarray], similarity:
         for shingle in own:
             holders.setdefault(shingle, set()).add(k)
     left, links = set(range(len(sets))), []
+
+    def take(k: int) -> int:
+        """Leave ``k`` out of the holders: what is connected is never looked at again."""
+        left.discard(k)
+        for shingle in sets[k]:
+            holders[shingle].discard(k)
+        return k
+
     while left:
-        frontier = [left.pop()]
-        while frontier:
+        frontier = [take(next(iter(left)))]
+        while frontier and left:
             one = frontier.pop()
             shared: dict[int, int] = {}
             for shingle in sets[one]:
                 for k in holders[shingle]:
                     shared[k] = shared.get(k, 0) + 1
             for k, n in shared.items():
-                if k in left and n >= similarity * (len(sets[one]) + len(sets[k]) - n):
-                    left.discard(k)
-                    frontier.append(k)
+                if n >= similarity * (len(sets[one]) + len(sets[k]) - n):
+                    frontier.append(take(k))
                     links.append((int(content[one]), int(content[k])))
-            for shingle in sets[one]:
-                holders[shingle].discard(one)
     return links
 
 
