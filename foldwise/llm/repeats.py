@@ -93,18 +93,25 @@ def _shingles(own: np.ndarray) -> np.ndarray:
 
 def band_keys(own: np.ndarray, edges: np.ndarray, rows: int, bands: int) -> np.ndarray:
     """``(paragraph, band)`` MinHash band keys of the paragraphs ``edges[k] : edges[k + 1]``."""
-    parts = [_shingles(own[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-    first = np.cumsum([0, *map(len, parts[:-1])])
-    shingles = np.concatenate(parts)
-    least = np.full((rows * bands, len(parts)), _MOST)
-    for at in range(0, len(parts), 4096):  # parts bound the memory of a very long text
+    starts, sizes = edges[:-1], np.diff(edges)
+    counts = np.maximum(sizes - SHINGLE + 1, 1)
+    first = np.cumsum(counts) - counts
+    runs = _runs(own, SHINGLE) if len(own) >= SHINGLE else np.zeros(1, np.uint64)
+    place = np.repeat(starts - first, counts) + np.arange(counts.sum())
+    shingles = runs[np.minimum(place, len(runs) - 1)]
+    for k in np.flatnonzero(sizes < SHINGLE).tolist():
+        shingles[first[k]] = _shingles(own[starts[k] : starts[k] + sizes[k]])[0]
+    number = np.arange(rows * bands, dtype=np.uint64)
+    factors, shifts = _mixed(number, 1) | np.uint64(1), _mixed(number, 2)  # shingles are mixed already
+    least = np.full((rows * bands, len(sizes)), _MOST)
+    for at in range(0, len(sizes), 4096):  # parts bound the memory of a very long text
         low = first[at]
-        high = first[at + 4096] if at + 4096 < len(parts) else len(shingles)
+        high = first[at + 4096] if at + 4096 < len(sizes) else len(shingles)
         own_firsts = first[at : at + 4096] - low
         for k in range(rows * bands):
-            least[k, at : at + 4096] = np.minimum.reduceat(_mixed(shingles[low:high], 1 + k), own_firsts)
-    table = least.reshape(bands, rows, len(parts))
-    keys = np.repeat(np.arange(bands, dtype=np.uint64)[:, None], len(parts), axis=1)
+            least[k, at : at + 4096] = np.minimum.reduceat(shingles[low:high] * factors[k] + shifts[k], own_firsts)
+    table = least.reshape(bands, rows, len(sizes))
+    keys = np.repeat(np.arange(bands, dtype=np.uint64)[:, None], len(sizes), axis=1)
     for row in range(rows):
         keys = _mixed(keys ^ table[:, row])
     return np.ascontiguousarray(keys.T)
