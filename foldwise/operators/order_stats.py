@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import hash_position, order_hash
-from foldwise.operators.skew import ROWS_PER_PIECE, hot_keys
+from foldwise.operators.skew import ROWS_PER_PIECE, gathered, hot_keys, with_pieces
 from foldwise.operators.tables import refuse_columns
 
-_OWN = ("_hot", "_pieces", "_order", "_piece", "_row", "_key", "_part")
+_OWN = ("_hot", "_is_hot", "_kind", "_pieces", "_order", "_piece", "_carried", "_row", "_key", "_part")
 
 
 def pair_key(*columns: str) -> Column:
@@ -84,12 +84,10 @@ def _averaged(df, id_col, category, label, k, orders, prior, weight, seed, rows_
     base = df if base is None else base
     key, row_id = F.col(f"`{category}`"), F.col(f"`{id_col}`")
     digests = [order_hash(row_id, seed + j) for j in range(orders)]
-    hot = hot_keys(base, category, rows_per_piece).select(
-        F.col("hot_key").alias("_hot"), F.col("pieces").alias("_pieces")
-    )
+    hot = hot_keys(base, category, rows_per_piece)
 
     def flagged(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(hot), key.cast("string").eqNullSafe(F.col("_hot")), "left").drop("_hot")
+        return with_pieces(rows, category, id_col, hot, rows_per_piece)
 
     sums = {"s": F.sum(f"`{label}`"), "n": F.count(f"`{label}`")}
     for f in range(k):
@@ -131,24 +129,27 @@ def _averaged(df, id_col, category, label, k, orders, prior, weight, seed, rows_
         return own.withColumn("_piece", piece).drop("_pieces")
 
     narrow = base.select(row_id, key, f"`{label}`", *["fold"] * (k > 0))
-    totals = copied(narrow).groupBy(key.alias("_key"), F.col("_order").alias("_o"), F.col("_piece").alias("_part"))
+    place = (key, F.col("_order"), F.col("_piece"))
+    totals = gathered(copied(narrow), rows_per_piece, *place).groupBy(key.alias("_key"), "_order", "_piece")
     totals = totals.agg(*[v.alias(n) for n, v in sums.items()])
-    one_order = Window.partitionBy("_key", "_o")
-    before = one_order.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    one_order = Window.partitionBy("_key", "_order")
+    before = one_order.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each piece, which goes to the piece and stands first there.
     carried = totals.select(
-        "_key",
-        "_o",
-        "_part",
+        F.col("_key").alias(category),
+        "_order",
+        "_piece",
+        F.lit(True).alias("_carried"),
         *[F.coalesce(F.sum(n).over(before), zero).alias(f"_before_{n}") for n in sums],
         *[F.sum(n).over(one_order).alias(f"_total_{n}") for n in sums],
     )
-    rows = copied(df).repartition(key, "_order", "_piece")
-    in_piece = Window.partitionBy(key, "_order", "_piece").orderBy(_chosen(digests), row_id)
+    rows = copied(df).unionByName(carried, allowMissingColumns=True).where("_piece IS NOT NULL").repartition(*place)
+    in_piece = Window.partitionBy(*place).orderBy(F.desc("_carried"), _chosen(digests), row_id)
     earlier = in_piece.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({f"_run_{n}": F.coalesce(v.over(earlier), zero) for n, v in sums.items()})
-    same = key.eqNullSafe(F.col("_key")) & (F.col("_order") == F.col("_o")) & (F.col("_piece") == F.col("_part"))
-    # As many rows as pieces: fewer than twice the orders per ``rows_per_piece`` rows.
-    rows = rows.join(F.broadcast(carried), same)
+    rows = rows.withColumns(
+        {f"_run_{n}": F.coalesce(v.over(earlier), zero) for n, v in sums.items()}
+        | {f"_{kind}_{n}": F.first(f"_{kind}_{n}").over(earlier) for kind in ("before", "total") for n in sums}
+    ).where("_carried IS NULL")
     each = [
         stat(lambda n: F.col(f"_before_{n}") + F.col(f"_run_{n}"), lambda n: F.col(f"_total_{n}"), f)
         for f in wanted

@@ -23,6 +23,23 @@ def hot_keys(df: DataFrame, key: str, rows_per_piece: int = ROWS_PER_PIECE) -> D
     )
 
 
+def with_pieces(
+    df: DataFrame, key: str, spread: str, hot: DataFrame, rows_per_piece: int = ROWS_PER_PIECE
+) -> DataFrame:
+    """Add ``_pieces``: the number of pieces of the row's key; NULL where the key is not hot.
+
+    Hot keys are broadcast if they are few for any table. Smaller pieces make more of them, up to
+    one per some rows: then only keys that are large by ``ROWS_PER_PIECE`` are, and the rest are
+    joined by the key. Rows of large keys spread by the hash of ``spread`` (the row id).
+    """
+    named = hot.select(F.col("hot_key").alias("_hot"), F.col("pieces").alias("_pieces"))
+    if rows_per_piece >= ROWS_PER_PIECE:
+        value = F.col(f"`{key}`").cast("string")
+        return df.join(F.broadcast(named), value.eqNullSafe(F.col("_hot")), "left").drop("_hot")
+    large = hot.where(F.col("pieces") > F.lit(ROWS_PER_PIECE // rows_per_piece))
+    return lookup(df, named.withColumnRenamed("_hot", "lookup_key"), key, spread, large)
+
+
 def with_piece(df: DataFrame, key: str, position: Column, hot: DataFrame) -> DataFrame:
     """Add ``_piece``: which piece of its key a row falls in; NULL where the key is not hot.
 
@@ -37,6 +54,15 @@ def with_piece(df: DataFrame, key: str, position: Column, hot: DataFrame) -> Dat
     )
 
 
+def gathered(rows: DataFrame, rows_per_piece: int, *by: Column) -> DataFrame:
+    """Rows to be added up by piece, which ``by`` names: small pieces are brought together first.
+
+    Sums before the exchange leave next to nothing of large pieces, but of small ones about as
+    many groups as rows, all in the memory of the task that reads them.
+    """
+    return rows if rows_per_piece >= ROWS_PER_PIECE else rows.repartition(*by)
+
+
 def lookup(
     rows: DataFrame, table: DataFrame, key: str, spread: str, hot: DataFrame
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from foldwise.operators import skew
 from foldwise.operators.grouping import UNSEEN, apply_groups, target_groups
 from foldwise.operators.learners import Arm, fit_arm, prepare_training, shared_orders
 from foldwise.operators.order_stats import ordered_target_stats, pair_key, pair_name, with_pairs
@@ -40,6 +41,17 @@ def test_mean_over_orders(spark, orders, rows_per_piece):
     assert found == {i: pytest.approx(s, rel=1e-12) for i, s in want.items()}
 
 
+@pytest.mark.parametrize("at_most, rows_per_piece", [(20, 20), (20, 6), (10**6, 6)])
+def test_either_way_to_find_pieces_gives_the_same_over_orders(spark, monkeypatch, at_most, rows_per_piece):
+    """Hot categories are broadcast, joined by key, or both; categories and labels may be NULL."""
+    monkeypatch.setattr(skew, "ROWS_PER_PIECE", at_most)
+    rows = [(i, None if i % 5 == 0 else f"c{i % 3}" if i % 2 else f"d{i % 40}", int(i % 7 < 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, c string, y int").repartition(6)
+    got = ordered_target_stats(df, "id", "c", "y", 2, rows_per_piece=rows_per_piece)
+    want = plain(rows, 2)
+    assert {r.id: r.stat for r in got.collect()} == {i: pytest.approx(s, rel=1e-12) for i, s in want.items()}
+
+
 def test_orders_share_one_exchange_of_ordinary_rows(spark):
     """Rows of ordinary categories move once however many orders there are."""
     df = spark.range(50).selectExpr("id", "id % 4 AS c", "id % 2 AS y")

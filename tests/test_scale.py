@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldwise import queries
+from foldwise.operators import skew
 from foldwise.plans import cv
 from foldwise.operators.categories import category_dictionary, index_categories
 from foldwise.operators.folds import stratified_folds
 from foldwise.operators.metrics import roc_auc, score_cuts
 from foldwise.operators.predictions import join_predictions
+from foldwise.operators.order_stats import fold_target_stats_over, ordered_target_stats
 from foldwise.operators.target_stats import (
     apply_target_stat,
     ordered_target_stat,
@@ -43,6 +45,19 @@ def shuffling(spark):
             spark.conf.set(name, value)
 
 
+def broadcast_rows(spark, df):
+    """Rows of each broadcast of a plan that has run, by the plan's own metrics."""
+    with shuffling(spark):
+        execution = df._jdf.queryExecution()
+        execution.toRdd().count()
+        nodes, rows = [execution.executedPlan()], []
+        for node in nodes:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "BroadcastExchange":
+                rows.append(node.metrics().apply("numOutputRows").value())
+    return rows
+
+
 def largest_share(df):
     """Rows of the fullest partition, relative to an even spread."""
     sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
@@ -191,3 +206,17 @@ def test_folds_do_not_depend_on_the_pieces(spark, skewed, rows_per_piece):
 def test_held_out_rows_are_a_pruned_partition(spark, skewed):
     folded = folded_table(skewed, "id", "y")
     assert re.search(r"PartitionFilters: \[.*fold.* = 2", plan(folded.where("fold = 2")))
+
+
+@pytest.mark.parametrize("at_most", [1000, 10])
+def test_small_pieces_over_orders_are_not_broadcast(spark, monkeypatch, at_most):
+    """Keys beyond the usual size are, but not as many keys and sums as there are rows."""
+    monkeypatch.setattr(skew, "ROWS_PER_PIECE", at_most)
+    rows = spark.range(900).selectExpr("id", "if(id < 400, -1, id DIV 5) AS c", "CAST(id % 3 = 0 AS INT) AS y")
+    folded = rows.withColumn("fold", F.col("id") % 2)
+    for df in (
+        ordered_target_stats(rows, "id", "c", "y", 2, rows_per_piece=3),
+        fold_target_stats_over(folded, "id", "c", "y", 2, 2, rows_per_piece=3),
+    ):
+        assert sum(broadcast_rows(spark, df)) <= 20
+        assert df.count() == 900
