@@ -40,18 +40,20 @@ def with_pieces(
     return lookup(df, named.withColumnRenamed("_hot", "lookup_key"), key, spread, large)
 
 
-def with_piece(df: DataFrame, key: str, position: Column, hot: DataFrame) -> DataFrame:
+def with_piece(
+    df: DataFrame,
+    key: str,
+    spread: str,
+    position: Column,
+    hot: DataFrame,
+    rows_per_piece: int = ROWS_PER_PIECE,
+) -> DataFrame:
     """Add ``_piece``: which piece of its key a row falls in; NULL where the key is not hot.
 
     ``position`` is a number in [0, 1) per row; pieces are equal intervals of it.
     """
-    value = F.col(f"`{key}`").cast("string")
-    piece = F.floor(position * F.col("pieces")).cast("int")
-    return (
-        df.join(F.broadcast(hot), value.eqNullSafe(F.col("hot_key")), "left")
-        .withColumn("_piece", F.when(F.col("pieces").isNotNull(), piece))
-        .drop("hot_key", "pieces")
-    )
+    piece = F.floor(position * F.col("_pieces")).cast("int")
+    return with_pieces(df, key, spread, hot, rows_per_piece).withColumn("_piece", piece).drop("_pieces")
 
 
 def gathered(rows: DataFrame, rows_per_piece: int, *by: Column) -> DataFrame:

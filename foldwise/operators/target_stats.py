@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import hash_position, order_hash
-from foldwise.operators.skew import ROWS_PER_PIECE, hot_keys, lookup, with_piece
+from foldwise.operators.skew import ROWS_PER_PIECE, gathered, hot_keys, lookup, with_piece
 
 
 def ordered_target_stat(
@@ -36,34 +36,40 @@ def ordered_target_stat(
     key = F.col(f"`{category}`")
 
     narrow = base.select(f"`{id_col}`", key, f"`{label}`")
-    pieces = with_piece(narrow, category, hash_position(digest), hot).where("_piece IS NOT NULL")
-    totals = pieces.groupBy(key.alias("_key"), F.col("_piece").alias("_part")).agg(
+    pieces = with_piece(narrow, category, id_col, hash_position(digest), hot, rows_per_piece)
+    pieces = gathered(pieces.where("_piece IS NOT NULL"), rows_per_piece, key, F.col("_piece"))
+    totals = pieces.groupBy(key.alias("_key"), "_piece").agg(
         F.sum(f"`{label}`").alias("_s"), F.count(f"`{label}`").alias("_n")
     )
-    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # The pieces of the hot categories: at most two per ``rows_per_piece`` rows of the table.
+    before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each piece of the hot categories, which goes to the piece and stands first there.
     carried = totals.select(
-        "_key",
-        "_part",
+        F.col("_key").alias(category),
+        "_piece",
+        F.lit(True).alias("_carried"),
         F.sum("_s").over(before).alias("_s0"),
         F.sum("_n").over(before).alias("_n0"),
     )
 
-    placed = with_piece(train, category, hash_position(digest), hot).repartition(key, "_piece")
+    placed = with_piece(train, category, id_col, hash_position(digest), hot, rows_per_piece)
+    placed = placed.unionByName(carried, allowMissingColumns=True).repartition(key, "_piece")
     earlier = (
         Window.partitionBy(key, "_piece")
-        .orderBy(digest, F.col(f"`{id_col}`"))
+        .orderBy(F.desc("_carried"), digest, F.col(f"`{id_col}`"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     running = placed.withColumns(
-        {"_s1": F.sum(f"`{label}`").over(earlier), "_n1": F.count(f"`{label}`").over(earlier)}
-    )
-    same_piece = key.eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_part"))
-    joined = running.join(F.broadcast(carried), same_piece, "left")
+        {
+            "_s0": F.first("_s0").over(earlier),
+            "_n0": F.first("_n0").over(earlier),
+            "_s1": F.sum(f"`{label}`").over(earlier),
+            "_n1": F.count(f"`{label}`").over(earlier),
+        }
+    ).where("_carried IS NULL")
     zero = F.lit(0)
     total = F.coalesce("_s0", zero) + F.coalesce("_s1", zero)
     count = F.coalesce("_n0", zero) + F.col("_n1")
-    return joined.select(*_quoted(train), _smoothed(total, count, prior, weight).alias(out))
+    return running.select(*_quoted(train), _smoothed(total, count, prior, weight).alias(out))
 
 
 def fold_target_stats(
@@ -97,29 +103,33 @@ def fold_target_stats(
         sums |= {f"s{f}": F.sum(own), f"n{f}": F.count(own)}
 
     narrow = base.select(f"`{id_col}`", key, f"`{label}`", "fold")
-    pieces = with_piece(narrow, category, hash_position(digest), hot).where("_piece IS NOT NULL")
-    totals = pieces.groupBy(key.alias("_key"), F.col("_piece").alias("_part")).agg(
+    pieces = with_piece(narrow, category, id_col, hash_position(digest), hot, rows_per_piece)
+    pieces = gathered(pieces.where("_piece IS NOT NULL"), rows_per_piece, key, F.col("_piece"))
+    totals = pieces.groupBy(key.alias("_key"), "_piece").agg(
         *[value.alias(name) for name, value in sums.items()]
     )
     whole_key = Window.partitionBy("_key")
-    before = whole_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # The pieces of the hot categories: at most two per ``rows_per_piece`` rows of the table.
+    before = whole_key.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each piece of the hot categories, which goes to the piece and stands first there.
     carried = totals.select(
-        "_key",
-        "_part",
+        F.col("_key").alias(category),
+        "_piece",
+        F.lit(True).alias("_carried"),
         *[F.sum(name).over(before).alias(f"_before_{name}") for name in sums],
         *[F.sum(name).over(whole_key).alias(f"_total_{name}") for name in sums],
     )
 
-    placed = with_piece(folded, category, hash_position(digest), hot).repartition(key, "_piece")
+    placed = with_piece(folded, category, id_col, hash_position(digest), hot, rows_per_piece)
+    placed = placed.unionByName(carried, allowMissingColumns=True).repartition(key, "_piece")
     whole = Window.partitionBy(key, "_piece")
-    earlier = whole.orderBy(digest, F.col(f"`{id_col}`")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.orderBy(F.desc("_carried"), digest, F.col(f"`{id_col}`"))
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
     running = placed.withColumns(
         {f"_run_{name}": value.over(earlier) for name, value in sums.items()}
         | {f"_all_{name}": value.over(whole) for name, value in sums.items()}
-    )
-    same_piece = key.eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_part"))
-    joined = running.join(F.broadcast(carried), same_piece, "left")
+        | {f"_before_{name}": F.first(f"_before_{name}").over(earlier) for name in sums}
+        | {f"_total_{name}": F.first(f"_total_{name}").over(earlier) for name in sums}
+    ).where("_carried IS NULL")
 
     def ordered(name: str) -> str:
         return f"(coalesce(_before_{name}, 0) + coalesce(_run_{name}, 0))"
@@ -135,7 +145,7 @@ def fold_target_stats(
         F.expr(f"CASE WHEN fold = {f} THEN {stat(held_out, f)} ELSE {stat(ordered, f)} END")
         for f in range(k)
     ]
-    return joined.select(*_quoted(folded), F.array(*stats).alias(out))
+    return running.select(*_quoted(folded), F.array(*stats).alias(out))
 
 
 def target_stat_table(train: DataFrame, category: str, label: str) -> DataFrame:

@@ -16,6 +16,7 @@ from foldwise.operators.predictions import join_predictions
 from foldwise.operators.order_stats import fold_target_stats_over, ordered_target_stats
 from foldwise.operators.target_stats import (
     apply_target_stat,
+    fold_target_stats,
     ordered_target_stat,
     target_stat_table,
 )
@@ -220,3 +221,16 @@ def test_small_pieces_over_orders_are_not_broadcast(spark, monkeypatch, at_most)
     ):
         assert sum(broadcast_rows(spark, df)) <= 20
         assert df.count() == 900
+
+
+@pytest.mark.parametrize("at_most", [1000, 10])
+def test_small_pieces_are_not_broadcast(spark, monkeypatch, at_most):
+    monkeypatch.setattr(skew, "ROWS_PER_PIECE", at_most)
+    rows = spark.range(900).selectExpr("id", "if(id < 400, -1, id DIV 5) AS c", "CAST(id % 3 = 0 AS INT) AS y")
+    folded = rows.withColumn("fold", F.col("id") % 2)
+    for df in (
+        ordered_target_stat(rows, "id", "c", "y", rows_per_piece=3),
+        fold_target_stats(folded, "id", "c", "y", 2, rows_per_piece=3),
+    ):
+        assert sum(broadcast_rows(spark, df)) <= 20
+        assert df.count() == 900

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from foldwise.operators import skew
 from foldwise.operators.folds import stratified_folds
 from foldwise.operators.target_stats import (
     apply_target_stat,
@@ -135,3 +136,18 @@ def test_an_id_with_a_dot(spark):
     assert fold_target_stats(folded, "row.id", "c", "y", 2, rows_per_piece=5).count() == 60
     table = target_stat_table(df, "c", "y")
     assert apply_target_stat(df, table, "row.id", "c", rows_per_piece=5).count() == 60
+
+
+@pytest.mark.parametrize("at_most, rows_per_piece", [(20, 20), (20, 6), (10**6, 6)])
+def test_either_way_to_find_pieces_gives_the_same(spark, monkeypatch, at_most, rows_per_piece):
+    """Hot categories are broadcast, joined by key, or both; categories and labels may be NULL."""
+    monkeypatch.setattr(skew, "ROWS_PER_PIECE", at_most)
+    df = spark.createDataFrame(skewed_rows(), SCHEMA).withColumn("y", F.expr("if(id % 11 = 0, NULL, y)"))
+    folded = df.withColumn("fold", F.col("id") % 3)
+    for encode in (
+        lambda n: ordered_target_stat(df, "id", "c", "y", out="s", rows_per_piece=n),
+        lambda n: fold_target_stats(folded, "id", "c", "y", 3, out="s", rows_per_piece=n),
+    ):
+        cut, whole = ({r.id: r for r in encode(n).collect()} for n in (rows_per_piece, 10**6))
+        assert cut == whole
+        assert len(cut) == 600
